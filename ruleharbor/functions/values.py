@@ -12,13 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
-DATE_FORMATS = (
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-M-d H:m:s"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-M-d'T'H:m:s"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-)
+# Year first, with or without a time; then day first, then month first.
+DATE_SHAPE = r"^(\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}:\d{1,2})?|\d{1,2}/\d{1,2}/\d{4})$"
+DATE_FORMATS = ("yyyy-M-d[['T'][ ]H:m:s]", "d/M/yyyy", "M/d/yyyy")
 NOW_WORDS = ("NOW()", "NOW", "CURRENT_TIMESTAMP", "CURRENT_DATE")
 OFFSET_PATTERN = re.compile(
     r"([+-])?\s*(?:interval\b)?\s*'?\s*([+-])?\s*(\d+)\s*'?\s*(second|minute|hour|day|week|month|year)s?\b",
@@ -48,11 +44,8 @@ def as_timestamp(col: Column, dtype: T.DataType) -> Column:
     if is_temporal(dtype):
         return col
     text = F.trim(col.cast("string"))
-    tries = [
-        F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))
-        for shape, fmt in DATE_FORMATS
-    ]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    tries = [F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]
+    return F.when(text.rlike(DATE_SHAPE), F.coalesce(*tries)).cast("timestamp_ntz")
 
 
 def parse_number(text: str | None) -> float | None:

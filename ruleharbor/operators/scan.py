@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ruleharbor.functions.pii import is_pii_name
 from ruleharbor.operators.predicates import RULE_SCHEMA, Rule, Setting, cell, condition, find_field
+from ruleharbor.sources.local import small_frame
 
 # Rules per select. More rules than this become several passes, which keeps one
 # generated method small enough to be compiled.
@@ -51,7 +52,7 @@ class ScanResult:
 
 
 def rules_frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
-    return spark.createDataFrame([r.as_row() for r in rules], RULE_SCHEMA)
+    return small_frame(spark, [r.as_row() for r in rules], RULE_SCHEMA)
 
 
 def load_rules(rules: DataFrame) -> list[Rule]:
@@ -95,7 +96,7 @@ def plan_pairs(rules: Iterable[Rule], sources: Mapping[str, Source], setting: Se
 
 def pairs_frame(spark: SparkSession, pairs: Iterable[Pair]) -> DataFrame:
     """(rule_id, table_name, reason); reason is NULL for the pairs that are scanned."""
-    return spark.createDataFrame([(p.rule.rule_id, p.table or None, p.reason) for p in pairs], PAIR_SCHEMA)
+    return small_frame(spark, [(p.rule.rule_id, p.table or None, p.reason) for p in pairs], PAIR_SCHEMA)
 
 
 def _key_cells(source: Source) -> list[Column]:

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleharbor.sources.local import small_frame
+
 FILE_FORMATS = ("parquet", "orc", "csv", "json")
 JDBC_DIALECTS = {"sqlite": "org.sqlite.JDBC", "postgresql": "org.postgresql.Driver"}
 
@@ -55,7 +57,7 @@ def schema_catalog(
         for table, df in tables.items()
         for i, f in enumerate(df.schema.fields)
     ]
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+    return small_frame(spark, rows, CATALOG_SCHEMA)
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
