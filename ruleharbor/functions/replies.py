@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ruleharbor.functions import fixed_values as K
+from ruleharbor.functions.expr import let
 
 VERDICT_SCHEMA = (
     "decision string, reasoning string, cited_policies array<string>, sensitive_columns array<string>, "
@@ -33,31 +34,36 @@ def parse_object(text: Column, schema: str) -> Column:
 
 def parse_verdict(reply: Column) -> Column:
     """Normalised verdict. Unknown decisions block; an unreadable reply blocks and asks for manual review."""
-    text = unfenced(reply)
-    v = parse_object(text, VERDICT_SCHEMA)
     none = F.array().cast("array<string>")
-    decision = F.btrim(F.upper(v["decision"]), F.lit(K.EDGE_SPACE))
-    parsed = F.struct(
-        F.when(decision.isin("APPROVE", "BLOCK"), decision).otherwise("BLOCK").alias("decision"),
-        F.coalesce(v["reasoning"], F.lit("")).alias("reasoning"),
-        F.coalesce(v["cited_policies"], none).alias("cited_policies"),
-        F.coalesce(v["sensitive_columns"], none).alias("sensitive_columns"),
-        F.coalesce(v["required_controls"], none).alias("required_controls"),
-        F.coalesce(v["confidence"], F.lit(0.7)).alias("confidence"),
-    )
-    fallback = F.struct(
-        F.lit("BLOCK").alias("decision"),
-        F.concat(
-            F.lit("Verdict generation failed: Unparseable LLM response: "),
-            F.substring(text, 1, 200),
-            F.lit(". Blocking by default for safety."),
-        ).alias("reasoning"),
-        none.alias("cited_policies"),
-        none.alias("sensitive_columns"),
-        F.array(F.lit("manual_review")).alias("required_controls"),
-        F.lit(0.0).alias("confidence"),
+
+    def normalised(v: Column, text: Column) -> Column:
+        decision = F.btrim(F.upper(v["decision"]), F.lit(K.EDGE_SPACE))
+        parsed = F.struct(
+            F.when(decision.isin("APPROVE", "BLOCK"), decision).otherwise("BLOCK").alias("decision"),
+            F.coalesce(v["reasoning"], F.lit("")).alias("reasoning"),
+            F.coalesce(v["cited_policies"], none).alias("cited_policies"),
+            F.coalesce(v["sensitive_columns"], none).alias("sensitive_columns"),
+            F.coalesce(v["required_controls"], none).alias("required_controls"),
+            F.coalesce(v["confidence"], F.lit(0.7)).alias("confidence"),
+        )
+        fallback = F.struct(
+            F.lit("BLOCK").alias("decision"),
+            F.concat(
+                F.lit("Verdict generation failed: Unparseable LLM response: "),
+                F.substring(text, 1, 200),
+                F.lit(". Blocking by default for safety."),
+            ).alias("reasoning"),
+            none.alias("cited_policies"),
+            none.alias("sensitive_columns"),
+            F.array(F.lit("manual_review")).alias("required_controls"),
+            F.lit(0.0).alias("confidence"),
+        )
+        return F.when(v.isNotNull(), parsed).otherwise(fallback)
+
+    return let(
+        unfenced(reply),
+        lambda text: let(parse_object(text, VERDICT_SCHEMA), lambda v: normalised(v, text)),
     )
-    return F.when(v.isNotNull(), parsed).otherwise(fallback)
 
 
 def record_entries(record: Column, n: int) -> Column:

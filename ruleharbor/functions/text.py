@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleharbor.functions import fixed_values as K
+from ruleharbor.functions.expr import let
 from ruleharbor.functions.pii import contains_any
 
 
@@ -16,11 +17,6 @@ def strip(text: Column) -> Column:
 # --- chunks --------------------------------------------------------------------------
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once per row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _step_pattern(size: int, overlap: int, overlapping: bool) -> str:
     """Pattern that walks a text from the start of each chunk to the start of the next.
 
@@ -78,7 +74,7 @@ def chunk_spans(
         )
         return F.filter(cut, lambda s: s["content"] != "")
 
-    return _let(F.regexp_extract_all(text, F.lit(_step_pattern(size, overlap, overlapping)), F.lit(0)), spans)
+    return let(F.regexp_extract_all(text, F.lit(_step_pattern(size, overlap, overlapping)), F.lit(0)), spans)
 
 
 def chunk_documents(
@@ -152,10 +148,16 @@ def has_obligation(content: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """Social security numbers, 16-digit card numbers and e-mail addresses, in this order."""
-    for pattern, mark in K.REDACTIONS:
-        text = F.regexp_replace(text, "(?U)" + pattern, mark)
-    return text
+    """Social security numbers, 16-digit card numbers and e-mail addresses, in this order.
+
+    The look at the first character spares the costlier word-boundary test at most places,
+    and the address pattern runs only where there is an ``@``.
+    """
+    (ssn, ssn_mark), (card, card_mark), (mail, mail_mark) = K.REDACTIONS
+    text = F.regexp_replace(text, r"(?U)(?=\d)" + ssn, ssn_mark)
+    text = F.regexp_replace(text, r"(?U)(?=\d)" + card, card_mark)
+    masked = F.regexp_replace(text, "(?U)(?=[A-Za-z0-9._%+-])" + mail.replace("]+@", "]++@"), mail_mark)
+    return F.when(text.contains("@"), masked).otherwise(text)
 
 
 def guard_text(

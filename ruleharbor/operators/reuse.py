@@ -11,16 +11,18 @@ import math
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleharbor.functions import fixed_values as K
 from ruleharbor.functions.sqltext import normalise_sql
+from ruleharbor.operators.vectors import matrix, score_matrix
 from ruleharbor.session import cut_lineage
 
 EXACT_SLICE = 600
 NEAR_SLICE = 3600
+VECTOR_SLICE = 21600
 TEXTS_PER_BLOCK = 256
 VECTORS_PER_BLOCK = 2048
 # Neighbouring lengths differ by one step at most when two texts are alike enough; the
@@ -28,6 +30,10 @@ VECTORS_PER_BLOCK = 2048
 LENGTH_STEP = -math.log(K.FUZZY_RATIO - 0.001)
 
 HIT_COLUMNS = ("query_id", "entry_id", "decision")
+_HITS = pa.schema([
+    ("query_id", pa.int64()), ("score", pa.float64()), ("key", pa.string()), ("entry_id", pa.int64()),
+    ("decision", pa.string()),
+])
 
 
 def decision_key(normalised: Column, role: Column) -> Column:
@@ -62,7 +68,7 @@ def lifetimes(entries: DataFrame) -> DataFrame:
     later = firsts.select("key", "_slice", following.alias("_later"))
     inside = F.lead("born").over(Window.partitionBy("key", "_slice").orderBy("born", "entry_id"))
     replaced = timed.withColumn("_next", inside).join(later, ["key", "_slice"], "left")
-    dies = F.col("born") + F.col("ttl_seconds") * F.lit(1_000_000)
+    dies = F.col("born") + F.col("ttl_seconds").cast("long") * F.lit(1_000_000)
     return replaced.withColumn("dies", F.least(dies, F.coalesce("_next", "_later"))).drop(
         "_slice", "_next", "_later"
     ).where("dies > born")
@@ -88,9 +94,12 @@ def exact_hits(requests: DataFrame, alive: DataFrame) -> DataFrame:
 # --- nearly equal texts ------------------------------------------------------------------
 
 
-def similarity_ratio(a: Column, b: Column) -> Column:
+def _near_enough(a: Column, b: Column, ratio: float) -> Column:
+    """Whether 1 - distance / longer length reaches ``ratio``; counting stops beyond the allowed distance."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest > 0, 1.0 - F.levenshtein(a, b) / longest).otherwise(1.0)
+    allowed = F.ceil(longest * F.lit(1 - ratio)).cast("int")
+    distance = F.call_function("levenshtein", a, b, allowed)
+    return (longest == 0) | ((distance >= 0) & (1.0 - distance / longest >= ratio))
 
 
 def _length_step(text: Column) -> Column:
@@ -131,11 +140,8 @@ def fuzzy_hits(
         .join(packed, [*groups, "part"])
     )
     at, text = F.col("at"), F.col("normalised_query")
-    longest = lambda e: F.greatest(F.length(text), F.length(e["text"]))
     fits = lambda e: (
-        (e["born"] < at) & (at <= e["dies"])
-        & (F.abs(F.length(text) - F.length(e["text"])) / longest(e) <= F.lit(1 - ratio))
-        & (similarity_ratio(text, e["text"]) >= ratio)
+        (e["born"] < at) & (at <= e["dies"]) & _near_enough(text, e["text"], ratio)
     )
     best = r.withColumn("e", F.get(F.filter("entries", fits), F.lit(0))).where("e IS NOT NULL")
     oldest = best.groupBy("query_id").agg(F.min(F.struct("e.born", "e.key", "e.entry_id", "e.decision")).alias("e"))
@@ -155,8 +161,8 @@ def semantic_hits(
     """
     groups = ["user_role", "slice"]
     has_vector = F.col("embedding").isNotNull()
-    r = _timed(requests.where(has_vector), NEAR_SLICE).select("query_id", "at", "embedding", *groups)
-    e = _in_slices(alive.where(has_vector), NEAR_SLICE).select(
+    r = _timed(requests.where(has_vector), VECTOR_SLICE).select("query_id", "at", "embedding", *groups)
+    e = _in_slices(alive.where(has_vector), VECTOR_SLICE).select(
         "entry_id", "key", "decision", "born", "dies", "embedding", *groups
     )
     count = lambda df, name: df.groupBy(*groups).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
@@ -166,31 +172,25 @@ def semantic_hits(
     keys = [*groups, "r_part", "e_part"]
     left = r.join(sizes, groups).withColumn("r_part", own("query_id", "r_parts")).withColumn("e_part", every("e_parts"))
     right = e.join(sizes, groups).withColumn("e_part", own("entry_id", "e_parts")).withColumn("r_part", every("r_parts"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "score": [], "key": [], "entry_id": [], "decision": []})
-        right = right.sort_values(["key", "entry_id"], kind="stable", ignore_index=True)
-        a, b = (np.array(x["embedding"].tolist(), dtype=np.float64) for x in (left, right))
-        norms = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            scores = np.where(norms > 0, np.round((a @ b.T) / norms, 12), 0.0)
+    # Both sides come from the same counts: new names keep their columns apart.
+    right = right.toDF(*right.columns)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            return _HITS.empty_table()
+        right = right.sort_by([("key", "ascending"), ("entry_id", "ascending")])
+        scores = np.round(score_matrix(matrix(left["embedding"]), matrix(right["embedding"]), "cosine"), 12)
         at = left["at"].to_numpy()[:, None]
         live = (right["born"].to_numpy()[None, :] < at) & (at <= right["dies"].to_numpy()[None, :])
         scores = np.where(live, scores, -1.0)
         top = scores.argmax(axis=1)
-        score = scores[np.arange(len(left)), top]
-        keep = score >= floor
-        picked = right.iloc[top[keep]]
-        return pd.DataFrame({
-            "query_id": left["query_id"].to_numpy()[keep],
-            "score": score[keep],
-            "key": picked["key"].to_numpy(),
-            "entry_id": picked["entry_id"].to_numpy(),
-            "decision": picked["decision"].to_numpy(),
-        })
-
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        score = scores[np.arange(len(top)), top]
+        keep = np.flatnonzero(score >= floor)
+        picked = right.take(top[keep])
+        columns = [left["query_id"].take(keep), score[keep], *[picked[c] for c in ("key", "entry_id", "decision")]]
+        return pa.Table.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=_HITS)
+
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         best, "query_id long, score double, key string, entry_id long, decision string"
     )
     top = found.groupBy("query_id").agg(
@@ -209,7 +209,7 @@ def reuse_cascade(
     semantic_floor: float = K.SEMANTIC_COSINE,
 ) -> DataFrame:
     """(query_id, layer, entry_id, decision) for every request; layer is ``miss`` when nothing answers."""
-    alive = lifetimes(entries)
+    alive = cut_lineage(lifetimes(entries))
     finders = {
         "exact": lambda r: exact_hits(r, alive),
         "fuzzy": lambda r: fuzzy_hits(r, alive),

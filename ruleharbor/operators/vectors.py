@@ -61,14 +61,14 @@ def search_cosine(
 # --- many against many -----------------------------------------------------------------
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of a list column as a float64 matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _scores(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndarray:
+def score_matrix(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndarray:
     """Pairwise scores, larger is better (distances are negated)."""
     if metric == "l2":
         gaps = [np.sqrt(((items - q) ** 2).sum(axis=1)) for q in queries]
@@ -83,7 +83,7 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, item_ids: np.ndarray, item
     """The best ``k`` items per query within one block; equal scores go to the smaller id."""
     columns: list[list[np.ndarray]] = [[], [], []]
     for at in range(0, len(query_ids), 512):
-        scores = _scores(queries[at:at + 512], items, metric)
+        scores = score_matrix(queries[at:at + 512], items, metric)
         k_here = min(k, scores.shape[1])
         floors = np.partition(scores, -k_here, axis=1)[:, -k_here]
         for row, floor, qid in zip(scores, floors, query_ids[at:at + 512], strict=True):
@@ -102,14 +102,14 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, item_ids: np.ndarray, item
 def _against_small(large: DataFrame, small: pa.Table, k: int, metric: str, small_is_items: bool) -> DataFrame:
     """Each task holds ``small`` and streams its part of ``large``."""
     ids = small.column("id").to_numpy()
-    vectors = _matrix(small.column("embedding"))
+    vectors = matrix(small.column("embedding"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             other_ids = batch.column("id").to_numpy(zero_copy_only=False)
-            other = _matrix(batch.column("embedding"))
+            other = matrix(batch.column("embedding"))
             args = (other_ids, other, ids, vectors) if small_is_items else (ids, vectors, other_ids, other)
             yield from _best(*args, k, metric).to_batches()
 
@@ -127,8 +127,8 @@ def _block_pairs(queries: DataFrame, items: DataFrame, k: int, metric: str, n_q:
         if left.num_rows == 0 or right.num_rows == 0:
             return _best(np.array([]), np.zeros((0, 1)), np.array([]), np.zeros((0, 1)), k, metric)
         return _best(
-            left.column("id").to_numpy(), _matrix(left.column("embedding")),
-            right.column("id").to_numpy(), _matrix(right.column("embedding")), k, metric,
+            left.column("id").to_numpy(), matrix(left.column("embedding")),
+            right.column("id").to_numpy(), matrix(right.column("embedding")), k, metric,
         )
 
     return q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInArrow(run, HIT_SCHEMA)
@@ -191,25 +191,35 @@ def best_category(items: DataFrame, categories: DataFrame, floor: float = K.SEMA
 # --- policies for a request --------------------------------------------------------------
 
 
-def rerank(hits: DataFrame, k: int = K.FINAL_K) -> DataFrame:
-    """Boosted scores and the best ``k`` policies per request.
+def hit_lists(hits: DataFrame, about: DataFrame) -> DataFrame:
+    """(query_id, hits): the hits of one vector as an array of at most ``k`` structs.
 
-    ``hits``: query_id, item_id, score, target_column, rule_text, concepts, queried_columns
-    (lower case), has_pii_categories, stated_purpose.
+    ``about``: item_id, target_column, rule_text, concepts.
     """
-    words = F.filter(
-        F.split(F.lower(F.coalesce("stated_purpose", F.lit(""))), r"\s+"), lambda w: F.length(w) > 3
+    told = hits.join(about, "item_id")
+    return told.groupBy("query_id").agg(
+        F.collect_list(F.struct("item_id", "score", "target_column", "rule_text", "concepts")).alias("hits")
     )
-    text = F.lower(F.coalesce("rule_text", F.lit("")))
-    on_column = F.array_contains("queried_columns", F.lower(F.coalesce("target_column", F.lit(""))))
-    private = F.col("has_pii_categories") & F.arrays_overlap(
-        "concepts", F.array(*[F.lit(c) for c in K.PRIVACY_CONCEPTS])
-    )
-    worded = F.exists(words, lambda w: text.contains(w))
-    boost = (
-        F.when(on_column, K.BOOST_COLUMN).otherwise(0.0)
-        + F.when(private, K.BOOST_PII).otherwise(0.0)
-        + F.when(worded, K.BOOST_PURPOSE).otherwise(0.0)
-    )
-    boosted = hits.drop("rank").withColumn("score", F.col("score") + boost)
-    return top_rows(boosted, ["query_id"], [F.col("score").desc(), F.col("item_id")], k)
+
+
+def rerank(hits: Column, columns: Column, has_pii_categories: Column, purpose: Column, k: int = K.FINAL_K) -> Column:
+    """The best ``k`` of an array of hits after boosts, as (item_id, score), best first.
+
+    ``columns`` are the queried columns in lower case. Works inside the row of the request.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(purpose, F.lit(""))), r"\s+"), lambda w: F.length(w) > 3)
+    private_concepts = F.array(*[F.lit(c) for c in K.PRIVACY_CONCEPTS])
+
+    def boosted(h: Column) -> Column:
+        on_column = F.array_contains(columns, F.lower(F.coalesce(h["target_column"], F.lit(""))))
+        private = has_pii_categories & F.arrays_overlap(h["concepts"], private_concepts)
+        text = F.lower(F.coalesce(h["rule_text"], F.lit("")))
+        boost = (
+            F.when(on_column, K.BOOST_COLUMN).otherwise(0.0)
+            + F.when(private, K.BOOST_PII).otherwise(0.0)
+            + F.when(F.exists(words, lambda w: text.contains(w)), K.BOOST_PURPOSE).otherwise(0.0)
+        )
+        return F.struct((-(h["score"] + boost)).alias("neg"), h["item_id"].alias("item_id"))
+
+    best = F.slice(F.array_sort(F.transform(hits, boosted)), 1, k)
+    return F.transform(best, lambda h: F.struct(h["item_id"].alias("item_id"), (-h["neg"]).alias("score")))

@@ -79,32 +79,27 @@ def intent(spark, sf_dir):
     return gate.add_intent(context(spark, sf_dir), hints)
 
 
-def ranked_policies(spark, sf_dir):
-    """Best policies per request. Vectors are compared once each, however many requests share one."""
+def with_policies(spark, sf_dir, asked):
+    """Requests with their best policies. Vectors are compared once each, however many requests share one."""
     rules = policies(spark, sf_dir)
-    asked = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    vecs = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     pool = rules.where("framework = 'AML'").select(F.col("vec_id").alias("id"), "embedding")
-    near = vectors.top_k(asked, pool, K.RETRIEVE_K).withColumnRenamed("query_id", "vec_ref")
     about = rules.select(F.col("vec_id").alias("item_id"), "target_column", "rule_text", "concepts")
-    per_request = context(spark, sf_dir).select(
-        "query_id", "vec_ref", "queried_columns", "stated_purpose",
-        (F.size("pii_categories") > 0).alias("has_pii_categories"))
-    return vectors.rerank(per_request.join(near.join(about, "item_id"), "vec_ref"))
+    near = vectors.hit_lists(vectors.top_k(vecs, pool, K.RETRIEVE_K), about).withColumnRenamed("query_id", "vec_ref")
+    ranked = vectors.rerank(
+        F.col("hits"), F.col("queried_columns"), F.size("pii_categories") > 0, F.col("stated_purpose"))
+    return asked.join(near, "vec_ref", "left").withColumn("policies", ranked).drop("hits")
 
 
 def screened(spark, sf_dir):
     """Requests with intent, policies, verdict and checks."""
-    found = ranked_policies(spark, sf_dir).groupBy("query_id").agg(
-        F.max("score").alias("policy_confidence"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda s: F.concat(F.lit("p"), s["item_id"])
-        ).alias("policy_ids"),
-    )
     verdicts = X.derived(spark, sf_dir, X.REPLIES_SQL).select(
         F.col("reply_id").alias("query_id"), parse_verdict(F.col("text")).alias("verdict"))
-    joined = intent(spark, sf_dir).join(found, "query_id", "left").join(verdicts, "query_id", "left")
-    rated = joined.withColumn("policy_status", gate.policy_status(F.col("policy_confidence")))
-    return gate.audit_checks(rated)
+    rated = with_policies(spark, sf_dir, intent(spark, sf_dir)).withColumns({
+        "policy_confidence": F.get("policies", F.lit(0))["score"],
+        "policy_ids": F.transform("policies", lambda p: F.concat(F.lit("p"), p["item_id"])),
+    }).join(verdicts, "query_id", "left")
+    return gate.audit_checks(rated.withColumn("policy_status", gate.policy_status(F.col("policy_confidence"))))
 
 
 def decided(spark, sf_dir):
@@ -221,7 +216,9 @@ def vector_topk_cosine(spark, sf_dir):
 
 
 def policy_rerank(spark, sf_dir):
-    return ranked_policies(spark, sf_dir).select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+    ranked = with_policies(spark, sf_dir, context(spark, sf_dir)).select("query_id", F.posexplode("policies").alias("pos", "p"))
+    return ranked.select(
+        "query_id", "p.item_id", F.round("p.score", 6).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
 def policy_routing(spark, sf_dir):
