@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleharbor.functions import fixed_values as K
+from ruleharbor.functions.expr import once
 from ruleharbor.functions.sqltext import normalise_sql
 from ruleharbor.operators.vectors import matrix, score_matrix
 from ruleharbor.session import cut_lineage
@@ -99,7 +100,7 @@ def _near_enough(a: Column, b: Column, ratio: float) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     allowed = F.ceil(longest * F.lit(1 - ratio)).cast("int")
     distance = F.call_function("levenshtein", a, b, allowed)
-    return (longest == 0) | ((distance >= 0) & (1.0 - distance / longest >= ratio))
+    return (a == b) | ((distance >= 0) & (1.0 - distance / longest >= ratio))
 
 
 def _length_step(text: Column) -> Column:
@@ -111,39 +112,40 @@ def fuzzy_hits(
 ) -> DataFrame:
     """Requests with a nearly equal stored text of the same role; the entry stored first answers.
 
-    Entries are packed into blocks per role, length and time. A request meets each block of
-    its own role, length and time once and keeps the oldest fitting entry of it: one row per
-    block, not one per compared pair.
+    Entries are packed into blocks of bounded size per role, length and time. Each distinct
+    text of a role and time meets the blocks of its length and its neighbours once and keeps
+    the fitting entries of a block as one array, so no compared pair becomes a row. Its
+    requests then take the oldest entry that lives at their own time.
     """
     if ratio < K.FUZZY_RATIO:
         raise ValueError("the length steps hold for ratios from the default upwards")
     groups = ["user_role", "step", "slice"]
-    near = F.explode(F.sequence(F.col("own") - 1, F.col("own") + 1)).alias("step")
-    e = (
-        _in_slices(alive, NEAR_SLICE)
-        .withColumn("own", _length_step(F.col("normalised_query")))
-        .select("*", near)
-    )
+    own_step = _length_step(F.col("normalised_query"))
+    e = _in_slices(alive, NEAR_SLICE).withColumn("step", own_step)
     sizes = e.groupBy(*groups).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    part = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    part = F.pmod(F.xxhash64("entry_id"), F.col("blocks")).cast("int")
     packed = e.join(sizes, groups).withColumn("part", part).groupBy(*groups, "part").agg(
         F.array_sort(F.collect_list(
             F.struct("born", "key", "dies", "entry_id", "decision", F.col("normalised_query").alias("text"))
         )).alias("entries")
     )
-    r = (
-        _timed(requests, NEAR_SLICE)
-        .withColumn("step", _length_step(F.col("normalised_query")))
-        .select("query_id", "at", "normalised_query", *groups)
+    asked = _timed(requests, NEAR_SLICE).select("query_id", "at", "normalised_query", "user_role", "slice")
+    text = F.col("normalised_query")
+    fitting = F.filter("entries", lambda e: _near_enough(text, e["text"], ratio))
+    similar = (
+        asked.select("user_role", "slice", "normalised_query").distinct()
+        .withColumn("step", F.explode(F.array(own_step - 1, own_step, own_step + 1)))
         .join(sizes, groups)
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .join(packed, [*groups, "part"])
+        .select("user_role", "slice", "normalised_query", once(fitting).alias("entries"))
+        .where(F.size("entries") > 0)
     )
-    at, text = F.col("at"), F.col("normalised_query")
-    fits = lambda e: (
-        (e["born"] < at) & (at <= e["dies"]) & _near_enough(text, e["text"], ratio)
-    )
-    best = r.withColumn("e", F.get(F.filter("entries", fits), F.lit(0))).where("e IS NOT NULL")
+    at = F.col("at")
+    alive_then = F.filter("entries", lambda e: (e["born"] < at) & (at <= e["dies"]))
+    best = asked.join(similar, ["user_role", "slice", "normalised_query"]).select(
+        "query_id", once(F.get(alive_then, F.lit(0))).alias("e")
+    ).where("e IS NOT NULL")
     oldest = best.groupBy("query_id").agg(F.min(F.struct("e.born", "e.key", "e.entry_id", "e.decision")).alias("e"))
     return oldest.select("query_id", "e.entry_id", "e.decision")
 

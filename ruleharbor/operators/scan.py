@@ -124,7 +124,7 @@ def _passes(pairs: list[Pair]) -> list[list[Pair]]:
 def _hits(table: str, source: Source, pairs: list[Pair], payload: bool) -> DataFrame:
     """(rule_id, table_name, record_primary_key[, violating_data]) of one pass over one table."""
     any_hit = reduce(lambda a, b: a | b, [p.violates for p in pairs])
-    broken = F.array_compact(F.array(*[F.when(p.violates, F.lit(p.rule.rule_id)) for p in pairs]))
+    broken = F.array(*[F.when(p.violates, F.lit(p.rule.rule_id)) for p in pairs])
     kept = [
         F.lit(table).alias("table_name"),
         F.concat_ws("|", *[c.cast("string") for c in _key_cells(source)]).alias("record_primary_key"),
@@ -132,7 +132,8 @@ def _hits(table: str, source: Source, pairs: list[Pair], payload: bool) -> DataF
     if payload:
         row = F.struct(*[cell(f) for f in source.df.schema.fields])
         kept.append(F.to_json(row, {"ignoreNullFields": "false"}).alias("violating_data"))
-    return _keyed(source).where(any_hit).select(F.explode(broken).alias("rule_id"), *kept)
+    found = _keyed(source).where(any_hit).select(F.explode(broken).alias("rule_id"), *kept)
+    return found.where(F.col("rule_id").isNotNull())
 
 
 def hits(sources: Mapping[str, Source], pairs: Iterable[Pair], payload: bool = False) -> DataFrame:

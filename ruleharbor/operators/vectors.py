@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleharbor.functions import fixed_values as K
+from ruleharbor.functions.expr import let
 from ruleharbor.functions.ordering import top_rows
 
 # A side of at most this many rows is handed to every task; also the size of a block.
 BLOCK_ROWS = 8192
-HIT_SCHEMA = "query_id long, item_id long, score double"
+HIT_SCHEMA = "query_id long, item_id long, score double, rank int"
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -80,8 +81,8 @@ def score_matrix(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndar
 
 def _best(query_ids: np.ndarray, queries: np.ndarray, item_ids: np.ndarray, items: np.ndarray,
           k: int, metric: str) -> pa.Table:
-    """The best ``k`` items per query within one block; equal scores go to the smaller id."""
-    columns: list[list[np.ndarray]] = [[], [], []]
+    """The best ``k`` items per query within one block, ranked; equal scores go to the smaller id."""
+    columns: list[list[np.ndarray]] = [[], [], [], []]
     for at in range(0, len(query_ids), 512):
         scores = score_matrix(queries[at:at + 512], items, metric)
         k_here = min(k, scores.shape[1])
@@ -92,11 +93,12 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, item_ids: np.ndarray, item
             columns[0].append(np.full(len(near), qid))
             columns[1].append(item_ids[near])
             columns[2].append(row[near] if metric == "cosine" else -row[near])
-    kinds = (pa.int64(), pa.int64(), pa.float64())
+            columns[3].append(np.arange(1, len(near) + 1))
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
     arrays = [
         pa.array(np.concatenate(c) if c else np.array([]), type=t) for c, t in zip(columns, kinds, strict=True)
     ]
-    return pa.table(arrays, names=["query_id", "item_id", "score"])
+    return pa.table(arrays, names=["query_id", "item_id", "score", "rank"])
 
 
 def _against_small(large: DataFrame, small: pa.Table, k: int, metric: str, small_is_items: bool) -> DataFrame:
@@ -151,14 +153,16 @@ def top_k(
     queries = queries.where(present).select(F.col("id").cast("long"), "embedding")
     items = items.where(present).select(F.col("id").cast("long"), "embedding")
     if (held := _held(items, block_rows)) is not None:
-        best = _against_small(queries, held, k, metric, small_is_items=True)
-    elif (held := _held(queries, block_rows)) is not None:
-        best = _against_small(items, held, k, metric, small_is_items=False)
+        # Every task sees all items, so its ranks are final and nothing is shuffled.
+        ranked = _against_small(queries, held, k, metric, small_is_items=True)
     else:
-        n_q, n_i = (math.ceil(df.count() / block_rows) for df in (queries, items))
-        best = _block_pairs(queries, items, k, metric, n_q, n_i)
-    order = F.col("score").desc() if metric == "cosine" else F.col("score")
-    ranked = top_rows(best, ["query_id"], [order, F.col("item_id")], k)
+        if (held := _held(queries, block_rows)) is not None:
+            best = _against_small(items, held, k, metric, small_is_items=False)
+        else:
+            n_q, n_i = (math.ceil(df.count() / block_rows) for df in (queries, items))
+            best = _block_pairs(queries, items, k, metric, n_q, n_i)
+        order = F.col("score").desc() if metric == "cosine" else F.col("score")
+        ranked = top_rows(best.drop("rank"), ["query_id"], [order, F.col("item_id")], k)
     return ranked if min_score is None else ranked.where(F.col("score") >= min_score)
 
 
@@ -196,9 +200,14 @@ def hit_lists(hits: DataFrame, about: DataFrame) -> DataFrame:
 
     ``about``: item_id, target_column, rule_text, concepts.
     """
-    told = hits.join(about, "item_id")
+    told = hits.join(about, "item_id").select(
+        "query_id", "item_id", "score",
+        F.lower(F.coalesce("target_column", F.lit(""))).alias("column"),
+        F.lower(F.coalesce("rule_text", F.lit(""))).alias("text"),
+        F.arrays_overlap("concepts", F.array(*[F.lit(c) for c in K.PRIVACY_CONCEPTS])).alias("private"),
+    )
     return told.groupBy("query_id").agg(
-        F.collect_list(F.struct("item_id", "score", "target_column", "rule_text", "concepts")).alias("hits")
+        F.collect_list(F.struct("item_id", "score", "column", "text", "private")).alias("hits")
     )
 
 
@@ -207,19 +216,18 @@ def rerank(hits: Column, columns: Column, has_pii_categories: Column, purpose: C
 
     ``columns`` are the queried columns in lower case. Works inside the row of the request.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(purpose, F.lit(""))), r"\s+"), lambda w: F.length(w) > 3)
-    private_concepts = F.array(*[F.lit(c) for c in K.PRIVACY_CONCEPTS])
+    purpose_words = F.filter(F.split(F.lower(F.coalesce(purpose, F.lit(""))), r"\s+"), lambda w: F.length(w) > 3)
 
-    def boosted(h: Column) -> Column:
-        on_column = F.array_contains(columns, F.lower(F.coalesce(h["target_column"], F.lit(""))))
-        private = has_pii_categories & F.arrays_overlap(h["concepts"], private_concepts)
-        text = F.lower(F.coalesce(h["rule_text"], F.lit("")))
+    def boosted(h: Column, words: Column) -> Column:
         boost = (
-            F.when(on_column, K.BOOST_COLUMN).otherwise(0.0)
-            + F.when(private, K.BOOST_PII).otherwise(0.0)
-            + F.when(F.exists(words, lambda w: text.contains(w)), K.BOOST_PURPOSE).otherwise(0.0)
+            F.when(F.array_contains(columns, h["column"]), K.BOOST_COLUMN).otherwise(0.0)
+            + F.when(has_pii_categories & h["private"], K.BOOST_PII).otherwise(0.0)
+            + F.when(F.exists(words, lambda w: h["text"].contains(w)), K.BOOST_PURPOSE).otherwise(0.0)
         )
         return F.struct((-(h["score"] + boost)).alias("neg"), h["item_id"].alias("item_id"))
 
-    best = F.slice(F.array_sort(F.transform(hits, boosted)), 1, k)
+    best = let(
+        purpose_words,
+        lambda words: F.slice(F.array_sort(F.transform(hits, lambda h: boosted(h, words))), 1, k),
+    )
     return F.transform(best, lambda h: F.struct(h["item_id"].alias("item_id"), (-h["neg"]).alias("score")))

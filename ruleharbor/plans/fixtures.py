@@ -43,8 +43,15 @@ def sources(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, Source]:
     return {n: Source(table(spark, sf_dir, n), KEYS[n]) for n in names or KEYS}
 
 
+_SCHEMAS: dict[tuple[str, str], DataFrame] = {}
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_catalog(spark, {n: table(spark, sf_dir, n) for n in KEYS}, KEYS)
+    """Catalogue of the given tables; their schemas are read once per session."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _SCHEMAS:
+        _SCHEMAS[at] = schema_catalog(spark, {n: table(spark, sf_dir, n) for n in KEYS}, KEYS)
+    return _SCHEMAS[at]
 
 
 # --- rules ------------------------------------------------------------------------------

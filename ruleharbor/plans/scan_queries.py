@@ -101,10 +101,9 @@ def schema_stats(spark, sf_dir):
     """Counts over the catalogue as if the two tables without a single-column key had none."""
     keys = {t: k for t, k in X.KEYS.items() if len(k) == 1}
     cat = tbl.schema_catalog(spark, {n: X.table(spark, sf_dir, n) for n in X.KEYS}, keys)
-    stats = tbl.schema_stats(cat)
-    rows = tbl.row_counts({n: X.table(spark, sf_dir, n) for n in X.KEYS}).agg(F.sum("row_count").alias("row_count"))
-    joined = stats.withColumn("k", F.lit(1)).join(rows.withColumn("k", F.lit(1)), "k").drop("k")
-    return joined.withColumn("tables_without_key", F.array_join("tables_without_key", ","))
+    rows = tbl.row_counts({n: X.table(spark, sf_dir, n) for n in X.KEYS})
+    stats = tbl.schema_stats(cat, rows)
+    return stats.withColumn("tables_without_key", F.array_join("tables_without_key", ","))
 
 
 # --- predicates ----------------------------------------------------------------------------

@@ -78,13 +78,15 @@ def table_profile(catalog: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def schema_stats(catalog: DataFrame) -> DataFrame:
-    """Number of tables and columns, and the tables that lack a key."""
+def schema_stats(catalog: DataFrame, counts: DataFrame) -> DataFrame:
+    """Number of tables, columns and rows, and the tables that lack a key."""
     per_table = catalog.groupBy("table_name").agg(
         F.count("*").alias("n"), F.bool_or("is_key").alias("keyed")
-    )
+    ).join(counts, "table_name", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return per_table.agg(
         F.count("*").alias("table_count"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("column_count"),
+        total("n").alias("column_count"),
+        total("row_count").alias("row_count"),
         F.array_sort(F.collect_list(F.when(~F.col("keyed"), F.col("table_name")))).alias("tables_without_key"),
     )
