@@ -13,7 +13,7 @@ import tempfile
 import time
 
 from ruleharbor.plans.registry import QUERIES
-from ruleharbor.session import CHECKPOINT_KEY, build_session
+from ruleharbor.session import build_session, checkpoint_dir
 
 HEADLINE = (
     "violations_per_rule", "scan_all", "scan_summary", "report_by_rule", "validation_sample", "compliance_score",
@@ -30,11 +30,15 @@ def main() -> None:
         "spark.master": f"local[{cpus}]",
         "spark.sql.shuffle.partitions": cpus,
         "spark.driver.memory": "12g",
+        # The tables are small and the work per row is not: keep all cores busy.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
     with tempfile.TemporaryDirectory(prefix="bench-checkpoint-") as folder:
-        spark = build_session("bench", **settings, **({} if "SPARK_CONF_DIR" in os.environ else {CHECKPOINT_KEY: folder}))
+        spark = build_session("bench", **settings)
+        if checkpoint_dir(spark) is None:
+            spark.sparkContext.setCheckpointDir(folder)
         spark.sparkContext.setLogLevel("ERROR")
         spark.range(1000).selectExpr("sum(id)").collect()
         times = {}

@@ -156,8 +156,8 @@ def redact(text: Column) -> Column:
     (ssn, ssn_mark), (card, card_mark), (mail, mail_mark) = K.REDACTIONS
     text = F.regexp_replace(text, r"(?U)(?=\d)" + ssn, ssn_mark)
     text = F.regexp_replace(text, r"(?U)(?=\d)" + card, card_mark)
-    masked = F.regexp_replace(text, "(?U)(?=[A-Za-z0-9._%+-])" + mail.replace("]+@", "]++@"), mail_mark)
-    return F.when(text.contains("@"), masked).otherwise(text)
+    address = "(?U)(?=[A-Za-z0-9._%+-])" + mail.replace("]+@", "]++@")
+    return let(text, lambda t: F.when(t.contains("@"), F.regexp_replace(t, address, mail_mark)).otherwise(t))
 
 
 def guard_text(
@@ -170,9 +170,12 @@ def guard_text(
 
     ``max_chars`` cuts longer texts before redaction; None keeps them whole.
     """
-    clean = strip(text)
-    kept = clean if max_chars is None else F.substring(clean, 1, max_chars)
-    return F.when(F.length(clean) >= min_chars, redact(kept) if redact_pii else kept)
+
+    def guarded(clean: Column) -> Column:
+        kept = clean if max_chars is None else F.substring(clean, 1, max_chars)
+        return F.when(F.length(clean) >= min_chars, redact(kept) if redact_pii else kept)
+
+    return let(strip(text), guarded)
 
 
 # --- texts made for embedding ----------------------------------------------------------

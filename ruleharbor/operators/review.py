@@ -43,12 +43,13 @@ def apply_verdicts(violations: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Violations with their latest verdict; without one they stay as they are.
 
     ``verdicts``: violation_id, verdict, notes, reviewed_at. A verdict other than
-    ``false_positive`` confirms.
+    ``false_positive`` confirms; a false positive without notes gets the standard one.
     """
+    false_positive = F.lower("verdict") == "false_positive"
     latest = latest_reviews(verdicts).select(
         "violation_id",
-        F.when(F.lower("verdict") == "false_positive", "false_positive").otherwise("confirmed").alias("new_status"),
-        F.col("notes").alias("new_notes"),
+        F.when(false_positive, "false_positive").otherwise("confirmed").alias("new_status"),
+        F.coalesce("notes", F.when(false_positive, K.FALSE_POSITIVE_NOTE)).alias("new_notes"),
         F.col("reviewed_at").alias("new_at"),
     )
     return _with_status(violations, latest)

@@ -187,7 +187,8 @@ def violations_by_type(spark, sf_dir):
 def report_rules_sorted(spark, sf_dir):
     """Report order made visible as a position; one row per rule."""
     ranked = report.sort_rules(explanations(spark, sf_dir)).select("rule_id", "severity", "violation_count")
-    ids = ranked.agg(F.collect_list("rule_id").alias("ids"))
+    # One partition keeps the order of the sort; there is one row per rule.
+    ids = ranked.coalesce(1).agg(F.collect_list("rule_id").alias("ids"))
     return ids.select(F.posexplode("ids").alias("position", "rule_id"))
 
 

@@ -24,8 +24,8 @@ def build_session(app_name: str = "ruleharbor", **settings: str) -> SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names, or None when it names none."""
-    return spark.conf.get(CHECKPOINT_KEY, None)
+    """The shared folder the cluster or the session names, or None when there is none."""
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get(CHECKPOINT_KEY, None)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -34,10 +34,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Returns ``df`` unchanged when no folder is configured, so a lost executor can
     always rebuild its partitions from either the folder or the full lineage.
     """
-    spark = df.sparkSession
-    folder = checkpoint_dir(spark)
+    context = df.sparkSession.sparkContext
+    folder = checkpoint_dir(df.sparkSession)
     if folder is None:
         return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
