@@ -5,7 +5,7 @@
    up whole-number matrices of fixed size; two rounds of streaming sums combine them, so the
    result is the same in any order of tasks.
 2. *Pooling.* A document is, per dimension, the mean of its words' unit vectors, their spread, and the
-   mean product of neighbouring words' index vectors, which is high where words repeat.
+   mean products of neighbouring words' vectors and index vectors, which are high where words repeat.
 3. *Network.* One hidden layer, trained in numpy on at most ``MOST_LABELLED`` labelled documents
    (chosen by hash of the id; a documented bound); a quarter of them is kept apart to fit
    the temperature that calibrates the probabilities.
@@ -37,7 +37,7 @@ SLOTS = 1 << 15
 WIDTH = 32
 NONZERO = 4
 REACH = 2
-POOLS = 3  # mean, spread, product of neighbours
+POOLS = 4  # mean, spread, product of neighbours' vectors, product of neighbours' index vectors
 BLOCK = 1024
 HIDDEN = 24
 MOST_LABELLED = 20_000
@@ -118,7 +118,7 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
 
 
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """Per text the mean of its words' vectors, their spread, and the mean product of neighbours' index vectors.
+    """Per text the mean of its words' vectors, their spread, and mean products of neighbours' vectors of both kinds.
 
     A text without words gets zeros.
     """
@@ -127,17 +127,20 @@ def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     for i, text in enumerate(texts):
         ids = slots_of(text)
         if ids:
-            total, square, beside = np.zeros(WIDTH), np.zeros(WIDTH), np.zeros(WIDTH)
+            total, square, beside, same = np.zeros((4, WIDTH))
             for start in range(0, len(ids), 1 << 16):
                 some = ids[start:start + (1 << 16) + 1]
-                own, marks = vectors[some[:1 << 16]], index[some]
+                rows, marks = vectors[some], index[some]
+                own = rows[:1 << 16]
                 total += own.sum(axis=0, dtype=np.float64)
                 square += np.einsum("ij,ij->j", own, own, dtype=np.float64)
-                beside += (marks[1:] * marks[:-1]).sum(axis=0, dtype=np.int64)
+                beside += np.einsum("ij,ij->j", rows[1:], rows[:-1], dtype=np.float64)
+                same += (marks[1:] * marks[:-1]).sum(axis=0, dtype=np.int64)
             mean = total / len(ids)
             out[i, :WIDTH] = mean
             out[i, WIDTH:2 * WIDTH] = np.sqrt(np.maximum(square / len(ids) - mean * mean, 0))
-            out[i, 2 * WIDTH:] = beside / max(1, len(ids) - 1)
+            out[i, 2 * WIDTH:3 * WIDTH] = beside / max(1, len(ids) - 1)
+            out[i, 3 * WIDTH:] = same / max(1, len(ids) - 1)
     return out
 
 
@@ -174,6 +177,7 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 30, seed: int = 7) -> Netw
     layers = [rng.normal(0, 1 / np.sqrt(z.shape[1]), (z.shape[1], HIDDEN)), np.zeros(HIDDEN),
               rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     first, second, step = [0 * w for w in layers], [0 * w for w in layers], 0
+    rounds = epochs * max(1, len(rest) // 128)
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(rest), max(1, len(rest) // 128)):
             hidden = np.tanh(z[batch] @ layers[0] + layers[1])
@@ -182,10 +186,11 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 30, seed: int = 7) -> Netw
             grads = [z[batch].T @ back + 1e-4 * layers[0], back.sum(axis=0), hidden.T @ error + 1e-4 * layers[2],
                      error.sum(keepdims=True)]
             step += 1
+            rate = 0.01 * max(0.02, 1 - step / rounds)
             for i, g in enumerate(grads):
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.999 * second[i] + 0.001 * g * g
-                layers[i] = layers[i] - 0.01 * (first[i] / (1 - 0.9 ** step)) / (
+                layers[i] = layers[i] - rate * (first[i] / (1 - 0.9 ** step)) / (
                     np.sqrt(second[i] / (1 - 0.999 ** step)) + 1e-8)
     found = Network(prior, shift, scale, tuple(layers))
     logits, truth = found.logits(x[apart]), y[apart]
