@@ -111,7 +111,9 @@ def links(distinct: DataFrame, gathered: int = GATHERED) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``distinct`` (fp, once each) in the radius."""
     tables = F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
                        for v, m in enumerate(MASKS)])
-    keyed = distinct.select("fp", F.explode(tables).alias("t")).select("fp", "t.v", "t.key")
+    # A row becomes 31: spread the few bytes of the fingerprints over all tasks first.
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = distinct.repartition(parts, "fp").select("fp", F.explode(tables).alias("t")).select("fp", "t.v", "t.key")
     buckets = cut(keyed.groupBy("v", "key").agg(
         F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
 
