@@ -98,15 +98,19 @@ def turns(conversations: DataFrame) -> DataFrame:
         "conv_id", "role", "text").mapInArrow(_chain, _TURN_SHAPE)
 
 
-def _tails(narrow: DataFrame) -> DataFrame:
-    """Per owning conversation: its chain of tails from the root (start depth, owner, position), and its length."""
-    tree = cut(narrow.groupBy("node").agg(
+def _owned(narrow: DataFrame) -> DataFrame:
+    """Every node once, with the smallest conversation that passes it."""
+    return narrow.groupBy("node").agg(
         F.min("conv_id").alias("owner"), F.first("parent").alias("parent"), F.first("depth").alias("depth"),
-        F.first("position").alias("position"), F.first("n_chars").alias("n_chars")))
-    tails = tree.groupBy("owner").agg(
+        F.first("position").alias("position"), F.first("n_chars").alias("n_chars"))
+
+
+def _tails(owned: DataFrame) -> DataFrame:
+    """Per owning conversation: its chain of tails from the root (start depth, owner, position), and its length."""
+    tails = owned.groupBy("owner").agg(
         F.min("depth").alias("depth"), F.min("position").alias("position"), F.sum("n_chars").alias("n_chars"),
         F.min_by("parent", "depth").alias("parent"))
-    above = tree.select(F.col("node").alias("parent"), F.col("owner").alias("next"))
+    above = owned.select(F.col("node").alias("parent"), F.col("owner").alias("next"))
     hung = tails.join(above, "parent", "left")
     state = cut(hung.select("owner", "n_chars", "next", F.array(
         F.struct("depth", "owner", "position")).alias("chain")))
@@ -133,8 +137,9 @@ def _placed(tails: DataFrame) -> DataFrame:
 def tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, paths): the stream of nodes, each once, and the node of every turn of every conversation."""
     all_turns = turns(conversations)
-    narrow = all_turns.select("conv_id", "depth", "node", "parent", "position", "n_chars")
-    placed = cut(_placed(_tails(narrow)))
+    narrow = cut(all_turns.select("conv_id", "depth", "node", "parent", "position", "n_chars"))
+    owned = cut(_owned(narrow))
+    placed = cut(_placed(_tails(owned)))
     links = placed.select("owner", F.posexplode(F.transform(
         F.slice("chain", 1, F.size("chain") - 1), lambda x, i: F.struct(
             x["owner"].alias("at"), (F.element_at("chain", i + 2)["position"] - x["position"]).alias("length")))).alias(
@@ -146,9 +151,8 @@ def tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     tails = placed.join(spans, "owner", "left").select(
         "owner", "tail_start", F.element_at("chain", -1)["position"].alias("tail_position"),
         F.coalesce(ancestors, F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("ancestors"))
-    once = all_turns.groupBy("node").agg(
-        F.min("conv_id").alias("owner"), *(F.first(c).alias(c) for c in (
-            "parent", "depth", "formatted", "position", "n_chars", "loss_start", "loss_chars")))
+    # The owner's turn stands for the node: an equal join on both keys, which no shared turn makes uneven.
+    once = all_turns.withColumnRenamed("conv_id", "owner").join(owned.select("node", "owner"), ["node", "owner"])
     nodes = once.join(tails, "owner").withColumn(
         "stream_start", F.col("tail_start") + F.col("position") - F.col("tail_position")).drop("tail_position")
     return nodes, narrow.select("conv_id", "depth", "node")
