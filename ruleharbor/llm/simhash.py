@@ -143,9 +143,10 @@ def near_duplicates(documents: DataFrame, gathered: int = GATHERED) -> DataFrame
     prints = cut(fingerprints(documents))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     found = cut(components(links(classes.select("fp"), gathered)))
-    rooted = classes.join(found, classes["fp"] == found["node"], "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    rooted = cut(classes.join(found, classes["fp"] == found["node"], "left").select(
+        "fp", "least_id", F.coalesce("root", "fp").alias("root")))
+    # Written first, so that the join on a root of many fingerprints can be split.
+    ids = cut(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
     named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
