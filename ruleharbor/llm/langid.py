@@ -23,7 +23,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleharbor.llm.common import bytes_of, id_remainder, learning_sample, per_text
@@ -239,13 +239,21 @@ def train(pieces: list[bytes], names: list[str], epochs: int = 3, batch: int = 2
 LEARN_STEPS = 64
 
 
+def first_of_each(rows: DataFrame, order: list[Column], most: int, lanes: int = 32) -> DataFrame:
+    """The first ``most`` rows per language; lanes choose first, so that a frequent language is no single task's."""
+    lane = F.pmod(F.xxhash64(*rows.columns), F.lit(lanes))
+    for keys in (["lang", "__lane"], ["lang"]):
+        rows = rows.withColumn("__lane", lane).withColumn("__n", F.row_number().over(
+            Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= most).drop("__n", "__lane")
+    return rows
+
+
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, most_documents: int = MOST_DOCUMENTS,
         most_segments: int = MOST_SEGMENTS) -> Network:
     """Learns from texts of known language whose crc32(doc_id as text) mod 4 is not 2."""
     known = documents.where((id_remainder(4) != 2) & F.col("lang").isNotNull()).groupBy("doc_id").agg(
         F.min("lang").alias("lang"))
-    ranked = known.withColumn("__n", F.row_number().over(
-        Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("__n") <= per_language)
+    ranked = first_of_each(known, [F.xxhash64("doc_id"), F.col("doc_id")], per_language)
     sample = learning_sample(documents, ranked, most_documents, ["lang"])
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +266,7 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE, most_documents:
 
     pieces = sample.select("text", "lang").mapInArrow(cut_up, "h long, lang string, piece binary").distinct()
     share = max(1, most_segments // max(1, known.select("lang").distinct().count()))
-    even = pieces.withColumn("__n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))).where(
-        F.col("__n") <= share)
+    even = first_of_each(pieces, [F.col("h"), F.col("piece")], share)
     rows = even.orderBy("h", "piece", "lang").limit(most_segments).select("piece", "lang").collect()
     if not rows:
         return start(())
