@@ -9,11 +9,10 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 from ruleharbor.plans.registry import QUERIES
-from ruleharbor.session import build_session, checkpoint_dir
+from ruleharbor.session import build_session
 
 HEADLINE = (
     "violations_per_rule", "scan_all", "scan_summary", "report_by_rule", "validation_sample", "compliance_score",
@@ -35,19 +34,16 @@ def main() -> None:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
-    with tempfile.TemporaryDirectory(prefix="bench-checkpoint-") as folder:
-        spark = build_session("bench", **settings)
-        if checkpoint_dir(spark) is None:
-            spark.sparkContext.setCheckpointDir(folder)
-        spark.sparkContext.setLogLevel("ERROR")
-        spark.range(1000).selectExpr("sum(id)").collect()
-        times = {}
-        for name in sys.argv[1:] or HEADLINE:
-            begun = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            times[name] = round(time.perf_counter() - begun, 3)
-            print(f"{name}: {times[name]}", file=sys.stderr)
-        spark.stop()
+    spark = build_session("bench", **settings)
+    spark.sparkContext.setLogLevel("ERROR")
+    spark.range(1000).selectExpr("sum(id)").collect()
+    times = {}
+    for name in sys.argv[1:] or HEADLINE:
+        begun = time.perf_counter()
+        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        times[name] = round(time.perf_counter() - begun, 3)
+        print(f"{name}: {times[name]}", file=sys.stderr)
+    spark.stop()
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "cpus": int(cpus),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,15 +16,18 @@ def contains_any(text: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
+# The one definition of a personal column name, read by Spark and on the driver alike.
+PII_NAME_PATTERN = f"^(?:{'|'.join(map(re.escape, PII_NAMES))})$|{'|'.join(map(re.escape, PII_NAME_PARTS))}"
+
+
 def is_pii(name: Column) -> Column:
-    plain = F.replace(F.lower(name), F.lit(" "), F.lit("_"))
-    return plain.isin(*PII_NAMES) | contains_any(plain, PII_NAME_PARTS)
+    return F.translate(F.lower(name), " ", "_").rlike(PII_NAME_PATTERN)
 
 
-def is_pii_name(name: str) -> bool:
-    """``is_pii`` for a schema that is at hand on the driver."""
-    plain = name.lower().replace(" ", "_")
-    return plain in PII_NAMES or any(part in plain for part in PII_NAME_PARTS)
+def names_personal_data(names: Iterable[str]) -> bool:
+    """Whether a schema has a column that ``is_pii`` holds for."""
+    shape = re.compile(PII_NAME_PATTERN)
+    return any(shape.search("_".join(n.lower().split(" "))) for n in names)
 
 
 def pii_categories(name: Column) -> Column:

@@ -163,12 +163,12 @@ def redact(text: Column) -> Column:
 def guard_text(
     text: Column,
     min_chars: int = K.GUARD_MIN_CHARS,
-    max_chars: int | None = K.GUARD_MAX_CHARS,
+    max_chars: int | None = None,
     redact_pii: bool = True,
 ) -> Column:
     """Stripped and redacted text, or NULL when shorter than ``min_chars``.
 
-    ``max_chars`` cuts longer texts before redaction; None keeps them whole.
+    ``max_chars`` cuts longer texts before redaction; by default they are kept whole.
     """
 
     def guarded(clean: Column) -> Column:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import calendar
-import math
 import re
 from datetime import datetime, timedelta
+from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,11 +16,14 @@ NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:i
 DATE_SHAPE = r"^(\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}:\d{1,2})?|\d{1,2}/\d{1,2}/\d{4})$"
 DATE_FORMATS = ("yyyy-M-d[['T'][ ]H:m:s]", "d/M/yyyy", "M/d/yyyy")
 NOW_WORDS = ("NOW()", "NOW", "CURRENT_TIMESTAMP", "CURRENT_DATE")
-OFFSET_PATTERN = re.compile(
-    r"([+-])?\s*(?:interval\b)?\s*'?\s*([+-])?\s*(\d+)\s*'?\s*(second|minute|hour|day|week|month|year)s?\b",
-    re.IGNORECASE,
-)
-FIXED_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+# A dated base: ISO date, with or without a time of day.
+BASE_SHAPE = re.compile(r"\s*['(]*\s*(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ](\d{1,2}):(\d{1,2}):(\d{1,2}))?(?![\d-])")
+# One part of an offset; a sign may stand before it or before the word INTERVAL.
+PART_SHAPE = re.compile(
+    r"(?P<sign>[+-])?[\s']*(?:interval\b[\s']*(?P<inner>[+-])?\s*)?(?P<count>\d+)[\s']*"
+    r"(?P<unit>second|minute|hour|day|week|month|year)s?\b", re.IGNORECASE)
+SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+MONTHS = {"month": 1, "year": 12}
 
 
 def is_temporal(dtype: T.DataType) -> bool:
@@ -48,50 +51,61 @@ def as_timestamp(col: Column, dtype: T.DataType) -> Column:
     return F.when(text.rlike(DATE_SHAPE), F.coalesce(*tries)).cast("timestamp_ntz")
 
 
-def parse_number(text: str | None) -> float | None:
+def parse_number(text: str | None) -> Decimal | None:
+    """The exact number a rule value names; commas are ignored."""
     try:
-        return float(str(text).replace(",", "").strip()) if text is not None else None
-    except ValueError:
+        return None if text is None else Decimal(str(text).replace(",", "").strip())
+    except InvalidOperation:
         return None
 
 
-def number_literal(value: float, dtype: T.DataType) -> Column:
-    """A literal of the column's own kind where that is exact, so the filter reaches the scan."""
-    if is_integral(dtype) and math.isfinite(value) and value == int(value) and abs(value) < 2**31:
-        return F.lit(int(value))
+def number_literal(value: Decimal, dtype: T.DataType) -> Column:
+    """A literal that compares exactly with a column of ``dtype``, of the column's own kind where it can be.
+
+    Then the filter reaches the scan. Beyond 38 digits, and against binary fractions, it is a double.
+    """
+    if value.is_finite() and not isinstance(dtype, (T.FloatType, T.DoubleType)):
+        if is_integral(dtype) and value == value.to_integral_value() and -(2**63) <= value < 2**63:
+            return F.lit(int(value))
+        places = max(0, -value.as_tuple().exponent)
+        if places <= 38 and value.adjusted() + 1 + places <= 38:
+            return F.lit(Decimal(f"{value:f}"))
     return F.lit(float(value))
 
 
-def _add_months(moment: datetime, months: int) -> datetime:
-    index = moment.year * 12 + moment.month - 1 + months
-    year, month = divmod(index, 12)
+def _shifted(moment: datetime, seconds: int, months: int) -> datetime:
+    """Months first, with the day kept inside the month, then seconds."""
+    year, month = divmod(moment.year * 12 + moment.month - 1 + months, 12)
     day = min(moment.day, calendar.monthrange(year, month + 1)[1])
-    return moment.replace(year=year, month=month + 1, day=day)
+    return moment.replace(year=year, month=month + 1, day=day) + timedelta(seconds=seconds)
 
 
 def parse_threshold(text: str | None, as_of: datetime) -> datetime | None:
-    """Point in time named by a rule value: now, now plus or minus an offset, or an ISO date.
+    """Point in time named by a rule value: ``[base] [offset part ..]``; None for anything else.
 
-    The sign is the one written next to the number (or before ``INTERVAL``); without
-    one the offset is added.
+    The base is a date or, where none is written, ``as_of``; all parts of the offset add up. A part takes the
+    sign next to it or before its ``INTERVAL``, else that of the part before; the first one is added by
+    default. Points outside the years 1 to 9999 are none.
     """
     value = (text or "").strip()
-    if value.upper() in NOW_WORDS:
-        return as_of
-    found = OFFSET_PATTERN.search(value)
-    if found:
-        before, inside, amount, unit = found.groups()
-        count = int(amount) * (-1 if "-" in (before, inside) else 1)
-        unit = unit.lower()
-        if unit in FIXED_UNITS:
-            return as_of + timedelta(seconds=count * FIXED_UNITS[unit])
-        return _add_months(as_of, count * (12 if unit == "year" else 1))
-    for fmt in ("%Y-%m-%d", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S"):
-        try:
-            return datetime.strptime(value, fmt)
-        except ValueError:
-            continue
-    return None
+    dated = BASE_SHAPE.match(value)
+    rest = value[dated.end():] if dated else value
+    parts = list(PART_SHAPE.finditer(rest))
+    try:
+        base = datetime(*(int(x or 0) for x in dated.groups())) if dated else as_of
+        if not parts:
+            named = value.upper() in NOW_WORDS or (dated is not None and not rest)
+            return base if named else None
+        sign, seconds, months = 1, 0, 0
+        for part in parts:
+            written = (part["sign"] or "") + (part["inner"] or "")
+            sign = (-1 if "-" in written else 1) if written else sign
+            unit = part["unit"].lower()
+            seconds += sign * int(part["count"]) * SECONDS.get(unit, 0)
+            months += sign * int(part["count"]) * MONTHS.get(unit, 0)
+        return _shifted(base, seconds, months)
+    except (OverflowError, ValueError):
+        return None
 
 
 def moment_literal(moment: datetime, dtype: T.DataType) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ruleharbor.functions import fixed_values as K
 from ruleharbor.functions import sqltext as S
 from ruleharbor.functions.pii import classification, is_pii, pii_categories
+from ruleharbor.session import cut_lineage
 
 ANY_TABLE = "*"
 
@@ -238,7 +239,7 @@ def escalations(decided: DataFrame) -> DataFrame:
     )
 
 
-def run_governed(spark, query: str, decision: str, cap: int = K.RESULT_ROW_CAP) -> tuple[DataFrame, bool] | None:
+def run_governed(spark, query: str, decision: str, cap: int | None = None) -> tuple[DataFrame, bool] | None:
     """(rows, truncated) of an approved SELECT or WITH text; None when it may not run."""
     head = query.lstrip(K.EDGE_SPACE).split(None, 1)[:1]
     if decision != "APPROVE" or not head or head[0].upper() not in ("SELECT", "WITH"):
@@ -246,6 +247,12 @@ def run_governed(spark, query: str, decision: str, cap: int = K.RESULT_ROW_CAP)
     return capped_result(spark.sql(query.rstrip().rstrip(";")), cap)
 
 
-def capped_result(rows: DataFrame, cap: int = K.RESULT_ROW_CAP) -> tuple[DataFrame, bool]:
-    """At most ``cap`` rows, and whether that many came back."""
-    return rows.limit(cap), rows.limit(cap).count() == cap
+def capped_result(rows: DataFrame, cap: int | None = None) -> tuple[DataFrame, bool]:
+    """The rows and whether some are left out: all of them, or the first ``cap`` where the caller sets a cap.
+
+    With a cap the text runs once, for one row more than asked.
+    """
+    if cap is None:
+        return rows, False
+    kept = cut_lineage(rows.limit(cap + 1))
+    return kept.limit(cap), kept.count() > cap

@@ -1,8 +1,10 @@
 """Reuse of stored decisions: exact, nearly equal and similar requests of the same role.
 
 A stored entry answers requests from its creation until its time to live ends or a newer
-entry with the same key replaces it. Time is cut into slices; an entry is listed in every
-slice it lives in, a request in one, so each join has an equality key that also holds time.
+entry with the same key replaces it: at any time at most one entry of a key lives. Texts and
+vectors are compared once each, however often they are asked or stored, and without regard to
+time; which entry of a matching key lives at a request's time is then one running look-up in the
+rows of that key. Time is cut into slices, so that a busy key is not one task's.
 """
 
 from __future__ import annotations
@@ -16,14 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleharbor.functions import fixed_values as K
-from ruleharbor.functions.expr import once
 from ruleharbor.functions.sqltext import normalise_sql
 from ruleharbor.operators.vectors import matrix, score_matrix
 from ruleharbor.session import cut_lineage
 
-EXACT_SLICE = 600
-NEAR_SLICE = 3600
-VECTOR_SLICE = 21600
+SLICE_SECONDS = 60
 TEXTS_PER_BLOCK = 256
 VECTORS_PER_BLOCK = 2048
 # Neighbouring lengths differ by one step at most when two texts are alike enough; the
@@ -31,10 +30,7 @@ VECTORS_PER_BLOCK = 2048
 LENGTH_STEP = -math.log(K.FUZZY_RATIO - 0.001)
 
 HIT_COLUMNS = ("query_id", "entry_id", "decision")
-_HITS = pa.schema([
-    ("query_id", pa.int64()), ("score", pa.float64()), ("key", pa.string()), ("entry_id", pa.int64()),
-    ("decision", pa.string()),
-])
+_PAIRS = pa.schema([("r_vector", pa.string()), ("e_vector", pa.string()), ("score", pa.float64())])
 
 
 def decision_key(normalised: Column, role: Column) -> Column:
@@ -62,7 +58,7 @@ def lifetimes(entries: DataFrame) -> DataFrame:
     slice among the first entries of later slices, so no key is gathered in one task.
     """
     timed = entries.withColumn("born", _micros(F.col("created_at"))).withColumn(
-        "_slice", _slice(F.col("born"), EXACT_SLICE)
+        "_slice", _slice(F.col("born"), SLICE_SECONDS)
     )
     firsts = timed.groupBy("key", "_slice").agg(F.min("born").alias("_first"))
     following = F.lead("_first").over(Window.partitionBy("key").orderBy("_slice"))
@@ -75,21 +71,35 @@ def lifetimes(entries: DataFrame) -> DataFrame:
     ).where("dies > born")
 
 
-def _in_slices(alive: DataFrame, width: int) -> DataFrame:
-    """Entries once per slice they can answer in."""
-    first, last = _slice(F.col("born"), width), _slice(F.col("dies"), width)
-    return alive.withColumn("slice", F.explode(F.sequence(first, last)))
+def living(asked: DataFrame, alive: DataFrame, *more: Column) -> DataFrame:
+    """``asked`` (key, at and more) with ``e``, the entry of the key that lives at that time; rows without one go.
 
-
-def _timed(requests: DataFrame, width: int) -> DataFrame:
-    return requests.withColumn("at", _micros(F.col("ts"))).withColumn("slice", _slice(F.col("at"), width))
+    Requests and entries of a key are laid out by time; a request takes the last entry before it, in its
+    slice or carried over from the last earlier slice that has one. Each row is sorted once.
+    """
+    entry = F.struct("born", "dies", "key", "entry_id", "decision", *more)
+    kept = [c for c in asked.columns if c not in ("key", "at")]
+    rows = asked.select("key", F.col("at").alias("time"), F.lit(0).alias("kind"), F.struct(*kept).alias("r"))
+    events = rows.unionByName(alive.select(
+        "key", F.col("born").alias("time"), F.lit(1).alias("kind"), entry.alias("e")), allowMissingColumns=True)
+    events = events.withColumn("slice", _slice(F.col("time"), SLICE_SECONDS))
+    ends = events.groupBy("key", "slice").agg(F.max("e").alias("end"))  # the first field is the time of birth
+    earlier = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("key", "slice", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    # At one time, requests come before entries: an entry answers after its birth.
+    so_far = Window.partitionBy("key", "slice").orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = events.join(carried, ["key", "slice"]).withColumn(
+        "last", F.coalesce(F.last("e", ignorenulls=True).over(so_far), F.col("carried")))
+    return found.where("kind = 0 AND time <= last.dies").select("key", F.col("time").alias("at"), "r.*", F.col("last").alias("e"))
+
+
+def _asked(requests: DataFrame, *columns: str) -> DataFrame:
+    return requests.select("query_id", _micros(F.col("ts")).alias("at"), *columns)
 
 
 def exact_hits(requests: DataFrame, alive: DataFrame) -> DataFrame:
     """Requests whose normalised text and role are stored; at most one entry each."""
-    r = _timed(requests, EXACT_SLICE).select("query_id", "key", "slice", "at")
-    e = _in_slices(alive, EXACT_SLICE).select("key", "slice", "born", "dies", "entry_id", "decision")
-    return r.join(e, ["key", "slice"]).where("born < at AND at <= dies").select(*HIT_COLUMNS)
+    return living(_asked(requests, "key"), alive).select("query_id", "e.entry_id", "e.decision")
 
 
 # --- nearly equal texts ------------------------------------------------------------------
@@ -107,97 +117,97 @@ def _length_step(text: Column) -> Column:
     return F.floor(F.log(F.greatest(F.length(text), F.lit(1)).cast("double")) / F.lit(LENGTH_STEP)).cast("int")
 
 
-def fuzzy_hits(
-    requests: DataFrame, alive: DataFrame, ratio: float = K.FUZZY_RATIO, block: int = TEXTS_PER_BLOCK
-) -> DataFrame:
-    """Requests with a nearly equal stored text of the same role; the entry stored first answers.
+def near_texts(requests: DataFrame, alive: DataFrame, ratio: float, block: int) -> DataFrame:
+    """(user_role, normalised_query, key): the stored keys nearly equal to each asked text of a role.
 
-    Entries are packed into blocks of bounded size per role, length and time. Each distinct
-    text of a role and time meets the blocks of its length and its neighbours once and keeps
-    the fitting entries of a block as one array, so no compared pair becomes a row. Its
-    requests then take the oldest entry that lives at their own time.
+    Stored texts are packed into blocks of bounded size per role and length; an asked text meets the blocks
+    of its length and the neighbouring ones, and only its matches become rows.
     """
-    if ratio < K.FUZZY_RATIO:
-        raise ValueError("the length steps hold for ratios from the default upwards")
-    groups = ["user_role", "step", "slice"]
+    groups = ["user_role", "step"]
     own_step = _length_step(F.col("normalised_query"))
-    e = _in_slices(alive, NEAR_SLICE).withColumn("step", own_step)
-    sizes = e.groupBy(*groups).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    part = F.pmod(F.xxhash64("entry_id"), F.col("blocks")).cast("int")
-    packed = e.join(sizes, groups).withColumn("part", part).groupBy(*groups, "part").agg(
-        F.array_sort(F.collect_list(
-            F.struct("born", "key", "dies", "entry_id", "decision", F.col("normalised_query").alias("text"))
-        )).alias("entries")
-    )
-    asked = _timed(requests, NEAR_SLICE).select("query_id", "at", "normalised_query", "user_role", "slice")
+    stored = alive.select("user_role", "key", F.col("normalised_query").alias("text")).distinct().withColumn(
+        "step", _length_step(F.col("text")))
+    sizes = stored.groupBy(*groups).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    packed = stored.join(sizes, groups).withColumn(
+        "part", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).groupBy(*groups, "part").agg(
+        F.collect_list(F.struct("key", "text")).alias("texts"))
     text = F.col("normalised_query")
-    fitting = F.filter("entries", lambda e: _near_enough(text, e["text"], ratio))
-    similar = (
-        asked.select("user_role", "slice", "normalised_query").distinct()
+    return (
+        requests.select("user_role", "normalised_query").distinct()
         .withColumn("step", F.explode(F.array(own_step - 1, own_step, own_step + 1)))
         .join(sizes, groups)
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .join(packed, [*groups, "part"])
-        .select("user_role", "slice", "normalised_query", once(fitting).alias("entries"))
-        .where(F.size("entries") > 0)
+        .select("user_role", "normalised_query", F.explode(
+            F.filter("texts", lambda t: _near_enough(text, t["text"], ratio))).alias("t"))
+        .select("user_role", "normalised_query", "t.key")
     )
-    at = F.col("at")
-    alive_then = F.filter("entries", lambda e: (e["born"] < at) & (at <= e["dies"]))
-    best = asked.join(similar, ["user_role", "slice", "normalised_query"]).select(
-        "query_id", once(F.get(alive_then, F.lit(0))).alias("e")
-    ).where("e IS NOT NULL")
-    oldest = best.groupBy("query_id").agg(F.min(F.struct("e.born", "e.key", "e.entry_id", "e.decision")).alias("e"))
+
+
+def fuzzy_hits(
+    requests: DataFrame, alive: DataFrame, ratio: float = K.FUZZY_RATIO, block: int = TEXTS_PER_BLOCK
+) -> DataFrame:
+    """Requests with a nearly equal stored text of the same role; the entry stored first answers."""
+    if ratio < K.FUZZY_RATIO:
+        raise ValueError("the length steps hold for ratios from the default upwards")
+    asked = _asked(requests, "user_role", "normalised_query").join(
+        near_texts(requests, alive, ratio, block), ["user_role", "normalised_query"])
+    found = living(asked.select("query_id", "at", "key"), alive)
+    oldest = found.groupBy("query_id").agg(F.min(F.struct("e.born", "e.key", "e.entry_id", "e.decision")).alias("e"))
     return oldest.select("query_id", "e.entry_id", "e.decision")
 
 
 # --- similar vectors ---------------------------------------------------------------------
 
 
-def semantic_hits(
-    requests: DataFrame, alive: DataFrame, floor: float = K.SEMANTIC_COSINE, block: int = VECTORS_PER_BLOCK
-) -> DataFrame:
-    """Requests with a stored vector of the same role at cosine ``floor`` or more; the most alike answers.
+def _vector_id(embedding: Column) -> Column:
+    return F.md5(F.concat_ws(",", F.transform(embedding, lambda x: x.cast("string"))))
+
 
-    Requests and entries of one role and time are compared block by block. A busy role or
-    hour is cut into more blocks; a block pair returns one entry per request.
+def similar_vectors(asked: DataFrame, stored: DataFrame, floor: float, block: int) -> DataFrame:
+    """(user_role, r_vector, e_vector, score) of the vectors of a role at cosine ``floor`` or more.
+
+    ``asked`` and ``stored`` hold each vector of a role once (user_role, vector, embedding). Both are cut
+    into blocks of bounded size; a block pair returns its pairs above the floor.
     """
-    groups = ["user_role", "slice"]
-    has_vector = F.col("embedding").isNotNull()
-    r = _timed(requests.where(has_vector), VECTOR_SLICE).select("query_id", "at", "embedding", *groups)
-    e = _in_slices(alive.where(has_vector), VECTOR_SLICE).select(
-        "entry_id", "key", "decision", "born", "dies", "embedding", *groups
-    )
-    count = lambda df, name: df.groupBy(*groups).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    sizes = count(r, "r_parts").join(count(e, "e_parts"), groups)
-    own = lambda col, parts: F.pmod(F.xxhash64(col), F.col(parts)).cast("int")
+    count = lambda df, name: df.groupBy("user_role").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = count(asked, "r_parts").join(count(stored, "e_parts"), "user_role")
+    own = lambda parts: F.pmod(F.xxhash64("vector"), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    keys = [*groups, "r_part", "e_part"]
-    left = r.join(sizes, groups).withColumn("r_part", own("query_id", "r_parts")).withColumn("e_part", every("e_parts"))
-    right = e.join(sizes, groups).withColumn("e_part", own("entry_id", "e_parts")).withColumn("r_part", every("r_parts"))
+    keys = ["user_role", "r_part", "e_part"]
+    left = asked.join(sizes, "user_role").withColumn("r_part", own("r_parts")).withColumn("e_part", every("e_parts"))
+    right = stored.join(sizes, "user_role").withColumn("e_part", own("e_parts")).withColumn("r_part", every("r_parts"))
     # Both sides come from the same counts: new names keep their columns apart.
     right = right.toDF(*right.columns)
 
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
-            return _HITS.empty_table()
-        right = right.sort_by([("key", "ascending"), ("entry_id", "ascending")])
+            return pa.table([[], [], [], []], schema=pa.schema([("user_role", pa.string()), *_PAIRS]))
         scores = np.round(score_matrix(matrix(left["embedding"]), matrix(right["embedding"]), "cosine"), 12)
-        at = left["at"].to_numpy()[:, None]
-        live = (right["born"].to_numpy()[None, :] < at) & (at <= right["dies"].to_numpy()[None, :])
-        scores = np.where(live, scores, -1.0)
-        top = scores.argmax(axis=1)
-        score = scores[np.arange(len(top)), top]
-        keep = np.flatnonzero(score >= floor)
-        picked = right.take(top[keep])
-        columns = [left["query_id"].take(keep), score[keep], *[picked[c] for c in ("key", "entry_id", "decision")]]
-        return pa.Table.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=_HITS)
-
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        best, "query_id long, score double, key string, entry_id long, decision string"
-    )
+        i, j = np.nonzero(scores >= floor)
+        return pa.table({"user_role": left["user_role"].take(i), "r_vector": left["vector"].take(i),
+                         "e_vector": right["vector"].take(j), "score": pa.array(scores[i, j])})
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+        compare, "user_role string, r_vector string, e_vector string, score double")
+
+
+def semantic_hits(
+    requests: DataFrame, alive: DataFrame, floor: float = K.SEMANTIC_COSINE, block: int = VECTORS_PER_BLOCK
+) -> DataFrame:
+    """Requests with a stored vector of the same role at cosine ``floor`` or more; the most alike answers."""
+    identified = lambda df: df.withColumn("vector", _vector_id(F.col("embedding")))
+    once_each = lambda df: df.dropDuplicates(["user_role", "vector"]).select("user_role", "vector", "embedding")
+    r = identified(requests.where("embedding IS NOT NULL"))
+    e = identified(alive.where("embedding IS NOT NULL"))
+    keys = e.select("user_role", "key", F.col("vector").alias("e_vector")).distinct()
+    matched = similar_vectors(once_each(r), once_each(e), floor, block).join(keys, ["user_role", "e_vector"])
+    asked = _asked(r, "user_role", F.col("vector").alias("r_vector")).join(matched, ["user_role", "r_vector"])
+    # An entry without vector replaces its key's entry as any other does, so all of them are looked up.
+    vector = F.when(F.col("embedding").isNotNull(), _vector_id(F.col("embedding"))).alias("vector")
+    found = living(asked.select("query_id", "at", "key", "e_vector", "score"), alive, vector).where("e.vector = e_vector")
     top = found.groupBy("query_id").agg(
-        F.min(F.struct((-F.col("score")).alias("neg"), "key", "entry_id", "decision", "score")).alias("e")
-    )
+        F.min(F.struct((-F.col("score")).alias("neg"), "e.key", "e.entry_id", "e.decision", "score")).alias("e"))
     return top.select("query_id", "e.entry_id", "e.decision", "e.score")
 
 

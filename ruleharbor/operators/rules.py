@@ -179,8 +179,8 @@ def structure_rules(rules: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def route_by_confidence(rules: DataFrame, floor: float = K.ROUTING_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
-    """(ready rules, rules that go to human review)."""
-    ready = F.col("confidence") >= floor
+    """(ready rules, rules that go to human review); a rule without confidence goes to review."""
+    ready = F.coalesce(F.col("confidence") >= floor, F.lit(False))
     return rules.where(ready), rules.where(~ready)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
 from datetime import datetime
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleharbor.functions.expr import once
-from ruleharbor.functions.pii import is_pii_name
+from ruleharbor.functions.pii import names_personal_data
 from ruleharbor.operators.predicates import PREPARED, RULE_SCHEMA, Rule, Setting, cell, condition, find_field
 from ruleharbor.sources.local import small_frame
 
@@ -69,7 +70,7 @@ def load_rules(rules: DataFrame) -> list[Rule]:
 
 
 def has_pii(df: DataFrame) -> bool:
-    return any(is_pii_name(name) for name in df.columns)
+    return names_personal_data(df.columns)
 
 
 def target_tables(rule: Rule, sources: Mapping[str, Source]) -> list[str]:
@@ -112,6 +113,14 @@ def _key_cells(source: Source) -> list[Column]:
     return [cell(find_field(source.df.schema, k)) for k in source.key]
 
 
+def _key_text(parts: list[Column]) -> Column:
+    """The key as text; parts of a composite key are joined by ``|``, which is escaped inside them."""
+    texts = [c.cast("string") for c in parts]
+    if len(texts) == 1:
+        return texts[0]
+    return F.concat_ws("|", *[F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for t in texts])
+
+
 def _keyed(source: Source) -> DataFrame:
     """Rows whose key is complete."""
     present = reduce(lambda a, b: a & b, [c.isNotNull() for c in _key_cells(source)])
@@ -153,7 +162,7 @@ def _hits(table: str, source: Source, pairs: list[Pair], payload: bool) -> DataF
     broken = F.array(*[F.when(p.violates, F.lit(p.rule.rule_id)) for p in pairs])
     kept = [
         F.lit(table).alias("table_name"),
-        F.concat_ws("|", *[c.cast("string") for c in _key_cells(source)]).alias("record_primary_key"),
+        _key_text(_key_cells(source)).alias("record_primary_key"),
     ]
     if payload:
         row = F.struct(*[cell(f) for f in source.df.schema.fields])
@@ -210,6 +219,9 @@ def scan(
     like_case_sensitive: bool = False,
 ) -> ScanResult:
     rules = list(rules)
+    repeated = sorted(k for k, n in Counter(r.rule_id for r in rules).items() if n > 1)
+    if repeated:
+        raise ValueError(f"rule ids must be unique, keep one rule each of: {', '.join(repeated)}")
     pairs = plan_pairs(rules, sources, Setting(as_of, like_case_sensitive))
     frame = rules_frame(spark, rules)
     found = as_violations(hits(sources, pairs, payload), frame, scan_id, as_of)

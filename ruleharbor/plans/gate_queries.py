@@ -286,7 +286,7 @@ def escalations(spark, sf_dir):
 def governed_query(spark, sf_dir):
     """Rows of an approved request, cut at the result cap; ``truncated`` is its flag."""
     orders = X.table(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey")
-    rows, truncated = gate.capped_result(orders)
+    rows, truncated = gate.capped_result(orders, K.RESULT_ROW_CAP)
     return rows.withColumn("truncated", F.lit(truncated))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -13,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -23,21 +26,27 @@ def build_session(app_name: str = "ruleharbor", **settings: str) -> SparkSession
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster or the session names, or None when there is none."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get(CHECKPOINT_KEY, None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster or the session names for data that outlives executors.
+
+    Without one a local session gets a new temporary folder, and a cluster is asked to name one.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get(CHECKPOINT_KEY, None)
+        if folder is None:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` to the shared folder and go on from the written rows.
 
-    Returns ``df`` unchanged when no folder is configured, so a lost executor can
-    always rebuild its partitions from either the folder or the full lineage.
+    A lost executor then costs no more than the step at work. Spark removes the files when the
+    frame is no longer used (``spark.cleaner.referenceTracking.cleanCheckpoints``).
     """
-    context = df.sparkSession.sparkContext
-    folder = checkpoint_dir(df.sparkSession)
-    if folder is None:
-        return df
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

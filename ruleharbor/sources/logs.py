@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ruleharbor.operators.predicates import RULE_SCHEMA
 
@@ -34,8 +35,18 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """A rule catalogue of JSON objects, one per line or in one list."""
-    return spark.read.schema(RULE_SCHEMA).option("multiLine", True).json(path)
+    """A rule catalogue: files of JSON objects, one per line, or files of one JSON list.
+
+    A file is read as lines unless its first character that is no white space opens a list.
+    """
+    lines = spark.read.text(path, wholetext=False).select("_metadata.file_path", F.col("value"))
+    lists = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"^\s*\["))
+    rule = f"struct<{RULE_SCHEMA}>"
+    of_lists = lists.select("_metadata.file_path", F.explode(F.from_json("value", f"array<{rule}>")).alias("rule"))
+    of_lines = lines.where(F.trim("value") != "").join(
+        lists.select("_metadata.file_path"), "file_path", "left_anti").select(
+        F.from_json("value", RULE_SCHEMA).alias("rule"))
+    return of_lines.unionByName(of_lists.select("rule")).select("rule.*")
 
 
 def new_rows_only(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:

@@ -5,20 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ruleharbor.operators.reuse import reuse_cascade, with_key
-
-
-def _write_batch(rows: DataFrame, batch_id: int, path: str) -> None:
-    (
-        rows.withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(path)
-    )
+from ruleharbor.streaming.batches import write_batch
 
 
 def reuse_stream(
@@ -31,7 +21,7 @@ def reuse_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(reuse_cascade(with_key(batch), entries()), batch_id, out_path)
+        write_batch(reuse_cascade(with_key(batch), entries()), batch_id, out_path, checkpoint)
 
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -42,6 +32,6 @@ def audit_stream(
     """Appends one audit row per decided request, exactly once per micro-batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(to_rows(batch), batch_id, out_path)
+        write_batch(to_rows(batch), batch_id, out_path, checkpoint)
 
     return decided.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

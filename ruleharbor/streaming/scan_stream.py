@@ -6,11 +6,11 @@ from collections.abc import Iterable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ruleharbor.operators.predicates import Rule, Setting
 from ruleharbor.operators.scan import Source, as_violations, hits, plan_pairs, rules_frame
+from ruleharbor.streaming.batches import write_batch
 
 
 def scan_stream(
@@ -25,7 +25,8 @@ def scan_stream(
 ) -> DataStreamWriter:
     """Writer for the violations of a streaming table, to be started by the caller.
 
-    A micro-batch overwrites its own ``batch_id`` folder, so a replayed batch adds nothing.
+    A micro-batch overwrites its own folder (stream and batch), so a replayed batch adds nothing and a
+    stream with another checkpoint adds to the same log.
     """
     rules = list(rules)
 
@@ -33,12 +34,6 @@ def scan_stream(
         source = {table: Source(batch, key)}
         pairs = plan_pairs(rules, source, Setting(as_of))
         found = as_violations(hits(source, pairs, payload=True), rules_frame(batch.sparkSession, rules), scan_id, as_of)
-        (
-            found.withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("scan_id", "table_name", "batch_id")
-            .parquet(log_path)
-        )
+        write_batch(found, batch_id, log_path, checkpoint, "scan_id", "table_name")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -103,8 +103,9 @@ def test_guidance(spark):
 
 def test_governed_queries(spark):
     spark.range(5).createOrReplaceTempView("five")
-    rows, cut = gate.run_governed(spark, " select * from five;", "APPROVE", cap=5)
-    assert rows.count() == 5 and cut
+    for cap, left_out in ((4, True), (5, False), (6, False), (None, False)):
+        rows, cut = gate.run_governed(spark, " select * from five;", "APPROVE", cap=cap)
+        assert rows.count() == min(5, cap or 5) and cut == left_out
     rows, cut = gate.run_governed(spark, "WITH x AS (SELECT 1) SELECT * FROM x", "APPROVE", cap=5)
     assert rows.count() == 1 and not cut
     assert gate.run_governed(spark, "UPDATE five SET id = 1", "APPROVE") is None

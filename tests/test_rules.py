@@ -87,3 +87,9 @@ def test_review_merge(spark):
     assert out == {"r0": "0", "r1": "y"}
     fixed = R.rule_corrections(low, decisions).collect()
     assert [(r["rule_id"], r["original"], r["corrected"]) for r in fixed] == [("r1", {"value": "1"}, {"value": "y"})]
+
+
+def test_rules_without_confidence_go_to_review(spark):
+    rules = spark.createDataFrame([("a", 0.9), ("b", 0.1), ("c", None)], "rule_id string, confidence double")
+    ready, review = R.route_by_confidence(rules)
+    assert [r.rule_id for r in ready.collect()] == ["a"] and {r.rule_id for r in review.collect()} == {"b", "c"}

@@ -140,3 +140,32 @@ def test_rule_catalogue_file(spark, tmp_path):
     rules = S.load_rules(logs.read_rules(spark, str(path)))
     src = items(spark)
     assert S.count_violations(src, S.plan_pairs(rules, src, Setting(AS_OF))).first()["violation_count"] == 14
+
+
+def test_rule_catalogues_by_line_and_as_list(spark, tmp_path):
+    one = '{"rule_id": "%s", "rule_text": "t", "target_column": "v", "operator": ">", "value": "1"}'
+    (tmp_path / "a.jsonl").write_text("\n".join(one % i for i in "abc") + "\n\n")
+    (tmp_path / "b.json").write_text(" [\n" + ",\n".join(one % i for i in "de") + "]\n")
+    read = lambda name: sorted(r.rule_id for r in S.load_rules(logs.read_rules(spark, str(tmp_path / name))))
+    assert read("a.jsonl") == ["a", "b", "c"] and read("b.json") == ["d", "e"] and read("") == ["a", "b", "c", "d", "e"]
+
+
+def test_repeated_rule_ids_are_refused(spark):
+    df = spark.createDataFrame([(1, 2)], "id int, v int")
+    twice = [Rule("r", "t", "v", ">", "1", data_type="number"), Rule("r", "t", "v", ">", "0", data_type="number")]
+    with pytest.raises(ValueError, match="unique"):
+        S.scan(spark, {"t": S.Source(df, ("id",))}, twice, datetime(2024, 1, 1), "s")
+
+
+def test_key_parts_cannot_be_confused(spark):
+    df = spark.createDataFrame([("a|b", "c", 9), ("a", "b|c", 9)], "k string, l string, v int")
+    found = S.scan(spark, {"t": S.Source(df, ("k", "l"))}, [Rule("r", "t", "v", ">", "1", data_type="number")],
+                   datetime(2024, 1, 1), "s").violations.collect()
+    assert {r.record_primary_key for r in found} == {r"a\|b|c", r"a|b\|c"} and len({r.violation_id for r in found}) == 2
+
+
+def test_stored_rows_append_and_are_found(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for k in "ab":
+        logs.append_rows(spark.createDataFrame([(k, 1)], "id string, n int"), path)
+    assert logs.find_by_id(logs.read_log(spark, path), "id", "b").collect()[0].n == 1

@@ -55,3 +55,14 @@ def test_audit_stream_writes_each_request_once(spark, tmp_path):
     for _ in range(2):
         audit_stream(stream, lambda b: b.select("id"), out, state).trigger(availableNow=True).start().awaitTermination(120)
     assert spark.read.parquet(out).count() == 10
+
+
+def test_streams_with_other_checkpoints_add_to_one_log(spark, tmp_path):
+    log = str(tmp_path / "log")
+    for k in range(2):
+        inbox = str(tmp_path / f"in{k}")
+        rows(spark, 100 * k + 51, 100 * k + 61).write.parquet(inbox)
+        stream = spark.readStream.schema(rows(spark, 0, 1).schema).parquet(inbox)
+        query = scan_stream(stream, "t", ("id",), RULES[:1], AS_OF, "s", log, str(tmp_path / f"state{k}"))
+        query.trigger(availableNow=True).start().awaitTermination(120)
+    assert spark.read.parquet(log).count() == 20
