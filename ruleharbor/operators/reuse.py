@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from ruleharbor.operators.vectors import matrix, score_matrix
 from ruleharbor.session import cut_lineage
 
 SLICE_SECONDS = 60
-TEXTS_PER_BLOCK = 256
+TEXTS_PER_BLOCK = 64
 VECTORS_PER_BLOCK = 2048
 # Neighbouring lengths differ by one step at most when two texts are alike enough; the
 # step is a little wider than the ratio asks for, so rounding cannot part them.
@@ -71,11 +72,12 @@ def lifetimes(entries: DataFrame) -> DataFrame:
     ).where("dies > born")
 
 
-def living(asked: DataFrame, alive: DataFrame, *more: Column) -> DataFrame:
+def living(asked: DataFrame, slots: DataFrame, alive: DataFrame, *more: Column) -> DataFrame:
     """``asked`` (key, at and more) with ``e``, the entry of the key that lives at that time; rows without one go.
 
     Requests and entries of a key are laid out by time; a request takes the last entry before it, in its
-    slice or carried over from the last earlier slice that has one. Each row is sorted once.
+    slice or carried over from the last earlier slice that has one. Each row is sorted once. ``slots`` are
+    the (key, slice) of ``asked``, repeated or not, got from fewer rows than ``asked`` has where that can be.
     """
     entry = F.struct("born", "dies", "key", "entry_id", "decision", *more)
     kept = [c for c in asked.columns if c not in ("key", "at")]
@@ -83,7 +85,9 @@ def living(asked: DataFrame, alive: DataFrame, *more: Column) -> DataFrame:
     events = rows.unionByName(alive.select(
         "key", F.col("born").alias("time"), F.lit(1).alias("kind"), entry.alias("e")), allowMissingColumns=True)
     events = events.withColumn("slice", _slice(F.col("time"), SLICE_SECONDS))
-    ends = events.groupBy("key", "slice").agg(F.max("e").alias("end"))  # the first field is the time of birth
+    births = alive.select("key", _slice(F.col("born"), SLICE_SECONDS).alias("slice"), entry.alias("e"))
+    ends = births.unionByName(slots.select("key", "slice"), allowMissingColumns=True).groupBy("key", "slice").agg(
+        F.max("e").alias("end"))  # the first field is the time of birth
     earlier = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("key", "slice", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
     # At one time, requests come before entries: an entry answers after its birth.
@@ -93,13 +97,18 @@ def living(asked: DataFrame, alive: DataFrame, *more: Column) -> DataFrame:
     return found.where("kind = 0 AND time <= last.dies").select("key", F.col("time").alias("at"), "r.*", F.col("last").alias("e"))
 
 
-def _asked(requests: DataFrame, *columns: str) -> DataFrame:
+def _asked(requests: DataFrame, *columns: str | Column) -> DataFrame:
     return requests.select("query_id", _micros(F.col("ts")).alias("at"), *columns)
 
 
+def _slots(requests: DataFrame, *columns: str | Column) -> DataFrame:
+    """The distinct slices in which requests with the same ``columns`` come."""
+    return requests.select(_slice(_micros(F.col("ts")), SLICE_SECONDS).alias("slice"), *columns).distinct()
+
+
 def exact_hits(requests: DataFrame, alive: DataFrame) -> DataFrame:
     """Requests whose normalised text and role are stored; at most one entry each."""
-    return living(_asked(requests, "key"), alive).select("query_id", "e.entry_id", "e.decision")
+    return living(_asked(requests, "key"), _slots(requests, "key"), alive).select("query_id", "e.entry_id", "e.decision")
 
 
 # --- nearly equal texts ------------------------------------------------------------------
@@ -132,11 +141,13 @@ def near_texts(requests: DataFrame, alive: DataFrame, ratio: float, block: int)
         "part", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).groupBy(*groups, "part").agg(
         F.collect_list(F.struct("key", "text")).alias("texts"))
     text = F.col("normalised_query")
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         requests.select("user_role", "normalised_query").distinct()
         .withColumn("step", F.explode(F.array(own_step - 1, own_step, own_step + 1)))
         .join(sizes, groups)
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .repartition(tasks, *groups, "part")  # few bytes, much work: not to be put together
         .join(packed, [*groups, "part"])
         .select("user_role", "normalised_query", F.explode(
             F.filter("texts", lambda t: _near_enough(text, t["text"], ratio))).alias("t"))
@@ -150,9 +161,10 @@ def fuzzy_hits(
     """Requests with a nearly equal stored text of the same role; the entry stored first answers."""
     if ratio < K.FUZZY_RATIO:
         raise ValueError("the length steps hold for ratios from the default upwards")
-    asked = _asked(requests, "user_role", "normalised_query").join(
-        near_texts(requests, alive, ratio, block), ["user_role", "normalised_query"])
-    found = living(asked.select("query_id", "at", "key"), alive)
+    same = ["user_role", "normalised_query"]
+    near = near_texts(requests, alive, ratio, block)
+    found = living(_asked(requests, *same).join(near, same).select("query_id", "at", "key"),
+                   _slots(requests, *same).join(near, same), alive)
     oldest = found.groupBy("query_id").agg(F.min(F.struct("e.born", "e.key", "e.entry_id", "e.decision")).alias("e"))
     return oldest.select("query_id", "e.entry_id", "e.decision")
 
@@ -202,10 +214,12 @@ def semantic_hits(
     e = identified(alive.where("embedding IS NOT NULL"))
     keys = e.select("user_role", "key", F.col("vector").alias("e_vector")).distinct()
     matched = similar_vectors(once_each(r), once_each(e), floor, block).join(keys, ["user_role", "e_vector"])
-    asked = _asked(r, "user_role", F.col("vector").alias("r_vector")).join(matched, ["user_role", "r_vector"])
+    same = ["user_role", F.col("vector").alias("r_vector")]
+    asked = _asked(r, *same).join(matched, ["user_role", "r_vector"])
+    slots = _slots(r, *same).join(matched, ["user_role", "r_vector"])
     # An entry without vector replaces its key's entry as any other does, so all of them are looked up.
     vector = F.when(F.col("embedding").isNotNull(), _vector_id(F.col("embedding"))).alias("vector")
-    found = living(asked.select("query_id", "at", "key", "e_vector", "score"), alive, vector).where("e.vector = e_vector")
+    found = living(asked.select("query_id", "at", "key", "e_vector", "score"), slots, alive, vector).where("e.vector = e_vector")
     top = found.groupBy("query_id").agg(
         F.min(F.struct((-F.col("score")).alias("neg"), "e.key", "e.entry_id", "e.decision", "score")).alias("e"))
     return top.select("query_id", "e.entry_id", "e.decision", "e.score")
@@ -220,26 +234,29 @@ def reuse_cascade(
     layers: Iterable[str] = ("exact", "fuzzy", "semantic"),
     semantic_floor: float = K.SEMANTIC_COSINE,
 ) -> DataFrame:
-    """(query_id, layer, entry_id, decision) for every request; layer is ``miss`` when nothing answers."""
+    """(query_id, layer, entry_id, decision) for every request; layer is ``miss`` when nothing answers.
+
+    A layer looks only at the requests no earlier layer answered, so the answers of all but the last layer are
+    written as they are found: without these cut points each later layer works them out again (measured on
+    100,000 requests: 120 s instead of 30).
+    """
     alive = cut_lineage(lifetimes(entries))
     finders = {
         "exact": lambda r: exact_hits(r, alive),
         "fuzzy": lambda r: fuzzy_hits(r, alive),
         "semantic": lambda r: semantic_hits(r, alive, semantic_floor).select(*HIT_COLUMNS),
     }
+    layers = list(layers)
     rest, found = requests, []
     for layer in layers:
-        hits = cut_lineage(finders[layer](rest))
-        found.append(hits.withColumn("layer", F.lit(layer)))
-        rest = rest.join(hits.select("query_id"), "query_id", "left_anti")
-    missed = rest.select(
-        "query_id", F.lit(None).cast("long").alias("entry_id"), F.lit(None).cast("string").alias("decision"),
-        F.lit("miss").alias("layer"),
-    )
-    out = missed
-    for hits in found:
-        out = out.unionByName(hits)
-    return out
+        hits = finders[layer](rest).withColumn("layer", F.lit(layer))
+        if layer != layers[-1]:
+            hits = cut_lineage(hits)
+            rest = rest.join(hits.select("query_id"), "query_id", "left_anti")
+        found.append(hits)
+    answers = reduce(DataFrame.unionByName, found)
+    return requests.select("query_id").join(answers, "query_id", "left").select(
+        "query_id", "entry_id", "decision", F.coalesce("layer", F.lit("miss")).alias("layer"))
 
 
 def reuse_stats(cascade: DataFrame) -> DataFrame:
