@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
+from weakref import WeakSet
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_SHIPPED: WeakSet = WeakSet()  # contexts whose workers got the package
 
 # Settings that suit both a laptop run and a cluster. Parallelism, memory and the
 # broadcast limit are left to the cluster; AQE sizes the shuffles at run time.
@@ -50,3 +55,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package where they would not find it by themselves, once per context.
+
+    An installed package, one on ``PYTHONPATH`` and one in the working folder of a local session are found.
+    """
+    root = Path(__file__).resolve().parents[1]
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    context = spark.sparkContext
+    if root.name in ("site-packages", "dist-packages") or str(root) in known or context in _SHIPPED:
+        return
+    packed = Path(tempfile.mkdtemp(prefix="package-")) / "ruleharbor.zip"
+    with zipfile.ZipFile(packed, "w") as archive:
+        for module in sorted((root / "ruleharbor").rglob("*.py")):
+            archive.write(module, module.relative_to(root))
+    context.addPyFile(str(packed))
+    _SHIPPED.add(context)
