@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,30 +10,12 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-CUT_KEY = "spark.checkpoint.dir"
+from ruleharbor.session import cut_lineage
 
+BROADCAST_ROWS = 100_000
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names for data that outlives executors.
 
-    Without one a local session gets a new temporary folder, and a cluster is asked to name one.
-    """
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get(CUT_KEY, None)
-    if folder is None:
-        if context.master != "local" and not context.master.startswith("local["):
-            raise RuntimeError(f"{CUT_KEY} must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and goes on from the written rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+cut = cut_lineage
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
