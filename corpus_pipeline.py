@@ -12,7 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ruleharbor.llm import decontaminate, exact_dedup, mixing, quality, simhash
-from ruleharbor.llm.common import shared_folder, table
+from ruleharbor.llm.common import table
+from ruleharbor.session import shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
