@@ -1,15 +1,14 @@
 """Exact vector search.
 
 One vector against a table is a plain projection and ``orderBy.limit``. Many vectors against
-a table are compared in blocks: when one side is small (its size is checked) each task holds
-that side whole and streams the other; otherwise both sides are cut into blocks and every
-pair of blocks is one group. Each task returns its best ``k`` per query, never all pairs.
+a table are compared in blocks of bounded size: every pair of a query block and an item block is
+one group that returns its best ``k`` per query, never all pairs. The number of blocks comes from
+counts inside the plan, so one plan serves all sizes and nothing runs before an action.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +19,7 @@ from ruleharbor.functions import fixed_values as K
 from ruleharbor.functions.expr import let
 from ruleharbor.functions.ordering import top_rows
 
-# A side of at most this many rows is handed to every task; also the size of a block.
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 2048
 HIT_SCHEMA = "query_id long, item_id long, score double, rank int"
 
 
@@ -70,60 +68,63 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def score_matrix(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndarray:
-    """Pairwise scores, larger is better (distances are negated)."""
+    """Pairwise scores, larger is better (distances are negated and squared), up to rounding."""
+    products = queries @ items.T
     if metric == "l2":
-        gaps = [np.sqrt(((items - q) ** 2).sum(axis=1)) for q in queries]
-        return -np.array(gaps).reshape(len(queries), len(items))
+        squares = [np.einsum("ij,ij->i", m, m) for m in (queries, items)]
+        return 2 * products - squares[0][:, None] - squares[1][None, :]
     norms = np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(items, axis=1))
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(norms > 0, (queries @ items.T) / norms, 0.0)
+        return np.where(norms > 0, products / norms, 0.0)
+
+
+def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of paired rows; the same for a pair wherever it stands."""
+    if metric == "l2":
+        return -np.sqrt(((a - b) ** 2).sum(axis=1))
+    norms = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(norms > 0, (a * b).sum(axis=1) / norms, 0.0)
 
 
 def _best(query_ids: np.ndarray, queries: np.ndarray, item_ids: np.ndarray, items: np.ndarray,
           k: int, metric: str) -> pa.Table:
-    """The best ``k`` items per query within one block, ranked; equal scores go to the smaller id."""
-    columns: list[list[np.ndarray]] = [[], [], [], []]
+    """The best ``k`` items per query within one block, ranked; equal scores go to the smaller id.
+
+    The matrix product finds all pairs that may be among the best, up to its rounding; these are scored exactly.
+    """
+    found: list[tuple[np.ndarray, ...]] = []
+    order = np.argsort(item_ids, kind="stable")
+    item_ids, items = item_ids[order], items[order]
     for at in range(0, len(query_ids), 512):
-        scores = score_matrix(queries[at:at + 512], items, metric)
-        k_here = min(k, scores.shape[1])
-        floors = np.partition(scores, -k_here, axis=1)[:, -k_here]
-        for row, floor, qid in zip(scores, floors, query_ids[at:at + 512], strict=True):
-            near = np.flatnonzero(row >= floor)
-            near = near[np.lexsort((item_ids[near], -row[near]))][:k_here]
-            columns[0].append(np.full(len(near), qid))
-            columns[1].append(item_ids[near])
-            columns[2].append(row[near] if metric == "cosine" else -row[near])
-            columns[3].append(np.arange(1, len(near) + 1))
+        some = queries[at:at + 512]
+        rough = score_matrix(some, items, metric)
+        kept = min(k, rough.shape[1])
+        scale = np.abs(rough).max(axis=1, keepdims=True) + (some * some).sum(axis=1, keepdims=True)
+        row, col = np.nonzero(rough >= np.partition(rough, -kept, axis=1)[:, [-kept]] - 1e-11 * (1 + scale))
+        score = _exact(some[row], items[col], metric)
+        ranked = np.lexsort((col, -score, row))
+        row, col, score = row[ranked], col[ranked], score[ranked]
+        rank = np.arange(len(row)) - np.searchsorted(row, row, side="left") + 1
+        top = rank <= kept
+        found.append((query_ids[at:at + 512][row[top]], item_ids[col[top]],
+                      score[top] if metric == "cosine" else -score[top], rank[top]))
     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
-    arrays = [
-        pa.array(np.concatenate(c) if c else np.array([]), type=t) for c, t in zip(columns, kinds, strict=True)
-    ]
-    return pa.table(arrays, names=["query_id", "item_id", "score", "rank"])
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.array([])] * 4
+    return pa.table([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)],
+                    names=["query_id", "item_id", "score", "rank"])
 
 
-def _against_small(large: DataFrame, small: pa.Table, k: int, metric: str, small_is_items: bool) -> DataFrame:
-    """Each task holds ``small`` and streams its part of ``large``."""
-    ids = small.column("id").to_numpy()
-    vectors = matrix(small.column("embedding"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            other_ids = batch.column("id").to_numpy(zero_copy_only=False)
-            other = matrix(batch.column("embedding"))
-            args = (other_ids, other, ids, vectors) if small_is_items else (ids, vectors, other_ids, other)
-            yield from _best(*args, k, metric).to_batches()
-
-    return large.mapInArrow(run, HIT_SCHEMA)
-
-
-def _block_pairs(queries: DataFrame, items: DataFrame, k: int, metric: str, n_q: int, n_i: int) -> DataFrame:
+def _block_pairs(queries: DataFrame, items: DataFrame, k: int, metric: str, block_rows: int) -> DataFrame:
     """Every pair of a query block and an item block is one group; blocks have bounded size."""
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.withColumn("qb", block(n_q)).withColumn("ib", span(n_i))
-    i = items.withColumn("ib", block(n_i)).withColumn("qb", span(n_q))
+    one = F.lit(0).alias("one")
+    parts = lambda df, name: df.groupBy(one).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    sizes = F.broadcast(parts(queries, "n_q").join(parts(items, "n_i"), "one"))  # a single row
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = queries.withColumn("one", F.lit(0)).join(sizes, "one").withColumn("qb", own("n_q")).withColumn("ib", every("n_i"))
+    i = items.withColumn("one", F.lit(0)).join(sizes, "one").withColumn("ib", own("n_i")).withColumn("qb", every("n_q"))
+    columns = ["qb", "ib", "id", "embedding"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
@@ -133,7 +134,9 @@ def _block_pairs(queries: DataFrame, items: DataFrame, k: int, metric: str, n_q:
             right.column("id").to_numpy(), matrix(right.column("embedding")), k, metric,
         )
 
-    return q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInArrow(run, HIT_SCHEMA)
+    # Both sides come from the same counts: new names keep their columns apart.
+    right = i.select(*columns).toDF(*columns)
+    return q.select(*columns).groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(run, HIT_SCHEMA)
 
 
 def top_k(
@@ -152,26 +155,12 @@ def top_k(
     present = F.col("embedding").isNotNull()
     queries = queries.where(present).select(F.col("id").cast("long"), "embedding")
     items = items.where(present).select(F.col("id").cast("long"), "embedding")
-    if (held := _held(items, block_rows)) is not None:
-        # Every task sees all items, so its ranks are final and nothing is shuffled.
-        ranked = _against_small(queries, held, k, metric, small_is_items=True)
-    else:
-        if (held := _held(queries, block_rows)) is not None:
-            best = _against_small(items, held, k, metric, small_is_items=False)
-        else:
-            n_q, n_i = (math.ceil(df.count() / block_rows) for df in (queries, items))
-            best = _block_pairs(queries, items, k, metric, n_q, n_i)
-        order = F.col("score").desc() if metric == "cosine" else F.col("score")
-        ranked = top_rows(best.drop("rank"), ["query_id"], [order, F.col("item_id")], k)
+    best = _block_pairs(queries, items, k, metric, block_rows)
+    order = F.col("score").desc() if metric == "cosine" else F.col("score")
+    ranked = top_rows(best.drop("rank"), ["query_id"], [order, F.col("item_id")], k)
     return ranked if min_score is None else ranked.where(F.col("score") >= min_score)
 
 
-def _held(df: DataFrame, limit: int) -> pa.Table | None:
-    """The rows of ``df`` when there are at most ``limit``, else None."""
-    rows = df.limit(limit + 1).toArrow()
-    return rows if rows.num_rows <= limit else None
-
-
 # --- categories ------------------------------------------------------------------------
 
 
