@@ -117,13 +117,12 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, item_ids: np.ndarray, item
 
 def _block_pairs(queries: DataFrame, items: DataFrame, k: int, metric: str, block_rows: int) -> DataFrame:
     """Every pair of a query block and an item block is one group; blocks have bounded size."""
-    one = F.lit(0).alias("one")
-    parts = lambda df, name: df.groupBy(one).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
-    sizes = F.broadcast(parts(queries, "n_q").join(parts(items, "n_i"), "one"))  # a single row
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = queries.withColumn("one", F.lit(0)).join(sizes, "one").withColumn("qb", own("n_q")).withColumn("ib", every("n_i"))
-    i = items.withColumn("one", F.lit(0)).join(sizes, "one").withColumn("ib", own("n_i")).withColumn("qb", every("n_q"))
+    parts = lambda df: df.agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1)).cast("int")).scalar()
+    n_q, n_i = parts(queries), parts(items)
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    q = queries.withColumn("qb", own(n_q)).withColumn("ib", every(n_i))
+    i = items.withColumn("ib", own(n_i)).withColumn("qb", every(n_q))
     columns = ["qb", "ib", "id", "embedding"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -134,7 +133,7 @@ def _block_pairs(queries: DataFrame, items: DataFrame, k: int, metric: str, bloc
             right.column("id").to_numpy(), matrix(right.column("embedding")), k, metric,
         )
 
-    # Both sides come from the same counts: new names keep their columns apart.
+    # Both sides may come from one table: new names keep their columns apart.
     right = i.select(*columns).toDF(*columns)
     return q.select(*columns).groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(run, HIT_SCHEMA)
 
