@@ -92,12 +92,14 @@ def chunk_documents(
     Everything is worked out inside the document's own row: no shuffle.
     """
     spans = documents.withColumn("_spans", chunk_spans(F.col(text_col), size, overlap, overlapping))
+    if context:
+        # Worked out inside the array, so that no chunk row carries the chunks of its whole document.
+        spans = spans.withColumn("_spans", F.transform("_spans", lambda s, i: F.struct(
+            s["content"].alias("content"), s["start"].alias("start"), s["end"].alias("end"),
+            neighbour_text(F.col("_spans"), i, context).alias("context"))))
     pages = [page_col] if page_col else []
     kept = [id_col, *pages]
-    if context is None:
-        rows = spans.select(*kept, F.posexplode("_spans").alias("chunk_index", "c"))
-    else:
-        rows = spans.select(*kept, "_spans", F.posexplode("_spans").alias("chunk_index", "c"))
+    rows = spans.select(*kept, F.posexplode("_spans").alias("chunk_index", "c"))
     content = F.col("c.content")
     name = F.concat_ws("_", F.col(id_col).cast("string"), *[F.col(p).cast("string") for p in pages])
     out = rows.select(
@@ -109,7 +111,7 @@ def chunk_documents(
         chunk_id(name, F.col("chunk_index"), content).alias("chunk_id"),
         section_header(content).alias("section_header"),
         has_obligation(content).alias("has_obligation"),
-        *([neighbour_text(F.col("_spans"), F.col("chunk_index"), context).alias("context")] if context else []),
+        *([F.col("c.context").alias("context")] if context else []),
     )
     return out
 
