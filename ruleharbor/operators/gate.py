@@ -111,14 +111,16 @@ def add_intent(requests: DataFrame, clear_replies: DataFrame | None = None) -> D
     """Intent status, confidence, method and clarification.
 
     A request with exactly one missing dimension is vague unless ``clear_replies``
-    (query_id, is_clear, additional_missing) says that it is clear.
+    (query_id, is_clear, additional_missing) says that it is clear. Of several replies all must say so.
     """
     if clear_replies is None:
         told = requests.withColumns({
             "is_clear": F.lit(False), "additional_missing": F.array().cast("array<string>")
         })
     else:
-        told = requests.join(clear_replies.select("query_id", "is_clear", "additional_missing"), "query_id", "left")
+        replies = clear_replies.groupBy("query_id").agg(
+            F.bool_and("is_clear").alias("is_clear"), F.max("additional_missing").alias("additional_missing"))
+        told = requests.join(replies, "query_id", "left")
     multi = F.col("has_multi_jurisdiction") if "has_multi_jurisdiction" in requests.columns else F.lit(False)
     told = told.withColumn(
         "missing", missing_dimensions(F.col("query"), F.col("stated_purpose"), F.col("has_pii"), multi)
@@ -200,9 +202,11 @@ def decide(requests: DataFrame, human: DataFrame) -> DataFrame:
 
     A reused decision comes first, then a vague intent, then (uncertain policies or failed
     checks) the human decision or ESCALATED, else the verdict. ``human``: query_id,
-    human_decision, human_reasoning.
+    human_decision, human_reasoning; of several answers to a request, BLOCK wins.
     """
-    joined = requests.join(human.select("query_id", "human_decision", "human_reasoning"), "query_id", "left")
+    answered = human.groupBy("query_id").agg(F.max(F.struct("human_decision", "human_reasoning")).alias("h")).select(
+        "query_id", "h.*")
+    joined = requests.join(answered, "query_id", "left")
     reused = F.col("cached_decision").isNotNull()
     vague = F.col("intent") == "VAGUE"
     doubtful = (F.col("policy_status") == "UNCERTAIN") | ~F.col("checks_passed")

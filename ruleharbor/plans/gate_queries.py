@@ -9,7 +9,7 @@ from ruleharbor.functions import sqltext as S
 from ruleharbor.functions.pii import is_pii, pii_categories
 from ruleharbor.functions.replies import parse_verdict
 from ruleharbor.functions.text import concept_tags
-from ruleharbor.operators import audit, gate, reuse, vectors
+from ruleharbor.operators import audit, gate, reuse, screening, vectors
 from ruleharbor.plans import fixtures as X
 
 # --- inputs ---------------------------------------------------------------------------------
@@ -73,43 +73,37 @@ def context(spark, sf_dir):
     return gate.add_context(requests(spark, sf_dir), X.catalog(spark, sf_dir))
 
 
-def intent(spark, sf_dir):
+def inputs(spark, sf_dir):
+    """The tables of the gate. Only policies of one framework are searched."""
     hints = X.derived(spark, sf_dir, _HINTS_SQL).select(
         "query_id", "is_clear", F.array_compact(F.array("extra")).alias("additional_missing"))
-    return gate.add_intent(context(spark, sf_dir), hints)
+    return screening.GateInputs(
+        catalog=X.catalog(spark, sf_dir),
+        policies=policies(spark, sf_dir).where("framework = 'AML'").withColumnRenamed("vec_id", "id"),
+        embeddings=X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"),
+        replies=X.derived(spark, sf_dir, X.REPLIES_SQL).withColumnRenamed("reply_id", "query_id"),
+        clear_replies=hints,
+        human=X.derived(spark, sf_dir, _HUMAN_SQL),
+        entries=entries(spark, sf_dir),
+    )
+
+
+def intent(spark, sf_dir):
+    return screening.with_intent(requests(spark, sf_dir), inputs(spark, sf_dir))
 
 
 def with_policies(spark, sf_dir, asked):
-    """Requests with their best policies. Vectors are compared once each, however many requests share one."""
-    rules = policies(spark, sf_dir)
-    vecs = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    pool = rules.where("framework = 'AML'").select(F.col("vec_id").alias("id"), "embedding")
-    about = rules.select(F.col("vec_id").alias("item_id"), "target_column", "rule_text", "concepts")
-    near = vectors.hit_lists(vectors.top_k(vecs, pool, K.RETRIEVE_K), about).withColumnRenamed("query_id", "vec_ref")
-    ranked = vectors.rerank(
-        F.col("hits"), F.col("queried_columns"), F.size("pii_categories") > 0, F.col("stated_purpose"))
-    return asked.join(near, "vec_ref", "left").withColumn("policies", ranked).drop("hits")
+    return screening.with_policies(asked, inputs(spark, sf_dir))
 
 
 def screened(spark, sf_dir):
     """Requests with intent, policies, verdict and checks."""
-    verdicts = X.derived(spark, sf_dir, X.REPLIES_SQL).select(
-        F.col("reply_id").alias("query_id"), parse_verdict(F.col("text")).alias("verdict"))
-    rated = with_policies(spark, sf_dir, intent(spark, sf_dir)).withColumns({
-        "policy_confidence": F.get("policies", F.lit(0))["score"],
-        "policy_ids": F.transform("policies", lambda p: F.concat(F.lit("p"), p["item_id"])),
-    }).join(verdicts, "query_id", "left")
-    return gate.audit_checks(rated.withColumn("policy_status", gate.policy_status(F.col("policy_confidence"))))
+    given = inputs(spark, sf_dir)
+    return screening.with_checks(screening.with_policies(intent(spark, sf_dir), given), given)
 
 
 def decided(spark, sf_dir):
-    cached = reuse.reuse_cascade(requests(spark, sf_dir), entries(spark, sf_dir)).select(
-        "query_id", F.nullif("layer", F.lit("miss")).alias("cache_layer"), F.col("decision").alias("cached_decision"))
-    base = screened(spark, sf_dir).join(cached, "query_id").withColumns({
-        "cached_reason": F.when(F.col("cached_decision") == "BLOCK", "blocked before"),
-        "cached_guidance": F.lit(None).cast("string"),
-    })
-    return gate.decide(base, X.derived(spark, sf_dir, _HUMAN_SQL))
+    return screening.gate_requests(query_log(spark, sf_dir), inputs(spark, sf_dir))
 
 
 def audit_log_rows(spark, sf_dir):

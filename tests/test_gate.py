@@ -110,3 +110,15 @@ def test_governed_queries(spark):
     assert rows.count() == 1 and not cut
     assert gate.run_governed(spark, "UPDATE five SET id = 1", "APPROVE") is None
     assert gate.run_governed(spark, "select * from five", "BLOCK") is None
+
+
+def test_repeated_answers_do_not_repeat_a_request(spark):
+    human = spark.createDataFrame([(1, "APPROVE", "fine"), (1, "BLOCK", "no"), (2, "APPROVE", "ok")],
+                                  "query_id long, human_decision string, human_reasoning string")
+    verdict = "struct<decision:string,required_controls:array<string>,sensitive_columns:array<string>,reasoning:string>"
+    asked = spark.range(1, 4).withColumnRenamed("id", "query_id").selectExpr(
+        "query_id", "CAST(NULL AS STRING) AS cached_decision", "CAST(NULL AS STRING) AS cached_reason",
+        "CAST(NULL AS STRING) AS cached_guidance", "'CLEAR' AS intent", "'UNCERTAIN' AS policy_status",
+        "true AS checks_passed", "array('x') AS missing", "'' AS clarification", f"CAST(NULL AS {verdict}) AS verdict")
+    found = sorted((r.query_id, r.final_decision, r.block_reason) for r in gate.decide(asked, human).collect())
+    assert found == [(1, "BLOCK", "no"), (2, "APPROVE", None), (3, "ESCALATED", None)]
