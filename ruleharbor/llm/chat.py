@@ -83,7 +83,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if c != conv:
                 conv, depth, node, position = c, 0, None, 0
             out, start, loss = formatted(role, text)
-            digest = blake2b(f"{role}\0{text}".encode(), digest_size=16, key=node or b"").digest()
+            digest = blake2b(f"{len(role)}:{role}{text}".encode(), digest_size=16, key=node or b"").digest()
             rows.append((c, depth, digest, node, out, position, len(out), start, loss))
             depth, node, position = depth + 1, digest, position + len(out)
         yield _batch(rows, _TURN_KINDS, _TURN_SHAPE)

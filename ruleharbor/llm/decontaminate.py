@@ -197,9 +197,17 @@ def matches(documents: DataFrame, benchmark: DataFrame, keep: list[str] | None =
     return out
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with their columns."""
-    found = matches(documents, benchmark).select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("__id")).distinct()
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
-    return documents.join(found, key == F.col("__id"), "left_anti")
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, cover: float = COVER, least: int = LEAST,
+                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that hold no benchmark item, with their columns: each row judged in its own task, by its text alone."""
+    for items in blocks_of(benchmark, block_bytes):
+
+        def clean(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            block = Block(items, least)
+            for batch in sliced(batches, 2 << 20):
+                words, pairs = block.seeds(bytes_of(batch.column("text").cast(pa.binary())))
+                leaks = {t for t, k in sorted(pairs) if block.judge(words[t], k, cover)}
+                yield batch.filter(pa.array([t not in leaks for t in range(batch.num_rows)], pa.bool_()))
+
+        documents = documents.mapInArrow(clean, documents.schema)
+    return documents

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
@@ -73,13 +73,13 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (``fp``, a signed long) of every row."""
+def fingerprints(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (doc_id) and fingerprint (``fp``, a signed long) of every row."""
 
     def work(texts: list[bytes]) -> dict[str, pa.Array]:
         return {"fp": pa.array([signed(fingerprint(t)) for t in texts], pa.int64())}
 
-    return per_text(documents, work, "fp long", ["doc_id"])
+    return per_text(documents, work, "fp long", ["doc_id"] if keep is None else keep)
 
 
 def forest(members: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -138,25 +138,40 @@ def links(distinct: DataFrame, gathered: int = GATHERED) -> DataFrame:
     return pairs.union(inside).union(through).distinct()
 
 
-def near_duplicates(documents: DataFrame, gathered: int = GATHERED) -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable."""
-    prints = cut(fingerprints(documents))
+def named(prints: DataFrame, gathered: int = GATHERED) -> DataFrame:
+    """Per distinct fingerprint of ``prints`` (doc_id, fp): the root of its component and the smallest id in it."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     found = cut(components(links(classes.select("fp"), gathered)))
     rooted = cut(classes.join(found, classes["fp"] == found["node"], "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")))
     # Written first, so that the join on a root of many fingerprints can be split.
     ids = cut(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
+    return rooted.select("fp", "root").join(ids, "root")
+
+
+def near_duplicates(documents: DataFrame, gathered: int = GATHERED) -> DataFrame:
+    """Per row: doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable."""
+    prints = cut(fingerprints(documents))
+    return prints.join(named(prints, gathered).select("fp", "component_id"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id; rows without id stay only alone."""
-    least = near_duplicates(documents).select("component_id").distinct()
-    stay = least.select(F.coalesce(F.col("component_id").cast("string"), F.lit("none")).alias("__stay"))
-    rows = documents.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
-    first = Window.partitionBy("__key").orderBy(F.xxhash64("text"), "text")
-    return rows.join(stay, rows["__key"] == stay["__stay"], "left_semi").withColumn(
-        "__n", F.row_number().over(first)).where("__n = 1").select(*documents.columns)
+def keep_one(documents: DataFrame, gathered: int = GATHERED) -> DataFrame:
+    """One document of each component, with its columns: the one with the smallest id, which any id beats none for.
+
+    Rows are told apart by id and text, so ids that come twice and rows without id lose no other text's
+    document. Where several texts of a component have that id, the one of the smallest digest stays; of
+    rows equal in both, one.
+    """
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    prints = cut(fingerprints(documents.select("doc_id", "text", digest.alias("digest")), ["doc_id", "digest"]))
+    least = prints.join(named(prints, gathered), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = least.groupBy("root").agg(F.first("component_id").alias("doc_id"), F.min("digest").alias("digest"))
+
+    def key(digest: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), digest)
+
+    rows = documents.withColumn("__key", key(digest))
+    one = Window.partitionBy("__key").orderBy(F.xxhash64("text"))
+    return rows.join(first.select(key(F.col("digest")).alias("__stay")), F.col("__key") == F.col("__stay"), "left_semi").withColumn(
+        "__n", F.row_number().over(one)).where("__n = 1").select(*documents.columns)

@@ -100,3 +100,10 @@ def test_odd_rows(spark):
     assert sorted(map(tuple, chat.read_back(nodes, paths).collect())) == rows_by_hand(rows)
     nodes, paths = chat.tree(spark.createDataFrame([], SHAPE))
     assert chat.read_back(nodes, paths).count() == 0 and nodes.count() == 0
+
+
+def test_turns_alike_only_when_role_and_text_are_put_together_stay_apart(spark):
+    rows = [(1, 0, "a\0b", "c"), (2, 0, "a", "b\0c"), (3, 0, "1:a", "b"), (4, 0, "1", ":ab")]
+    nodes, paths = chat.tree(spark.createDataFrame(rows, SHAPE))
+    assert nodes.count() == 4
+    assert sorted(map(tuple, chat.read_back(nodes, paths).collect())) == rows_by_hand(rows)

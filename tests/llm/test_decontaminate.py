@@ -94,3 +94,12 @@ def test_odd_rows(odd, none, spark):
     assert clean.columns == odd.columns and clean.count() == 6
     assert dc.matches(none, benchmark).count() == 0 and dc.matches(odd, benchmark.where("false")).count() == 0
     assert dc.drop_contaminated(odd, benchmark.where("false")).count() == odd.count()
+
+
+def test_rows_of_one_id_are_judged_each(spark):
+    item = " ".join(f"word{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, item), (1, "clean"), (None, f"x {item}"), (None, "clean too"), (2, None)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(10, item), (11, "one two three four five six")], "item_id long, text string")
+    for size in (1 << 20, 64):
+        kept = dc.drop_contaminated(docs, benchmark, block_bytes=size).collect()
+        assert sorted(str(r.text) for r in kept) == ["None", "clean", "clean too"]

@@ -139,3 +139,11 @@ def test_near_stage_keeps_the_smallest_id_and_all_columns(odd, none):
     # 2 differs from 1 by white space only; 3, 4 and 5 have no words; a row without id stays alone.
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 3, None, 6, 7], key=str)
     assert simhash.keep_one(none).count() == 0 and simhash.near_duplicates(none).count() == 0
+
+
+def test_near_stage_loses_no_other_text_of_an_id_or_of_rows_without_one(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1].upper()), (5, texts[2]), (5, texts[3]), (9, texts[3]), (None, texts[3])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text.lower()) for r in kept.collect() if r.doc_id) == [(5, texts[2]), (5, texts[3])]
+    assert sorted(r.text.lower() for r in kept.collect() if r.doc_id is None) == texts[:2]
