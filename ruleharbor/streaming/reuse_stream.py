@@ -1,14 +1,64 @@
-"""Decision reuse and audit logging on a stream of requests."""
+"""Decision reuse, fresh decisions and audit logging on a stream of requests.
+
+Entries live in a log partitioned by the day of their creation (days since 1970, UTC), stream and batch.
+A micro-batch reads only the days from which an entry can answer one of its requests.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ruleharbor.operators.reuse import reuse_cascade, with_key
-from ruleharbor.streaming.batches import write_batch
+from ruleharbor.functions import fixed_values as K
+from ruleharbor.operators.reuse import reuse_cascade, store_decisions, with_key
+from ruleharbor.streaming.batches import stream_id, write_batch
+
+DAY_MICROS = 86_400_000_000
+ENTRY_SCHEMA = (
+    "entry_id string, key string, normalised_query string, user_role string, decision string, "
+    "embedding array<double>, created_at timestamp, ttl_seconds long"
+)
+LONGEST_TTL = max(K.EXACT_TTL_SECONDS, K.VECTOR_TTL_SECONDS)
+_GIVEN = "given"  # stands for the checkpoint of entries that no stream stored
+
+
+def _micros(at: Column) -> Column:
+    return F.unix_micros(at.cast("timestamp"))
+
+
+def _day(at: Column) -> Column:
+    return F.floor(_micros(at) / F.lit(DAY_MICROS)).cast("int")
+
+
+def _write_entries(entries: DataFrame, batch_id: int, path: str, checkpoint: str) -> None:
+    kinds = [part.strip().split(" ") for part in ENTRY_SCHEMA.split(",")]
+    rows = entries.select(*[F.col(name).cast(kind).alias(name) for name, kind in kinds])
+    write_batch(rows.withColumn("day", _day(F.col("created_at"))), batch_id, path, checkpoint, "day")
+
+
+def start_entry_log(entries: DataFrame, path: str) -> None:
+    """Lays down a log of entries with those known so far, which may be none."""
+    _write_entries(entries, 0, path, _GIVEN)
+
+
+def read_entry_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{ENTRY_SCHEMA}, day int, stream_id string, batch_id long").parquet(path)
+
+
+def able_to_answer(entries: DataFrame, requests: DataFrame, longest_ttl: int = LONGEST_TTL) -> DataFrame:
+    """Entries of a log, living no longer than ``longest_ttl`` seconds, that can answer one of the requests.
+
+    An entry left out died before the first request or came after the last, so it neither answers nor
+    ends the life of an entry that does.
+    """
+    span = requests.agg(F.min(_micros(F.col("ts"))).alias("first"), F.max(_micros(F.col("ts"))).alias("last")).first()
+    if span["first"] is None:
+        return entries.where("false")
+    first, last = (span["first"] - longest_ttl * 1_000_000) // DAY_MICROS, span["last"] // DAY_MICROS
+    return entries.where(F.col("day").between(first, last))
 
 
 def reuse_stream(
@@ -26,6 +76,44 @@ def reuse_stream(
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def decision_stream(
+    requests: DataFrame,
+    decide: Callable[[DataFrame], DataFrame],
+    entry_log: str,
+    out_path: str,
+    checkpoint: str,
+    longest_ttl: int = LONGEST_TTL,
+) -> DataStreamWriter:
+    """Answers requests from the log of entries; what nothing answers is decided and stored for later batches.
+
+    ``decide`` gets the requests of a micro-batch that no entry answers (with key) and returns them with
+    ``final_decision``; approvals and blocks become entries. Answers carry ``final_decision`` and ``layer``.
+    A batch never reads what it or a later batch of its stream stored, so a replay decides the same
+    requests and overwrites the same folders. The log must exist (``start_entry_log``).
+    """
+    own = stream_id(checkpoint)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        asked = with_key(batch).persist()
+        try:
+            known = read_entry_log(batch.sparkSession, entry_log).where(
+                (F.col("stream_id") != own) | (F.col("batch_id") < batch_id))
+            found = reuse_cascade(asked, able_to_answer(known, asked, longest_ttl)).persist()
+            missed = asked.join(found.where("layer = 'miss'").select("query_id"), "query_id", "left_semi")
+            fresh = decide(missed).persist()
+            answers = found.join(fresh.select("query_id", F.col("final_decision").alias("fresh")), "query_id", "left")
+            write_batch(answers.select("query_id", "entry_id", "layer", F.coalesce("decision", "fresh").alias(
+                "final_decision")), batch_id, out_path, checkpoint)
+            stored = store_decisions(fresh.withColumn("cache_layer", F.lit(None).cast("string")), with_vectors=True)
+            _write_entries(stored, batch_id, entry_log, checkpoint)
+            fresh.unpersist()
+            found.unpersist()
+        finally:
+            asked.unpersist()
+
+    return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def audit_stream(
     decided: DataFrame, to_rows: Callable[[DataFrame], DataFrame], out_path: str, checkpoint: str
 ) -> DataStreamWriter:

@@ -5,7 +5,15 @@ from pyspark.sql import functions as F
 from ruleharbor.operators import reuse as R
 from ruleharbor.operators import scan as S
 from ruleharbor.operators.predicates import Rule
-from ruleharbor.streaming.reuse_stream import audit_stream, reuse_stream
+from ruleharbor.streaming.reuse_stream import (
+    ENTRY_SCHEMA,
+    able_to_answer,
+    audit_stream,
+    decision_stream,
+    read_entry_log,
+    reuse_stream,
+    start_entry_log,
+)
 from ruleharbor.streaming.scan_stream import scan_stream
 from tests.test_reuse import make
 
@@ -66,3 +74,42 @@ def test_streams_with_other_checkpoints_add_to_one_log(spark, tmp_path):
         query = scan_stream(stream, "t", ("id",), RULES[:1], AS_OF, "s", log, str(tmp_path / f"state{k}"))
         query.trigger(availableNow=True).start().awaitTermination(120)
     assert spark.read.parquet(log).count() == 20
+
+
+def test_fresh_decisions_answer_later_batches_and_other_streams(spark, tmp_path):
+    inbox, log, out = (str(tmp_path / p) for p in ("in", "log", "out"))
+    shape = "query_id string, query string, user_role string, embedding array<double>, ts timestamp"
+
+    def ask(name, query, at):
+        row = (name, query, "analyst", None, datetime.fromisoformat(at))
+        spark.createDataFrame([row], shape).write.mode("append").parquet(inbox)
+
+    def drain(state, out=out):
+        stream = spark.readStream.schema(shape).parquet(inbox)
+        query = decision_stream(stream, lambda m: m.withColumn("final_decision", F.lit("APPROVE")), log, out, str(tmp_path / state))
+        query.trigger(availableNow=True).start().awaitTermination(300)
+        return {r.query_id: (r.layer, r.entry_id, r.final_decision) for r in spark.read.parquet(out).collect()}
+
+    start_entry_log(spark.createDataFrame([], ENTRY_SCHEMA), log)
+    ask("a", "SELECT count(*) FROM orders", "2024-01-01 10:00:00")
+    assert drain("s") == {"a": ("miss", None, "APPROVE")}
+    ask("b", "select  count(*) from orders;", "2024-01-01 10:00:20")
+    ask("c", "SELECT count(*) FROM orders", "2030-01-01 10:00:00")  # long after the entry's end
+    found = drain("s")
+    assert found["b"] == ("exact", "a", "APPROVE") and found["c"] == ("miss", None, "APPROVE")
+    assert sorted(r.entry_id for r in read_entry_log(spark, log).collect()) == ["a", "c"]
+    other = drain("t", str(tmp_path / "out2"))  # another stream over the same requests
+    assert other["b"][:2] == ("exact", "a") and other["a"][0] == "miss"
+
+
+def test_entries_of_other_days_are_not_read(spark, tmp_path):
+    log = str(tmp_path / "log")
+    start_entry_log(spark.sql(
+        "SELECT cast(id AS string) AS entry_id, 'k' AS key, 'q' AS normalised_query, 'r' AS user_role, 'APPROVE' AS decision, "
+        "cast(null AS array<double>) AS embedding, timestamp'2024-01-01 12:00:00' + make_dt_interval(id) AS created_at, "
+        "86400L AS ttl_seconds FROM range(30)"), log)
+    asked = spark.sql("SELECT timestamp'2024-01-11 06:00:00' AS ts")
+    near = able_to_answer(read_entry_log(spark, log), asked, longest_ttl=86_400)
+    assert sorted(int(r.entry_id) for r in near.collect()) == [9, 10]
+    assert "PartitionFilters: [isnotnull(day" in near._jdf.queryExecution().executedPlan().toString()
+    assert able_to_answer(read_entry_log(spark, log), asked.where("false")).count() == 0
