@@ -1,9 +1,12 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
-1. *Word vectors.* Each of ``SLOTS`` hashed words owns a sparse ternary index vector. A word's
-   vector is the sum of the index vectors of its neighbours over the whole collection. Tasks add
-   up whole-number matrices of fixed size; two rounds of streaming sums combine them, so the
-   result is the same in any order of tasks.
+1. *Word vectors.* Each word, known by a 64-bit hash, owns a sparse ternary index vector. A word's vector
+   is the sum of the index vectors of its neighbours over the whole collection, exact for every word.
+   Sums are whole numbers, so the result is the same in any order of tasks. Words that a sample shows to be
+   frequent (at most ``FREQUENT``) are added up per task and sent to the tasks as one table. Any other word has
+   a row per document; their sum goes back to the documents that share the word by a join on the
+   document's key, and a word of one document only is summed up from this document. Which words count as
+   frequent changes the work but no vector.
 2. *Pooling.* A document is, per dimension, the mean of its words' unit vectors, their spread, and the
    mean products of neighbouring words' vectors and index vectors, which are high where words repeat.
 3. *Network.* One hidden layer, trained in numpy on at most ``MOST_LABELLED`` labelled documents
@@ -21,19 +24,24 @@ of label 1 (0.5 without labels). A document with several label rows takes the sm
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import combinations, product
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from ruleharbor.llm.common import bytes_of, id_remainder, learning_sample, per_text, sliced
+from ruleharbor.llm.common import bytes_of, cut, id_remainder, learning_sample, sliced
 
-SLOTS = 1 << 15
+SLOTS = 1 << 15  # of the hashed form, which no query uses
+FREQUENT = 1 << 18  # words in the table that every task gets (32 MB)
+SAMPLED = 4  # one row in so many shows which words are frequent
 WIDTH = 32
 NONZERO = 4
 REACH = 2
@@ -95,7 +103,10 @@ def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_vectors(documents: DataFrame) -> np.ndarray:
-    """Unit vectors of all slots over all documents; a fixed ``SLOTS`` x ``WIDTH`` table (4 MB)."""
+    """Unit vectors of all slots over all documents; a fixed ``SLOTS`` x ``WIDTH`` table (4 MB).
+
+    The hashed form: words of one slot share a vector. It is kept to compare with; scores use ``word_sums``.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, sums = index_vectors(), np.zeros((SLOTS + 1, WIDTH), np.int64)
@@ -117,33 +128,235 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
     return table
 
 
-def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
+@lru_cache(maxsize=1)
+def ternary() -> np.ndarray:
+    """All vectors of ``WIDTH`` numbers of which ``NONZERO`` are one or minus one (18 MB)."""
+    places = np.array(list(combinations(range(WIDTH), NONZERO)))
+    signs = np.array(list(product((-1, 1), repeat=NONZERO)), np.int8)
+    out = np.zeros((len(places), len(signs), WIDTH), np.int8)
+    out[np.arange(len(places))[:, None, None], np.arange(len(signs))[None, :, None], places[:, None, :]] = signs
+    return out.reshape(-1, WIDTH)
+
+
+def index_of(words: np.ndarray) -> np.ndarray:
+    """The index vectors of hashed words."""
+    return ternary()[words.view(np.uint64) % np.uint64(len(ternary()))]
+
+
+class Places:
+    """The word places of some texts: ``words`` are the hashes of the distinct words, ``ids`` their numbers by place
+    with ``REACH`` places of -1 around each text, ``bounds`` the first place and the end of each text."""
+
+    def __init__(self, texts: list[bytes]):
+        known: dict[bytes, int] = {}
+        flat, self.bounds = [-1] * REACH, []
+        for text in texts:
+            start = len(flat)
+            flat += [known.setdefault(w, len(known)) for w in _UNIT.findall(text.lower())]
+            self.bounds.append((start, len(flat)))
+            flat += [-1] * REACH
+        self.ids = np.array(flat, np.int32)
+        self.words = np.array([xxh3_64_intdigest(w) for w in known], np.uint64).view(np.int64)
+        self.index = np.r_[index_of(self.words), np.zeros((1, WIDTH), np.int8)]
+
+    def sums(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The groups (a number per place, none below 0) and the sums of the index vectors around their places."""
+        near = self.index[self.ids]
+        around = np.zeros(near.shape, np.int8)  # at most 2 * REACH
+        for step in range(1, REACH + 1):
+            around[step:] += near[:-step]
+            around[:-step] += near[step:]
+        wanted = np.flatnonzero(groups >= 0)
+        order = wanted[np.argsort(groups[wanted], kind="stable")]
+        ranked = groups[order]
+        if not len(ranked):
+            return ranked, np.zeros((0, WIDTH), np.int64)
+        starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+        return ranked[starts], np.add.reduceat(around[order], starts, axis=0, dtype=np.int64)
+
+    def rows_in(self, words: np.ndarray) -> np.ndarray:
+        """Per distinct word its row in sorted hashes, or -1; one more for no word."""
+        out = np.full(len(self.words) + 1, -1)
+        if len(words):
+            at = np.minimum(np.searchsorted(words, self.words), len(words) - 1)
+            out[:-1] = np.where(words[at] == self.words, at, -1)
+        return out
+
+
+def _packed(sums: np.ndarray) -> pa.Array:
+    """A cell per row: a byte per number where that is enough, else eight."""
+    narrow, fits = sums.astype(np.int8), np.abs(sums).max(axis=1, initial=0) < 128
+    return pa.array([(narrow if fit else sums)[i].tobytes() for i, fit in enumerate(fits.tolist())], pa.binary())
+
+
+def _unpacked(cells: list[bytes]) -> np.ndarray:
+    fits = np.array([len(c) == WIDTH for c in cells], bool)
+    out = np.empty((len(cells), WIDTH), np.int64)
+    out[fits] = np.frombuffer(b"".join(c for c in cells if len(c) == WIDTH), np.int8).reshape(-1, WIDTH)
+    out[~fits] = np.frombuffer(b"".join(c for c in cells if len(c) != WIDTH), np.int64).reshape(-1, WIDTH)
+    return out
+
+
+def _units(sums: np.ndarray) -> np.ndarray:
+    return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def key_of() -> Column:
+    """Rows of equal id and text have the same key. Rows that share one by chance only share what is looked up."""
+    return F.xxhash64("doc_id", F.col("text").cast("binary"))
+
+
+def frequent_words(rows: DataFrame, most: int) -> np.ndarray:
+    """The sorted hashes of at most ``most`` words, the more frequent ones of a sample of the rows (key, text)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = Places(bytes_of(batch.column("text")))
+            n = np.bincount(found.ids[found.ids >= 0], minlength=len(found.words))
+            yield pa.RecordBatch.from_arrays([pa.array(found.words), pa.array(n, pa.int64())], names=["word", "n"])
+
+    counts = cut(rows.where(F.pmod("key", F.lit(SAMPLED)) == 0).mapInArrow(count, "word long, n long").groupBy("word").agg(
+        F.sum("n").alias("n")))
+    chosen, held = F.lit(False), 0
+    for n, words in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():
+        # Of the last count as many words as there is room for, by their hash; a little less, as shares of hashes vary.
+        share = 1.0 if held + words <= most else max(0.0, (most - held) / words - 4 / words ** 0.5)
+        chosen = (F.col("n") > n) | ((F.col("n") == n) & (F.pmod("word", F.lit(1 << 20)) < int(share * (1 << 20))))
+        held += words
+        if held > most:
+            break
+    return np.sort(counts.where(chosen).select("word").toArrow().column("word").to_numpy())
+
+
+_SUMS = "word long, key long, sums binary"
+
+
+def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums per word: a row for a frequent one (no key), for others a row per key, if there are several."""
+    held = list(batches)
+    if not sum(b.num_rows for b in held):
+        return
+    rows = pa.Table.from_batches(held)
+    word, key = rows.column("word").to_numpy(), rows.column("key").fill_null(0).to_numpy()
+    everywhere = rows.column("key").is_null().to_numpy()
+    order = np.lexsort((key, word))
+    word, key, everywhere = word[order], key[order], everywhere[order]
+    new = np.r_[True, word[1:] != word[:-1]]
+    starts = np.flatnonzero(new)
+    total = np.add.reduceat(_unpacked(rows.column("sums").to_pylist())[order], starts, axis=0)
+    several = np.diff(np.r_[starts, len(word)]) > 1
+    group = np.cumsum(new) - 1
+    first = new | np.r_[True, key[1:] != key[:-1]]
+    keep = np.flatnonzero(first & (everywhere | several[group]))
+    for i in range(0, len(keep), 10_000):
+        some = keep[i:i + 10_000]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(word[some]), pa.array(key[some], mask=everywhere[some]), _packed(total[group[some]])],
+            names=["word", "key", "sums"])
+
+
+@dataclass(frozen=True)
+class Words:
+    """Hashes and unit vectors of the frequent words, and (key, word, sums) of the others in several rows."""
+
+    frequent: np.ndarray
+    table: np.ndarray
+    shared: DataFrame
+
+
+def word_sums(documents: DataFrame) -> Words:
+    """The context sums of all words over all documents."""
+    rows = documents.select(key_of().alias("key"), F.col("text").cast("binary").alias("text"))
+    frequent = frequent_words(rows, FREQUENT)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(frequent), WIDTH), np.int64)
+        for batch in sliced(batches, 2 << 20):
+            found = Places(bytes_of(batch.column("text")))
+            at = found.rows_in(frequent)[found.ids]
+            some, added = found.sums(at)
+            sums[some] += added
+            text = np.zeros(len(found.ids), np.int64)
+            for i, (start, stop) in enumerate(found.bounds):
+                text[start:stop] = i
+            size = len(found.words) + 1
+            pairs, added = found.sums(np.where((at < 0) & (found.ids >= 0), text * size + found.ids, -1))
+            keys = batch.column("key").to_numpy()[pairs // size]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.words[pairs % size], pa.int64()), pa.array(keys, pa.int64()), _packed(added)],
+                names=["word", "key", "sums"])
+        some = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(frequent[some]), pa.nulls(len(some), pa.int64()), _packed(sums[some])], names=["word", "key", "sums"])
+
+    total = cut(rows.mapInArrow(gather, _SUMS).repartition("word").mapInArrow(_sum_rows, _SUMS))
+    found = total.where("key is null").select("word", "sums").toArrow()
+    table = np.zeros((len(frequent), WIDTH), np.float32)
+    table[np.searchsorted(frequent, found.column("word").to_numpy())] = _units(_unpacked(found.column("sums").to_pylist()))
+    return Words(frequent, table, total.where("key is not null"))
+
+
+def pooled(found: Places, vectors: np.ndarray) -> np.ndarray:
     """Per text the mean of its words' vectors, their spread, and mean products of neighbours' vectors of both kinds.
 
     A text without words gets zeros.
     """
-    index = index_vectors()
-    out = np.zeros((len(texts), POOLS * WIDTH), np.float32)
-    for i, text in enumerate(texts):
-        ids = slots_of(text)
-        if ids:
+    out = np.zeros((len(found.bounds), POOLS * WIDTH), np.float32)
+    for i, (first, stop) in enumerate(found.bounds):
+        size = stop - first
+        if size:
             total, square, beside, same = np.zeros((4, WIDTH))
-            for start in range(0, len(ids), 1 << 16):
-                some = ids[start:start + (1 << 16) + 1]
-                rows, marks = vectors[some], index[some]
+            for start in range(first, stop, 1 << 16):
+                some = found.ids[start:min(stop, start + (1 << 16) + 1)]
+                rows, marks = vectors[some], found.index[some]
                 own = rows[:1 << 16]
                 total += own.sum(axis=0, dtype=np.float64)
                 square += np.einsum("ij,ij->j", own, own, dtype=np.float64)
                 beside += np.einsum("ij,ij->j", rows[1:], rows[:-1], dtype=np.float64)
                 same += (marks[1:] * marks[:-1]).sum(axis=0, dtype=np.int64)
-            mean = total / len(ids)
+            mean = total / size
             out[i, :WIDTH] = mean
-            out[i, WIDTH:2 * WIDTH] = np.sqrt(np.maximum(square / len(ids) - mean * mean, 0))
-            out[i, 2 * WIDTH:3 * WIDTH] = beside / max(1, len(ids) - 1)
-            out[i, 3 * WIDTH:] = same / max(1, len(ids) - 1)
+            out[i, WIDTH:2 * WIDTH] = np.sqrt(np.maximum(square / size - mean * mean, 0))
+            out[i, 2 * WIDTH:3 * WIDTH] = beside / max(1, size - 1)
+            out[i, 3 * WIDTH:] = same / max(1, size - 1)
     return out
 
 
+def features_of(texts: list[bytes], words: np.ndarray, cells: list[bytes], frequent: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The pooled vectors of texts; ``words`` and ``cells`` are the sums of their words that other texts hold too."""
+    found = Places(texts)
+    vectors = np.zeros((len(found.words) + 1, WIDTH), np.float32)
+    rows = found.rows_in(frequent)
+    vectors[rows >= 0] = table[rows[rows >= 0]]
+    words, first = np.unique(words, return_index=True)
+    told = found.rows_in(words)
+    told[rows >= 0] = -1
+    used = np.flatnonzero(told >= 0)
+    vectors[used] = _units(_unpacked([cells[first[t]] for t in told[used].tolist()]))
+    own, sums = found.sums(np.where((rows < 0) & (told < 0), np.r_[np.arange(len(found.words)), -1], -1)[found.ids])
+    vectors[own] = _units(sums)
+    return pooled(found, vectors)
+
+
+def per_row(documents: DataFrame, known: Words, work: Callable[[np.ndarray], pa.Array], schema: str,
+            keep: list[str]) -> DataFrame:
+    """Runs ``work`` over the pooled vectors of documents; returns ``keep`` and its column."""
+    frequent, table, name = known.frequent, known.table, schema.split()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2 << 20):
+            told = pc.list_flatten(batch.column("__told"))
+            found = features_of(bytes_of(batch.column("__text")), pc.struct_field(told, "word").to_numpy(zero_copy_only=False).astype(np.int64),
+                                pc.struct_field(told, "sums").to_pylist(), frequent, table)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), work(found)], names=[*keep, name])
+
+    told = known.shared.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("word", "sums")).alias("__told"))
+    rows = documents.select(*dict.fromkeys([*keep, "text"]), key_of().alias("__key")).join(told, "__key", "left").select(
+        *keep, F.col("text").cast("binary").alias("__text"), "__told")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("__text", "__told")]
+    return rows.mapInArrow(run, ", ".join([*fields, schema]))
+
+
 @dataclass(frozen=True)
 class Network:
     """Two layers on standardised features; ``prior`` alone where there was nothing to learn."""
@@ -199,16 +412,18 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 30, seed: int = 7) -> Netw
     return Network(prior, shift, scale, tuple(layers), float(options[int(np.argmin(losses))]))
 
 
-def fit(documents: DataFrame, labels: DataFrame, vectors: np.ndarray, most: int = MOST_LABELLED) -> Network:
+def fit(documents: DataFrame, labels: DataFrame, words: Words, most: int = MOST_LABELLED) -> Network:
     """Learns from labelled rows whose crc32(doc_id as text) mod 5 is not 0."""
     known = labels.where((id_remainder(5) != 0) & F.col("quality").isNotNull()).groupBy("doc_id").agg(
         F.min("quality").alias("quality"))
     sample = learning_sample(documents, known, most, ["quality"])
+    keys = sample.select(key_of().alias("key")).distinct()
+    near = Words(words.frequent, words.table, words.shared.join(F.broadcast(keys), "key", "left_semi"))
 
-    def work(texts: list[bytes]) -> dict[str, pa.Array]:
-        return {"features": pa.array(list(pooled(texts, vectors)), pa.list_(pa.float32()))}
+    def work(found: np.ndarray) -> pa.Array:
+        return pa.array(list(found), pa.list_(pa.float32()))
 
-    rows = per_text(sample, work, "features array<float>", ["doc_id", "quality"]).orderBy("doc_id").toArrow()
+    rows = per_row(sample, near, work, "features array<float>", ["doc_id", "quality"]).toArrow().sort_by("doc_id")
     if rows.num_rows == 0:
         return Network(0.5)
     x = np.array(rows.column("features").to_pylist(), np.float64)
@@ -218,14 +433,13 @@ def fit(documents: DataFrame, labels: DataFrame, vectors: np.ndarray, most: int
 
 def score(documents: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (the id by default), the score in [0, 1] and the verdict at the threshold, per document."""
-    vectors = word_vectors(documents)
-    network = fit(documents, labels, vectors)
+    words = word_sums(documents)
+    network = fit(documents, labels, words)
 
-    def work(texts: list[bytes]) -> dict[str, pa.Array]:
-        values = network.scores(pooled(texts, vectors).astype(np.float64))
-        return {"__score": pa.array(values, pa.float64())}
+    def work(found: np.ndarray) -> pa.Array:
+        return pa.array(network.scores(found.astype(np.float64)), pa.float64())
 
-    scored = per_text(documents, work, "__score double", ["doc_id"] if keep is None else keep)
+    scored = per_row(documents, words, work, "__score double", ["doc_id"] if keep is None else keep)
     return scored.withColumn("__predicted", (F.col("__score") >= THRESHOLD).cast("int"))
 
 

@@ -41,6 +41,38 @@ def test_word_vectors_by_hand(spark):
     assert np.allclose(got, want, atol=1e-6)
 
 
+@pytest.mark.parametrize("most", [0, 5, 1 << 17])
+def test_every_word_has_its_own_vector(spark, monkeypatch, most):
+    """Words of one slot stay apart, and which words count as frequent changes nothing."""
+    monkeypatch.setattr(quality, "FREQUENT", most)
+    monkeypatch.setattr(quality, "SAMPLED", 2)
+    slots = {}
+    twins = next((slots[s], w) for w in (f"w{i}" for i in range(100_000)) if slots.setdefault(
+        s := quality.slots_of(w.encode())[0], w) != w)
+    texts = [f"{twins[0]} a b c", f"d {twins[1]} e f", f"a {twins[1]} d", "a b a b only", "", None, "a b a b only", twins[0]]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*texts, "a b"])] + [
+        (8, "a b", "en", "s", 0)], SHAPE).repartition(3)
+    split = [(t or "").split() for t in [*texts, "a b", "a b"]]
+    index = {w: quality.index_of(np.array([quality.xxh3_64_intdigest(w.encode())], np.uint64).view(np.int64))[0].astype(int)
+             for words in split for w in words}
+    want = {w: np.zeros(quality.WIDTH) for w in index}
+    for words in split:
+        for i, w in enumerate(words):
+            for j in range(max(0, i - quality.REACH), min(len(words), i + quality.REACH + 1)):
+                want[w] += index[words[j]] if i != j else 0
+    unit = {w: v / max(np.linalg.norm(v), 1e-9) for w, v in want.items()}
+    assert not np.allclose(unit[twins[0]], unit[twins[1]])
+    found = quality.per_row(docs, quality.word_sums(docs), lambda x: quality.pa.array(list(x), quality.pa.list_(quality.pa.float32())),
+                            "features array<float>", ["doc_id"]).collect()
+    assert len(found) == len(split)
+    for r in found:
+        rows = np.array([unit[w] for w in split[r.doc_id]]).reshape(-1, quality.WIDTH)
+        mean = rows.mean(axis=0) if len(rows) else np.zeros(quality.WIDTH)
+        beside = (rows[1:] * rows[:-1]).mean(axis=0) if len(rows) > 1 else np.zeros(quality.WIDTH)
+        assert np.allclose(r.features[:quality.WIDTH], mean, atol=1e-6)
+        assert np.allclose(r.features[2 * quality.WIDTH:3 * quality.WIDTH], beside, atol=1e-6)
+
+
 def test_network_is_calibrated_and_falls_back():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 6))
