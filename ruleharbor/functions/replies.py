@@ -32,8 +32,11 @@ def parse_object(text: Column, schema: str) -> Column:
     return F.when(valid, F.from_json(text, schema))
 
 
-def parse_verdict(reply: Column) -> Column:
-    """Normalised verdict. Unknown decisions block; an unreadable reply blocks and asks for manual review."""
+def parse_verdict(reply: Column, max_chars: int | None = None) -> Column:
+    """Normalised verdict. Unknown decisions block; an unreadable reply blocks and asks for manual review.
+
+    ``max_chars`` bounds what the reasoning quotes of an unreadable reply; by default all of it.
+    """
     none = F.array().cast("array<string>")
 
     def normalised(v: Column, text: Column) -> Column:
@@ -50,7 +53,7 @@ def parse_verdict(reply: Column) -> Column:
             F.lit("BLOCK").alias("decision"),
             F.concat(
                 F.lit("Verdict generation failed: Unparseable LLM response: "),
-                F.substring(text, 1, 200),
+                text if max_chars is None else F.substring(text, 1, max_chars),
                 F.lit(". Blocking by default for safety."),
             ).alias("reasoning"),
             none.alias("cited_policies"),

@@ -105,9 +105,13 @@ def severity(count: Column) -> Column:
     return chain.otherwise("LOW")
 
 
-def template_explanations(counts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Explanation rows for every rule with violations, for use where no model reply exists."""
+def template_explanations(counts: DataFrame, rules: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Explanation rows for every rule with violations, for use where no model reply exists.
+
+    ``max_chars`` bounds the rule text inside policy_clause and risk_description; by default it stays whole.
+    """
     n, col, text = F.col("violation_count"), F.col("target_column"), F.col("rule_text")
+    told = text if max_chars is None else F.substring(text, 1, max_chars)
     per_rule = counts.groupBy("rule_id").agg(F.sum("violation_count").alias("violation_count"))
     return per_rule.where(n > 0).join(rules.select("rule_id", "rule_text", "target_column"), "rule_id").select(
         "rule_id",
@@ -115,7 +119,7 @@ def template_explanations(counts: DataFrame, rules: DataFrame) -> DataFrame:
         "violation_count",
         severity(n).alias("severity"),
         F.format_string("%d records in column '%s' violate the rule: %s", n, col, text).alias("explanation"),
-        F.substring(text, 1, 120).alias("policy_clause"),
+        told.alias("policy_clause"),
         F.array(
             F.format_string("Review all %d flagged records in column '%s'.", n, col),
             F.lit("Update or delete records that do not meet the policy requirement."),
@@ -123,7 +127,7 @@ def template_explanations(counts: DataFrame, rules: DataFrame) -> DataFrame:
         ).alias("remediation_steps"),
         F.format_string(
             "Unresolved violations in '%s' may indicate non-compliance with policy: %s.",
-            col, F.substring(text, 1, 80),
+            col, told,
         ).alias("risk_description"),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ruleharbor.functions import replies, sqltext, text
 from ruleharbor.functions.ids import name_uuid
+from ruleharbor.operators import review
 
 
 def spans_by_definition(t, size, overlap, overlapping):
@@ -88,6 +89,19 @@ def test_replies(spark):
     assert got[2]["required_controls"] == ["manual_review"] and got[0]["cited_policies"] == ["a"]
 
 
+def test_long_texts_stay_whole(spark):
+    long = "no json " * 100 + "end"
+    df = spark.createDataFrame([(long,)], "t string")
+    whole, part = df.select(replies.parse_verdict(F.col("t")), replies.parse_verdict(F.col("t"), 200)).first()
+    assert long in whole["reasoning"] and long[:200] + "." in part["reasoning"]
+    counts = spark.createDataFrame([("r", 2)], "rule_id string, violation_count long")
+    rules = spark.createDataFrame([("r", long, "c")], "rule_id string, rule_text string, target_column string")
+    row = review.template_explanations(counts, rules).first()
+    assert row.policy_clause == long and row.risk_description.endswith(f": {long}.")
+    row = review.template_explanations(counts, rules, 80).first()
+    assert row.policy_clause == long[:80] and row.risk_description.endswith(f": {long[:80]}.")
+
+
 def test_records_and_steps(spark):
     one = spark.range(1)
     record = F.lit('{"ID": 1, "name": null, "kind": "x", "v": 2.5}')
