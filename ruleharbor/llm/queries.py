@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ruleharbor.llm import (
     chat,
     decontaminate,
+    divergence,
     exact_dedup,
     langid,
     licenses,
@@ -69,9 +70,13 @@ def op10_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(nodes, paths)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_poisson_mix, op2_quality, op3_url_rules, op4_licenses, op5_exact_dedup, op6_decontaminate, op7_simhash,
-    op8_language, op9_toxicity, op10_chat_tree)}
+    op8_language, op9_toxicity, op10_chat_tree, op12_divergence)}
 
 ORACLE = {
     "op1_poisson_mix": f"""
@@ -100,4 +105,38 @@ WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D
 SELECT doc_id, min(doc_id) OVER (PARTITION BY content) AS keep_id, count(*) OVER (PARTITION BY content) AS group_size,
   doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY content) AS kept, sha256(content) AS text_sha256
 FROM texts""",
+    "op12_divergence": rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+words AS (SELECT row_id, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT row_id) >= {divergence.LEAST_DOCUMENTS}),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+parts AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+wide AS (
+  SELECT p.lang, p.source, k.term, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY p.lang, p.source) AS total, s.v
+  FROM parts p JOIN kept k ON p.lang = k.lang JOIN sizes s ON s.lang = p.lang
+  LEFT JOIN counts c ON c.lang = p.lang AND c.source = p.source AND c.term = k.term),
+shares AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (total + v)::HUGEINT AS p FROM wide),
+whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + v)::HUGEINT AS q
+  FROM (SELECT lang, term, sum(n) AS n, any_value(v) AS v FROM wide GROUP BY lang, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, 'pair' AS part FROM parts a JOIN parts b ON a.lang = b.lang AND a.source <> b.source),
+far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+telling AS (
+  SELECT a.lang, a.source, 'term' AS part, a.term AS item, ((a.p - w.q) * (a.p - w.q)) // w.q AS value
+  FROM shares a JOIN whole w ON a.lang = w.lang AND a.term = w.term WHERE a.n > 0 AND a.p > w.q),
+rows AS (
+  SELECT p.lang, p.source, p.part, p.item, coalesce(f.value, 0)::BIGINT AS value
+  FROM pairs p LEFT JOIN far f ON p.lang = f.lang AND p.source = f.source AND p.item = f.item
+  UNION ALL SELECT lang, source, part, item, value::BIGINT FROM telling),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM rows)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.MOST_TERMS}""",
 }
