@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -63,38 +63,42 @@ def collapsed(documents: DataFrame) -> DataFrame:
         "lang", "text", "sources")
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts and document frequencies per language, source and term of the texts met so far."""
-    held: dict[tuple, tuple[Counter, Counter]] = {}
-
-    def told() -> Iterator[pa.RecordBatch]:
-        for (lang, sources), (counts, documents) in held.items():
-            terms = pa.array(list(counts), pa.binary())
-            n, among = list(counts.values()), [documents[t] for t in counts]
-            for source, copies in sources:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), terms,
-                     pa.array([copies * x for x in n], pa.int64()), pa.array([copies * x for x in among], pa.int64())],
-                    names=["lang", "source", "term", "n", "documents"])
-        held.clear()
-
-    for batch in batches:
-        for part in sliced([batch]):
-            columns = (part.column(c).to_pylist() for c in ("lang", "sources"))
-            for text, lang, sources in zip(bytes_of(part.column("text")), *columns, strict=True):
-                terms = list(terms_of(text)) if len(text) <= PIECE else Counter(terms_of(text))
-                key = (lang, tuple(sorted((s["source"], s["n"]) for s in sources)))
-                counts, documents = held.setdefault(key, (Counter(), Counter()))
-                counts.update(terms)
-                documents.update(set(terms))
-            if sum(len(c) for c, _ in held.values()) > HELD:
-                yield from told()
-    yield from told()
+def _counter(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts and document frequencies per language, source and term, passed on when a task holds over ``most``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for (lang, sources), (counts, documents) in held.items():
+                terms = pa.array(list(counts), pa.binary())
+                n, among = list(counts.values()), [documents[t] for t in counts]
+                for source, copies in sources:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), terms,
+                         pa.array([copies * x for x in n], pa.int64()), pa.array([copies * x for x in among], pa.int64())],
+                        names=["lang", "source", "term", "n", "documents"])
+            held.clear()
+
+        for batch in batches:
+            for part in sliced([batch]):
+                columns = (part.column(c).to_pylist() for c in ("lang", "sources"))
+                for text, lang, sources in zip(bytes_of(part.column("text")), *columns, strict=True):
+                    terms = list(terms_of(text)) if len(text) <= PIECE else Counter(terms_of(text))
+                    key = (lang, tuple(sorted((s["source"], s["n"]) for s in sources)))
+                    counts, documents = held.setdefault(key, (Counter(), Counter()))
+                    counts.update(terms)
+                    documents.update(set(terms))
+                if sum(len(c) for c, _ in held.values()) > most:
+                    yield from told()
+        yield from told()
+
+    return count
 
 
 def profiles(documents: DataFrame) -> DataFrame:
     """Per language and kept term: lang, term, n (in the language) and profile, the sources' counts in order."""
-    counted = collapsed(documents).mapInArrow(_count, "lang string, source string, term binary, n long, documents long")
+    counted = collapsed(documents).mapInArrow(_counter(HELD), "lang string, source string, term binary, n long, documents long")
     by_source = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
     return by_source.groupBy("lang", "term").agg(
         F.sum("documents").alias("documents"), F.sum("n").alias("n"),

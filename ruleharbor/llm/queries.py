@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleharbor.llm import (
+    alignment,
     chat,
     decontaminate,
     divergence,
     exact_dedup,
     langid,
     licenses,
+    minhash,
     mixing,
     quality,
     simhash,
@@ -70,13 +72,21 @@ def op10_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(nodes, paths)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_poisson_mix, op2_quality, op3_url_rules, op4_licenses, op5_exact_dedup, op6_decontaminate, op7_simhash,
-    op8_language, op9_toxicity, op10_chat_tree, op12_divergence)}
+    op8_language, op9_toxicity, op10_chat_tree, op11_alignment, op12_divergence, op13_minhash)}
 
 ORACLE = {
     "op1_poisson_mix": f"""

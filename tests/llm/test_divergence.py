@@ -81,7 +81,13 @@ def test_long_texts_in_pieces_lose_and_split_no_term(monkeypatch, piece):
         assert list(divergence.terms_of(text)) == re.findall(rb"[A-Za-z\x80-\xff]+", text.lower())
 
 
-def test_held_counts_are_passed_on_in_parts(spark, monkeypatch):
-    rows = some_rows(5)
-    monkeypatch.setattr(divergence, "HELD", 10)
-    assert sorted(map(tuple, divergence.audit(spark.createDataFrame(rows, SHAPE)).collect())) == audit_by_hand(rows)
+def test_counts_are_passed_on_in_parts(spark):
+    texts = ["a b a", "b c", "c c d", "a"] * 5
+    rows = [("en", t, [("s", 2), ("t", 1)]) for t in texts]
+    shape = "lang string, text binary, sources array<struct<source string, n long>>"
+    given = spark.createDataFrame([(lang, t.encode(), s) for lang, t, s in rows], shape)
+    for most in (1, 3, 10**6):
+        found = given.coalesce(1).mapInArrow(divergence._counter(most), "lang string, source string, term binary, n long, documents long")
+        total = found.groupBy("source", F.col("term").cast("string")).agg(F.sum("n"), F.sum("documents")).collect()
+        assert sorted(map(tuple, total)) == sorted(
+            (s, t, k * 5 * n, k * 5 * d) for s, k in (("s", 2), ("t", 1)) for t, n, d in (("a", 3, 2), ("b", 2, 2), ("c", 3, 2), ("d", 1, 1)))
