@@ -1,9 +1,10 @@
 """Exact vector search.
 
-One vector against a table is a plain projection and ``orderBy.limit``. Many vectors against
-a table are compared in blocks of bounded size: every pair of a query block and an item block is
-one group that returns its best ``k`` per query, never all pairs. The number of blocks comes from
-counts inside the plan, so one plan serves all sizes and nothing runs before an action.
+One vector against a table is a plain projection and ``orderBy.limit``. Many vectors against a table go
+through a metric index (``cells``) in two rounds. First each vector meets the nearest cells that hold
+``k`` items, which gives its ``k``-th best score so far; then it meets the other cells that may still hold
+something as good, and no more. Rows meet in pairs of blocks of bounded size, each one group that
+returns its best ``k`` per query, never all pairs. Up to ``BLOCK_ROWS`` items are a single cell and one round.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from ruleharbor.functions import fixed_values as K
 from ruleharbor.functions.expr import let
 from ruleharbor.functions.ordering import top_rows
+from ruleharbor.operators import cells
+from ruleharbor.operators.cells import matrix
+from ruleharbor.session import cut_lineage
 
 BLOCK_ROWS = 2048
 HIT_SCHEMA = "query_id long, item_id long, score double, rank int"
@@ -60,13 +64,6 @@ def search_cosine(
 # --- many against many -----------------------------------------------------------------
 
 
-def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of a list column as a float64 matrix."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
 def score_matrix(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndarray:
     """Pairwise scores, larger is better (distances are negated and squared), up to rounding."""
     products = queries @ items.T
@@ -115,15 +112,8 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, item_ids: np.ndarray, item
                     names=["query_id", "item_id", "score", "rank"])
 
 
-def _block_pairs(queries: DataFrame, items: DataFrame, k: int, metric: str, block_rows: int) -> DataFrame:
-    """Every pair of a query block and an item block is one group; blocks have bounded size."""
-    parts = lambda df: df.agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1)).cast("int")).scalar()
-    n_q, n_i = parts(queries), parts(items)
-    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    q = queries.withColumn("qb", own(n_q)).withColumn("ib", every(n_i))
-    i = items.withColumn("ib", own(n_i)).withColumn("qb", every(n_q))
-    columns = ["qb", "ib", "id", "embedding"]
+def _meet(queries: DataFrame, items: DataFrame, k: int, metric: str, block_rows: int) -> DataFrame:
+    """The best ``k`` per query and pair of blocks; ``queries`` (id, embedding, cell) hold a row per cell to look in."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
@@ -133,9 +123,26 @@ def _block_pairs(queries: DataFrame, items: DataFrame, k: int, metric: str, bloc
             right.column("id").to_numpy(), matrix(right.column("embedding")), k, metric,
         )
 
-    # Both sides may come from one table: new names keep their columns apart.
-    right = i.select(*columns).toDF(*columns)
-    return q.select(*columns).groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(run, HIT_SCHEMA)
+    return cells.meet(queries, items, ["cell"], ("id", "id"), block_rows, run, HIT_SCHEMA).drop("rank")
+
+
+def first_cells(queries: DataFrame, index: cells.Index, k: int) -> DataFrame:
+    """``queries`` with the nearest cells that hold ``k`` items, a row per cell."""
+    return cells.with_reached(queries, lambda batch, vectors: index.nearest(vectors, k))
+
+
+def other_cells(queries: DataFrame, hits: DataFrame, index: cells.Index, k: int) -> DataFrame:
+    """``queries`` with the cells beyond the first that may hold an item as good as their ``k``-th of ``hits``, a row per cell."""
+    worst = F.max("score") if index.metric == "l2" else F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score")))
+    reach = F.when(F.count("*") >= k, worst).otherwise(float("inf"))
+    known = queries.join(hits.groupBy(F.col("query_id").alias("id")).agg(reach.alias("reach")), "id", "left").na.fill({"reach": float("inf")})
+
+    def beyond(batch: pa.RecordBatch, vectors: np.ndarray) -> list[list[int]]:
+        met = index.nearest(vectors, k)
+        some = index.within(vectors, batch.column("reach").to_numpy())
+        return [[c for c in new if c not in old] for new, old in zip(some, map(set, met), strict=True)]
+
+    return cells.with_reached(known, beyond).drop("reach")
 
 
 def top_k(
@@ -154,9 +161,26 @@ def top_k(
     present = F.col("embedding").isNotNull()
     queries = queries.where(present).select(F.col("id").cast("long"), "embedding")
     items = items.where(present).select(F.col("id").cast("long"), "embedding")
-    best = _block_pairs(queries, items, k, metric, block_rows)
     order = F.col("score").desc() if metric == "cosine" else F.col("score")
-    ranked = top_rows(best.drop("rank"), ["query_id"], [order, F.col("item_id")], k)
+    best = lambda hits: top_rows(hits, ["query_id"], [order, F.col("item_id")], k)
+    index = cells.build(items, metric, block_rows)
+    if index.cells == 1:
+        only = F.lit(0).cast("long").alias("cell")
+        ranked = best(_meet(queries.select("*", only), items.select("*", only), k, metric, block_rows))
+    else:
+        inside = cells.with_cell(items, index)
+        nothing = F.forall("embedding", lambda x: x == 0) if metric == "cosine" else F.lit(False)
+        asked = queries.where(~nothing)
+        near = cut_lineage(best(_meet(first_cells(asked, index, k), inside, k, metric, block_rows)))
+        more = _meet(other_cells(asked, near, index, k), inside, k, metric, block_rows)
+        found = near.drop("rank").unionByName(more)
+        if metric == "cosine":
+            # A vector of length zero scores 0 with every item: the smallest ids are its best.
+            first = items.select(F.col("id").alias("item_id")).orderBy("item_id").limit(k)
+            lowest = F.array(*[F.lit(r["item_id"]) for r in first.collect()])
+            found = found.unionByName(queries.where(nothing).select(
+                F.col("id").alias("query_id"), F.explode(lowest).alias("item_id"), F.lit(0.0).alias("score")))
+        ranked = best(found)
     return ranked if min_score is None else ranked.where(F.col("score") >= min_score)
 
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ruleharbor.operators import cells as C
 from ruleharbor.operators import vectors as V
 
 
@@ -35,6 +36,79 @@ def test_all_strategies_find_the_same(spark, metric, block_rows):
     assert got == by_definition(queries, items, 4, metric)
 
 
+def clustered(rng, n, spread=0.05, centres=30, dim=16):
+    middle = np.random.default_rng(1).normal(size=(centres, dim))
+    return middle[rng.integers(0, centres, n)] + spread * rng.normal(size=(n, dim))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_two_rounds_find_the_same_and_leave_most_cells_out(spark, metric):
+    rng = np.random.default_rng(8)
+    queries, items = clustered(rng, 60), clustered(rng, 900)
+    queries[0], items[5], items[6] = 0, 0, 0  # of length zero
+    items[10:20] = items[9]
+    queries[1] = items[9]
+    out = V.top_k(frame(spark, queries), frame(spark, items), 7, metric, block_rows=30)
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["item_id"])
+    kept = frame(spark, items).collect()  # as floats of 32 bits
+    near = np.array([r["embedding"] for r in sorted(kept, key=lambda r: r["id"])])
+    asked = np.array([r["embedding"] for r in sorted(frame(spark, queries).collect(), key=lambda r: r["id"])])
+    for i, q in enumerate(asked):
+        if metric == "l2":
+            score = -np.sqrt(((near - q) ** 2).sum(axis=1))
+        else:
+            norms = np.linalg.norm(near, axis=1) * np.linalg.norm(q)
+            score = np.divide(near @ q, norms, out=np.zeros(len(near)), where=norms > 0)
+        want = sorted(range(len(near)), key=lambda j: (-round(score[j], 9), j))[:7]
+        assert [round(score[j], 9) for j in got[i]] == [round(score[j], 9) for j in want]
+        assert sorted(got[i]) == sorted(want) or metric == "l2" or i
+
+    index = C.build(frame(spark, items), metric, 30)
+    assert index.cells > 15
+    asked = frame(spark, queries).where("id > 0")
+    first = V.first_cells(asked, index, 7)
+    hits = V.top_rows(V._meet(first, C.with_cell(frame(spark, items), index), 7, metric, 30), ["query_id"],
+                      [F.col("score").desc() if metric == "cosine" else F.col("score"), "item_id"], 7)
+    met = first.count() + V.other_cells(asked, hits, index, 7).count()
+    assert met < 0.25 * 59 * index.cells
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_bounds_hold_for_every_vector_of_a_cell(spark, metric):
+    rng = np.random.default_rng(2)
+    items, points = rng.normal(size=(400, 6)), rng.normal(size=(50, 6))
+    items[:100] *= 0.1
+    index = C.build(frame(spark, items), metric, 20)
+    stored = np.array([r["embedding"] for r in frame(spark, items).collect()])
+    inside, at = index.cell_of(stored), C.placed(points, metric)
+    away = C.distances(at, C.placed(stored, metric))
+    least = index.least(at)
+    for cell in range(index.cells):
+        assert (away[:, inside == cell] >= least[:, [cell]]).all()
+        assert (inside == cell).sum() == index.count[cell]
+    reach = np.full(50, 0.7)
+    for i, cells in enumerate(index.within(points, reach)):
+        assert set(inside[away[i] <= 0.7]) <= set(cells)
+    assert all(index.count[c].sum() >= 30 for c in index.nearest(points, 30))
+
+
+def test_equal_vectors_are_one_cell_of_many_parts(spark):
+    items = np.vstack([np.ones((300, 3)), np.eye(3), 2 * np.eye(3)])
+    index = C.build(frame(spark, items), "l2", 40)
+    assert index.cells <= 7 and index.count.sum() == 306
+    out = V.top_k(frame(spark, np.ones((5, 3))), frame(spark, items), 4, "l2", block_rows=40)
+    assert sorted((r["query_id"], r["item_id"]) for r in out.collect()) == [(q, i) for q in range(5) for i in range(4)]
+
+
+def test_no_items_and_fewer_than_k(spark):
+    none = frame(spark, np.eye(3)).where("id < 0")
+    assert V.top_k(frame(spark, np.eye(3)), none, 2).count() == 0
+    assert V.top_k(none, frame(spark, np.eye(3)), 2).count() == 0
+    assert V.top_k(frame(spark, np.eye(3)), frame(spark, np.eye(3)), 9, block_rows=1).count() == 9
+
+
 def test_a_third_of_equal_vectors(spark):
     items = np.vstack([np.ones((40, 4)), np.eye(4)])
     out = V.top_k(frame(spark, np.ones((3, 4))), frame(spark, items), 5, block_rows=10)
