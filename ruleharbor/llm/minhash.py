@@ -14,9 +14,10 @@ is counted on the two signatures. Candidates that reach the threshold are confir
 
 *Dense groups.* In a first round the members of a list are held only against its most central one (the class
 whose pairs are posted most often), which is linear in the list and joins a family of near copies. A second
-round compares the members of those lists that still hold several components, in blocks of bounded size,
-and passes on only pairs of different components that reach the threshold. So no link is lost
-between components, and a family of n copies never makes n squared rows.
+round takes the lists that still hold several components, leaves out classes that hold too few shingles of other
+components, and compares the rest in blocks of bounded size, signatures first and then full sets. Only
+links that join components become rows, so no component is missed and a family of n copies never makes
+n squared rows.
 
 Classes and shingles are known by 64-bit hashes: n sets share one by chance with probability n * n / 2^65.
 
@@ -28,7 +29,7 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -193,56 +194,110 @@ def central_pairs(near: DataFrame, matches: int = MATCHES) -> DataFrame:
         _collide("s_a", "s_b") >= matches).select("a", "b")
 
 
-def _block_pairs(matches: int):
-    """Pairs (a, b) of different components that reach the threshold, among the members of one list and pair of blocks."""
+class _Block:
+    """Rows of a block, against which others are held one after the other."""
 
-    def found(rows: list[dict]) -> Iterator[tuple[int, int]]:
-        marks = np.array([r["signature"] for r in rows], np.int32)
-        block, root, size = (np.array([r[c] for r in rows]) for c in ("block", "root", "n"))
-        own = rows[0]["low"] == rows[0]["high"]
-        for i, row in enumerate(rows):
-            # A block meets itself, each two members once, or the members of a later one.
-            if not own and block[i] != row["low"]:
-                break
-            others = np.arange(len(rows)) > i if own else block != block[i]
-            some = np.flatnonzero(others & (root != root[i]) & (100 * np.minimum(size, size[i]) >= 80 * np.maximum(size, size[i])))
-            some = some[(marks[some] == marks[i]).sum(axis=1) >= matches]
-            yield from (tuple(sorted((row["class"], rows[j]["class"]))) for j in some.tolist())
+    def __init__(self) -> None:
+        self.rows: list[dict] = []
+        self.marks, self.numbers = np.zeros((0, COORDINATES), np.int32), np.zeros((0, 2), np.int64)
+
+    def add(self, row: dict) -> None:
+        if len(self.rows) == len(self.marks):
+            room = max(16, len(self.rows))
+            self.marks = np.r_[self.marks, np.zeros((room, COORDINATES), np.int32)]
+            self.numbers = np.r_[self.numbers, np.zeros((room, 2), np.int64)]
+        self.marks[len(self.rows)] = row["signature"]
+        self.numbers[len(self.rows)] = row["n"], row["shared"]
+        self.rows.append(row)
+
+    def alike(self, row: dict, matches: int) -> Iterator[dict]:
+        """Rows that collide with ``row`` often enough and may still be linked with it."""
+        n, shared = self.numbers[:len(self.rows)].T
+        most = np.minimum(shared, row["shared"])
+        some = np.flatnonzero(100 * most >= 80 * (n + row["n"] - most))
+        some = some[(self.marks[some] == np.array(row["signature"], np.int32)).sum(axis=1) >= matches]
+        return (self.rows[i] for i in some.tolist())
+
+
+def _block_links(matches: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Confirmed links (a, b) that join components, among the members of one group and pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, held, joined, links = None, _Block(), {}, []
 
-        def told() -> pa.RecordBatch:
-            pairs = list(found(rows))
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        def find(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
 
         for batch in batches:
-            for r in batch.to_pylist():
-                now = (r["post"], r["low"], r["high"])
-                if now != key:
-                    if len(rows) > 1:
-                        yield told()
-                    key, rows = now, []
-                rows.append(r)
-        if len(rows) > 1:
-            yield told()
+            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                sets = part.column("set")
+                for i, r in enumerate(part.drop_columns(["set"]).to_pylist()):
+                    now = (r["group"], r["low"], r["high"])
+                    if now != key:
+                        key, held, joined = now, _Block(), {}
+                    r["set"] = sets[i].values.to_numpy()
+                    # A block meets itself, or a later one; its own rows come first.
+                    own = r["low"] == r["high"]
+                    if own or r["block"] == r["high"]:
+                        for x in held.alike(r, matches):
+                            a, b = find(x["root"]), find(r["root"])
+                            if a != b:
+                                both = len(np.intersect1d(x["set"], r["set"], assume_unique=True))
+                                if 100 * both >= 80 * (x["n"] + r["n"] - both):
+                                    joined[max(a, b)] = min(a, b)
+                                    links.append((x["class"], r["class"]))
+                    if own or r["block"] == r["low"]:
+                        held.add(r)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                links = []
 
     return run
 
 
-def remaining_pairs(near: DataFrame, roots: DataFrame, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
-    """Pairs of classes of one posting list that lie in different components (``roots``: node, root) and reach the threshold."""
-    rooted = _lists_of(near).join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    # Of two members, both were met in the first round.
-    several = rooted.groupBy("post").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("x"), F.max("root").alias("y")).where(
-        "x != y and members > 2").select("post", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    rows = cut(rooted.join(several, "post").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(near.select("class", "n", "signature"), "class")
-    parts = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _open(lists: DataFrame) -> DataFrame:
+    """Of ``lists`` (post, class, root) those that hold several components; of two members both were met in the first round."""
+    several = lists.groupBy("post").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("x"), F.max("root").alias("y")).where(
+        "x != y and members > 2").select("post", "members")
+    return lists.join(several, "post")
+
+
+def remaining_links(near: DataFrame, sets: DataFrame, roots: DataFrame, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join what the first round left apart (``roots``: node, root).
+
+    1. A class needs 80 % of its shingles in other components: what it holds alone or shares with its own
+       component bounds every link of it (``shared``). That leaves most members of a large family out.
+    2. Posting lists that overlap are one region. The members of a region are held against each other, or those
+       of each list by itself where that is less work; either way in blocks of bounded size.
+    """
+    lists = _lists_of(near).join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    asked = cut(_open(lists).select("post", "class", "root"))
+    shingles = asked.select("class", "root").distinct().join(sets, "class").select("class", "root", F.explode("set").alias("shingle"))
+    abroad = shingles.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("shingle")
+    able = shingles.join(abroad, "shingle").groupBy("class").agg(F.count(F.lit(1)).alias("shared")).join(
+        near.select("class", "n", "signature"), "class").where("100 * shared >= 80 * n")
+    able = cut(able)
+    rest = cut(_open(asked.join(able.select("class"), "class")))
+    least = rest.groupBy("post").agg(F.min("class").alias("b"))
+    regions = cut(components(rest.select("post", F.col("class").alias("a")).join(least, "post").select("a", "b")))
+    within = rest.join(regions.select(F.col("node").alias("class"), F.col("root").alias("region")), "class")
+    # The work of a region as a whole and list by list.
+    whole = regions.groupBy(F.col("root").alias("region")).agg((F.count(F.lit(1)).cast("double") ** 2).alias("whole"))
+    parts = within.select("region", "post", "members").distinct().groupBy("region").agg(F.sum(F.col("members").cast("double") ** 2).alias("parts"))
+    as_one = whole.join(parts, "region").select("region", (F.col("whole") <= F.col("parts")).alias("as_one"))
+    group = F.struct(F.when(F.col("as_one"), F.lit(0)).otherwise(1).alias("kind"), F.when(F.col("as_one"), F.col("region")).otherwise(F.col("post")).alias("id"))
+    members = within.join(as_one, "region").select(group.alias("group"), "class", "root").distinct()
+    sizes = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    own = able.join(sets, "class").select("class", "n", "shared", "signature", "set")
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(own, "class")
+    tasks = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return met.select(
-        "post", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "root", "n",
-        "signature").repartition(parts, "post", "low", "high").sortWithinPartitions("post", "low", "high", "block").mapInArrow(
-        _block_pairs(matches), "a long, b long").distinct()
+        F.xxhash64("group").alias("group"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class",
+        "root", "n", "shared", "signature", "set").repartition(tasks, "group", "low", "high").sortWithinPartitions(
+        "group", "low", "high", "block").mapInArrow(_block_links(matches), "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -265,9 +320,7 @@ def links(classes: DataFrame, documents: DataFrame, matches: int = MATCHES, bloc
     sets = cut(full_sets(documents, near.select("class").join(classes, "class").select("class", "doc_id", "key")))
     first = cut(central_pairs(near, matches))
     found = cut(components(confirmed(first, sets)))
-    rest = remaining_pairs(near, found, matches, block)
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(confirmed(rest.join(tested, ["a", "b"], "left_anti"), sets))
+    more = cut(remaining_links(near, sets, found, matches, block))
     if more.isEmpty():
         return found
     return cut(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))

@@ -84,18 +84,40 @@ def test_families_that_hang_on_one_text_or_on_chains(spark, centre):
     assert sorted(map(tuple, found.collect()), key=str) == classes_by_hand(rows)
 
 
-def test_second_round_meets_every_two_members_once(spark):
-    """Blocks of a list together hold every pair of different components that reaches the threshold."""
+def test_second_round_joins_all_components_of_a_list(spark):
+    """Blocks of a list, or of a region of lists, together find every link between components."""
     rng = np.random.default_rng(6)
-    marks = rng.integers(0, 3, (23, minhash.COORDINATES))
-    near = spark.createDataFrame([(i, 10, marks[i].tolist(), [5, 6 + i % 2]) for i in range(23)],
-                                 "class long, n long, signature array<int>, prefix array<long>")
-    roots = spark.createDataFrame([(i, i % 2) for i in range(6)], "node long, root long")
-    want = {(i, j) for i in range(23) for j in range(i + 1, 23)
-            if (marks[i] == marks[j]).sum() >= 28 and not (j < 6 and i % 2 == j % 2)}
-    for block in (1, 4, 100):
-        found = minhash.remaining_pairs(near, roots, 28, block).collect()
-        assert len(found) == len(want) and set(map(tuple, found)) == want
+    sets = [np.unique(np.r_[np.arange(40), rng.integers(40, 60, rng.integers(0, 16))]) for _ in range(33)]
+    marks = minhash.signatures([s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for s in sets]).view(np.int32)
+    shape = "class long, n long, signature array<int>, prefix array<long>, set array<long>"
+    root = {i: i % 2 for i in range(8)}
+    for posts in ([5, 6], [5 + 1000]):
+        near = spark.createDataFrame([(i, len(s), marks[i].tolist(), [posts[i % len(posts)], 900 + i // 11, 50], s.tolist())
+                                      for i, s in enumerate(sets)], shape)
+        roots = spark.createDataFrame(list(root.items()), "node long, root long")
+
+        def linked(i, j):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            return 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both)
+
+        def classes(links):
+            own = {i: root.get(i, i) for i in range(33)}
+            for a, b in links:
+                one, two = own[a], own[b]
+                own = {k: min(one, two) if v in (one, two) else v for k, v in own.items()}
+            return own
+
+        want = classes([(i, j) for i in range(33) for j in range(i) if linked(i, j)])
+        for block in (1, 4, 100):
+            found = minhash.remaining_links(near.drop("set"), near.select("class", "set"), roots, 1, block).collect()
+            assert all(linked(a, b) for a, b in found) and classes(found) == want
+
+
+def test_classes_without_shingles_of_others_are_left_out(spark):
+    rows = [(i, [1] * minhash.COORDINATES, [7], [*range(30), 100 + 9 * i, *range(101 + 9 * i, 109 + 9 * i)]) for i in range(5)]
+    near = spark.createDataFrame([(i, len(s), m, p, s) for i, m, p, s in rows], "class long, n long, signature array<int>, prefix array<long>, set array<long>")
+    none = spark.createDataFrame([], "node long, root long")
+    assert minhash.remaining_links(near.drop("set"), near.select("class", "set"), none, 1).count() == 0
 
 
 def test_prefixes_meet_wherever_the_threshold_is_reached(spark):
