@@ -4,13 +4,13 @@
    each source holds. Only counts and one text per digest (SHA-256) move.
 2. *Counting.* Each such text is cut into terms once. Its term counts enter every source times the source's
    copies, and so do the document frequencies. Tasks add up before they pass rows on, so a term that
-   every document holds is a row per source and task.
+   every document holds is a row per task.
 3. *Kept terms* of a language stand in at least ``LEAST_DOCUMENTS`` of its documents. A kept term has one
    row with its profile: the sources that hold it and its count in each. Every share is smoothed,
    ``p = 1 + floor(1e9 (count + 1) / (N + V))``, and ``f(p, q) = floor((p - q)^2 / q)`` measures a term.
 4. *Sparse pair evaluation.* A term that neither source holds adds the same number for the whole pair. A
    term of one source depends on its count alone, so a histogram of counts stands for all of them. Only
-   terms of both sources are met pair by pair, and terms of equal profile once for all.
+   terms that both sources hold are met pair by pair.
 
 All arithmetic is on whole numbers. Sources and languages are compared as they are written.
 
@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ from ruleharbor.llm.common import bytes_of, cut, sliced, small
 
 LEAST_DOCUMENTS = 3
 UNIT = 1_000_000_000
+WIDE = 9_000_000_000
 MOST_TERMS = 200  # ranks of the report on terms
 PIECE = 1 << 22  # bytes of a long text that are cut into terms at a time
 HELD = 400_000  # entries that a task adds up before it passes them on
@@ -63,21 +65,37 @@ def collapsed(documents: DataFrame) -> DataFrame:
         "lang", "text", "sources")
 
 
+_COUNTED = "lang string, term binary, sources array<struct<source:string,n:bigint,documents:bigint>>"
+
+
 def _counter(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts and document frequencies per language, source and term, passed on when a task holds over ``most``."""
+    """Per language and term the counts and document frequencies of its sources, passed on when a task holds over ``most``."""
+    entry = pa.struct([("source", pa.string()), ("n", pa.int64()), ("documents", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple[Counter, Counter]] = {}
 
         def told() -> Iterator[pa.RecordBatch]:
-            for (lang, sources), (counts, documents) in held.items():
-                terms = pa.array(list(counts), pa.binary())
-                n, among = list(counts.values()), [documents[t] for t in counts]
-                for source, copies in sources:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), terms,
-                         pa.array([copies * x for x in n], pa.int64()), pa.array([copies * x for x in among], pa.int64())],
-                        names=["lang", "source", "term", "n", "documents"])
+            for lang in dict.fromkeys(lang for lang, _ in held):
+                names: dict[str, int] = {}
+                columns: list[list] = [[], [], [], []]  # term, number of the source, n, documents
+                for (own, sources), (counts, documents) in held.items():
+                    for source, copies in sources if own == lang else ():
+                        columns[0] += counts
+                        columns[1] += [names.setdefault(source, len(names))] * len(counts)
+                        columns[2] += [copies * n for n in counts.values()]
+                        columns[3] += [copies * documents[t] for t in counts]
+                number: dict[bytes, int] = {}
+                at = np.array([number.setdefault(t, len(number)) for t in columns[0]], np.int64)
+                order = np.argsort(at, kind="stable")
+                offsets = pa.array(np.r_[0, np.cumsum(np.bincount(at))] if len(at) else [0], pa.int32())
+                source = pa.DictionaryArray.from_arrays(pa.array(np.array(columns[1], np.int64)[order]), pa.array(list(names), pa.string()))
+                cells = pa.StructArray.from_arrays(
+                    [source.dictionary_decode(), *(pa.array(np.array(c, np.int64)[order]) for c in columns[2:])], fields=list(entry))
+                terms = pa.array(list(number), pa.binary())
+                table = pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(terms), pa.string()), terms, pa.ListArray.from_arrays(offsets, cells)], names=["lang", "term", "sources"])
+                yield from (table.slice(i, 10_000) for i in range(0, table.num_rows, 10_000))
             held.clear()
 
         for batch in batches:
@@ -98,8 +116,10 @@ def _counter(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 def profiles(documents: DataFrame) -> DataFrame:
     """Per language and kept term: lang, term, n (in the language) and profile, the sources' counts in order."""
-    counted = collapsed(documents).mapInArrow(_counter(HELD), "lang string, source string, term binary, n long, documents long")
-    by_source = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    # A row per term and task: a term that every document holds is as many rows as there are tasks.
+    counted = collapsed(documents).mapInArrow(_counter(HELD), _COUNTED).repartition("lang", "term")
+    each = counted.select("lang", "term", F.inline("sources"))
+    by_source = each.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
     return by_source.groupBy("lang", "term").agg(
         F.sum("documents").alias("documents"), F.sum("n").alias("n"),
         F.sort_array(F.collect_list(F.struct("source", "n"))).alias("profile")).where(
@@ -107,9 +127,10 @@ def profiles(documents: DataFrame) -> DataFrame:
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
-    """The smoothed share of a count, in billionths and one more."""
-    wide = F.lit(UNIT).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)")
-    return F.lit(1).cast("long") + F.call_function("div", wide, (total + terms).cast("decimal(20,0)"))
+    """The smoothed share of a count, in billionths and one more; longs hold the product up to ``WIDE``."""
+    exact = F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)"), (total + terms).cast("decimal(20,0)"))
+    fast = F.call_function("div", F.lit(UNIT).cast("long") * (count + 1), total + terms)
+    return F.lit(1).cast("long") + F.when(count < WIDE, fast).otherwise(exact)
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -147,16 +168,13 @@ def _pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
         small(ours.drop("v")), "lang").where(other).select(
         "lang", "s", "t", (F.col("many") * distance(F.col("s_none"), share(F.col("n"), F.col("t_total"), F.col("v")))).alias("value"),
         no.alias("both"))
-    alike = kept.where(F.size("profile") > 1).groupBy("lang", "profile").agg(F.count(F.lit(1)).alias("many"))
-    met = alike.select("lang", "many", "profile", F.explode("profile").alias("x")).select(
-        "lang", "many", "x", F.explode("profile").alias("y")).select(
-        "lang", F.col("x.source").alias("s"), F.col("y.source").alias("t"), F.col("x.n").alias("s_n"), F.col("y.n").alias("t_n"),
-        "many").where(other).groupBy("lang", "s", "t", "s_n", "t_n").agg(F.sum("many").alias("many"))
+    met = kept.where(F.size("profile") > 1).select("lang", "profile", F.explode("profile").alias("x")).select(
+        "lang", "x", F.explode("profile").alias("y")).select(
+        "lang", F.col("x.source").alias("s"), F.col("y.source").alias("t"), F.col("x.n").alias("s_n"), F.col("y.n").alias("t_n")).where(other)
     p, q = share(F.col("s_n"), F.col("s_total"), F.col("v")), share(F.col("t_n"), F.col("t_total"), F.col("v"))
     shared = met.join(small(ours), ["lang", "s"]).join(small(theirs.drop("v")), ["lang", "t"]).select(
-        "lang", "s", "t",
-        (F.col("many") * (distance(p, q) - distance(p, F.col("t_none")) - distance(F.col("s_none"), q))).alias("value"),
-        F.col("many").alias("both"))
+        "lang", "s", "t", (distance(p, q) - distance(p, F.col("t_none")) - distance(F.col("s_none"), q)).alias("value"),
+        F.lit(1).cast("long").alias("both"))
     found = one.union(two).union(shared).groupBy("lang", "s", "t").agg(F.sum("value").alias("value"), F.sum("both").alias("both"))
     every = ours.join(small(theirs.drop("v")), "lang").where(other).join(found, ["lang", "s", "t"], "left")
     neither = F.col("v") - F.col("s_held") - F.col("t_held") + F.coalesce("both", no)

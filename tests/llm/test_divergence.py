@@ -87,7 +87,14 @@ def test_counts_are_passed_on_in_parts(spark):
     shape = "lang string, text binary, sources array<struct<source string, n long>>"
     given = spark.createDataFrame([(lang, t.encode(), s) for lang, t, s in rows], shape)
     for most in (1, 3, 10**6):
-        found = given.coalesce(1).mapInArrow(divergence._counter(most), "lang string, source string, term binary, n long, documents long")
+        found = given.coalesce(1).mapInArrow(divergence._counter(most), divergence._COUNTED).select("term", F.inline("sources"))
         total = found.groupBy("source", F.col("term").cast("string")).agg(F.sum("n"), F.sum("documents")).collect()
         assert sorted(map(tuple, total)) == sorted(
             (s, t, k * 5 * n, k * 5 * d) for s, k in (("s", 2), ("t", 1)) for t, n, d in (("a", 3, 2), ("b", 2, 2), ("c", 3, 2), ("d", 1, 1)))
+
+
+def test_shares_of_counts_beyond_longs_are_exact(spark):
+    rows = [(c, n, v) for c in (0, 7, divergence.WIDE - 1, divergence.WIDE, 10**14) for n in (c, c + 10**15 + 7) for v in (1, 999)]
+    found = spark.createDataFrame(rows, "c long, n long, v long").select(
+        "c", "n", "v", divergence.share(F.col("c"), F.col("n"), F.col("v")).alias("p")).collect()
+    assert [r.p for r in found] == [1 + 10**9 * (c + 1) // (n + v) for c, n, v in rows]
