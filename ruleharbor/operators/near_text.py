@@ -85,7 +85,8 @@ def probes(asked: DataFrame, classes: DataFrame, ratio: float, spread: int = SPR
     place = F.col("number") * F.col("size")
     first = F.greatest(F.lit(0), place - F.col("edits"))
     around = F.substring(F.col("text"), F.col("first") + 1, place + F.col("edits") + F.col("size") - F.col("first"))
-    room = F.length("around") - F.col("size")
+    # An empty text is its only segment.
+    room = F.when(F.length("text") == 0, 0).otherwise(F.length("around") - F.col("size"))
     rows = rows.withColumn("first", first).withColumn("around", around)
     found = F.when(F.col("parts") == 0, F.array(F.struct(_posting("group", F.lit(0), F.lit("")).alias("posting"), F.lit(None).cast("int").alias("moved")))).when(
         room >= 0, F.transform(F.sequence(F.lit(0), F.greatest(room, F.lit(0))), lambda j: F.struct(

@@ -62,16 +62,24 @@ def test_exact(log):
     assert answers(R.exact_hits(requests, R.lifetimes(entries))) == want
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_fuzzy(log, block):
+@pytest.mark.parametrize("rows_of_a_slice", [10, 1_000_000])
+def test_exact_whatever_the_slices(log, rows_of_a_slice, monkeypatch):
+    rows, requests, entries = log
+    monkeypatch.setattr(R, "SLICE_ROWS", rows_of_a_slice)
+    want = {r[0]: e[0] for r in rows for e in alive_at(rows, r[3]) if (e[1], e[2]) == (r[1], r[2])}
+    assert answers(R.exact_hits(requests, R.lifetimes(entries))) == want
+
+
+@pytest.mark.parametrize("ratio, spread", [(0.95, 3), (0.95, 1), (0.8, 2), (0.5, 3)])
+def test_fuzzy(log, ratio, spread):
     rows, requests, entries = log
     want = {}
     for r in rows:
         fits = [e for e in alive_at(rows, r[3]) if e[2] == r[2]
-                and 1 - distance(e[1], r[1]) / max(len(e[1]), len(r[1])) >= 0.95]
+                and 1 - distance(e[1], r[1]) / max(len(e[1]), len(r[1])) >= ratio]
         if fits:
             want[r[0]] = min(fits, key=lambda e: e[3])[0]
-    assert answers(R.fuzzy_hits(requests, R.lifetimes(entries), block=block)) == want
+    assert answers(R.fuzzy_hits(requests, R.lifetimes(entries), ratio, spread)) == want
 
 
 @pytest.mark.parametrize("block", [2048, 5])
@@ -101,7 +109,9 @@ def test_cascade_answers_every_request_once(log):
     assert stats["exact_hits"] + stats["fuzzy_hits"] + stats["semantic_hits"] + stats["misses"] == len(rows)
 
 
-def test_no_layer_below_the_default_ratio(log):
-    _, requests, entries = log
-    with pytest.raises(ValueError):
-        R.fuzzy_hits(requests, R.lifetimes(entries), ratio=0.5)
+def test_cascade_without_vectors(log):
+    rows, requests, entries = log
+    found = R.reuse_cascade(requests.drop("embedding"), entries.drop("embedding"))
+    with_vectors = R.reuse_cascade(requests, entries, layers=("exact", "fuzzy"))
+    key = lambda df: sorted((r["query_id"], r["layer"], r["entry_id"]) for r in df.collect())
+    assert key(found) == key(with_vectors)
