@@ -27,9 +27,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ from ruleharbor.llm.common import bytes_of, cut, sliced, small
 FOLDER = "/opt/tokenizers"
 FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 FREQUENT = 1 << 20
-HELD_SEGMENTS = 300_000  # segments that a worker remembers, and links of theirs
-HELD_LINKS = 4_000_000
+HELD_SEGMENTS = 500_000  # segments that a worker remembers, and links of theirs
+HELD_LINKS = 6_000_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARK = "▁"
 
@@ -65,7 +66,10 @@ class Tokenizers:
         self.a = Tokenizer.from_file(a_file)
         self.a.encode_special_tokens = True
         alphabet = byte_alphabet()
-        self.a_bytes = {i: bytes(alphabet[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.a_bytes[i] = bytes(alphabet[c] for c in token)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
@@ -73,6 +77,10 @@ class Tokenizers:
             if not self.b.is_control(i) and not self.b.is_unknown(i) and _MARK in piece.lstrip(_MARK):
                 raise ValueError(f"piece {piece!r} spans a space, so texts cannot be cut there")
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(_MARK, " ").encode())
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        # Ids as they are told inside a group and at its end.
+        self.marked = [f"{i}{mark}".encode() for n, marks in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for i in range(n) for mark in marks]
+        self.codes = 2 * np.arange(len(self.a_bytes)), 2 * (len(self.a_bytes) + np.arange(len(self.b_bytes)))
 
 
 @lru_cache(maxsize=2)
@@ -80,86 +88,125 @@ def tokenizers(folder: str) -> Tokenizers:
     return Tokenizers(*(os.path.join(folder, name) for name in FILES))
 
 
-def ends_of(coarse: list[tuple[int, int]], pieces: list[bytes]) -> list[int] | None:
-    """The byte where each token ends. ``coarse`` are the byte spans that a tokenizer tells, ``pieces`` the decoded bytes.
+def ends_of(begins: np.ndarray, ends: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The byte where each token ends, one text after the other.
 
-    A span's end counts if the next token begins there; others share a character and are refined by their
-    bytes. None if spans and bytes contradict each other.
+    ``begins`` and ``ends`` are the byte spans that a tokenizer tells, ``last`` marks the last token of a text, ``sizes``
+    are the lengths of the decoded bytes. A span's end is a cut if the next token begins behind it. Tokens that
+    share a character end, counted from the cut before them, where their bytes end.
     """
-    ends, at = [], 0
-    for i, ((_, end), piece) in enumerate(zip(coarse, pieces, strict=True)):
-        last = i + 1 == len(coarse)
-        at += len(piece)
-        if (last or coarse[i + 1][0] >= end > coarse[i][0]) and at != end:
-            return None
-        ends.append(at)
-    return ends
-
-
-def groups_of(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[str, int, list[tuple[int, int]]]:
-    """The groups as text (``a1,a2|b1;a3|b2``), how many there are, and the linked ids in order."""
-    links, groups, i, j, first_a, first_b = [], [], 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        links.append((a[i], b[j]))
-        ahead = a_ends[i] - b_ends[j]
-        if ahead <= 0:
-            i += 1
-        if ahead >= 0:
-            j += 1
-        if ahead == 0:
-            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-            first_a, first_b = i, j
-    return ";".join(groups), len(groups), links
-
-
-def aligned(tools: Tokenizers, texts: list[str]) -> list[tuple | None]:
-    """Per text, each beginning with a space: tokens of A, tokens of B, groups, groups as text and links; None if bytes differ."""
+    if not len(ends):
+        return ends
+    cut = last | (np.r_[begins[1:], ends[-1]] >= ends) & (ends > begins)
+    total = np.cumsum(sizes)
+    before = np.maximum.accumulate(np.where(cut, np.arange(len(ends)), -1))
+    found = np.where(before >= 0, ends[before] - total[before], 0) + total
+    if (found[cut] != ends[cut]).any() or not np.array_equal(np.diff(found, prepend=0), sizes):
+        raise ValueError("spans and bytes of tokens differ")
+    return found
+
+
+@dataclass
+class Aligned:
+    """Texts one after the other: whether both tokenizers give the bytes back, numbers of tokens, groups and links, groups
+    as text, and the links (A's id above B's)."""
+
+    sound: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    told: list[bytes]
+    links: np.ndarray
+
+
+def _flat(rows: Iterable, kind: type = np.int64) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(rows), kind)
+
+
+def aligned(tools: Tokenizers, texts: list[str]) -> Aligned:
+    """Both encodings of texts that begin with a space, cut into groups and linked."""
     ours = tools.a.encode_batch(texts, add_special_tokens=False)
-    theirs = tools.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
-    out: list[tuple | None] = []
-    for text, one, two in zip(texts, ours, theirs, strict=True):
-        whole = text.encode()
-        a, b = one.ids, [p.id for p in two.pieces]
-        a_parts, b_parts = [tools.a_bytes[i] for i in a], [tools.b_bytes[i] for i in b]
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-            out.append(None)
-            continue
-        starts = range(len(text) + 1) if len(whole) == len(text) else np.cumsum([0, *(len(c.encode()) for c in text)]).tolist()
-        # B's spans leave out the space that it adds in front.
-        b_spans = [(p.begin + 1 if k else 0, p.end + 1) for k, p in enumerate(two.pieces)]
-        a_ends = ends_of([(starts[s], starts[e]) for s, e in one.offsets], a_parts)
-        b_ends = ends_of(b_spans, b_parts)
-        if a_ends is None or b_ends is None:
-            raise ValueError(f"spans and bytes of tokens differ in {text!r}")
-        told, n, links = groups_of(a, a_ends, b, b_ends)
-        out.append((len(a), len(b), n, told.encode(), links))
+    # B adds the space itself.
+    theirs = [t.pieces for t in tools.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)]
+    whole = [t.encode() for t in texts]
+    a_ids, b_ids = [e.ids for e in ours], [[p.id for p in t] for t in theirs]
+    sound = np.array([b"".join([tools.a_bytes[i] for i in a]) == w == b"".join([tools.b_bytes[i] for i in b])
+                      for a, b, w in zip(a_ids, b_ids, whole, strict=True)], bool)
+    use = np.flatnonzero(sound).tolist()
+    text = b"".join([whole[i] for i in use])
+    # The byte where each character begins, and where each text does.
+    chars = np.r_[np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80), len(text)]
+    sizes = [np.array([len(rows[i]) for i in use], np.int64) for rows in (a_ids, b_ids, texts, whole)]
+    first_char, first_byte = (np.cumsum(n) - n for n in sizes[2:])
+    ends, flat, parts = [], [], []
+    for side, ids, lengths in ((0, a_ids, tools.a_sizes), (1, b_ids, tools.b_sizes)):
+        row = np.repeat(np.arange(len(use)), sizes[side])
+        own = _flat(ids[i] for i in use)
+        last = np.r_[row[1:] != row[:-1], np.ones(min(1, len(row)), bool)]
+        if side == 0:
+            spans = _flat(chain.from_iterable(ours[i].offsets) for i in use).reshape(-1, 2) + first_char[row][:, None]
+            begins, stops = chars[spans[:, 0]], chars[spans[:, 1]]
+        else:
+            # B's spans are bytes and leave out the space that it adds in front.
+            spans = _flat(chain.from_iterable((p.begin, p.end) for p in theirs[i]) for i in use).reshape(-1, 2) + first_byte[row][:, None] + 1
+            begins, stops = spans[:, 0] - np.r_[True, last[:-1]][:len(row)], spans[:, 1]
+        ends.append(ends_of(begins, stops, last, lengths[own]))
+        flat.append(own)
+        parts.append(row)
+    shared = np.intersect1d(*ends, assume_unique=True)
+    # Tokens in the order they are told: per group those of A, then those of B, each with the mark behind it.
+    codes, order = [], []
+    for side in (0, 1):
+        closing = np.isin(ends[side], shared, assume_unique=True)
+        codes.append(tools.codes[side][flat[side]] + closing)
+        order.append(2 * (np.cumsum(closing) - closing) + side)
+    codes, order = np.concatenate(codes), np.argsort(np.concatenate(order), kind="stable")
+    marked = [tools.marked[c] for c in codes[order].tolist()]
+    stops = np.cumsum(sizes[0] + sizes[1]).tolist()
+    told = [b"".join(marked[i:j])[:-1] for i, j in zip([0, *stops], stops, strict=False)]
+    # The first and the last token of B that a token of A overlaps.
+    low = np.searchsorted(ends[1], ends[0] - tools.a_sizes[flat[0]], side="right")
+    many = np.searchsorted(ends[1], ends[0]) - low + 1
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    links = np.repeat(flat[0], many) << 32 | flat[1][at]
+    out = Aligned(sound, *(np.zeros(len(texts), np.int64) for _ in range(4)), [b""] * len(texts), links)
+    out.n_a[use], out.n_b[use] = sizes[0], sizes[1]
+    out.n_links[use] = np.bincount(parts[0], many, len(use)).astype(np.int64)
+    out.n_groups[use] = np.bincount(np.searchsorted(np.cumsum(sizes[3]), shared), minlength=len(use))
+    for i, t in zip(use, told, strict=True):
+        out.told[i] = t
     return out
 
 
-@dataclass
 class Segments:
-    """Segments met by a worker: their numbers, and by number tokens, groups, groups as text and packed links."""
-
-    tools: Tokenizers
-    number: dict[str, int] = field(default_factory=dict)
-    sizes: list[tuple[int, int, int]] = field(default_factory=list)
-    told: list[bytes] = field(default_factory=list)
-    links: list[np.ndarray] = field(default_factory=list)
-    held: int = 0
-
-    def learn(self, segments: list[str]) -> None:
-        if len(self.number) > HELD_SEGMENTS or self.held > HELD_LINKS:
-            self.number, self.sizes, self.told, self.links, self.held = {}, [], [], [], 0
-        new = list(dict.fromkeys(s for s in segments if s not in self.number))
+    """Segments met by a worker: their numbers, and by number what is known of them."""
+
+    def __init__(self, tools: Tokenizers, most: int = HELD_SEGMENTS, most_links: int = HELD_LINKS):
+        self.tools, self.most, self.most_links = tools, most, most_links
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.told: list[bytes] = []
+        self.sizes = np.zeros((0, 5), np.int64)  # sound, tokens of A, of B, groups, links
+        self.starts, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, segments: Iterable[str]) -> None:
+        if len(self.number) > self.most or len(self.links) > self.most_links:
+            self.forget()
+        new = [s for s in dict.fromkeys(segments) if s not in self.number]
+        sizes, links = [self.sizes], [self.links]
         for start in range(0, len(new), 4096):
             some = new[start:start + 4096]
-            for segment, found in zip(some, aligned(self.tools, [" " + s for s in some]), strict=True):
-                self.number[segment] = len(self.told)
-                a, b, groups, told, links = found or (0, 0, -1, b"", [])
-                self.sizes.append((a, b, groups))
-                self.told.append(told)
-                self.links.append(np.array([x << 32 | y for x, y in links], np.int64))
-                self.held += len(links)
+            found = aligned(self.tools, [" " + s for s in some])
+            self.number |= zip(some, range(len(self.told), len(self.told) + len(some)), strict=True)
+            self.told += found.told
+            sizes.append(np.stack([found.sound, found.n_a, found.n_b, found.n_groups, found.n_links], axis=1).astype(np.int64))
+            links.append(found.links)
+        if new:
+            self.sizes, self.links = np.concatenate(sizes), np.concatenate(links)
+            self.starts = np.cumsum(self.sizes[:, 4]) - self.sizes[:, 4]
 
 
 @lru_cache(maxsize=1)
@@ -177,27 +224,24 @@ def _decoded(text: bytes) -> str | None:
 def per_document(texts: list[bytes], known: Segments) -> dict[str, pa.Array]:
     """The alignment of texts: tokens, groups, links, digest, and distinct links (``pairs``) with their counts."""
     cells = [_CUT.split(t) if t is not None else [] for t in map(_decoded, texts)]
-    known.learn([s for c in cells for s in c])
-    out, pairs, counts, lengths = [], [], [], []
-    for segments in cells:
-        at = [known.number[s] for s in segments]
-        sizes = np.array([known.sizes[i] for i in at], np.int64).reshape(-1, 3)
-        if not at or (sizes[:, 2] < 0).any():
-            out.append((0, 0, 0, 0, ""))
-            lengths.append(0)
-            continue
-        links, n = np.unique(np.concatenate([known.links[i] for i in at]), return_counts=True)
-        digest = hashlib.sha256(b";".join([known.told[i] for i in at])).hexdigest()
-        out.append((*sizes.sum(axis=0).tolist(), int(n.sum()), digest))
-        pairs.append(links)
-        counts.append(n.astype(np.int32))
-        lengths.append(len(n))
-    names = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")
-    found = {name: pa.array([row[i] for row in out], pa.string() if i == 4 else pa.int64()) for i, name in enumerate(names)}
-    offsets = pa.array(np.cumsum([0, *lengths]), pa.int32())
+    known.learn(chain.from_iterable(cells))
     none = np.zeros(0, np.int64)
-    return found | {"pairs": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([none, *pairs]), pa.int64())),
-                    "counts": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([none, *counts]), pa.int32()))}
+    sums, digests, pairs, counts = np.zeros((len(texts), 4), np.int64), [""] * len(texts), [none] * len(texts), [none] * len(texts)
+    for row, segments in enumerate(cells):
+        at = np.fromiter(map(known.number.__getitem__, segments), np.int64, len(segments))
+        sizes = known.sizes[at]
+        if not len(at) or not sizes[:, 0].all():
+            continue
+        many = sizes[:, 4]
+        places = np.arange(many.sum()) + np.repeat(known.starts[at] - np.cumsum(many) + many, many)
+        pairs[row], counts[row] = np.unique(known.links[places], return_counts=True)
+        sums[row] = sizes[:, 1:].sum(axis=0)
+        digests[row] = hashlib.sha256(b";".join([known.told[i] for i in at.tolist()])).hexdigest()
+    found = {name: pa.array(sums[:, i]) for i, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
+    offsets = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
+    return found | {"groups_sha256": pa.array(digests, pa.string()),
+                    "pairs": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([none, *pairs]), pa.int64())),
+                    "counts": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([none, *counts]).astype(np.int32)))}
 
 
 _SHAPE = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, counts array<int>"
@@ -219,7 +263,7 @@ def alignments(documents: DataFrame, folder: str = FOLDER) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, {_SHAPE}").withColumn("row_id", F.monotonically_increasing_id())
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _links_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The place of the document in the batch, the pair and the count of every distinct link."""
     lengths = np.diff(batch.column("pairs").offsets.to_numpy())
     return (np.repeat(np.arange(batch.num_rows), lengths), batch.column("pairs").flatten().to_numpy(zero_copy_only=False),
@@ -241,7 +285,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(held_pairs), pa.array(held_counts)], names=["pair", "n"])
 
     for batch in batches:
-        _, pairs, counts = _flat(batch)
+        _, pairs, counts = _links_of(batch)
         waiting.append((pairs, counts))
         if sum(len(p) for p, _ in waiting) > 2_000_000:
             held_pairs, held_counts = merged()
@@ -288,7 +332,7 @@ def align(documents: DataFrame, folder: str = FOLDER, frequent: int = FREQUENT)
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, total, best = table
         for batch in batches:
-            row, pair, n = _flat(batch)
+            row, pair, n = _links_of(batch)
             at = np.minimum(np.searchsorted(pairs, pair), max(0, len(pairs) - 1))
             here = pairs[at] == pair if len(pairs) else np.zeros(len(pair), bool)
             one, many = (np.zeros(batch.num_rows, np.int64) for _ in range(2))

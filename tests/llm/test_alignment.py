@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -99,17 +100,26 @@ def test_invalid_bytes_have_no_tokens():
     assert found["n_a"].to_pylist()[0] == 0 < found["n_a"].to_pylist()[1] and found["groups_sha256"].to_pylist()[0] == ""
 
 
-def test_forgotten_segments_are_learned_again(monkeypatch):
-    monkeypatch.setattr(alignment, "HELD_SEGMENTS", 3)
+def test_forgotten_segments_are_learned_again():
     tools = alignment.tokenizers(alignment.FOLDER)
-    known, texts = alignment.Segments(tools), [t.encode() for t in TEXTS]
-    small = [alignment.per_document([t], known) for t in texts]
+    known, texts = alignment.Segments(tools, most=3), [t.encode() for t in TEXTS]
+    few = [alignment.per_document([t], known) for t in texts]
     whole = alignment.per_document(texts, alignment.Segments(tools))
-    assert [s["groups_sha256"][0].as_py() for s in small] == whole["groups_sha256"].to_pylist()
+    assert [x["groups_sha256"][0].as_py() for x in few] == whole["groups_sha256"].to_pylist()
+    assert [x["pairs"][0].as_py() for x in few] == whole["pairs"].to_pylist()
 
 
 def test_spans_are_refined_by_bytes():
+    def ends(spans, pieces, last=None):
+        begins, stops = np.array(spans).T
+        return alignment.ends_of(begins, stops, np.arange(len(spans)) == len(spans) - 1 if last is None else np.array(last),
+                                 np.array([len(p) for p in pieces])).tolist()
+
     # A character of three bytes in three tokens, told as one span each, then a plain one.
-    assert alignment.ends_of([(0, 3), (0, 3), (0, 3), (3, 4)], [b"\xe6", b"\xbc", b"\xa2", b"x"]) == [1, 2, 3, 4]
-    assert alignment.ends_of([(0, 0), (0, 0), (0, 3)], [b"\xe6", b"\xbc", b"\xa2"]) == [1, 2, 3]
-    assert alignment.ends_of([(0, 2), (2, 4)], [b"a", b"bcd"]) is None
+    assert ends([(0, 3), (0, 3), (0, 3), (3, 4)], [b"\xe6", b"\xbc", b"\xa2", b"x"]) == [1, 2, 3, 4]
+    assert ends([(0, 0), (0, 0), (0, 3)], [b"\xe6", b"\xbc", b"\xa2"]) == [1, 2, 3]
+    # Two texts one after the other.
+    assert ends([(0, 2), (2, 4), (2, 4)], [b"ab", b"\xc3", b"\xa9"], [True, False, True]) == [2, 3, 4]
+    for spans, pieces in (([(0, 2), (2, 4)], [b"a", b"bcd"]), ([(0, 1), (1, 2)], [b"a", b"bcd"])):
+        with pytest.raises(ValueError):
+            ends(spans, pieces)
