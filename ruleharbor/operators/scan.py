@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ruleharbor.functions.expr import once
 from ruleharbor.functions.pii import names_personal_data
+from ruleharbor.operators import rule_index
 from ruleharbor.operators.predicates import PREPARED, RULE_SCHEMA, Rule, Setting, cell, condition, find_field
 from ruleharbor.sources.local import small_frame
+from ruleharbor.sources.logs import replace_scan
 
-# Limits for the rules checked in one pass over a table. The JVM runs a generated method
-# slowly, or not compiled at all, once it grows too large; measured on 100 rules, passes of
-# 50 beat smaller ones and a single pass of 100 is ten times slower. Long conditions
-# count by the length of their text.
+# Limits for the rules that are conditions of one generated method. The JVM runs a generated method
+# slowly, or not compiled at all, once it grows too large; measured on 100 rules, a single method
+# for all is ten times slower. Long conditions count by the length of their text. Tables with more
+# rules are checked through an index of them (``rule_index``), in one read all the same.
 RULES_PER_PASS = 50
 PASS_LENGTH = 4_000
 
@@ -43,7 +46,7 @@ class Source:
 class Pair:
     """A rule aimed at a table; ``violates`` is None when it cannot run there, for ``reason``.
 
-    ``needs`` names the readings of text cells that ``violates`` refers to.
+    ``needs`` names the readings of text cells that ``violates`` refers to, ``setting`` what it was planned with.
     """
 
     rule: Rule
@@ -51,6 +54,7 @@ class Pair:
     violates: Column | None
     reason: str | None = None
     needs: Mapping[str, Column] = field(default_factory=dict)
+    setting: Setting | None = None
 
 
 @dataclass(frozen=True)
@@ -100,7 +104,7 @@ def plan_pairs(rules: Iterable[Rule], sources: Mapping[str, Source], setting: Se
                 needs: dict[str, Column] = {}
                 violates = condition(rule, source.df.schema, replace(setting, prepared=needs))
                 reason = None if violates is not None else "unsupported operator or value"
-                pairs.append(Pair(rule, table, violates, reason, needs))
+                pairs.append(Pair(rule, table, violates, reason, needs, setting))
     return pairs
 
 
@@ -127,9 +131,12 @@ def _keyed(source: Source) -> DataFrame:
     return source.df.where(present)
 
 
-def _prepared(rows: DataFrame, pairs: Iterable[Pair]) -> DataFrame:
+def _needs(pairs: Iterable[Pair]) -> dict[str, Column]:
+    return {name: value for p in pairs for name, value in p.needs.items()}
+
+
+def _prepared(rows: DataFrame, needs: Mapping[str, Column]) -> DataFrame:
     """Rows with the text cells the rules read as numbers or dates, each read once."""
-    needs = {name: value for p in pairs for name, value in p.needs.items()}
     if not needs:
         return rows
     return rows.select("*", once(F.struct(*[v.alias(n) for n, v in needs.items()])).alias(PREPARED))
@@ -143,11 +150,12 @@ def _by_table(pairs: Iterable[Pair]) -> dict[str, list[Pair]]:
     return grouped
 
 
-def _passes(pairs: list[Pair]) -> list[list[Pair]]:
-    passes: list[list[Pair]] = []
+def _passes(rules: list[tuple[str, Column]]) -> list[list[tuple[str, Column]]]:
+    """Rules with their conditions in groups that one generated method can hold."""
+    passes: list[list[tuple[str, Column]]] = []
     room = 0
-    for p in pairs:
-        length = len(str(p.violates))
+    for p in rules:
+        length = len(str(p[1]))
         if not passes or len(passes[-1]) == RULES_PER_PASS or length > room:
             passes.append([])
             room = PASS_LENGTH
@@ -156,10 +164,21 @@ def _passes(pairs: list[Pair]) -> list[list[Pair]]:
     return passes
 
 
+def _conditions(pairs: Iterable[Pair]) -> list[tuple[str, Column]]:
+    return [(p.rule.rule_id, p.violates) for p in pairs]
+
+
+def _indexed(source: Source, pairs: list[Pair]) -> tuple[DataFrame, rule_index.RuleIndex, list]:
+    """Keyed rows with the readings that the rules need, the index of the rules, and the groups of those it cannot look up."""
+    needs = _needs(pairs)
+    index = rule_index.build(
+        source.df.sparkSession, [(p.rule, p.violates, replace(p.setting, prepared=needs)) for p in pairs], source.df.schema)
+    rows, groups = _prepared(_keyed(source), needs), _passes(index.rest)
+    return (rows.where(rule_index.may_break(index)) if len(groups) <= 1 else rows), index, groups
+
+
 def _hits(table: str, source: Source, pairs: list[Pair], payload: bool) -> DataFrame:
-    """(rule_id, table_name, record_primary_key[, violating_data]) of one pass over one table."""
-    any_hit = reduce(lambda a, b: a | b, [p.violates for p in pairs])
-    broken = F.array(*[F.when(p.violates, F.lit(p.rule.rule_id)) for p in pairs])
+    """(rule_id, table_name, record_primary_key[, violating_data]) of one table, which is read once."""
     kept = [
         F.lit(table).alias("table_name"),
         _key_text(_key_cells(source)).alias("record_primary_key"),
@@ -167,17 +186,20 @@ def _hits(table: str, source: Source, pairs: list[Pair], payload: bool) -> DataF
     if payload:
         row = F.struct(*[cell(f) for f in source.df.schema.fields])
         kept.append(F.to_json(row, {"ignoreNullFields": "false"}).alias("violating_data"))
-    found = _prepared(_keyed(source), pairs).where(any_hit).select(F.explode(broken).alias("rule_id"), *kept)
-    return found.where(F.col("rule_id").isNotNull())
+    rules = _conditions(pairs)
+    if len(_passes(rules)) == 1:
+        any_hit = reduce(lambda a, b: a | b, [violates for _, violates in rules])
+        broken = F.array(*[F.when(violates, F.lit(rule_id)) for rule_id, violates in rules])
+        found = _prepared(_keyed(source), _needs(pairs)).where(any_hit).select(F.explode(broken).alias("rule_id"), *kept)
+        return found.where(F.col("rule_id").isNotNull())
+    rows, index, groups = _indexed(source, pairs)
+    rows, broken = rule_index.broken(rows, index, groups)
+    return rows.select(F.explode(broken).alias("rule_id"), *kept)
 
 
 def hits(sources: Mapping[str, Source], pairs: Iterable[Pair], payload: bool = False) -> DataFrame:
-    """Every violated (rule, row), one pass per table and group of rules, tables in one job."""
-    parts = [
-        _hits(table, sources[table], group, payload)
-        for table, table_pairs in _by_table(pairs).items()
-        for group in _passes(table_pairs)
-    ]
+    """Every violated (rule, row), one read per table however many rules it has, tables in one job."""
+    parts = [_hits(table, sources[table], table_pairs, payload) for table, table_pairs in _by_table(pairs).items()]
     if not parts:
         raise ValueError("no rule can be checked on the given tables")
     return reduce(DataFrame.unionByName, parts)
@@ -231,26 +253,65 @@ def scan(
 def count_violations(sources: Mapping[str, Source], pairs: Iterable[Pair]) -> DataFrame:
     """(rule_id, table_name, violation_count), zero counts included.
 
-    Counts come from conditional aggregates: each task sends one row per table, no
-    violating row is built, and only the columns the rules name are read.
+    Counts come from conditional aggregates, or of many rules from the index: each task sends a row per table,
+    or per threshold, no violating row is built, and only the columns the rules name are read.
     """
     parts = []
     for table, table_pairs in _by_table(pairs).items():
-        for group in _passes(table_pairs):
-            counters = [F.count_if(p.violates).alias(f"n{i}") for i, p in enumerate(group)]
+        rules = _conditions(table_pairs)
+        if len(_passes(rules)) == 1:
+            counters = [F.count_if(violates).alias(f"n{i}") for i, (_, violates) in enumerate(rules)]
             labelled = F.array(*[
-                F.struct(F.lit(p.rule.rule_id).alias("rule_id"), F.col(f"n{i}").alias("violation_count"))
-                for i, p in enumerate(group)
+                F.struct(F.lit(rule_id).alias("rule_id"), F.col(f"n{i}").alias("violation_count"))
+                for i, (rule_id, _) in enumerate(rules)
             ])
-            parts.append(
-                _prepared(_keyed(sources[table]), group).agg(*counters)
-                .select(F.lit(table).alias("table_name"), F.inline(labelled))
-            )
+            found = _prepared(_keyed(sources[table]), _needs(table_pairs)).agg(*counters).select(F.inline(labelled))
+        else:
+            rows, index, groups = _indexed(sources[table], table_pairs)
+            found = rule_index.counted(rows, index, groups, [rule_id for rule_id, _ in rules])
+        parts.append(found.withColumn("table_name", F.lit(table)))
     if not parts:
         raise ValueError("no rule can be checked on the given tables")
     return reduce(DataFrame.unionByName, parts).select("rule_id", "table_name", "violation_count")
 
 
+def observed(violations: DataFrame, pairs: Iterable[Pair]) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """``violations`` that count themselves while they are written, and what gives the counts afterwards.
+
+    The second is called after the first was written, once: it returns (rule_id, table_name, violation_count) of all
+    scanned pairs, zeros included, without another job over any table.
+    """
+    scanned = [(p.rule.rule_id, p.table) for p in pairs if p.violates is not None]
+    watch = Observation(f"scan-{uuid.uuid4().hex}")
+    counts = [F.count_if((F.col("rule_id") == rule) & (F.col("table_name") == table)).alias(f"n{i}") for i, (rule, table) in enumerate(scanned)]
+    spark = violations.sparkSession
+    shape = "rule_id string, table_name string, violation_count long"
+
+    def told() -> DataFrame:
+        found = watch.get if scanned else {}
+        return small_frame(spark, [(rule, table, found[f"n{i}"]) for i, (rule, table) in enumerate(scanned)], shape)
+
+    return violations.observe(watch, *counts) if scanned else violations, told
+
+
+def scan_to_log(
+    spark: SparkSession, sources: Mapping[str, Source], rules: Iterable[Rule], as_of: datetime, scan_id: str, path: str,
+    payload: bool = True, like_case_sensitive: bool = False,
+) -> DataFrame:
+    """Scans the tables, replaces the scan's rows in the log at ``path`` and returns its counters (``scan_counters``).
+
+    The counters are taken from the rows on their way to the log: each table is read once, by one job.
+    """
+    rules = list(rules)
+    pairs = plan_pairs(rules, sources, Setting(as_of, like_case_sensitive))
+    frame = rules_frame(spark, rules)
+    if not any(p.violates is not None for p in pairs):
+        return scan_counters(observed(frame, [])[1](), pairs_frame(spark, pairs), frame)
+    found, told = observed(scan(spark, sources, rules, as_of, scan_id, payload, like_case_sensitive).violations, pairs)
+    replace_scan(found, path)
+    return scan_counters(told(), pairs_frame(spark, pairs), frame)
+
+
 def capped_scan(
     source: Source, violates: Column, batch_size: int, max_batches: int | None, cap_rows: bool
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ruleharbor.functions.values import as_timestamp
 from ruleharbor.operators import report, scan
 from ruleharbor.operators.predicates import Rule, Setting, condition
 from ruleharbor.plans import fixtures as X
+from ruleharbor.session import shared_folder
 from ruleharbor.sources import tables as tbl
 
 # --- fixtures shared with the report queries ---------------------------------------------
@@ -261,12 +263,10 @@ def violation_log(spark, sf_dir):
 
 
 def scan_counters(spark, sf_dir):
-    src = X.sources(spark, sf_dir, *X.SCAN_TABLES)
-    rules = [*X.RULES, *X.UNSCANNABLE]
-    pairs = scan.plan_pairs(rules, src, Setting(X.AS_OF))
-    totals = scan.scan_counters(
-        scan.count_violations(src, pairs), scan.pairs_frame(spark, pairs), scan.rules_frame(spark, rules)
-    )
+    """Counters of a scan, taken by the job that writes its log."""
+    path = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+    totals = scan.scan_to_log(
+        spark, X.sources(spark, sf_dir, *X.SCAN_TABLES), [*X.RULES, *X.UNSCANNABLE], X.AS_OF, X.SCAN_ID, path, payload=False)
     flat = lambda m: F.array_join(
         F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","
     )
@@ -275,6 +275,42 @@ def scan_counters(spark, sf_dir):
     })
 
 
+_THOUSAND = (  # prefix, how many, table, violating SQL of rule i, the rule
+    ("P", 300, "orders", "o_totalprice > 1500 * i",
+     lambda i: dict(target_column="o_totalprice", operator=">", value=str(1500 * i), data_type="number")),
+    ("L", 200, "orders", "o_totalprice <= 400 * i",
+     lambda i: dict(target_column="o_totalprice", operator="<=", value=str(400 * i), data_type="number")),
+    ("D", 200, "orders", "o_orderdate < TIMESTAMP '2001-12-31' - to_days(CAST(1000 + 7 * i AS INTEGER))",
+     lambda i: dict(target_column="o_orderdate", operator="<", value=f"NOW() - {1000 + 7 * i} DAYS", rule_complexity="date_math")),
+    ("Q", 100, "lineitem", "l_extendedprice < 20 * i OR l_extendedprice > 100000 - 300 * i",
+     lambda i: dict(target_column="l_extendedprice", operator="BETWEEN", value=f"{20 * i}, {100000 - 300 * i}", rule_complexity="between")),
+    ("C", 150, "orders", "o_custkey = i",
+     lambda i: dict(target_column="o_custkey", operator="=", value=str(i), data_type="number")),
+    ("N", 50, "orders", "o_custkey NOT IN (i, 2 * i)",
+     lambda i: dict(target_column="o_custkey", operator="NOT IN", value=f"{i}, {2 * i}")),
+)
+
+
+def _thousand(*prefixes: str) -> list[Rule]:
+    return [Rule(f"{p}{i}", p, applies_to_tables=(t,), **made(i)) for p, n, t, _, made in _THOUSAND if p in prefixes for i in range(n)]
+
+
+def _thousand_sql(what: str, *prefixes: str) -> str:
+    return " UNION ALL ".join(what.format(p=p, n=n, t=t, where=where, key=_key_sql(t)) for p, n, t, where, _ in _THOUSAND if p in prefixes)
+
+
+def scan_thousand_counts(spark, sf_dir):
+    """Violations of each of a thousand rules; either table is read once."""
+    src = X.sources(spark, sf_dir, "orders", "lineitem")
+    return scan.count_violations(src, scan.plan_pairs(_thousand(*(p for p, *_ in _THOUSAND)), src, Setting(X.AS_OF)))
+
+
+def scan_thousand_hits(spark, sf_dir):
+    """The rows that break any of 250 rules, which are looked up and not tried one by one."""
+    src = X.sources(spark, sf_dir, "orders", "lineitem")
+    return scan.hits(src, scan.plan_pairs(_thousand("Q", "C"), src, Setting(X.AS_OF)))
+
+
 def scan_rejects(spark, sf_dir):
     """Rule and table pairs that are not scanned, with the rows that therefore stay unchecked."""
     src = X.sources(spark, sf_dir, *X.SCAN_TABLES)
@@ -309,6 +345,8 @@ QUERIES = {
     "violation_log": violation_log,
     "scan_counters": scan_counters,
     "scan_rejects": scan_rejects,
+    "scan_thousand_counts": scan_thousand_counts,
+    "scan_thousand_hits": scan_thousand_hits,
     "scan_summary": scan_summary,
     "violations_per_rule": violations_per_rule,
 }
@@ -361,5 +399,11 @@ ORACLE = {
         "SELECT count(*) AS total_violations, count(DISTINCT table_name) AS tables_with_violations, "
         "count(DISTINCT rule_id) AS rules_violated, round(avg(confidence), 6) AS avg_confidence, "
         "'2001-12-31 00:00:00' AS scan_start, '2001-12-31 00:00:00' AS scan_end FROM log", **LOG_CTES),
+    "scan_thousand_counts": _thousand_sql(
+        "SELECT '{p}' || CAST(i AS STRING) AS rule_id, '{t}' AS table_name, count(*) FILTER (WHERE {where}) AS violation_count "
+        "FROM {t}, range({n}) AS r(i) GROUP BY i", *(p for p, *_ in _THOUSAND)),
+    "scan_thousand_hits": _thousand_sql(
+        "SELECT '{p}' || CAST(i AS STRING) AS rule_id, '{t}' AS table_name, {key} AS record_primary_key "
+        "FROM {t}, range({n}) AS r(i) WHERE {where}", "Q", "C"),
     "violations_per_rule": COUNTS_SQL,
 }

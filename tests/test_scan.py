@@ -39,11 +39,11 @@ def test_one_pass_equals_rule_by_rule(spark, ops):
     assert counted == {r.rule_id: sum(1 for h in together if h[0] == r.rule_id) for r in rules}
 
 
-def test_many_rules_split_into_passes(spark, monkeypatch):
+def test_many_rules_split_into_groups_of_one_read(spark, monkeypatch):
     monkeypatch.setattr(S, "RULES_PER_PASS", 2)
     src = items(spark)
     pairs = S.plan_pairs([one_rule(i, ">", "2") for i in range(7)], src, Setting(AS_OF))
-    assert [len(g) for g in S._passes(pairs)] == [2, 2, 2, 1]
+    assert [len(g) for g in S._passes(S._conditions(pairs))] == [2, 2, 2, 1]
     monkeypatch.setattr(S, "RULES_PER_PASS", 50)
     whole = sorted(map(tuple, S.hits(src, pairs).collect()))
     monkeypatch.setattr(S, "RULES_PER_PASS", 2)
