@@ -130,7 +130,9 @@ def aligned(tools: Tokenizers, texts: list[str]) -> Aligned:
     # B adds the space itself.
     theirs = [t.pieces for t in tools.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)]
     whole = [t.encode() for t in texts]
-    a_ids, b_ids = [e.ids for e in ours], [[p.id for p in t] for t in theirs]
+    a_ids = [e.ids for e in ours]
+    b_told = [[x for p in t for x in (p.id, p.begin, p.end)] for t in theirs]
+    b_ids = [t[::3] for t in b_told]
     sound = np.array([b"".join([tools.a_bytes[i] for i in a]) == w == b"".join([tools.b_bytes[i] for i in b])
                       for a, b, w in zip(a_ids, b_ids, whole, strict=True)], bool)
     use = np.flatnonzero(sound).tolist()
@@ -149,7 +151,7 @@ def aligned(tools: Tokenizers, texts: list[str]) -> Aligned:
             begins, stops = chars[spans[:, 0]], chars[spans[:, 1]]
         else:
             # B's spans are bytes and leave out the space that it adds in front.
-            spans = _flat(chain.from_iterable((p.begin, p.end) for p in theirs[i]) for i in use).reshape(-1, 2) + first_byte[row][:, None] + 1
+            spans = _flat(b_told[i] for i in use).reshape(-1, 3)[:, 1:] + first_byte[row][:, None] + 1
             begins, stops = spans[:, 0] - np.r_[True, last[:-1]][:len(row)], spans[:, 1]
         ends.append(ends_of(begins, stops, last, lengths[own]))
         flat.append(own)
@@ -191,10 +193,24 @@ class Segments:
         self.told: list[bytes] = []
         self.sizes = np.zeros((0, 5), np.int64)  # sound, tokens of A, of B, groups, links
         self.starts, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def drop_rare(self) -> None:
+        """Keeps the half that came up most often, so that common segments are not learned again."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[:self.most // 2])
+        many = self.sizes[keep, 4]
+        at = np.arange(many.sum()) + np.repeat(self.starts[keep] - np.cumsum(many) + many, many)
+        names = list(self.number)  # in the order of their numbers
+        self.number = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.told = [self.told[i] for i in keep.tolist()]
+        self.links, self.sizes, self.uses = self.links[at], self.sizes[keep], self.uses[keep] // 2
+        self.starts = np.cumsum(many) - many
+        if len(self.links) > self.most_links // 2:
+            self.forget()
 
     def learn(self, segments: Iterable[str]) -> None:
         if len(self.number) > self.most or len(self.links) > self.most_links:
-            self.forget()
+            self.drop_rare()
         new = [s for s in dict.fromkeys(segments) if s not in self.number]
         sizes, links = [self.sizes], [self.links]
         for start in range(0, len(new), 4096):
@@ -207,6 +223,7 @@ class Segments:
         if new:
             self.sizes, self.links = np.concatenate(sizes), np.concatenate(links)
             self.starts = np.cumsum(self.sizes[:, 4]) - self.sizes[:, 4]
+            self.uses = np.r_[self.uses, np.zeros(len(self.sizes) - len(self.uses), np.int64)]
 
 
 @lru_cache(maxsize=1)
@@ -230,6 +247,7 @@ def per_document(texts: list[bytes], known: Segments) -> dict[str, pa.Array]:
     for row, segments in enumerate(cells):
         at = np.fromiter(map(known.number.__getitem__, segments), np.int64, len(segments))
         sizes = known.sizes[at]
+        known.uses[at] += 1
         if not len(at) or not sizes[:, 0].all():
             continue
         many = sizes[:, 4]
@@ -254,7 +272,7 @@ def alignments(documents: DataFrame, folder: str = FOLDER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _remembered(folder)
         for batch in batches:
-            for part in sliced([batch], 1 << 20):
+            for part in sliced([batch], 2 << 20):
                 found = per_document(bytes_of(part.column("text")), known)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(found[n] for n in names)], names=["doc_id", *names])
 
