@@ -1,7 +1,7 @@
 """Decision reuse, fresh decisions and audit logging on a stream of requests.
 
-Entries live in a log partitioned by the day of their creation (days since 1970, UTC), stream and batch.
-A micro-batch reads only the days from which an entry can answer one of its requests.
+Entries live in a log partitioned by the day of their creation and the day of their end (days since 1970, UTC), stream
+and batch. A micro-batch reads only the days from which an entry can answer one of its requests, whatever its lifetime.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ruleharbor.functions import fixed_values as K
 from ruleharbor.operators.reuse import reuse_cascade, store_decisions, with_key
 from ruleharbor.streaming.batches import stream_id, write_batch
 
@@ -21,7 +20,6 @@ ENTRY_SCHEMA = (
     "entry_id string, key string, normalised_query string, user_role string, decision string, "
     "embedding array<double>, created_at timestamp, ttl_seconds long"
 )
-LONGEST_TTL = max(K.EXACT_TTL_SECONDS, K.VECTOR_TTL_SECONDS)
 _GIVEN = "given"  # stands for the checkpoint of entries that no stream stored
 
 
@@ -36,7 +34,8 @@ def _day(at: Column) -> Column:
 def _write_entries(entries: DataFrame, batch_id: int, path: str, checkpoint: str) -> None:
     kinds = [part.strip().split(" ") for part in ENTRY_SCHEMA.split(",")]
     rows = entries.select(*[F.col(name).cast(kind).alias(name) for name, kind in kinds])
-    write_batch(rows.withColumn("day", _day(F.col("created_at"))), batch_id, path, checkpoint, "day")
+    end = F.floor((_micros(F.col("created_at")) + F.col("ttl_seconds") * 1_000_000) / F.lit(DAY_MICROS)).cast("int")
+    write_batch(rows.withColumns({"day": _day(F.col("created_at")), "until": end}), batch_id, path, checkpoint, "day", "until")
 
 
 def start_entry_log(entries: DataFrame, path: str) -> None:
@@ -45,20 +44,23 @@ def start_entry_log(entries: DataFrame, path: str) -> None:
 
 
 def read_entry_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{ENTRY_SCHEMA}, day int, stream_id string, batch_id long").parquet(path)
+    return spark.read.schema(f"{ENTRY_SCHEMA}, day int, until int, stream_id string, batch_id long").parquet(path)
 
 
-def able_to_answer(entries: DataFrame, requests: DataFrame, longest_ttl: int = LONGEST_TTL) -> DataFrame:
-    """Entries of a log, living no longer than ``longest_ttl`` seconds, that can answer one of the requests.
+def able_to_answer(entries: DataFrame, requests: DataFrame) -> DataFrame:
+    """Entries of a log that can answer one of the requests, or end the life of one that could.
 
-    An entry left out died before the first request or came after the last, so it neither answers nor
-    ends the life of an entry that does.
+    Days are read from the first one that holds an entry whose lifetime reaches the first request. Older entries died
+    before it; a short-lived one that was stored later still counts, as it replaced what was stored before.
     """
     span = requests.agg(F.min(_micros(F.col("ts"))).alias("first"), F.max(_micros(F.col("ts"))).alias("last")).first()
     if span["first"] is None:
         return entries.where("false")
-    first, last = (span["first"] - longest_ttl * 1_000_000) // DAY_MICROS, span["last"] // DAY_MICROS
-    return entries.where(F.col("day").between(first, last))
+    first, last = span["first"] // DAY_MICROS, span["last"] // DAY_MICROS
+    lasting = entries.where((F.col("until") >= first) & (F.col("day") <= last)).agg(F.min("day").alias("since")).first()
+    if lasting["since"] is None:
+        return entries.where("false")
+    return entries.where(F.col("day").between(lasting["since"], last))
 
 
 def reuse_stream(
@@ -82,7 +84,6 @@ def decision_stream(
     entry_log: str,
     out_path: str,
     checkpoint: str,
-    longest_ttl: int = LONGEST_TTL,
 ) -> DataStreamWriter:
     """Answers requests from the log of entries; what nothing answers is decided and stored for later batches.
 
@@ -98,7 +99,7 @@ def decision_stream(
         try:
             known = read_entry_log(batch.sparkSession, entry_log).where(
                 (F.col("stream_id") != own) | (F.col("batch_id") < batch_id))
-            found = reuse_cascade(asked, able_to_answer(known, asked, longest_ttl)).persist()
+            found = reuse_cascade(asked, able_to_answer(known, asked)).persist()
             missed = asked.join(found.where("layer = 'miss'").select("query_id"), "query_id", "left_semi")
             fresh = decide(missed).persist()
             answers = found.join(fresh.select("query_id", F.col("final_decision").alias("fresh")), "query_id", "left")

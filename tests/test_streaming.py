@@ -1,10 +1,12 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from ruleharbor.operators import reuse as R
 from ruleharbor.operators import scan as S
 from ruleharbor.operators.predicates import Rule
+from ruleharbor.streaming.keyed_reuse import Decisions, exact_answers
 from ruleharbor.streaming.reuse_stream import (
     ENTRY_SCHEMA,
     able_to_answer,
@@ -102,14 +104,106 @@ def test_fresh_decisions_answer_later_batches_and_other_streams(spark, tmp_path)
     assert other["b"][:2] == ("exact", "a") and other["a"][0] == "miss"
 
 
+def given_entries(spark, *rows):
+    """Entries from (entry_id, key, created_at, ttl_seconds)."""
+    return spark.createDataFrame(
+        [(i, k, "q", "r", "APPROVE", None, datetime.fromisoformat(at), ttl) for i, k, at, ttl in rows],
+        "entry_id string, key string, normalised_query string, user_role string, decision string, embedding array<double>, "
+        "created_at timestamp, ttl_seconds long")
+
+
 def test_entries_of_other_days_are_not_read(spark, tmp_path):
     log = str(tmp_path / "log")
-    start_entry_log(spark.sql(
-        "SELECT cast(id AS string) AS entry_id, 'k' AS key, 'q' AS normalised_query, 'r' AS user_role, 'APPROVE' AS decision, "
-        "cast(null AS array<double>) AS embedding, timestamp'2024-01-01 12:00:00' + make_dt_interval(id) AS created_at, "
-        "86400L AS ttl_seconds FROM range(30)"), log)
+    start_entry_log(given_entries(spark, *[(str(i), f"k{i}", f"2024-01-{i + 1:02} 12:00:00", 86_400) for i in range(30)]), log)
     asked = spark.sql("SELECT timestamp'2024-01-11 06:00:00' AS ts")
-    near = able_to_answer(read_entry_log(spark, log), asked, longest_ttl=86_400)
+    near = able_to_answer(read_entry_log(spark, log), asked)
     assert sorted(int(r.entry_id) for r in near.collect()) == [9, 10]
     assert "PartitionFilters: [isnotnull(day" in near._jdf.queryExecution().executedPlan().toString()
     assert able_to_answer(read_entry_log(spark, log), asked.where("false")).count() == 0
+
+
+def test_long_lifetimes_and_what_replaced_them_are_read(spark, tmp_path):
+    log = str(tmp_path / "log")
+    start_entry_log(given_entries(
+        spark, ("long", "k", "2024-01-01 00:00:00", 30 * 86_400), ("short", "k", "2024-01-05 00:00:00", 60),
+        ("lasting", "l", "2024-01-02 00:00:00", 30 * 86_400), ("dead", "m", "2023-12-01 00:00:00", 60)), log)
+    asked = spark.createDataFrame([("1", "k", datetime(2024, 1, 20)), ("2", "l", datetime(2024, 1, 20))], "query_id string, key string, ts timestamp")
+    asked = asked.withColumns({"user_role": F.lit("r"), "normalised_query": F.lit("q")})
+    near = able_to_answer(read_entry_log(spark, log), asked)
+    assert {r.entry_id for r in near.collect()} == {"long", "short", "lasting"}
+    # The long one was replaced by the short one, which is over.
+    assert [(r.query_id, r.entry_id) for r in R.exact_hits(asked, R.lifetimes(near)).collect()] == [("2", "lasting")]
+
+
+@pytest.fixture
+def keyed_state(spark):
+    """State in RocksDB, and no batches without rows, so that a stream over what is there comes to an end."""
+    names = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+             "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_keyed_state_answers_by_each_entrys_own_lifetime(spark, tmp_path, keyed_state):
+    """An entry of 30 days answers after weeks, one that is over or replaced does not; so after a restart too."""
+    stored, asked, out, state = (str(tmp_path / p) for p in ("entries", "asked", "out", "state"))
+    shape = "query_id string, key string, ts timestamp"
+
+    def ask(*rows):
+        spark.createDataFrame([(q, k, datetime.fromisoformat(at)) for q, k, at in rows], shape).write.mode("append").parquet(asked)
+
+    def store(*rows):
+        given_entries(spark, *rows).write.mode("append").parquet(stored)
+
+    def drain():
+        requests = spark.readStream.schema(shape).parquet(asked)
+        entries = spark.readStream.schema(given_entries(spark).schema).parquet(stored)
+        query = exact_answers(requests, entries).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination(240)
+        assert query.exception() is None
+        return {r.query_id: r.entry_id for r in spark.read.parquet(out).collect()}
+
+    store(("long", "k", "2024-01-01 00:00:00", 30 * 86_400), ("hour", "l", "2024-01-01 00:00:00", 3600),
+          ("ever", "m", "2024-01-01 00:00:00", 10**9))
+    ask(("a", "k", "2024-01-01 00:00:01"), ("b", "l", "2024-01-01 01:00:00"), ("c", "l", "2024-01-01 01:00:01"),
+        ("d", "k", "2024-01-01 00:00:00"), ("e", "none", "2024-01-01 00:00:01"))
+    assert drain() == {"a": "long", "b": "hour", "c": None, "d": None, "e": None}
+    ask(("f", "k", "2024-01-29 00:00:00"), ("g", "k", "2024-02-01 00:00:00"), ("h", "l", "2024-01-29 00:00:00"), ("i", "m", "2030-01-01 00:00:00"))
+    found = drain()
+    assert (found["f"], found["g"], found["h"], found["i"]) == ("long", None, None, "ever")
+    store(("new", "k", "2024-01-10 00:00:00", 60), ("again", "l", "2024-03-01 00:00:00", 60))
+    ask(("j", "k", "2024-01-10 00:01:00"), ("n", "k", "2024-01-11 00:00:00"), ("o", "l", "2024-03-01 00:00:30"), ("p", "k", "2024-01-09 00:00:00"))
+    found = drain()
+    # An entry that is replaced ends, though its own lifetime goes on; what was asked before that keeps it.
+    assert (found["j"], found["n"], found["o"], found["p"]) == ("new", None, "again", "long")
+
+
+def test_keyed_state_equals_the_exact_layer(spark, tmp_path, keyed_state):
+    _, requests, entries = make(spark, 200, 5)
+    asked, stored, out, state = (str(tmp_path / p) for p in ("asked", "entries", "out", "state"))
+    requests.select(F.col("query_id").cast("string").alias("query_id"), "key", F.col("ts").cast("timestamp").alias("ts")).write.parquet(asked)
+    given = entries.select(F.col("entry_id").cast("string").alias("entry_id"), "key", "decision", F.col("created_at").cast("timestamp").alias("created_at"),
+                           F.col("ttl_seconds").cast("long").alias("ttl_seconds"))
+    given.write.parquet(stored)
+    stream = exact_answers(spark.readStream.schema(spark.read.parquet(asked).schema).parquet(asked),
+                           spark.readStream.schema(given.schema).parquet(stored))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(
+        availableNow=True).start().awaitTermination(240)
+    found = {int(r.query_id): (r.entry_id, r.decision) for r in spark.read.parquet(out).where("entry_id IS NOT NULL").collect()}
+    want = {r.query_id: (str(r.entry_id), r.decision) for r in R.exact_hits(requests, R.lifetimes(entries)).collect()}
+    assert found == want and spark.read.parquet(out).count() == 200
+
+
+def test_replaced_entries_leave_the_state():
+    kept = Decisions(slack_seconds=100).kept
+    rows = [("a", "d", 0, 10**9), ("b", "d", 50, 10**9), ("c", "d", 200, 250), ("e", "d", 900, 10**9)]
+    micros = [(i, d, born * 10**6, dies * 10**6) for i, d, born, dies in rows]
+    assert [r[0] for r in kept(micros, 0)] == ["a", "b", "c", "e"]
+    assert [r[0] for r in kept(micros, 151 * 10**6)] == ["b", "c", "e"]  # a was replaced at 50
+    assert [r[0] for r in kept(micros, 351 * 10**6)] == ["c", "e"]  # dead, but what came before it stays replaced
+    assert [r[0] for r in kept(micros, 5000 * 10**6)] == ["e"]
