@@ -128,12 +128,32 @@ def query_normalise(spark, sf_dir):
     return query_log(spark, sf_dir).select("query_id", S.normalise_sql(F.col("query")).alias("normalised"))
 
 
+# Each request with a second text made from its number: strings, comments, quoted names, brackets, other statements.
+_TEXTS_SQL = """
+SELECT event_id AS query_id, 'made' AS kind, CASE CAST(event_id % 8 AS INT)
+  WHEN 0 THEN 'SELECT ''sent from home'' AS a, b FROM t' || CAST(event_id % 7 AS STRING) || ' -- from old_table'
+  WHEN 1 THEN 'SELECT (SELECT max(x) FROM u' || CAST(event_id % 5 AS STRING) || ') AS m, b FROM t JOIN "Order Lines" ON 1 = 1'
+  WHEN 2 THEN '/* from c */ SELECT "First Name", s.age FROM people s WHERE note = ''it is from x, y'''
+  WHEN 3 THEN 'select distinct a, count(*) , sum(v) from big_' || CAST(event_id % 3 AS STRING) || ' group by a'
+  WHEN 4 THEN 'INSERT INTO log_' || CAST(event_id % 4 AS STRING) || ' SELECT x, y AS z FROM src'
+  WHEN 5 THEN 'SELECT t.a FROM (SELECT a, ''join k'' AS k FROM deep_' || CAST(event_id % 6 AS STRING) || ') t JOIN more ON t.a = more.a'
+  WHEN 6 THEN 'SELECT extract(year FROM d) AS yr, c FROM cal_' || CAST(event_id % 9 AS STRING)
+  ELSE 'UPDATE stock_' || CAST(event_id % 3 AS STRING) || ' SET n = 1 WHERE k = ''from z''' END AS query
+FROM events
+"""
+
+
+def _texts(spark, sf_dir):
+    logged = query_log(spark, sf_dir).select("query_id", F.lit("logged").alias("kind"), "query")
+    return logged.unionByName(X.derived(spark, sf_dir, _TEXTS_SQL))
+
+
 def query_tables(spark, sf_dir):
-    return query_log(spark, sf_dir).select("query_id", F.array_join(S.tables_named(F.col("query")), ",").alias("tables"))
+    return _texts(spark, sf_dir).select("query_id", "kind", F.array_join(S.tables_named(F.col("query")), ",").alias("tables"))
 
 
 def query_select_cols(spark, sf_dir):
-    return query_log(spark, sf_dir).select("query_id", F.array_join(S.columns_selected(F.col("query")), ",").alias("columns"))
+    return _texts(spark, sf_dir).select("query_id", "kind", F.array_join(S.columns_selected(F.col("query")), ",").alias("columns"))
 
 
 def query_flags(spark, sf_dir):
@@ -338,6 +358,17 @@ _KIND_SQL = "SELECT * FROM (VALUES " + ", ".join(
     f"{'true' if any(c.endswith('_name') for _, c in cols) else 'false'}, {len(cols)})"
     for kind, (sel, tabs, cols) in enumerate(_KINDS)
 ) + ") AS v(kind, selected, tables, sorted_tables, sorted_columns, has_pii, n_columns)"
+# Strings are one sign, comments none, functions with a FROM of their own too; then patterns tell tables and lists.
+_CLEANED = {
+    **_LOG,
+    "texts": "SELECT query_id, 'logged' AS kind, query FROM ql UNION ALL " + _TEXTS_SQL,
+    "cleaned": (
+        "SELECT query_id, kind, regexp_replace(regexp_replace(regexp_replace(query, '--[^\\n]*|/\\*.*?\\*/', ' ', 'g'), "
+        "'''[^'']*''', '0', 'g'), '(?i)extract\\([^()]*\\)', '0', 'g') AS clean FROM texts"),
+    "listed": (
+        "SELECT query_id, kind, regexp_extract(regexp_replace(clean, '(?i)\\(SELECT [^()]*(\\([^()]*\\)[^()]*)*\\)', '0', 'g'), "
+        "'(?is)\\bSELECT\\s+(?:DISTINCT\\s+)?(.*?)\\s+FROM\\b', 1) AS clause FROM cleaned"),
+}
 _CTX_SQL = f"SELECT ql.*, {_NORMAL} AS norm, k.* FROM ql JOIN kinds k ON query_id % 6 = kind"
 _CTX = {**_LOG, "kinds": _KIND_SQL, "ctx": _CTX_SQL}
 _CATEGORIES = (  # by the columns reached
@@ -470,9 +501,14 @@ _PII_NAMES = "(" + ", ".join(f"'{n}'" for n in K.PII_NAMES) + ")"
 ORACLE = {
     "query_normalise": X.with_cte(f"SELECT query_id, {_NORMAL} AS normalised FROM ql", **_LOG),
     "query_tables": X.with_cte(
-        "SELECT query_id, lower(array_to_string(regexp_extract_all(query, '(?i)\\b(?:FROM|JOIN|INTO|UPDATE)\\s+(\\w+)', 1), ',')) "
-        "AS tables FROM ql", **_LOG),
-    "query_select_cols": X.with_cte("SELECT query_id, selected AS columns FROM ctx", **_CTX),
+        "SELECT query_id, kind, lower(array_to_string(list_transform(regexp_extract_all(clean, "
+        "'(?i)\\b(?:FROM|JOIN|INTO|UPDATE)\\s+(?:\\w+|\"[^\"]+\")'), "
+        "lambda x: trim(regexp_replace(x, '^\\w+\\s+', ''), '\"')), ',')) AS tables FROM cleaned", **_CLEANED),
+    "query_select_cols": X.with_cte(
+        "SELECT query_id, kind, CASE WHEN clause = '*' THEN '*' ELSE lower(array_to_string(list_transform(list_filter("
+        "string_split(clause, ','), lambda i: i <> '' AND NOT regexp_matches(i, '(?i)^\\s*(count|sum|avg|min|max)\\s*\\(.*\\*')), "
+        "lambda i: CASE WHEN contains(i, '\"') THEN regexp_extract(i, '\"([^\"]+)\"', 1) ELSE regexp_extract(i, '(\\w+)\\)*\\s*$', 1) END), "
+        "',')) END AS columns FROM listed", **_CLEANED),
     "query_flags": X.with_cte(
         "SELECT query_id, kind IN (2, 4) AS has_where, kind = 1 AS has_aggregation, kind = 0 AS select_star, kind <> 5 AS "
         "read_only FROM ctx", **_CTX),

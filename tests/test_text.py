@@ -117,7 +117,7 @@ def test_records_and_steps(spark):
     ('SELECT Account, "Amount Received" FROM transactions WHERE "Amount Received" > 10000', ["transactions"],
      ["account", "amount received"]),
     ("SELECT * FROM Transactions", ["transactions"], ["*"]),
-    ("select t.a as b, SUM(x), max( y ) from t join u on 1=1 join t", ["t", "u"], ["b", "x"]),
+    ("select t.a as b, SUM(x), max( y ) from t join u on 1=1 join t", ["t", "u"], ["b", "x", "y"]),
     ("insert into x select a from y", ["x", "y"], ["a"]),
     ("UPDATE part SET p_size = 1", ["part"], []),
 ])
@@ -130,3 +130,44 @@ def test_sql_texts(spark, query, tables, columns):
 def test_normalised_sql(spark):
     df = spark.createDataFrame([("  SELECT\n 1 ;;",), ("A ;",)], "q string")
     assert [r[0] for r in df.select(sqltext.normalise_sql(F.col("q"))).collect()] == ["select 1 ", "a "]
+
+
+@pytest.mark.parametrize(("query", "tables", "columns"), [
+    ("SELECT 'sent from home' AS a, b FROM t", ["t"], ["a", "b"]),
+    ("SELECT a FROM t -- from old_table", ["t"], ["a"]),
+    ("SELECT (SELECT max(x) FROM u) AS m, b FROM t", ["u", "t"], ["m", "b"]),
+    ('select count(*), sum(o.v) , "A b", `c` From s."T" join db.x.y', ["t", "y"], ["v", "a b", "c"]),
+    ("SELECT * FROM t", ["t"], ["*"]),
+    ("SELECT t.* FROM t, u", ["t"], []),
+    ("SELECT DISTINCT a, coalesce(b, 0) FROM t", ["t"], ["a", "b"]),
+    ("SELECT extract(year FROM d) y FROM t UNION SELECT z FROM w", ["t", "w"], ["y"]),
+    ("WITH c AS (SELECT p, q FROM r) SELECT s FROM c", ["r", "c"], ["p", "q"]),
+    ("SELECT 1", [], []),
+    ("INSERT INTO t SELECT a b FROM u WHERE x IN (SELECT y FROM v)", ["t", "u", "v"], ["b"]),
+    ("SELECT 'open from here", [], []),
+    ("/* never closed from x", [], []),
+    ("SELECT CASE WHEN a > 0 THEN b END FROM größe", ["größe"], ["b"]),
+    ("SELECT 'it''s from x' AS a, ',' FROM t", ["t"], ["a"]),
+    ("", [], []),
+    ("((((", [], []),
+])
+def test_tables_and_columns_by_tokens(spark, query, tables, columns):
+    row = spark.createDataFrame([(query,)], "q string").select(
+        sqltext.tables_named(F.col("q")).alias("t"), sqltext.columns_selected(F.col("q")).alias("c")).first()
+    assert (row.t, row.c) == (tables, columns)
+
+
+def test_flags_do_not_look_into_strings_and_comments(spark):
+    q = F.col("q")
+    flags = [sqltext.has_where(q), sqltext.has_aggregation(q), sqltext.is_select_star(q), sqltext.is_read_only(q)]
+    texts = ["-- select\nUPDATE t SET a = 'where max select *' /* group by */",
+             "/* a */ select * from t where \"x'y\" = 'it''s' and max(a) > 1"]
+    rows = spark.createDataFrame([(t,) for t in texts], "q string").coalesce(1).select(*flags).collect()
+    assert [list(r) for r in rows] == [[False] * 4, [True] * 4]
+
+
+def test_long_strings_and_comments_are_one_token(spark):
+    text = "SELECT '" + "x" * 200_000 + "''" * 500 + "' AS a /*" + "y" * 200_000 + "*/ FROM t"
+    row = spark.createDataFrame([(text,)], "q string").select(
+        F.size(sqltext.sql_tokens(F.col("q"))), sqltext.columns_selected(F.col("q"))).first()
+    assert row[0] == 6 and row[1] == ["a"]
