@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleharbor.functions import fixed_values as K
+from ruleharbor.functions.expr import let
 from ruleharbor.functions.ordering import first_row, top_rows
 from ruleharbor.functions.pii import contains_any, is_pii
 from ruleharbor.functions.values import NUMBER_PATTERN
@@ -31,29 +32,28 @@ def coerce_extraction(text: Column) -> Column:
 
     ``entities``: an object whose text values become one-item lists, anything else an empty
     map. ``key_definitions``: a list of (term, definition), anything else empty.
-    ``document_type``: a non-empty text, otherwise ``informational``.
+    ``document_type``: a non-empty text, otherwise ``informational``. A text that is no JSON has none of them.
     """
-    outer = F.from_json(text, "document_type string, entities string, key_definitions string")
-    object_text = F.when(F.ltrim(outer["entities"]).startswith("{"), outer["entities"])
-    listed = F.from_json(object_text, "map<string,string>")
-    entities = F.transform_values(
-        listed,
-        lambda _, v: F.when(F.ltrim(v).startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v)),
-    )
-    definitions = F.when(
-        F.ltrim(outer["key_definitions"]).startswith("["),
-        F.from_json(outer["key_definitions"], "array<struct<term string, definition string>>"),
-    )
-    kind = F.get_json_object(text, "$.document_type")
-    # A document type that is not a JSON string is replaced; the quoted form tells them apart.
-    quoted = text.rlike(r'"document_type"\s*:\s*"')
-    return F.struct(
-        F.when(quoted & (kind != ""), kind).otherwise("informational").alias("document_type"),
-        F.coalesce(entities, F.create_map().cast("map<string,array<string>>")).alias("entities"),
-        F.coalesce(definitions, F.array().cast("array<struct<term:string,definition:string>>")).alias(
-            "key_definitions"
-        ),
-    )
+    at = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    is_a = lambda v, kind: F.schema_of_variant(v).startswith(kind)
+
+    def listed(value: Column) -> Column:
+        items = F.transform(at(value, "$", "array<variant>"), lambda x: at(x, "$", "string"))
+        return F.when(is_a(value, "ARRAY"), items).otherwise(F.array(at(value, "$", "string")))
+
+    def repaired(whole: Column) -> Column:
+        kind, named, defined = (at(whole, f"$.{f}", "variant") for f in ("document_type", "entities", "key_definitions"))
+        typed = F.when(is_a(kind, "STRING"), F.nullif(at(kind, "$", "string"), F.lit("")))
+        entities = F.when(is_a(named, "OBJECT"), F.transform_values(at(named, "$", "map<string,variant>"), lambda _, v: listed(v)))
+        terms = F.when(is_a(defined, "ARRAY"), F.transform(at(defined, "$", "array<variant>"), lambda d: F.struct(
+            at(d, "$.term", "string").alias("term"), at(d, "$.definition", "string").alias("definition"))))
+        return F.struct(
+            F.coalesce(typed, F.lit("informational")).alias("document_type"),
+            F.coalesce(entities, F.create_map().cast("map<string,array<string>>")).alias("entities"),
+            F.coalesce(terms, F.array().cast("array<struct<term:string,definition:string>>")).alias("key_definitions"),
+        )
+
+    return let(F.try_parse_json(text), repaired)
 
 
 def validate_rules(rules: DataFrame) -> DataFrame:

@@ -250,6 +250,17 @@ def scan(
     return ScanResult(found, pairs_frame(spark, pairs), frame)
 
 
+def conditional_counts(source: Source, pairs: list[Pair], *by: Column) -> DataFrame:
+    """``by``, rows, and counts: (rule_id, violation_count) of each pair, by conditional aggregates. Also on a stream."""
+    counters = [F.count_if(p.violates).alias(f"n{i}") for i, p in enumerate(pairs)]
+    labelled = F.array(*[
+        F.struct(F.lit(p.rule.rule_id).alias("rule_id"), F.col(f"n{i}").alias("violation_count")) for i, p in enumerate(pairs)
+    ])
+    rows = _prepared(_keyed(source), _needs(pairs))
+    found = (rows.groupBy(*by) if by else rows).agg(F.count(F.lit(1)).alias("rows"), *counters)
+    return found.withColumn("counts", labelled).drop(*[f"n{i}" for i in range(len(pairs))])
+
+
 def count_violations(sources: Mapping[str, Source], pairs: Iterable[Pair]) -> DataFrame:
     """(rule_id, table_name, violation_count), zero counts included.
 
@@ -260,12 +271,7 @@ def count_violations(sources: Mapping[str, Source], pairs: Iterable[Pair]) -> Da
     for table, table_pairs in _by_table(pairs).items():
         rules = _conditions(table_pairs)
         if len(_passes(rules)) == 1:
-            counters = [F.count_if(violates).alias(f"n{i}") for i, (_, violates) in enumerate(rules)]
-            labelled = F.array(*[
-                F.struct(F.lit(rule_id).alias("rule_id"), F.col(f"n{i}").alias("violation_count"))
-                for i, (rule_id, _) in enumerate(rules)
-            ])
-            found = _prepared(_keyed(sources[table]), _needs(table_pairs)).agg(*counters).select(F.inline(labelled))
+            found = conditional_counts(sources[table], table_pairs).select(F.inline("counts"))
         else:
             rows, index, groups = _indexed(sources[table], table_pairs)
             found = rule_index.counted(rows, index, groups, [rule_id for rule_id, _ in rules])

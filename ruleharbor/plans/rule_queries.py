@@ -187,11 +187,14 @@ SELECT event_id,
            '{"document_type": 5, "entities": {"a": []}, "key_definitions": []}',
            '{"entities": null}',
            '{"document_type": null, "entities": "none", "key_definitions": [{"term": "a", "definition": "b"}, {"term": "c", "definition": "d"}]}',
+           '{"entities": {"document_type": "nested", "n": [1, "x", null]}, "key_definitions": [{"term": "a"}, 5]}',
+           'no JSON at all, but "document_type": "requirement"',
        ))} AS text, event_type
 FROM events
 """
 _EXTRACTION_ROWS = (("requirement", "roles=admin+dpo;time=90 days", 1), ("informational", "", 0), ("informational", "a=", 0),
-                    ("informational", "", 0), ("informational", "", 2))
+                    ("informational", "", 0), ("informational", "", 2), ("informational", "document_type=nested;n=1+x", 2),
+                    ("informational", "", 0))
 
 
 def extraction_coerce(spark, sf_dir):
@@ -241,7 +244,7 @@ ORACLE = {
         raw=X.RAW_RULES_SQL),
     "extraction_coerce": X.with_cte(
         "SELECT event_id, " + ", ".join(
-            f"CASE event_id % 5 {' '.join(f'WHEN {i} THEN ' + (str(r[n]) if n == 2 else repr(r[n])) for i, r in enumerate(_EXTRACTION_ROWS))} END AS {c}"
+            f"CASE event_id % {len(_EXTRACTION_ROWS)} {' '.join(f'WHEN {i} THEN ' + (str(r[n]) if n == 2 else repr(r[n])) for i, r in enumerate(_EXTRACTION_ROWS))} END AS {c}"
             for n, c in enumerate(("document_type", "entities", "definitions"))) + " FROM events"
         , raw=X.RAW_RULES_SQL),
     "rules_valid": X.with_cte(

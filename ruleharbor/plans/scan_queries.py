@@ -210,6 +210,22 @@ PREDICATES = {
 }
 
 
+_CARDS_SQL = """
+SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'no number' WHEN event_id % 13 = 0 THEN NULL
+  WHEN event_id % 2 = 0 THEN CAST(4000000000 + event_id * 37 AS STRING)
+  ELSE '4111 1111-' || CAST(10000000 + event_id * 7 AS STRING) END AS card
+FROM events
+"""
+
+
+def pred_check_digit(spark, sf_dir):
+    """Card numbers with a wrong check digit, by a function over Arrow batches inside the scan, beside a plain rule."""
+    source = {"cards": scan.Source(X.derived(spark, sf_dir, _CARDS_SQL), ("event_id",))}
+    rules = [Rule("CARD", "t", "card", "", rule_complexity="check_digit"), Rule("HYPHEN", "t", "card", "LIKE", "%-%")]
+    found = scan.hits(source, scan.plan_pairs(rules, source, Setting(X.AS_OF)))
+    return found.select("rule_id", F.col("record_primary_key").cast("long").alias("event_id"))
+
+
 def date_parse(spark, sf_dir):
     cells = X.derived(spark, sf_dir, X.CELLS_SQL)
     moment = as_timestamp(F.col("day_text"), cells.schema["day_text"].dataType)
@@ -337,6 +353,7 @@ QUERIES = {
     "table_profile": table_profile,
     "schema_stats": schema_stats,
     **{name: run for name, (run, _) in PREDICATES.items()},
+    "pred_check_digit": pred_check_digit,
     "date_parse": date_parse,
     "scan_simple": scan_simple,
     "scan_complex": scan_complex,
@@ -365,6 +382,11 @@ ORACLE = {
         "'conversations,lineitem' AS tables_without_key, (SELECT CAST(sum(row_count) AS BIGINT) FROM n) AS row_count FROM cat",
         keys=_KEYS_SQL, cat=_CATALOG_SQL, n=_ROW_COUNTS_SQL),
     **{name: sql for name, (_, sql) in PREDICATES.items()},
+    "pred_check_digit": X.with_cte(
+        "SELECT 'CARD' AS rule_id, event_id FROM digits WHERE list_sum(list_transform(range(length(d)), lambda i: CASE WHEN i % 2 = 0 "
+        "THEN CAST(d[length(d) - i] AS INT) ELSE (2 * CAST(d[length(d) - i] AS INT)) // 10 + (2 * CAST(d[length(d) - i] AS INT)) % 10 END)) % 10 <> 0 "
+        "UNION ALL SELECT 'HYPHEN', event_id FROM cards WHERE contains(card, '-')", cards=_CARDS_SQL,
+        digits="SELECT event_id, regexp_replace(card, '[ -]', '', 'g') AS d FROM cards WHERE card <> 'no number'"),
     "date_parse": X.with_cte(
         f"SELECT event_id, strftime({_DAY}, '%Y-%m-%d %H:%M:%S') AS moment FROM cells", cells=X.CELLS_SQL),
     "scan_simple": "SELECT * FROM orders WHERE o_totalprice > 10000",

@@ -11,6 +11,7 @@ from ruleharbor.functions.replies import (
     clean_steps, column_value, json_object_text, parse_object, parse_verdict, record_entries,
 )
 from ruleharbor.plans import fixtures as X
+from ruleharbor.sources.files import still_to_do, work_key
 from ruleharbor.sources.logs import new_rows_only
 
 # --- chunks ---------------------------------------------------------------------------------
@@ -175,10 +176,10 @@ FROM events
 
 def documents_todo(spark, sf_dir):
     """Documents not processed yet with these settings; labelled ones count as processed."""
-    key = content_key(F.concat(F.col("source"), F.lit("/"), F.col("doc_id")), F.col("n_chars"), F.lit(1000), F.lit(200))
-    docs = documents(spark, sf_dir).withColumn("key", key)
-    done = docs.join(X.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("key")
-    return docs.join(done, "key", "left_anti").select("doc_id", "key")
+    path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id"))
+    docs = documents(spark, sf_dir).withColumn("key", work_key(path, F.col("n_chars"), 1000, 200))
+    done = docs.join(X.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return still_to_do(docs, done).select("doc_id", "key")
 
 
 def new_chunks_only(spark, sf_dir):

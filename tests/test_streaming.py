@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ruleharbor.operators import reuse as R
 from ruleharbor.operators import scan as S
 from ruleharbor.operators.predicates import Rule
+from ruleharbor.streaming.counter_stream import counter_stream, read_counters
 from ruleharbor.streaming.keyed_reuse import Decisions, exact_answers
 from ruleharbor.streaming.reuse_stream import (
     ENTRY_SCHEMA,
@@ -207,3 +208,31 @@ def test_replaced_entries_leave_the_state():
     assert [r[0] for r in kept(micros, 151 * 10**6)] == ["b", "c", "e"]  # a was replaced at 50
     assert [r[0] for r in kept(micros, 351 * 10**6)] == ["c", "e"]  # dead, but what came before it stays replaced
     assert [r[0] for r in kept(micros, 5000 * 10**6)] == ["e"]
+
+
+def test_running_counters_with_late_and_repeated_rows_and_restarts(spark, tmp_path):
+    inbox, log, state = (str(tmp_path / p) for p in ("in", "log", "state"))
+    shape = "id long, v double, name string, at timestamp"
+
+    def arrive(*rows):
+        spark.createDataFrame([(i, v, n, datetime(2024, 1, day, hour)) for i, v, n, day, hour in rows], shape).coalesce(1).write.mode("append").parquet(inbox)
+
+    def drain():
+        stream = spark.readStream.schema(shape).parquet(inbox)
+        counter_stream(stream, "t", ("id",), RULES, AS_OF, "at", "2 days", log, state).trigger(availableNow=True).start().awaitTermination(240)
+        return {r.rule_id: (r.violation_count, r.rows) for r in read_counters(spark, log).collect()}
+
+    arrive((1, 60.0, "n7", 1, 0), (2, 10.0, "n7", 1, 1), (3, 99.0, "x", 2, 0), (1, 60.0, "n7", 1, 0))
+    assert drain() == {"big": (2, 3), "odd": (2, 3)}
+    # Rows of an earlier day, a row that was there before, and a new day.
+    arrive((4, 70.0, "x", 1, 5), (3, 99.0, "x", 2, 0), (5, 1.0, "m7", 3, 0))
+    assert drain() == {"big": (3, 5), "odd": (3, 5)}
+    assert drain() == {"big": (3, 5), "odd": (3, 5)}
+    arrive((6, 80.0, "x", 20, 0))
+    drain()
+    arrive((7, 90.0, "x", 1, 0), (8, 90.0, "x", 19, 0))  # 7 is far too late
+    found = drain()
+    counted = [(1, 60.0, "n7"), (2, 10.0, "n7"), (3, 99.0, "x"), (4, 70.0, "x"), (5, 1.0, "m7"), (6, 80.0, "x"), (8, 90.0, "x")]
+    src = {"t": S.Source(spark.createDataFrame(counted, "id long, v double, name string"), ("id",))}
+    batch = {r.rule_id: (r.violation_count, 7) for r in S.count_violations(src, S.plan_pairs(RULES, src, S.Setting(AS_OF))).collect()}
+    assert found == batch
