@@ -12,9 +12,9 @@ Three transducers are composed over the words of a clause (text between sentence
 Insult words and stems, with their weights, are learned from the labels: document counts
 per word and stem, a stem being kept at its longest form that loses no toxic document. A logistic
 layer on the clause weights turns them into a probability; it learns on other labelled rows than the
-lexicon. At most ``MOST_LABELLED`` labelled documents (by hash of the id) take part, and at most ``MOST_ENTRIES``
-lexicon entries are kept, best first: documented bounds of the fit. Scoring reads whole texts: an
-Aho-Corasick pass finds the clauses with a lexicon hit, and only those run through the grammar.
+lexicon. At most ``MOST_LABELLED`` labelled documents (by hash of the id) take part, a documented bound of the
+fit; the lexicon keeps all that their counts support. Scoring reads whole texts: an Aho-Corasick pass finds the
+clauses with a lexicon hit, and only those run through the grammar.
 
 Defined cases: an empty or null text has no clause and gets the score of none. Without labels of both
 kinds the fixed words below make the lexicon and the layer keeps its default weights. Several labels
@@ -36,17 +36,17 @@ from pyspark.sql import functions as F
 from ruleharbor.llm.common import cut, id_remainder, learning_sample, per_text
 
 MOST_LABELLED = 20_000
-MOST_ENTRIES = 5_000
 LEAST_DOCUMENTS = 4
 THRESHOLD = 0.3
 NEGATION_REACH = 3
+LAYER_SHARE = 10  # one labelled document in so many teaches the layer, the others the lexicon
 STEM = 4  # letters a stem has at least
 
 # The closed word classes of the grammar, and insults known without labels.
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown".split()
 THREATS = "kill hurt destroy beat punish töten schlagen tuer frapper matar golpear".split()
 TARGETS = "you your yours they them he she him her du dich euch sie ihr tu toi vous ils elles tú usted ustedes ellos".split()
-NEGATIONS = "not never no nobody isn't nicht kein keine nie pas jamais ne nunca jamás".split()
+NEGATIONS = "not never no nobody nicht kein keine nie pas jamais ne nunca jamás".split()
 REPORTS = "said says say quoted wrote claimed called sagte schrieb dit écrit dijo escribió".split()
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -62,7 +62,7 @@ class Grammar:
 
     words: dict[str, float]
     stems: dict[str, float]
-    layer: tuple[float, ...] = (-4.0, 2.0, 0.5, 0.5, 1.0, -0.5, -0.5)
+    layer: tuple[float, ...] = (-4.0, 2.0, 0.5, 0.5, 1.0, -0.5, 5.0)
 
 
 def plain(text: bytes) -> str:
@@ -75,6 +75,9 @@ def _narrow(word: str) -> str:
     return word.encode().decode("latin-1")
 
 
+_SHORT_NOT = _narrow("n\u2019t")
+
+
 class Matcher:
     """The composed transducers of a grammar."""
 
@@ -106,9 +109,13 @@ class Matcher:
     def clause(self, words: list[str]) -> tuple[float, float, float, float]:
         """Scope and clause transducers: weights of open, aimed, negated-or-reported insults and of threats."""
         negated, reported, aimed, threats = 0, False, False, 0
-        free, bound = 0.0, 0.0
+        free, bound, before = 0.0, 0.0, ""
         for word in words:
             kind, weight = self.symbol(word)
+            # "isn't" is two words, or one with a typographic apostrophe.
+            if (word == "t" and before.endswith("n")) or word.endswith(_SHORT_NOT):
+                kind = NEGATION
+            before = word
             if kind == INSULT:
                 if negated or reported:
                     bound += weight
@@ -159,7 +166,7 @@ def _weight(pos: Column, neg: Column, base: float) -> Column:
     return F.log((pos + 0.5) / (neg + 0.5)) - F.lit(base)
 
 
-def learn_lexicon(sample: DataFrame, positive: int, negative: int, most: int = MOST_ENTRIES) -> Grammar:
+def learn_lexicon(sample: DataFrame, positive: int, negative: int) -> Grammar:
     """Words and stems that far more toxic than other documents hold."""
     base = math.log((positive + 0.5) / (negative + 0.5))
     words = sample.select("toxic", F.explode(F.array_distinct(
@@ -168,16 +175,15 @@ def learn_lexicon(sample: DataFrame, positive: int, negative: int, most: int = M
         F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")))
     sure = (F.col("pos") >= LEAST_DOCUMENTS) & (F.col("pos") >= 8 * F.col("neg") * positive / max(1, negative)) & (
         F.col("neg") <= 0.1 * F.col("pos"))
-    whole = counted.where(sure).withColumn("w", _weight(F.col("pos"), F.col("neg"), base)).orderBy(
-        F.desc("w"), "word").limit(most)
+    whole = counted.where(sure).withColumn("w", _weight(F.col("pos"), F.col("neg"), base))
     length = F.length("word")
     prefixes = counted.where(length > STEM).select("pos", "neg", F.explode(F.transform(
         F.sequence(F.lit(STEM), length - 1), lambda n: F.substring("word", F.lit(1), n))).alias("stem"))
     stems = prefixes.groupBy("stem").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count(F.lit(1)).alias("forms")).where(
         sure & (F.col("forms") > 1))
-    top = stems.withColumn("w", _weight(F.col("pos"), F.col("neg"), base)).orderBy(
-        F.desc("w"), "stem").limit(most).collect()
+    # Both are entries of a bounded sample's words.
+    top = stems.withColumn("w", _weight(F.col("pos"), F.col("neg"), base)).collect()
     counts = {r["stem"]: r["pos"] for r in top}
     # A stem that a longer one replaces without losing a document is left out.
     spent = {s[:n] for s, c in counts.items() for n in range(STEM, len(s)) if counts.get(s[:n]) == c}
@@ -198,10 +204,10 @@ def learn_layer(rows: np.ndarray, truth: np.ndarray, rounds: int = 30) -> tuple[
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Grammar:
-    """Learns from labelled rows whose crc32(doc_id as text) mod 4 is not 2; two thirds give the lexicon."""
+    """Learns from labelled rows whose crc32(doc_id as text) mod 4 is not 2; most give the lexicon, the others the layer."""
     sample = _labelled(documents, labels, most)
-    third = F.pmod(F.xxhash64(F.lit("layer"), "doc_id"), F.lit(3))
-    first = sample.where(third != 0)
+    lane = F.pmod(F.xxhash64(F.lit("layer"), "doc_id"), F.lit(LAYER_SHARE))
+    first = sample.where(lane != 0)
     count = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not count.get(0) or not count.get(1):
         return Grammar({w: 3.0 for w in INSULTS}, {})
@@ -211,7 +217,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> G
     def work(texts: list[bytes]) -> dict[str, pa.Array]:
         return {"features": pa.array([matcher_of(grammar).features(t) for t in texts], pa.list_(pa.float64()))}
 
-    rows = per_text(sample.where(third == 0), work, "features array<double>", ["doc_id", "toxic"]).orderBy("doc_id").toArrow()
+    rows = per_text(sample.where(lane == 0), work, "features array<double>", ["doc_id", "toxic"]).orderBy("doc_id").toArrow()
     truth = rows.column("toxic").to_numpy()
     if not len(truth) or truth.min() == truth.max():
         return grammar

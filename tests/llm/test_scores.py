@@ -170,7 +170,7 @@ def test_toxicity_on_held_out_rows(spark):
     rows = QUERIES["op9_toxicity"](spark, sf).join(table(spark, sf, "labels"), "doc_id").collect()
     assert all(r.held_out == held_out(r.doc_id, 4, 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     apart = [r for r in rows if r.held_out]
-    assert np.mean([r.predicted for r in apart if r.toxic == 1]) > 0.8
+    assert np.mean([r.predicted for r in apart if r.toxic == 1]) >= 0.9
     assert np.mean([r.predicted for r in apart if r.toxic == 0]) < 0.02
 
 
@@ -190,6 +190,10 @@ GRAMMAR = toxicity.Grammar({"idiot": 3.0, "ß": 1.0}, {"lowei": 2.0})
     ("idiots slowei", (0, 0, 0, 0)),
     ("I kill you", (0, 0, 0, 1)),
     ("I will not kill you\nkill time", (0, 0, 0, 0)),
+    ("he isn't an idiot", (0, 0, 3, 0)),
+    ("they aren\u2019t idiot people", (0, 0, 3, 0)),
+    ("don't kill you", (0, 0, 0, 0)),
+    ("a t idiot", (3, 0, 0, 0)),
 ])
 def test_clauses(text, want):
     matcher = toxicity.Matcher(GRAMMAR)
@@ -199,6 +203,13 @@ def test_clauses(text, want):
     assert math.isclose(math.expm1(found[2]), want[0] + want[2], abs_tol=1e-9) and found[5] == want[3]
 
 
+def test_threats_and_negations_by_the_default_layer():
+    grammar = toxicity.Grammar({w: 3.0 for w in toxicity.INSULTS}, {})
+    texts = [b"", b"I will kill you", b"you are an idiot", b"he isn't an idiot", b"I will not kill you"]
+    empty, threat, insult, negated, spared = toxicity.Matcher(grammar).score(texts)
+    assert threat > 0.5 and insult > 0.5 and empty < 0.1 and spared < 0.1 and negated < insult
+
+
 def test_lexicon_finds_words_and_longest_stems(spark):
     rows = [(f"good words {i % 5} kalor{'abcdef'[i % 6]}x zorn".encode(), 1) for i in range(60)]
     rows += [(f"good words {i % 5} kal kalendar".encode(), 0) for i in range(200)]
