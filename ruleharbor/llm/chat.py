@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from ruleharbor.llm.common import cut
 
 ASSISTANT = "assistant"
+BLOCK = 4096  # characters of the stream that are looked up together
 _OUT = {"\\": "\\\\", "<": "\\l", "#": "\\h", ":": "\\c", "\n": "\\n"}
 _BACK = {v[1]: k for k, v in _OUT.items()}
 _TEXT, _ROLE = re.compile(r"[\\<#]"), re.compile(r"[\\<#:\n]")
@@ -164,16 +165,18 @@ _READ_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads conversations back from sorted turns, a turn at a time."""
+    """Reads conversations back from the turns that their intervals hold, in order, a turn at a time."""
     conv = None
     for batch in batches:
         rows = []
-        columns = (batch.column(n).to_pylist() for n in ("conv_id", "formatted", "loss_start", "loss_chars"))
-        for c, turn, start, length in zip(*columns, strict=True):
+        columns = (batch.column(n).to_pylist() for n in ("conv_id", "position", "formatted", "loss_start", "loss_chars"))
+        for c, position, turn, start, length in zip(*columns, strict=True):
             if c != conv:
                 if conv is not None:
                     rows.append((conv, n, told.hexdigest(), loss, learned.hexdigest(), chars))
                 conv, n, loss, chars, told, learned = c, 0, 0, 0, sha256(), sha256()
+            if position != chars:
+                raise ValueError(f"conversation {c}: position {position} stands behind {chars} characters")
             role, text = read_turn(turn)
             masked = unescape(turn[start:start + length])
             told.update(f"{role}\n{text}\n".encode())
@@ -184,11 +187,27 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([(conv, n, told.hexdigest(), loss, learned.hexdigest(), chars)], _READ_KINDS, READ_SHAPE)
 
 
-def read_back(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """Per conversation what its path through the tree says: turns, digests, loss text and length."""
-    found = paths.join(nodes.select("node", "formatted", "loss_start", "loss_chars"), "node")
-    return found.repartition("conv_id").sortWithinPartitions("conv_id", "depth").select(
-        "conv_id", "formatted", "loss_start", "loss_chars").mapInArrow(_read, READ_SHAPE)
+def intervals(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """Per conversation the stream intervals that its last turn attends to and stands in: conv_id, level, start, stop."""
+    last = paths.groupBy("conv_id").agg(F.max_by("node", "depth").alias("node"))
+    own = F.struct(F.col("tail_start").alias("start"), (F.col("stream_start") + F.col("n_chars")).alias("stop"))
+    ends = last.join(nodes.select("node", F.concat("ancestors", F.array(own)).alias("spans")), "node")
+    return ends.select("conv_id", F.posexplode("spans").alias("level", "span")).select("conv_id", "level", "span.start", "span.stop")
+
+
+def read_back(nodes: DataFrame, paths: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per conversation what the stream says at the intervals of its last turn: turns, digests, loss text and length.
+
+    Nothing else is read: a node's text is found by its place in the stream, in blocks of ``block`` characters, and its
+    position id must be the length of what was read before.
+    """
+    nodes = cut(nodes)
+    spans = intervals(nodes, paths).withColumn("block", F.explode(F.sequence(
+        F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))))
+    stream = nodes.select(F.floor(F.col("stream_start") / block).alias("block"), "stream_start", "position", "formatted", "loss_start", "loss_chars")
+    found = spans.join(stream, "block").where((F.col("stream_start") >= F.col("start")) & (F.col("stream_start") < F.col("stop")))
+    return found.repartition("conv_id").sortWithinPartitions("conv_id", "level", "stream_start").select(
+        "conv_id", "position", "formatted", "loss_start", "loss_chars").mapInArrow(_read, READ_SHAPE)
 
 
 def with_probe(spark: SparkSession, conversations: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 import hashlib
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 from ruleharbor.llm import chat
 from ruleharbor.llm.common import table
@@ -84,6 +87,19 @@ def test_read_back_and_stream(spark):
         assert n.position == len(text) - n.n_chars
 
 
+@pytest.mark.parametrize("broken", ["n_chars", "stream_start", "tail_start", "position", "ancestors"])
+def test_broken_places_and_intervals_are_not_read_back(spark, broken):
+    rows = branching(4)
+    nodes, paths = chat.tree(spark.createDataFrame(rows, SHAPE))
+    assert sorted(map(tuple, chat.read_back(nodes, paths, block=7).collect())) == rows_by_hand(rows)
+    later = F.transform("ancestors", lambda a: F.struct((a["start"] + 1).alias("start"), a["stop"].alias("stop")))
+    wrong = chat.read_back(nodes.withColumn(broken, later if broken == "ancestors" else F.col(broken) + 1 + F.col("n_chars")), paths)
+    try:
+        assert sorted(map(tuple, wrong.collect())) != rows_by_hand(rows)
+    except PythonException:
+        pass
+
+
 def test_query_by_hand(spark):
     from ruleharbor.llm.queries import QUERIES
     sf = "/root/testdata/sf0.01"
