@@ -3,12 +3,16 @@
 A text becomes words (runs of a-z, 0-9 and non-ASCII characters, A-Z lower-cased) joined by single
 spaces; an Aho-Corasick automaton finds phrases in it, so marks, line ends and case between the words of a
 notice do not matter. *Base* phrases name license families and are counted at all their places.
-The method adds labels of its own: notice phrases with versions, ``SPDX-License-Identifier`` tags, and
-the licenses that a license expression names. Expressions (``and``, ``or``, ``with``, brackets) are put into
-postfix order by a shunting yard and evaluated to alternatives: each a set of licenses that hold together.
+The method adds labels of its own: notice phrases with versions, and the licenses named by the expression behind
+an ``SPDX-License-Identifier:`` tag. Where the phrases of a tag stand among the words, a second automaton over
+the lower-cased text finds the tags themselves. An expression (``and``, ``or``, ``with``, brackets) begins behind its tag and
+ends with the line or where the grammar cannot go on: an operand behind an operand, a closing bracket
+without an opening one, any other mark. It is put into postfix order by a shunting yard and evaluated to
+alternatives: each a set of licenses that hold together.
 
 Defined cases: a null text is empty and has no words; a broken expression gives the identifiers read
-so far; repeated rows and null ids are scanned row by row.
+so far; an expression of more than ``MOST_ALTERNATIVES`` alternatives is told as it stands, not multiplied
+out; repeated rows and null ids are scanned row by row.
 """
 
 from __future__ import annotations
@@ -50,13 +54,15 @@ NOTICES = {
     "all rights reserved": "all-rights-reserved",
 }
 SURE, NOTICED, NAMED = 0.95, 0.85, 0.6  # weight of a tag, of a versioned notice, of a base phrase
-MOST_ALTERNATIVES = 4096  # an expression with more is listed by its names only
+TAG = "spdx-license-identifier:"
+TAG_WORDS = "spdx license identifier"
+MOST_ALTERNATIVES = 4096  # an expression with more is not multiplied out
 RANKS = {"or": 1, "and": 2, "with": 3}
 
 _TABLE = bytes(
     i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else i + 32 if 65 <= i <= 90 else 32 for i in range(256))
-_TAG = re.compile(rb"spdx-license-identifier:([^\r\n]*)", re.IGNORECASE)
-_TOKEN = re.compile(rb"[()]|[0-9A-Za-z.+:-]+")
+_TOKEN = re.compile(r"[()]|[0-9A-Za-z.+:-]+")
+_NEXT = re.compile(r"[ \t]*([()]|[0-9A-Za-z][0-9A-Za-z.+:-]*)")
 
 
 def to_postfix(tokens: list[str]) -> list[str]:
@@ -80,11 +86,34 @@ def to_postfix(tokens: list[str]) -> list[str]:
     return out + [w for w in reversed(waiting) if w != "("]
 
 
+def expression_at(text: str, at: int) -> list[str]:
+    """The tokens, in lower case, of the expression that begins at a place of a text; dots that close it are left out."""
+    out: list[str] = []
+    depth, operand = 0, True  # whether an operand must come
+    while (found := _NEXT.match(text, at)) is not None:
+        token, at = found[1].lower(), found.end()
+        name = token.rstrip(".:")
+        if operand and token == "(" and (not out or out[-1] != "with"):
+            depth += 1
+        elif not operand and token == ")" and depth:
+            depth -= 1
+        elif not operand and token in RANKS:
+            operand = True
+        elif operand and token not in RANKS and name and token not in "()":
+            token, operand = name, False
+        else:
+            break
+        out.append(token)
+        if name != found[1].lower() and token == name:  # a closing dot
+            break
+    return out
+
+
 Alternatives = frozenset[frozenset[str]]
 
 
-def evaluate(postfix: list[str]) -> Alternatives:
-    """The alternatives of a license expression; missing operands count as nothing asked for."""
+def evaluate(postfix: list[str]) -> Alternatives | None:
+    """The alternatives of a license expression, None if there are too many; missing operands count as nothing asked for."""
     stack: list[Alternatives] = []
     nothing: Alternatives = frozenset([frozenset()])
     for token in postfix:
@@ -97,7 +126,7 @@ def evaluate(postfix: list[str]) -> Alternatives:
             stack.append(left | right)
         elif token == "and":
             if len(left) * len(right) > MOST_ALTERNATIVES:
-                return nothing
+                return None
             stack.append(frozenset(a | b for a in left for b in right))
         else:
             names = sorted({n for b in right for n in b})
@@ -108,9 +137,12 @@ def evaluate(postfix: list[str]) -> Alternatives:
     return out
 
 
-def parse(expression: str) -> tuple[Alternatives, list[str]]:
+def parse(expression: str) -> tuple[Alternatives | None, list[str]]:
     """The alternatives of an expression and the license identifiers it names."""
-    tokens = [t.decode().lower() for t in _TOKEN.findall(expression.encode())]
+    return understood([t.lower() for t in _TOKEN.findall(expression)])
+
+
+def understood(tokens: list[str]) -> tuple[Alternatives | None, list[str]]:
     names, exception = [], False
     for token in tokens:
         if token not in RANKS and token not in "()" and not exception:
@@ -122,18 +154,26 @@ def parse(expression: str) -> tuple[Alternatives, list[str]]:
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for phrase in {*BASE, *NOTICES}:
+    for phrase in {*BASE, *NOTICES, TAG_WORDS}:
         found.add_word(f" {phrase} ", phrase)
     found.make_automaton()
     return found
 
 
+@lru_cache(maxsize=1)
+def tags() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    found.add_word(TAG, TAG)
+    found.make_automaton()
+    return found
+
+
 def scan_text(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float, str]:
     """n_words, n_base, first_word, last_word, base_labels, labels, score and the expressions' alternatives."""
     words = text.translate(_TABLE).split()
     flat = f" {b' '.join(words).decode('latin-1')} "
     base, labels, starts = set(), set(), []
-    doubt, at, seen = 1.0, 0, 0
+    doubt, at, seen, tagged = 1.0, 0, 0, False
     for end, phrase in automaton().iter(flat):
         start = end - len(phrase) - 1  # of the space before the phrase
         if phrase in BASE:
@@ -144,15 +184,18 @@ def scan_text(text: bytes) -> tuple[int, int, int | None, int | None, str, str,
             starts.append(seen)
             base.add(BASE[phrase])
             doubt = min(doubt, 1 - NAMED)
+        tagged = tagged or phrase == TAG_WORDS
         if phrase in NOTICES:
             labels.add(NOTICES[phrase])
             doubt = min(doubt, 1 - NOTICED)
     alternatives: list[str] = []
-    if b":" in text:
-        for tag in _TAG.findall(text):
-            choices, names = parse(tag.decode("utf-8", "replace"))
+    if tagged:
+        raw = text.decode("latin-1")
+        for end, _ in tags().iter(text.lower().decode("latin-1")):
+            tokens = expression_at(raw, end + 1)
+            choices, names = understood(tokens)
             labels.update(names)
-            alternatives += sorted(" & ".join(sorted(c)) for c in choices if c)
+            alternatives += [" ".join(tokens)] if choices is None else sorted(" & ".join(sorted(c)) for c in choices if c)
             doubt = min(doubt, 1 - SURE) if names else doubt
     labels |= base
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
