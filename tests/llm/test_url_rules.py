@@ -35,41 +35,69 @@ def test_given_rules_by_hand(spark):
         assert rows[i].verdict == verdict if verdict else rows[i].verdict in ("allow", "block")
 
 
-def test_mined_rules_and_verdicts_by_brute_force(spark):
-    pages = table(spark, "/root/testdata/sf0.01", "pages")
-    urls = url_rules.parsed(pages).cache()
-    rows = urls.collect()
-    labelled = [(set(r.tokens), r.given.verdict) for r in rows if r.given]
-    need, both = Counter(), Counter()
+def rules_by_hand(rows, support, confidence):
+    """All rules over items of any length, from the pages themselves: (items, verdict) -> (confidence, support)."""
+    labelled = [(tokens, verdict) for tokens, verdict, n in rows if verdict for _ in range(n)]
+    baskets = {}
+    for i, (tokens, _) in enumerate(labelled):
+        for t in tokens:
+            baskets.setdefault(t, set()).add(i)
+    first = {}
+    for t in sorted(baskets):
+        first.setdefault(frozenset(baskets[t]), t)
+    item = {t: first[frozenset(b)] for t, b in baskets.items()}
+    need, both, share = Counter(), Counter(), Counter(v for _, v in labelled)
     for tokens, verdict in labelled:
-        for n in (1, 2, 3):
-            for part in combinations(sorted(tokens), n):
+        own = sorted({item[t] for t in tokens})
+        for n in range(1, len(own) + 1):
+            for part in combinations(own, n):
                 need[part] += 1
                 both[part, verdict] += 1
-    share = Counter(v for _, v in labelled)
-    support, confidence = 0.05, 0.8
     rules = {}
     for (part, verdict), n in both.items():
         sure = n / need[part]
         if n >= -(-support * len(labelled) // 1) and sure >= confidence and sure > share[verdict] / len(labelled):
-            rules[part, verdict] = sure
-    kept = {(part, v): s for (part, v), s in rules.items() if not any(
-        rules.get((less, v), -1) >= s for n in range(1, len(part)) for less in combinations(part, n))}
-    mined, default = url_rules.mine(urls, support, confidence)
-    assert default == max(share, key=lambda v: (share[v], v))
-    assert {(tuple(r.need), r.verdict): round(r.confidence, 9) for r in mined.collect()} == {k: round(s, 9) for k, s in kept.items()}
-    judged = {r.page_id: r for r in url_rules.judge(pages, support, confidence).collect()}
-    known = {r.url: r for r in rows}
-    for page in pages.select("page_id", "url").collect():
-        r = known[page.url]
+            rules[part, verdict] = sure, n / len(labelled)
+    kept = {(part, v): x for (part, v), x in rules.items() if not any(
+        rules.get((less, v), (-1,))[0] >= x[0] for n in range(1, len(part)) for less in combinations(part, n))}
+    return kept, item, max(sorted(share), key=lambda v: share[v]), share
+
+
+def check_by_hand(spark, pages, support, confidence):
+    urls = url_rules.parsed(pages).cache()
+    rows = urls.collect()
+    kept, item, usual, _ = rules_by_hand([(r.tokens, r.given and r.given.verdict, r.n) for r in rows], support, confidence)
+    mined, default, _ = url_rules.mine(urls, support, confidence)
+    assert default == usual
+    assert {(tuple(r.need), r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in mined.collect()} == {
+        k: (round(c, 9), round(s, 9)) for k, (c, s) in kept.items()}
+    judged = {r.url: r for r in pages.select("page_id", "url").join(url_rules.judge(pages, support, confidence), "page_id").collect()}
+    for r in rows:
         if r.given is None:
-            fits = [(s, both[part, v] / len(labelled), v) for (part, v), s in kept.items() if set(part) <= set(r.tokens)]
-            if not fits:
-                assert judged[page.page_id].verdict == default
-            else:
-                best = max(f[:2] for f in fits)
-                assert judged[page.page_id].verdict in {f[2] for f in fits if abs(f[0] - best[0]) < 1e-9}
+            own = {item[t] for t in r.tokens if t in item}
+            fits = [(x, v) for (part, v), x in kept.items() if set(part) <= own]
+            best = max((x for x, _ in fits), default=None)
+            assert judged[r.url].verdict in ({v for x, v in fits if x == best} if fits else {default})
     urls.unpersist()
+    return kept
+
+
+def test_mined_rules_and_verdicts_by_brute_force(spark):
+    check_by_hand(spark, table(spark, "/root/testdata/sf0.01", "pages"), 0.05, 0.8)
+
+
+def test_long_rules_and_repeated_urls_by_brute_force(spark, monkeypatch):
+    """Rules of four tokens, and a url that a third of all pages carry."""
+    monkeypatch.setattr(url_rules, "PAGES", 7)
+    paths = ["/".join(x if i >> k & 1 else "" for k, x in enumerate("abcd")) for i in range(16)]
+    urls = [f"http://x{i % 3}.com/{'de' if i % 16 == 15 else 'fr'}/{paths[i % 16]}/z" for i in range(96)]
+    urls += ["http://x.com/de/a/b/c/d"] * 60 + [f"http://y.net/{p}/z" for p in paths] + ["http://u.net/long/" + "/".join(f"s{k}x" for k in range(30))]
+    urls += [f"http://v.com/de/{'/'.join(f's{k}x' for k in range(30))}/{i}" for i in range(12)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    kept = check_by_hand(spark, pages, 0.02, 0.9)
+    assert max(len(part) for part, _ in kept) >= 4
+    judged = {r.page_id: r.verdict for r in url_rules.judge(pages, 0.02, 0.9).collect()}
+    assert judged[96 + 60 + 16] == "block"  # thirty steps in common are one item
 
 
 def test_odd_pages(spark):
