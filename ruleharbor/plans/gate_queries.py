@@ -11,6 +11,7 @@ from ruleharbor.functions.replies import parse_verdict
 from ruleharbor.functions.text import concept_tags
 from ruleharbor.operators import audit, gate, reuse, screening, vectors
 from ruleharbor.plans import fixtures as X
+from ruleharbor.session import cut_lineage
 
 # --- inputs ---------------------------------------------------------------------------------
 
@@ -240,10 +241,10 @@ def policy_routing(spark, sf_dir):
 
 
 def semantic_category(spark, sf_dir):
-    """Best category of every vector; a category's vector is the mean of one label."""
-    items = X.table(spark, sf_dir, "embeddings")
+    """Best category of every vector; a category's vector is the mean of its labels, which are more than categories."""
+    items = X.table(spark, sf_dir, "embeddings").withColumn("label", F.col("label") % len(K.SEMANTIC_CATEGORIES))
     names = F.array(*[F.lit(c) for c in K.SEMANTIC_CATEGORIES])
-    means = vectors.centroids(items).where(F.col("label") < len(K.SEMANTIC_CATEGORIES))
+    means = vectors.centroids(items)
     best = vectors.best_category(_items(spark, sf_dir), means.select(F.col("label").alias("id"), "embedding"), 0.3)
     return best.select("id", F.get(names, F.col("category_id").cast("int")).alias("category"), F.round("score", 6).alias("score"))
 
@@ -317,7 +318,7 @@ def audit_stats(spark, sf_dir):
 
 def audit_recent(spark, sf_dir):
     """The latest rows overall, of one user, and of one session."""
-    log = audit_log_rows(spark, sf_dir)
+    log = cut_lineage(audit_log_rows(spark, sf_dir).select("log_id", "session_id", "user_id", "created_at"))
     tag = lambda df, kind: df.select(F.lit(kind).alias("kind"), "log_id", "session_id")
     return tag(audit.recent(log, 50), "recent").unionByName(
         tag(audit.recent(log, 50, F.col("user_id") == "u7"), "user")).unionByName(
@@ -553,8 +554,8 @@ ORACLE = {
         "FROM emb, means) QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 12) DESC, category) = 1 AND score > 0.3",
         emb=_EMB,
         means="SELECT label, CASE label " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(K.SEMANTIC_CATEGORIES))
-        + " END AS category, list(x ORDER BY i) AS m FROM (SELECT label, i, avg(e[i]) AS x FROM emb, range(1, 65) AS r(i) "
-        "WHERE label < 9 GROUP BY 1, 2) GROUP BY label"),
+        + " END AS category, list(x ORDER BY i) AS m FROM (SELECT label % 9 AS label, i, avg(e[i]) AS x FROM emb, range(1, 65) AS r(i) "
+        "GROUP BY 1, 2) GROUP BY label"),
     "reuse_exact": X.with_cte("SELECT * FROM exact", **_REUSE),
     "reuse_fuzzy": X.with_cte("SELECT * FROM fuzzy", **_REUSE),
     "reuse_semantic": X.with_cte("SELECT query_id, entry_id, decision, round(score, 6) AS score FROM semantic", **_REUSE),

@@ -29,15 +29,14 @@ def explanations(spark, sf_dir):
 
 
 def verdicts(log: DataFrame) -> DataFrame:
-    """Two rounds of verdicts on single-key tables, by the last digit of the key."""
+    """Two rounds of verdicts, by the last digit of the key; the last part decides where there are several."""
     digit = F.substring(F.col("record_primary_key"), -1, 1)
-    single = log.where(~F.col("record_primary_key").contains("|"))
     verdict = F.when(digit == "0", "false_positive").when(digit <= "6", "confirmed")
-    first = single.select(
+    first = log.select(
         "violation_id", verdict.alias("verdict"), F.lit("first look").alias("notes"),
         F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("reviewed_at"),
     ).where("verdict IS NOT NULL")
-    second = single.where(digit == "3").select(
+    second = log.where(digit == "3").select(
         "violation_id", F.lit("false_positive").alias("verdict"), F.lit("second look").alias("notes"),
         F.lit("2024-01-02 00:00:00").cast("timestamp_ntz").alias("reviewed_at"),
     )
@@ -46,9 +45,9 @@ def verdicts(log: DataFrame) -> DataFrame:
 
 _DIGIT = "right(record_primary_key, 1)"
 _VERDICT_SQL = f"""
-SELECT *, CASE WHEN contains(record_primary_key, '|') THEN NULL WHEN {_DIGIT} IN ('0', '3') THEN 'false_positive'
+SELECT *, CASE WHEN {_DIGIT} IN ('0', '3') THEN 'false_positive'
                WHEN {_DIGIT} <= '6' THEN 'confirmed' END AS verdict,
-       CASE WHEN contains(record_primary_key, '|') OR {_DIGIT} > '6' THEN NULL WHEN {_DIGIT} = '3' THEN 'second look'
+       CASE WHEN {_DIGIT} > '6' THEN NULL WHEN {_DIGIT} = '3' THEN 'second look'
             ELSE 'first look' END AS notes
 FROM log
 """

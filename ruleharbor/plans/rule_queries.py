@@ -120,7 +120,8 @@ def rule_complexity(spark, sf_dir):
 
 
 def rule_dtype(spark, sf_dir):
-    raw = raw_rules(spark, sf_dir).where("logic.field IS NOT NULL")
+    """Type of every raw rule by its field's name; rules without a field get the default."""
+    raw = raw_rules(spark, sf_dir)
     return raw.select("position", R.name_data_type(F.col("logic.field")).alias("data_type"))
 
 
@@ -259,7 +260,7 @@ ORACLE = {
     "rule_complexity": X.with_cte(f"SELECT {_OUT} FROM structured", **_FULL),
     "rule_dtype": X.with_cte(
         f"SELECT position, CASE WHEN {_NUMERIC_NAME} THEN 'number' ELSE 'string' END AS data_type "
-        "FROM (SELECT position, logic_field AS col FROM raw WHERE logic_field IS NOT NULL)", raw=X.RAW_RULES_SQL),
+        "FROM (SELECT position, logic_field AS col FROM raw)", raw=X.RAW_RULES_SQL),
     "rule_routing": X.with_cte(
         "SELECT rule_id, CASE WHEN confidence >= 0.7 THEN 'structured' ELSE 'low_confidence' END AS route FROM structured",
         **_FULL),
