@@ -3,7 +3,9 @@
 The benchmark is the stated set of queries: its items are dealt into blocks of bounded size, and
 each block goes over all documents once. In a task, the words of a batch of documents become
 numbers, windows of ``LEAST`` words become rolling hashes, and windows whose hash is one of the block's
-are the seeds that pair a document with an item. Each such pair is tiled: the longest common run of
+are the seeds that pair a document with an item. Tiles consist of such windows, so the words of the item that its
+found windows hold together bound what tiles can cover: a pair that this bound keeps below the threshold (a phrase
+that many texts have in common, say) is not looked at again. Each other pair is tiled: the longest common run of
 unmarked words is found by bisecting its length with Karp-Rabin hashes, equal words are checked,
 its places are marked in document and item, and the search goes on until no run of ``LEAST`` words is left.
 Tiles may stand in any order, so a reordered passage covers its item just the same. An item is in
@@ -34,6 +36,7 @@ BLOCK_BYTES = 4 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _BASE = 0x9E3779B97F4A7C15
 _SIEVE = 20
+_AT_ONCE = 1 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -116,20 +119,18 @@ class Block:
     def __init__(self, items: list[tuple[int, bytes]], least: int = LEAST):
         self.least = least
         self.items = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if len(w) >= least]
-        hashes, owners = [], []
-        for k, (_, words) in enumerate(self.items):
-            seeds = np.unique(rolling(np.array([crc32(w) for w in words], np.uint64), least))
-            hashes.append(seeds)
-            owners.append(np.full(len(seeds), k, np.int64))
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        windows = [rolling(np.array([crc32(w) for w in words], np.uint64), least) for _, words in self.items]
+        self.sizes = np.array([len(words) for _, words in self.items], np.int64)
+        self.hashes = np.concatenate([np.zeros(0, np.uint64), *windows])
+        self.owners = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
+        self.places = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(w)) for w in windows)])
         order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.owners = self.hashes[order], self.owners[order]
+        self.hashes, self.owners, self.places = self.hashes[order], self.owners[order], self.places[order]
         self.sieve = np.zeros(1 << _SIEVE, bool)
         self.sieve[(self.hashes >> np.uint64(64 - _SIEVE)).astype(np.int64)] = True
 
-    def seeds(self, texts: list[bytes]) -> tuple[list[list[bytes]], set[tuple[int, int]]]:
-        """The words of each text, and the pairs (text, item) that share a window."""
+    def seeds(self, texts: list[bytes], cover: float) -> tuple[list[list[bytes]], list[tuple[int, int]]]:
+        """The words of each text, and the pairs (text, item) whose common windows hold ``cover`` of the item's words."""
         words = [words_of(t) for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
         flat = np.array([crc32(w) for text in words for w in text], np.uint64)
@@ -138,14 +139,38 @@ class Block:
         ends = np.cumsum(sizes)
         text = np.searchsorted(ends, hits, side="right")
         inside = hits + self.least <= ends[text] if len(hits) else hits.astype(bool)
-        pairs: set[tuple[int, int]] = set()
         hits, text = hits[inside], text[inside]
-        left = np.searchsorted(self.hashes, found[hits], side="left")
-        right = np.searchsorted(self.hashes, found[hits], side="right")
-        for t, lo, hi in zip(text.tolist(), left.tolist(), right.tolist(), strict=True):
-            pairs.update((t, int(k)) for k in self.owners[lo:hi])
+        low = np.searchsorted(self.hashes, found[hits], side="left")
+        many = np.searchsorted(self.hashes, found[hits], side="right") - low
+        # A window counts once per text, wherever it stands in it.
+        _, once = np.unique(np.stack((text, low))[:, many > 0], axis=1, return_index=True)
+        kept = np.flatnonzero(many > 0)[once]
+        text, low, many = text[kept], low[kept], many[kept]
+        pairs: list[tuple[int, int]] = []
+        # Some texts at a time, whose windows stand at about ``_AT_ONCE`` places of items.
+        parts = np.searchsorted(np.cumsum(many), np.arange(_AT_ONCE, many.sum() + _AT_ONCE, _AT_ONCE)) if len(many) else []
+        edges = sorted({0, *np.searchsorted(text, text[np.minimum(parts, len(text) - 1)], side="right").tolist()} | {len(text)}) if len(text) else [0]
+        for start, stop in zip(edges, edges[1:], strict=False):
+            n = many[start:stop]
+            at = np.arange(n.sum()) + np.repeat(low[start:stop] - np.cumsum(n) + n, n)
+            pairs += self._enough(np.repeat(text[start:stop], n), self.owners[at], self.places[at], cover)
         return words, pairs
 
+    def _enough(self, text: np.ndarray, item: np.ndarray, place: np.ndarray, cover: float) -> list[tuple[int, int]]:
+        """Pairs (text, item) whose windows, which begin at these places of the item, hold enough of its words."""
+        order = np.lexsort((place, item, text))
+        text, item, place = text[order], item[order], place[order]
+        if not len(text):
+            return []
+        new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1])]
+        starts = np.flatnonzero(new)
+        # A window adds the words up to where the next one begins, the last one all of its own.
+        gap = np.r_[np.minimum(np.diff(place), self.least), self.least]
+        gap[np.r_[new[1:], True]] = self.least
+        held = np.add.reduceat(gap, starts)
+        enough = starts[held >= cover * self.sizes[item[starts]]]
+        return list(zip(text[enough].tolist(), item[enough].tolist(), strict=True))
+
     def judge(self, document: list[bytes], item: int, cover: float) -> tuple[int, int, float, int] | None:
         """(item_id, tiles, covered share, longest tile) if the item is in the document."""
         item_id, words = self.items[item]
@@ -182,7 +207,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, keep: list[str] | None =
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             block = Block(items, least)
             for batch in sliced(batches, 2 << 20):
-                words, pairs = block.seeds(bytes_of(batch.column("__text")))
+                words, pairs = block.seeds(bytes_of(batch.column("__text")), cover)
                 rows = [(t, found) for t, k in sorted(pairs) if (found := block.judge(words[t], k, cover))]
                 taken = batch.select(keep).take(pa.array([t for t, _ in rows], pa.int64()))
                 kinds = (pa.int64(), pa.int32(), pa.float64(), pa.int32())
@@ -205,7 +230,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, cover: float =
         def clean(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             block = Block(items, least)
             for batch in sliced(batches, 2 << 20):
-                words, pairs = block.seeds(bytes_of(batch.column("text").cast(pa.binary())))
+                words, pairs = block.seeds(bytes_of(batch.column("text").cast(pa.binary())), cover)
                 leaks = {t for t, k in sorted(pairs) if block.judge(words[t], k, cover)}
                 yield batch.filter(pa.array([t not in leaks for t in range(batch.num_rows)], pa.bool_()))
 

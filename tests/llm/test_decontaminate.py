@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -85,6 +86,36 @@ def test_whole_reordered_and_cut_passages(spark):
     assert sorted(r.doc_id for r in dc.drop_contaminated(docs, benchmark).collect()) == [3, 4]
 
 
+def test_a_phrase_in_common_is_judged_without_tiling():
+    phrase = "once upon a time there was"
+    items = [(i, f"{phrase} {' '.join(f'i{i}w{k}' for k in range(20))}".encode()) for i in range(300)]
+    block = dc.Block(items)
+    texts = [f"{phrase} {' '.join(f't{t}w{k}' for k in range(20))}".encode() for t in range(50)]
+    assert block.seeds(texts, dc.COVER)[1] == []
+    assert len(block.seeds(texts, 0.2)[1]) == 50 * 300  # six of 26 words
+    assert block.seeds([*texts, items[7][1], b"", b"a b c"], dc.COVER)[1] == [(50, 7)]
+
+
+@pytest.mark.parametrize("at_once", [1, 9, 1 << 20])
+def test_the_bound_leaves_out_no_pair_that_tiles_would_cover(monkeypatch, at_once):
+    monkeypatch.setattr(dc, "_AT_ONCE", at_once)
+    rng = random.Random(11)
+    for _ in range(40):
+        items = [(i, " ".join(rng.choices("abcdef", k=rng.randrange(3, 25))).encode()) for i in range(5)]
+        texts = [" ".join(rng.choices("abcdef", k=rng.randrange(0, 60))).encode() for _ in range(4)]
+        block = dc.Block(items, 3)
+        words, pairs = block.seeds(texts, 0.5)
+        assert len(pairs) == len(set(pairs))
+        want = {(t, k) for t in range(4) for k in range(len(block.items)) if block.judge(words[t], k, 0.5)}
+        assert want <= set(pairs)
+        # What is held by windows in common, word by word.
+        for t in range(4):
+            have = {tuple(words[t][i:i + 3]) for i in range(len(words[t]) - 2)}
+            for k, (_, w) in enumerate(block.items):
+                held = {i + j for i in range(len(w) - 2) if tuple(w[i:i + 3]) in have for j in range(3)}
+                assert ((t, k) in pairs) == (2 * len(held) >= len(w) and bool(held))
+
+
 def test_odd_rows(odd, none, spark):
     benchmark = spark.createDataFrame([(1, "the quick brown fox jumps over"), (2, "lorem ipsum dolor sit amet")],
                                       "item_id long, text string")
