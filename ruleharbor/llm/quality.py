@@ -4,9 +4,12 @@
    is the sum of the index vectors of its neighbours over the whole collection, exact for every word.
    Sums are whole numbers, so the result is the same in any order of tasks. Words that a sample shows to be
    frequent (at most ``FREQUENT``) are added up per task and sent to the tasks as one table. Any other word has
-   a row per document; their sum goes back to the documents that share the word by a join on the
-   document's key, and a word of one document only is summed up from this document. Which words count as
-   frequent changes the work but no vector.
+   a row per document; their sum goes back to the documents that share the word, and a word of one document only is
+   summed up from this document. Which words count as frequent changes the work but no vector.
+
+   Texts never move: what is told to the documents of a partition is dealt to that partition and joined to it in
+   place (``zip``). Partitions are those of one set of rows that is planned once, so they stay the same when tasks or
+   executors are lost; a key that its partition does not know stops the job.
 2. *Pooling.* A document is, per dimension, the mean of its words' unit vectors, their spread, and the
    mean products of neighbouring words' vectors and index vectors, which are high where words repeat.
 3. *Network.* One hidden layer, trained in numpy on at most ``MOST_LABELLED`` labelled documents
@@ -24,110 +27,32 @@ of label 1 (0.5 without labels). A document with several label rows takes the sm
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations, product
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ruleharbor.llm.common import bytes_of, cut, id_remainder, learning_sample, sliced
+from ruleharbor.llm.common import bytes_of, cut, id_remainder, sliced
 
-SLOTS = 1 << 15  # of the hashed form, which no query uses
 FREQUENT = 1 << 18  # words in the table that every task gets (32 MB)
 SAMPLED = 4  # one row in so many shows which words are frequent
 WIDTH = 32
 NONZERO = 4
 REACH = 2
 POOLS = 4  # mean, spread, product of neighbours' vectors, product of neighbours' index vectors
-BLOCK = 1024
 HIDDEN = 24
 MOST_LABELLED = 20_000
 THRESHOLD = 0.3
 _UNIT = re.compile(rb"[0-9a-z\x80-\xff]+|[^\s0-9a-z\x80-\xff]+")
 
 
-def slots_of(text: bytes) -> list[int]:
-    mask = SLOTS - 1
-    return [crc32(w) & mask for w in _UNIT.findall(text.lower())]
-
-
-@lru_cache(maxsize=1)
-def index_vectors() -> np.ndarray:
-    """The sparse ternary index vectors; the last row, of no word, is zero."""
-    rng = np.random.default_rng(20240517)
-    out = np.zeros((SLOTS + 1, WIDTH), np.int8)
-    places = np.argsort(rng.random((SLOTS, WIDTH)), axis=1)[:, :NONZERO]
-    out[np.arange(SLOTS)[:, None], places] = rng.choice(np.array([-1, 1], np.int8), (SLOTS, NONZERO))
-    return out
-
-
-def add_contexts(sums: np.ndarray, texts: list[bytes], index: np.ndarray) -> None:
-    """Adds to each word's row the index vectors of the words up to ``REACH`` places away."""
-    gap = [SLOTS] * REACH
-    flat: list[int] = list(gap)
-    for text in texts:
-        flat += slots_of(text)
-        flat += gap
-    ids = np.array(flat, np.int32)
-    around = np.zeros((len(ids), WIDTH), np.int16)
-    near = index[ids].astype(np.int16)
-    for step in range(1, REACH + 1):
-        around[step:] += near[:-step]
-        around[:-step] += near[step:]
-    order = np.argsort(ids, kind="stable")
-    ranked = ids[order]
-    starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    sums[ranked[starts]] += np.add.reduceat(around[order], starts, axis=0, dtype=np.int64)
-
-
-def _sum_blocks(rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-    for block, data in rows:
-        part = np.frombuffer(data, np.int64)
-        held[block] = held[block] + part if block in held else part
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())],
-        names=["block", "data"])
-
-
-def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _sum_blocks((k, d) for b in batches
-                           for k, d in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True))
-
-
-def word_vectors(documents: DataFrame) -> np.ndarray:
-    """Unit vectors of all slots over all documents; a fixed ``SLOTS`` x ``WIDTH`` table (4 MB).
-
-    The hashed form: words of one slot share a vector. It is kept to compare with; scores use ``word_sums``.
-    """
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, sums = index_vectors(), np.zeros((SLOTS + 1, WIDTH), np.int64)
-        for batch in sliced(batches, 2 << 20):
-            add_contexts(sums, bytes_of(batch.column("text")), index)
-        blocks = ((i // BLOCK, sums[i:i + BLOCK]) for i in range(0, SLOTS, BLOCK))
-        yield from _sum_blocks((i, block.tobytes()) for i, block in blocks if block.any())
-
-    shape = "block int, data binary"
-    parts = documents.select(F.col("text").cast("binary").alias("text")).mapInArrow(gather, shape)
-    blocks = SLOTS // BLOCK
-    lanes = F.pmod(F.spark_partition_id(), F.lit(8))
-    total = parts.withColumn("lane", lanes).repartition(blocks, "block", "lane").select("block", "data").mapInArrow(
-        _add_parts, shape).repartition(blocks, "block").mapInArrow(_add_parts, shape)
-    table = np.zeros((SLOTS + 1, WIDTH), np.float32)
-    for block, data in total.collect():
-        table[block * BLOCK:(block + 1) * BLOCK] = np.frombuffer(data, np.int64).reshape(-1, WIDTH)
-    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
-    return table
-
-
 @lru_cache(maxsize=1)
 def ternary() -> np.ndarray:
     """All vectors of ``WIDTH`` numbers of which ``NONZERO`` are one or minus one (18 MB)."""
@@ -184,16 +109,24 @@ class Places:
 
 
 def _packed(sums: np.ndarray) -> pa.Array:
-    """A cell per row: a byte per number where that is enough, else eight."""
-    narrow, fits = sums.astype(np.int8), np.abs(sums).max(axis=1, initial=0) < 128
-    return pa.array([(narrow if fit else sums)[i].tobytes() for i, fit in enumerate(fits.tolist())], pa.binary())
+    """A cell per row: four bits or a byte per number where that is enough, else eight bytes."""
+    most = np.abs(sums).max(axis=1, initial=0)
+    narrow, half = sums.astype(np.int8), (sums + 8).astype(np.uint8)
+    half = half[:, ::2] << 4 | half[:, 1::2] & 15
+    return pa.array([(half if m < 8 else narrow if m < 128 else sums)[i].tobytes() for i, m in enumerate(most.tolist())], pa.binary())
 
 
 def _unpacked(cells: list[bytes]) -> np.ndarray:
-    fits = np.array([len(c) == WIDTH for c in cells], bool)
+    sizes = np.array([len(c) for c in cells], np.int64)
     out = np.empty((len(cells), WIDTH), np.int64)
-    out[fits] = np.frombuffer(b"".join(c for c in cells if len(c) == WIDTH), np.int8).reshape(-1, WIDTH)
-    out[~fits] = np.frombuffer(b"".join(c for c in cells if len(c) != WIDTH), np.int64).reshape(-1, WIDTH)
+
+    def of(size: int, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(c for c in cells if len(c) == size), kind).reshape(-1, size // np.dtype(kind).itemsize)
+
+    half = of(WIDTH // 2, np.uint8)
+    out[sizes == WIDTH // 2] = np.stack((half >> 4, half & 15), axis=2).reshape(-1, WIDTH).astype(np.int64) - 8
+    out[sizes == WIDTH] = of(WIDTH, np.int8)
+    out[sizes == 8 * WIDTH] = of(8 * WIDTH, np.int64)
     return out
 
 
@@ -217,83 +150,145 @@ def frequent_words(rows: DataFrame, most: int) -> np.ndarray:
 
     counts = cut(rows.where(F.pmod("key", F.lit(SAMPLED)) == 0).mapInArrow(count, "word long, n long").groupBy("word").agg(
         F.sum("n").alias("n")))
-    chosen, held = F.lit(False), 0
-    for n, words in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():
-        # Of the last count as many words as there is room for, by their hash; a little less, as shares of hashes vary.
-        share = 1.0 if held + words <= most else max(0.0, (most - held) / words - 4 / words ** 0.5)
-        chosen = (F.col("n") > n) | ((F.col("n") == n) & (F.pmod("word", F.lit(1 << 20)) < int(share * (1 << 20))))
-        held += words
+    step, held, least = F.ceil(F.log2("n") * 4), 0, 1 << 62
+    # Counts by powers of the fourth root of two: at most 253 rows.
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():
+        held += r["words"]
         if held > most:
             break
-    return np.sort(counts.where(chosen).select("word").toArrow().column("word").to_numpy())
-
-
-_SUMS = "word long, key long, sums binary"
-
-
-def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums per word: a row for a frequent one (no key), for others a row per key, if there are several."""
-    held = list(batches)
-    if not sum(b.num_rows for b in held):
-        return
-    rows = pa.Table.from_batches(held)
-    word, key = rows.column("word").to_numpy(), rows.column("key").fill_null(0).to_numpy()
-    everywhere = rows.column("key").is_null().to_numpy()
-    order = np.lexsort((key, word))
-    word, key, everywhere = word[order], key[order], everywhere[order]
-    new = np.r_[True, word[1:] != word[:-1]]
-    starts = np.flatnonzero(new)
-    total = np.add.reduceat(_unpacked(rows.column("sums").to_pylist())[order], starts, axis=0)
-    several = np.diff(np.r_[starts, len(word)]) > 1
-    group = np.cumsum(new) - 1
-    first = new | np.r_[True, key[1:] != key[:-1]]
-    keep = np.flatnonzero(first & (everywhere | several[group]))
-    for i in range(0, len(keep), 10_000):
-        some = keep[i:i + 10_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(word[some]), pa.array(key[some], mask=everywhere[some]), _packed(total[group[some]])],
-            names=["word", "key", "sums"])
+        least = r["n"]
+    return np.sort(counts.where(F.col("n") >= least).select("word").toArrow().column("word").to_numpy())
+
+
+_SUMS = "word long, part int, key long, sums binary"
+_SUMS_SCHEMA = pa.schema([("word", pa.int64()), ("part", pa.int32()), ("key", pa.int64()), ("sums", pa.binary())])
+
+
+def _to_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _from_bytes(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column("data").to_pylist():
+            yield from _from_bytes(data).to_batches(10_000)
+
+
+def _sum_words(everywhere: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows in the order of words, the sums of each word: one row for ``everywhere``, or one per partition and key if there are several."""
+
+    def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        word, part, key = (rows.column(c).to_numpy() for c in ("word", "part", "key"))
+        new = np.r_[True, word[1:] != word[:-1]]
+        starts = np.flatnonzero(new)
+        total = np.add.reduceat(_unpacked(rows.column("sums").to_pylist()), starts, axis=0)
+        group = np.cumsum(new) - 1
+        several = np.diff(np.r_[starts, len(word)]) > 1
+        first = new | np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
+        keep = np.flatnonzero(first & ((part == everywhere) & new | (part != everywhere) & several[group]))
+        for i in range(0, len(keep), 10_000):
+            some = keep[i:i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(word[some]), pa.array(part[some]), pa.array(key[some]), _packed(total[group[some]])],
+                                             schema=_SUMS_SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            words = batch.column("word").to_numpy()
+            last = int(np.searchsorted(words, words[-1])) if len(words) else 0
+            # The last word may go on in the next batch.
+            if last:
+                yield from told(pa.Table.from_batches([*held, batch.slice(0, last)], _SUMS_SCHEMA))
+                held = []
+            held.append(batch.slice(last))
+        rows = pa.Table.from_batches(held, _SUMS_SCHEMA)
+        if rows.num_rows:
+            yield from told(rows)
+
+    return run
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of a partition as one cell."""
+    rows = pa.Table.from_batches(list(batches), _SUMS_SCHEMA).combine_chunks()
+    if rows.num_rows:
+        yield pa.RecordBatch.from_arrays([rows.column("part").chunk(0).slice(0, 1), pa.array([_to_bytes(rows.to_batches()[0])], pa.binary())],
+                                         names=["part", "data"])
 
 
 @dataclass(frozen=True)
 class Words:
-    """Hashes and unit vectors of the frequent words, and (key, word, sums) of the others in several rows."""
+    """Rows by partition (``keep``, text and key at the end), hashes and unit vectors of the frequent words, and per
+    partition what its documents are told of the others."""
 
+    rows: RDD
+    keep: list[str]
+    fields: list[str]
     frequent: np.ndarray
     table: np.ndarray
-    shared: DataFrame
-
-
-def word_sums(documents: DataFrame) -> Words:
-    """The context sums of all words over all documents."""
-    rows = documents.select(key_of().alias("key"), F.col("text").cast("binary").alias("text"))
-    frequent = frequent_words(rows, FREQUENT)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    told: DataFrame
+
+
+def _slices(rows: Iterable[tuple], most: int = 2 << 20) -> Iterator[list[tuple]]:
+    """Rows in pieces of about ``most`` bytes of text, or one row."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-2] or b"") + 64
+        if size > most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def word_sums(documents: DataFrame, keep: list[str] | None = None) -> Words:
+    """The context sums of all words over all documents, and the rows of ``keep`` (doc_id) that they belong to."""
+    keep = ["doc_id"] if keep is None else keep
+    spark, text = documents.sparkSession, F.col("text").cast("binary").alias("text")
+    frequent = frequent_words(documents.select(key_of().alias("key"), text), FREQUENT)
+    kept = documents.select(*keep)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
+    rows = documents.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], text, key_of().alias("key")).rdd
+    parts = rows.getNumPartitions()
+
+    def gather(part: int, rows: Iterator[tuple]) -> Iterator[tuple[bytearray]]:
         sums = np.zeros((len(frequent), WIDTH), np.int64)
-        for batch in sliced(batches, 2 << 20):
-            found = Places(bytes_of(batch.column("text")))
+        for some in _slices(rows):
+            found = Places([bytes(r[-2] or b"") for r in some])
             at = found.rows_in(frequent)[found.ids]
-            some, added = found.sums(at)
-            sums[some] += added
+            common, added = found.sums(at)
+            sums[common] += added
             text = np.zeros(len(found.ids), np.int64)
             for i, (start, stop) in enumerate(found.bounds):
                 text[start:stop] = i
             size = len(found.words) + 1
             pairs, added = found.sums(np.where((at < 0) & (found.ids >= 0), text * size + found.ids, -1))
-            keys = batch.column("key").to_numpy()[pairs // size]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.words[pairs % size], pa.int64()), pa.array(keys, pa.int64()), _packed(added)],
-                names=["word", "key", "sums"])
+            keys = np.array([r[-1] for r in some], np.int64)[pairs // size]
+            yield (bytearray(_to_bytes(pa.RecordBatch.from_arrays(
+                [pa.array(found.words[pairs % size], pa.int64()), pa.array(np.full(len(pairs), part, np.int32)), pa.array(keys), _packed(added)],
+                schema=_SUMS_SCHEMA))),)
         some = np.flatnonzero(sums.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(frequent[some]), pa.nulls(len(some), pa.int64()), _packed(sums[some])], names=["word", "key", "sums"])
-
-    total = cut(rows.mapInArrow(gather, _SUMS).repartition("word").mapInArrow(_sum_rows, _SUMS))
-    found = total.where("key is null").select("word", "sums").toArrow()
+        zero = np.zeros(len(some), np.int64)
+        yield (bytearray(_to_bytes(pa.RecordBatch.from_arrays(
+            [pa.array(frequent[some]), pa.array(zero.astype(np.int32) + parts), pa.array(zero), _packed(sums[some])], schema=_SUMS_SCHEMA))),)
+
+    gathered = spark.createDataFrame(rows.mapPartitionsWithIndex(gather), "data binary", verifySchema=False).mapInArrow(_rows, _SUMS)
+    total = gathered.repartition("word").sortWithinPartitions("word", "part", "key").mapInArrow(_sum_words(parts), _SUMS)
+    # Partition i gets what partition i of the rows is told, the one after them the frequent words.
+    told = cut(total.repartitionById(parts + 1, "part").sortWithinPartitions("part", "key").mapInArrow(_pack, "part int, data binary"))
     table = np.zeros((len(frequent), WIDTH), np.float32)
-    table[np.searchsorted(frequent, found.column("word").to_numpy())] = _units(_unpacked(found.column("sums").to_pylist()))
-    return Words(frequent, table, total.where("key is not null"))
+    for r in told.where(F.col("part") == parts).collect():
+        found = _from_bytes(r["data"])
+        table[np.searchsorted(frequent, found.column("word").to_numpy())] = _units(_unpacked(found.column("sums").to_pylist()))
+    return Words(rows, keep, fields, frequent, table, told)
 
 
 def pooled(found: Places, vectors: np.ndarray) -> np.ndarray:
@@ -338,23 +333,40 @@ def features_of(texts: list[bytes], words: np.ndarray, cells: list[bytes], frequ
     return pooled(found, vectors)
 
 
-def per_row(documents: DataFrame, known: Words, work: Callable[[np.ndarray], pa.Array], schema: str,
-            keep: list[str]) -> DataFrame:
-    """Runs ``work`` over the pooled vectors of documents; returns ``keep`` and its column."""
-    frequent, table, name = known.frequent, known.table, schema.split()[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 2 << 20):
-            told = pc.list_flatten(batch.column("__told"))
-            found = features_of(bytes_of(batch.column("__text")), pc.struct_field(told, "word").to_numpy(zero_copy_only=False).astype(np.int64),
-                                pc.struct_field(told, "sums").to_pylist(), frequent, table)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), work(found)], names=[*keep, name])
-
-    told = known.shared.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("word", "sums")).alias("__told"))
-    rows = documents.select(*dict.fromkeys([*keep, "text"]), key_of().alias("__key")).join(told, "__key", "left").select(
-        *keep, F.col("text").cast("binary").alias("__text"), "__told")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("__text", "__told")]
-    return rows.mapInArrow(run, ", ".join([*fields, schema]))
+def per_row(known: Words, work: Callable[[np.ndarray], list], schema: str, only: frozenset | None = None) -> DataFrame:
+    """Runs ``work`` over the pooled vectors of the rows; returns their columns and its own, and with ``only`` (values of the
+    first column) the key and no other rows."""
+    frequent, table, parts = known.frequent, known.table, known.rows.getNumPartitions()
+    spark = known.told.sparkSession
+    # One element per partition on either side: its rows, and what they are told. The frequent words stand behind the rows.
+    behind = spark.sparkContext.parallelize([], 1)
+    rows = spark.sparkContext.union([known.rows.map(tuple), behind]).mapPartitions(lambda rows: [list(rows)])
+    told = known.told.rdd
+    if told.getNumPartitions() != parts + 1:
+        # Nothing was told to any; else partitions would not fit.
+        if not known.told.isEmpty():
+            raise RuntimeError("what is told is not dealt by partition")
+        told = spark.sparkContext.parallelize([], parts + 1)
+    told = told.mapPartitions(lambda rows: [[bytes(r["data"]) for r in rows if r["part"] < parts]])
+
+    def run(both: Iterator[tuple[list, list[bytes]]]) -> Iterator[tuple]:
+        for rows, data in both:
+            told = pa.concat_tables([_from_bytes(d) for d in data]) if data else _SUMS_SCHEMA.empty_table()
+            key, word, cells = told.column("key").to_numpy(), told.column("word").to_numpy(), told.column("sums").combine_chunks()
+            if not np.isin(key, np.array([r[-1] for r in rows], np.int64)).all():
+                raise RuntimeError("rows are not in the partition that they were in before")
+            asked = rows if only is None else [r for r in rows if r[0] in only]
+            for some in _slices(asked):
+                keys = np.unique(np.array([r[-1] for r in some], np.int64))
+                low, high = np.searchsorted(key, keys), np.searchsorted(key, keys, side="right")
+                at = np.concatenate([np.arange(x, y) for x, y in zip(low, high, strict=True)])
+                found = features_of([bytes(r[-2] or b"") for r in some], word[at], cells.take(pa.array(at)).to_pylist(), frequent, table)
+                for r, value in zip(some, work(found), strict=True):
+                    yield (*r[:-2], value) if only is None else (*r[:-2], r[-1], value)
+
+    joined = rows.zip(told).mapPartitions(run)
+    fields = [*known.fields, schema] if only is None else [*known.fields, "key long", schema]
+    return spark.createDataFrame(joined, ", ".join(fields), verifySchema=False)
 
 
 @dataclass(frozen=True)
@@ -412,35 +424,28 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 30, seed: int = 7) -> Netw
     return Network(prior, shift, scale, tuple(layers), float(options[int(np.argmin(losses))]))
 
 
-def fit(documents: DataFrame, labels: DataFrame, words: Words, most: int = MOST_LABELLED) -> Network:
-    """Learns from labelled rows whose crc32(doc_id as text) mod 5 is not 0."""
+def fit(labels: DataFrame, words: Words, most: int = MOST_LABELLED) -> Network:
+    """Learns from labelled rows whose crc32(doc_id as text) mod 5 is not 0, one text per id. ``words`` keep doc_id first."""
     known = labels.where((id_remainder(5) != 0) & F.col("quality").isNotNull()).groupBy("doc_id").agg(
-        F.min("quality").alias("quality"))
-    sample = learning_sample(documents, known, most, ["quality"])
-    keys = sample.select(key_of().alias("key")).distinct()
-    near = Words(words.frequent, words.table, words.shared.join(F.broadcast(keys), "key", "left_semi"))
-
-    def work(found: np.ndarray) -> pa.Array:
-        return pa.array(list(found), pa.list_(pa.float32()))
-
-    rows = per_row(sample, near, work, "features array<float>", ["doc_id", "quality"]).toArrow().sort_by("doc_id")
+        F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    truth = {r["doc_id"]: r["quality"] for r in known.collect()}  # at most ``most``
+    if not truth:
+        return Network(0.5)
+    rows = per_row(words, lambda found: found.tolist(), "features array<float>", frozenset(truth)).groupBy("doc_id").agg(
+        F.min_by("features", "key").alias("features")).toArrow().sort_by("doc_id")
     if rows.num_rows == 0:
         return Network(0.5)
     x = np.array(rows.column("features").to_pylist(), np.float64)
-    y = (rows.column("quality").to_numpy() >= 1).astype(float)
-    return train(x, y)
+    return train(x, np.array([truth[i] >= 1 for i in rows.column("doc_id").to_pylist()], float))
 
 
 def score(documents: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (the id by default), the score in [0, 1] and the verdict at the threshold, per document."""
-    words = word_sums(documents)
-    network = fit(documents, labels, words)
-
-    def work(found: np.ndarray) -> pa.Array:
-        return pa.array(network.scores(found.astype(np.float64)), pa.float64())
-
-    scored = per_row(documents, words, work, "__score double", ["doc_id"] if keep is None else keep)
-    return scored.withColumn("__predicted", (F.col("__score") >= THRESHOLD).cast("int"))
+    keep = ["doc_id"] if keep is None else keep
+    words = word_sums(documents, list(dict.fromkeys(["doc_id", *keep])))
+    network = fit(labels, words)
+    scored = per_row(words, lambda found: network.scores(found.astype(np.float64)).tolist(), "__score double")
+    return scored.select(*keep, "__score", (F.col("__score") >= THRESHOLD).cast("int").alias("__predicted"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:

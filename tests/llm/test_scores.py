@@ -1,5 +1,6 @@
 """Quality, language and toxicity: held-out accuracy, defined cases, and parts held against brute force."""
 
+import dataclasses
 import math
 from zlib import crc32
 
@@ -27,50 +28,48 @@ def test_quality_on_held_out_rows(spark):
     assert len(apart) > 30 and np.mean([r.predicted == r.quality for r in apart]) > 0.9
 
 
-def test_word_vectors_by_hand(spark):
-    texts = ["a b c a", "c d", None, "", "b b b b b"]
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SHAPE).repartition(3)
-    got, index = quality.word_vectors(docs), quality.index_vectors().astype(np.int64)
-    want = np.zeros((quality.SLOTS + 1, quality.WIDTH))
-    for t in texts:
-        ids = quality.slots_of((t or "").encode())
-        for i, w in enumerate(ids):
-            for j in range(max(0, i - quality.REACH), min(len(ids), i + quality.REACH + 1)):
-                want[w] += index[ids[j]] if i != j else 0
-    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
-    assert np.allclose(got, want, atol=1e-6)
-
-
 @pytest.mark.parametrize("most", [0, 5, 1 << 17])
 def test_every_word_has_its_own_vector(spark, monkeypatch, most):
-    """Words of one slot stay apart, and which words count as frequent changes nothing."""
+    """Every word has the sum of all its contexts, and which words count as frequent changes nothing."""
     monkeypatch.setattr(quality, "FREQUENT", most)
     monkeypatch.setattr(quality, "SAMPLED", 2)
-    slots = {}
-    twins = next((slots[s], w) for w in (f"w{i}" for i in range(100_000)) if slots.setdefault(
-        s := quality.slots_of(w.encode())[0], w) != w)
-    texts = [f"{twins[0]} a b c", f"d {twins[1]} e f", f"a {twins[1]} d", "a b a b only", "", None, "a b a b only", twins[0]]
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*texts, "a b"])] + [
-        (8, "a b", "en", "s", 0)], SHAPE).repartition(3)
-    split = [(t or "").split() for t in [*texts, "a b", "a b"]]
+    texts = ["x a b c", "d y e f", "a y d", "a b a b only", "", None, "a b a b only", "x", "a b", "long " * 200 + "a"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(8, "a b", "en", "s", 0)], SHAPE).repartition(3)
+    split = {i: (t or "").split() for i, t in enumerate(texts)}
     index = {w: quality.index_of(np.array([quality.xxh3_64_intdigest(w.encode())], np.uint64).view(np.int64))[0].astype(int)
-             for words in split for w in words}
+             for words in split.values() for w in words}
     want = {w: np.zeros(quality.WIDTH) for w in index}
-    for words in split:
+    for words in [*split.values(), split[8]]:
         for i, w in enumerate(words):
             for j in range(max(0, i - quality.REACH), min(len(words), i + quality.REACH + 1)):
                 want[w] += index[words[j]] if i != j else 0
     unit = {w: v / max(np.linalg.norm(v), 1e-9) for w, v in want.items()}
-    assert not np.allclose(unit[twins[0]], unit[twins[1]])
-    found = quality.per_row(docs, quality.word_sums(docs), lambda x: quality.pa.array(list(x), quality.pa.list_(quality.pa.float32())),
-                            "features array<float>", ["doc_id"]).collect()
-    assert len(found) == len(split)
+    found = quality.per_row(quality.word_sums(docs), lambda x: x.tolist(), "features array<float>").collect()
+    assert sorted(r.doc_id for r in found) == sorted([*split, 8])
+    zero = np.zeros(quality.WIDTH)
     for r in found:
-        rows = np.array([unit[w] for w in split[r.doc_id]]).reshape(-1, quality.WIDTH)
-        mean = rows.mean(axis=0) if len(rows) else np.zeros(quality.WIDTH)
-        beside = (rows[1:] * rows[:-1]).mean(axis=0) if len(rows) > 1 else np.zeros(quality.WIDTH)
-        assert np.allclose(r.features[:quality.WIDTH], mean, atol=1e-6)
-        assert np.allclose(r.features[2 * quality.WIDTH:3 * quality.WIDTH], beside, atol=1e-6)
+        words = split[r.doc_id]
+        rows, marks = (np.array([v[w] for w in words]).reshape(-1, quality.WIDTH) for v in (unit, index))
+        pools = [rows.mean(axis=0), rows.std(axis=0)] if words else [zero, zero]
+        pools += [(v[1:] * v[:-1]).mean(axis=0) if len(words) > 1 else zero for v in (rows, marks)]
+        assert np.allclose(r.features, np.concatenate(pools), atol=1e-5)
+
+
+def test_sums_come_back_from_cells_of_any_width():
+    rng = np.random.default_rng(4)
+    sums = np.concatenate([rng.integers(-most, most + 1, (20, quality.WIDTH)) for most in (0, 1, 7, 8, 127, 128, 10**12)])
+    cells = quality._packed(sums).to_pylist()
+    assert (quality._unpacked(cells) == sums).all() and {len(c) for c in cells} == {16, 32, 256}
+
+
+def test_rows_that_changed_their_partition_are_noticed(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FREQUENT", 0)
+    docs = spark.createDataFrame([(i, f"w{i % 3} u{i} v", "en", "s", 0) for i in range(40)], SHAPE).repartition(4, "doc_id")
+    words = quality.word_sums(docs)
+    moved = spark.createDataFrame([(i, f"w{i % 3} u{i} v", "en", "s", 0) for i in range(40)], SHAPE).repartition(4, "text").select(
+        "doc_id", F.col("text").cast("binary").alias("text"), quality.key_of().alias("key")).rdd
+    with pytest.raises(Exception, match="not in the partition"):
+        quality.per_row(dataclasses.replace(words, rows=moved), lambda x: x.tolist(), "features array<float>").collect()
 
 
 def test_network_is_calibrated_and_falls_back():
