@@ -159,7 +159,9 @@ class Matcher:
 def _labelled(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     known = labels.where((id_remainder(4) != 2) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(
         (F.max("toxic") >= 1).cast("int").alias("toxic"))
-    return learning_sample(documents, known, most, ["toxic"])
+    # Of an id that many documents carry, one text: the sample stays within its bound.
+    return learning_sample(documents, known, most, ["toxic"]).groupBy("doc_id", "toxic").agg(
+        F.min(F.coalesce("text", F.lit(b""))).alias("text"))
 
 
 def _weight(pos: Column, neg: Column, base: float) -> Column:

@@ -2,10 +2,13 @@
 
 import dataclasses
 import math
+import re
 from zlib import crc32
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ruleharbor.llm import langid, quality, toxicity
@@ -209,6 +212,42 @@ def test_threats_and_negations_by_the_default_layer():
     assert threat > 0.5 and insult > 0.5 and empty < 0.1 and spared < 0.1 and negated < insult
 
 
+def features_by_hand(grammar, text):
+    """Every clause through the grammar, words and stems tried one by one."""
+    groups = [(toxicity.THREATS, "threat"), (toxicity.TARGETS, "target"), (toxicity.NEGATIONS, "not"), (toxicity.REPORTS, "said")]
+    best = total = aimed_total = bound_total = threat_total = 0.0
+    for clause in re.split(r"[\n.!?;:]", text.lower()):
+        words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", clause)
+        free = bound = threats = 0.0
+        since, said, aimed = 99, False, False
+        for i, w in enumerate(words):
+            weight = max([grammar.words.get(w, 0.0), *[x for s, x in grammar.stems.items() if w.startswith(s)]])
+            kind = "insult" if weight else next((k for g, k in groups if w in g), "")
+            if (w == "t" and i and words[i - 1].endswith("n")) or w.endswith("n\u2019t"):
+                kind = "not"
+            since = 0 if kind == "not" else since + 1
+            under = since <= toxicity.NEGATION_REACH or said
+            if kind == "insult":
+                free, bound = (free, bound + weight) if under else (free + weight, bound)
+            threats += kind == "threat" and not under
+            said, aimed = said or kind == "said", aimed or kind == "target"
+        best, total, bound_total = max(best, free + bound), total + free + bound, bound_total + bound
+        aimed_total, threat_total = aimed_total + (free if aimed else 0), threat_total + (threats if aimed else 0)
+    return [float(total > 0), best, math.log1p(total), math.log1p(aimed_total), math.log1p(bound_total), threat_total]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["idiot", "Idiots", "loweisch", "you", "kill", "not", "isn't", "don\u2019t", "said", "a", "ß", "t", "nicht", "x"]),
+                          st.sampled_from([" ", " ", ", ", ". ", "\n", "! "])), max_size=25))
+def test_scores_by_hand(parts):
+    text = "".join(a + b for a, b in parts)
+    matcher = toxicity.Matcher(GRAMMAR)
+    found, want = matcher.features(text.encode()), features_by_hand(GRAMMAR, text)
+    assert np.allclose(found, want)
+    layer = np.array(GRAMMAR.layer)
+    assert np.isclose(matcher.score([text.encode()])[0], 1 / (1 + np.exp(-(layer[0] + np.array(want) @ layer[1:]))))
+
+
 def test_lexicon_finds_words_and_longest_stems(spark):
     rows = [(f"good words {i % 5} kalor{'abcdef'[i % 6]}x zorn".encode(), 1) for i in range(60)]
     rows += [(f"good words {i % 5} kal kalendar".encode(), 0) for i in range(200)]
