@@ -2,7 +2,11 @@
 
 Quality classifier, exact duplicates, near duplicates, benchmark passages, mixing to target weights. Each
 stage is written as Parquet to the shared checkpoint folder and read again by the next one, so a lost
-executor costs at most the stage at work.
+executor costs at most the stage at work. A run's folder stays until the caller removes it: its last stage is the result.
+
+Defined cases, as in the stages' modules: a null text is empty; empty texts are judged like others, one of equal ones
+stays; rows without id are told apart by their text; of ties the smallest id stays; an empty table gives an empty one;
+extra columns go through all stages.
 """
 
 from __future__ import annotations
