@@ -7,9 +7,10 @@
    a row per document; their sum goes back to the documents that share the word, and a word of one document only is
    summed up from this document. Which words count as frequent changes the work but no vector.
 
-   Texts never move: what is told to the documents of a partition is dealt to that partition and joined to it in
-   place (``zip``). Partitions are those of one set of rows that is planned once, so they stay the same when tasks or
-   executors are lost; a key that its partition does not know stops the job.
+   Texts never move: a document is known by its partition and its place there, and what it is told is dealt to that
+   partition, in that order, and joined to it row by row (``zip``). Partitions are those of one set of rows that is planned
+   once, so they stay the same when tasks or executors are lost; the key of a document comes back with what it is told,
+   and one that does not fit stops the job.
 2. *Pooling.* A document is, per dimension, the mean of its words' unit vectors, their spread, and the
    mean products of neighbouring words' vectors and index vectors, which are high where words repeat.
 3. *Network.* One hidden layer, trained in numpy on at most ``MOST_LABELLED`` labelled documents
@@ -34,6 +35,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,8 +162,9 @@ def frequent_words(rows: DataFrame, most: int) -> np.ndarray:
     return np.sort(counts.where(F.col("n") >= least).select("word").toArrow().column("word").to_numpy())
 
 
-_SUMS = "word long, part int, key long, sums binary"
-_SUMS_SCHEMA = pa.schema([("word", pa.int64()), ("part", pa.int32()), ("key", pa.int64()), ("sums", pa.binary())])
+# A cell without sums says that the document of this place exists, and its word is its key.
+_SUMS = "word long, part int, place long, sums binary"
+_SUMS_SCHEMA = pa.schema([("word", pa.int64()), ("part", pa.int32()), ("place", pa.int64()), ("sums", pa.binary())])
 
 
 def _to_bytes(batch: pa.RecordBatch) -> bytes:
@@ -185,17 +188,21 @@ def _sum_words(everywhere: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     """Of rows in the order of words, the sums of each word: one row for ``everywhere``, or one per partition and key if there are several."""
 
     def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        word, part, key = (rows.column(c).to_numpy() for c in ("word", "part", "key"))
+        there = pa.compute.equal(pa.compute.binary_length(rows.column("sums")), 0)
+        yield from rows.filter(there).to_batches(10_000)
+        rows = rows.filter(pa.compute.invert(there))
+        word, part, place = (rows.column(c).to_numpy() for c in ("word", "part", "place"))
+        if not len(word):
+            return
         new = np.r_[True, word[1:] != word[:-1]]
         starts = np.flatnonzero(new)
         total = np.add.reduceat(_unpacked(rows.column("sums").to_pylist()), starts, axis=0)
         group = np.cumsum(new) - 1
         several = np.diff(np.r_[starts, len(word)]) > 1
-        first = new | np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
-        keep = np.flatnonzero(first & ((part == everywhere) & new | (part != everywhere) & several[group]))
+        keep = np.flatnonzero((part == everywhere) & new | (part != everywhere) & several[group])
         for i in range(0, len(keep), 10_000):
             some = keep[i:i + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(word[some]), pa.array(part[some]), pa.array(key[some]), _packed(total[group[some]])],
+            yield pa.RecordBatch.from_arrays([pa.array(word[some]), pa.array(part[some]), pa.array(place[some]), _packed(total[group[some]])],
                                              schema=_SUMS_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,18 +222,64 @@ def _sum_words(everywhere: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a partition as one cell."""
-    rows = pa.Table.from_batches(list(batches), _SUMS_SCHEMA).combine_chunks()
-    if rows.num_rows:
-        yield pa.RecordBatch.from_arrays([rows.column("part").chunk(0).slice(0, 1), pa.array([_to_bytes(rows.to_batches()[0])], pa.binary())],
-                                         names=["part", "data"])
+def _pack(everywhere: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What each document of a partition is told, in their order: key, words and cells. The frequent words are one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, key, words, cells, common = None, 0, [], [], []
+        out: list[tuple[int, bytes, bytes]] = []
+
+        def told() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.bool_())
+            rows = [(k, np.array(w, np.int64).tobytes(), b"".join(bytes([len(c) // 16]) + c for c in cs), False) for k, w, cs in out]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=_TOLD)
+
+        for batch in batches:
+            if batch.num_rows and batch.column("part")[0].as_py() == everywhere:
+                common.append(batch)
+                continue
+            for w, _, at, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if at != place:
+                    if place is not None:
+                        out.append((key, words, cells))
+                    place, words, cells = at, [], []
+                if c:
+                    words.append(w)
+                    cells.append(c)
+                else:
+                    key = w
+            if len(out) > 5_000:
+                yield told()
+        if place is not None:
+            out.append((key, words, cells))
+        if out:
+            yield told()
+        if common:
+            rows = pa.Table.from_batches(common).combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([0]), pa.array([b""], pa.binary()), pa.array([_to_bytes(rows.to_batches()[0]) if rows.num_rows else b""], pa.binary()),
+                 pa.array([True])], names=_TOLD)
+
+    return run
+
+
+_TOLD = ["key", "words", "cells", "common"]
+
+
+def _cells(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        size = 16 * data[at]
+        out.append(data[at + 1:at + 1 + size])
+        at += 1 + size
+    return out
 
 
 @dataclass(frozen=True)
 class Words:
-    """Rows by partition (``keep``, text and key at the end), hashes and unit vectors of the frequent words, and per
-    partition what its documents are told of the others."""
+    """Rows by partition (``keep``, text, key, and whether they are a document), hashes and unit vectors of the frequent words, and
+    what the row of each place is told of the others."""
 
     rows: RDD
     keep: list[str]
@@ -241,7 +294,7 @@ def _slices(rows: Iterable[tuple], most: int = 2 << 20) -> Iterator[list[tuple]]
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(row[-2] or b"") + 64
+        size += len(row[-3] or b"") + 64
         if size > most:
             yield held
             held, size = [], 0
@@ -256,13 +309,21 @@ def word_sums(documents: DataFrame, keep: list[str] | None = None) -> Words:
     frequent = frequent_words(documents.select(key_of().alias("key"), text), FREQUENT)
     kept = documents.select(*keep)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
-    rows = documents.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], text, key_of().alias("key")).rdd
-    parts = rows.getNumPartitions()
+    real = documents.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], text, key_of().alias("key"), F.lit(True).alias("real"))
+    # One more partition, of a single row, goes with the frequent words.
+    last = spark.range(0, 1, 1, 1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in real.schema.fields[:-1]], (F.col("id") > 0).alias("real"))
+    rows = real.union(last).rdd
+    parts = rows.getNumPartitions() - 1
 
     def gather(part: int, rows: Iterator[tuple]) -> Iterator[tuple[bytearray]]:
-        sums = np.zeros((len(frequent), WIDTH), np.int64)
+        if part == parts:
+            found = [(0, parts, 0, np.zeros(WIDTH // 2, np.uint8).tobytes())]  # so that there is a row for it
+            yield (bytearray(_to_bytes(pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(_SUMS_SCHEMA)],
+                                                                  schema=_SUMS_SCHEMA))),)
+            return
+        sums, before = np.zeros((len(frequent), WIDTH), np.int64), 0
         for some in _slices(rows):
-            found = Places([bytes(r[-2] or b"") for r in some])
+            found = Places([bytes(r[-3] or b"") for r in some])
             at = found.rows_in(frequent)[found.ids]
             common, added = found.sums(at)
             sums[common] += added
@@ -271,22 +332,24 @@ def word_sums(documents: DataFrame, keep: list[str] | None = None) -> Words:
                 text[start:stop] = i
             size = len(found.words) + 1
             pairs, added = found.sums(np.where((at < 0) & (found.ids >= 0), text * size + found.ids, -1))
-            keys = np.array([r[-1] for r in some], np.int64)[pairs // size]
-            yield (bytearray(_to_bytes(pa.RecordBatch.from_arrays(
-                [pa.array(found.words[pairs % size], pa.int64()), pa.array(np.full(len(pairs), part, np.int32)), pa.array(keys), _packed(added)],
-                schema=_SUMS_SCHEMA))),)
+            own = pa.array([r[-2] for r in some], pa.int64()), np.arange(len(some)), pa.array([b""] * len(some), pa.binary())
+            for words, places, cells in (own, (pa.array(found.words[pairs % size], pa.int64()), pairs // size, _packed(added))):
+                yield (bytearray(_to_bytes(pa.RecordBatch.from_arrays(
+                    [words, pa.array(np.full(len(places), part, np.int32)), pa.array(places + before), cells], schema=_SUMS_SCHEMA))),)
+            before += len(some)
         some = np.flatnonzero(sums.any(axis=1))
         zero = np.zeros(len(some), np.int64)
         yield (bytearray(_to_bytes(pa.RecordBatch.from_arrays(
             [pa.array(frequent[some]), pa.array(zero.astype(np.int32) + parts), pa.array(zero), _packed(sums[some])], schema=_SUMS_SCHEMA))),)
 
     gathered = spark.createDataFrame(rows.mapPartitionsWithIndex(gather), "data binary", verifySchema=False).mapInArrow(_rows, _SUMS)
-    total = gathered.repartition("word").sortWithinPartitions("word", "part", "key").mapInArrow(_sum_words(parts), _SUMS)
-    # Partition i gets what partition i of the rows is told, the one after them the frequent words.
-    told = cut(total.repartitionById(parts + 1, "part").sortWithinPartitions("part", "key").mapInArrow(_pack, "part int, data binary"))
+    total = gathered.repartition("word").sortWithinPartitions("word", "part", "place").mapInArrow(_sum_words(parts), _SUMS)
+    told = cut(total.repartitionById(parts + 1, "part").sortWithinPartitions("part", "place").mapInArrow(
+        _pack(parts), "key long, words binary, cells binary, common boolean"))
     table = np.zeros((len(frequent), WIDTH), np.float32)
-    for r in told.where(F.col("part") == parts).collect():
-        found = _from_bytes(r["data"])
+    for r in told.where("common").select("cells").collect():
+        found = _from_bytes(r["cells"])
+        found = found.filter(pa.compute.is_in(found.column("word"), pa.array(frequent, pa.int64())))
         table[np.searchsorted(frequent, found.column("word").to_numpy())] = _units(_unpacked(found.column("sums").to_pylist()))
     return Words(rows, keep, fields, frequent, table, told)
 
@@ -336,35 +399,26 @@ def features_of(texts: list[bytes], words: np.ndarray, cells: list[bytes], frequ
 def per_row(known: Words, work: Callable[[np.ndarray], list], schema: str, only: frozenset | None = None) -> DataFrame:
     """Runs ``work`` over the pooled vectors of the rows; returns their columns and its own, and with ``only`` (values of the
     first column) the key and no other rows."""
-    frequent, table, parts = known.frequent, known.table, known.rows.getNumPartitions()
-    spark = known.told.sparkSession
-    # One element per partition on either side: its rows, and what they are told. The frequent words stand behind the rows.
-    behind = spark.sparkContext.parallelize([], 1)
-    rows = spark.sparkContext.union([known.rows.map(tuple), behind]).mapPartitions(lambda rows: [list(rows)])
-    told = known.told.rdd
-    if told.getNumPartitions() != parts + 1:
-        # Nothing was told to any; else partitions would not fit.
-        if not known.told.isEmpty():
-            raise RuntimeError("what is told is not dealt by partition")
-        told = spark.sparkContext.parallelize([], parts + 1)
-    told = told.mapPartitions(lambda rows: [[bytes(r["data"]) for r in rows if r["part"] < parts]])
-
-    def run(both: Iterator[tuple[list, list[bytes]]]) -> Iterator[tuple]:
-        for rows, data in both:
-            told = pa.concat_tables([_from_bytes(d) for d in data]) if data else _SUMS_SCHEMA.empty_table()
-            key, word, cells = told.column("key").to_numpy(), told.column("word").to_numpy(), told.column("sums").combine_chunks()
-            if not np.isin(key, np.array([r[-1] for r in rows], np.int64)).all():
-                raise RuntimeError("rows are not in the partition that they were in before")
-            asked = rows if only is None else [r for r in rows if r[0] in only]
-            for some in _slices(asked):
-                keys = np.unique(np.array([r[-1] for r in some], np.int64))
-                low, high = np.searchsorted(key, keys), np.searchsorted(key, keys, side="right")
-                at = np.concatenate([np.arange(x, y) for x, y in zip(low, high, strict=True)])
-                found = features_of([bytes(r[-2] or b"") for r in some], word[at], cells.take(pa.array(at)).to_pylist(), frequent, table)
-                for r, value in zip(some, work(found), strict=True):
-                    yield (*r[:-2], value) if only is None else (*r[:-2], r[-1], value)
-
-    joined = rows.zip(told).mapPartitions(run)
+    frequent, table, spark = known.frequent, known.table, known.told.sparkSession
+
+    def run(both: Iterator[tuple[tuple, tuple]]) -> Iterator[tuple]:
+        def asked() -> Iterator[tuple]:
+            for row, (key, words, cells) in both:
+                if row[-1]:
+                    if key != row[-2]:
+                        raise RuntimeError("a row is not at the place that it was at before")
+                    if only is None or row[0] in only:
+                        yield (words, cells, *row)
+
+        for some in _slices(asked()):
+            words = np.frombuffer(b"".join(r[0] for r in some), np.int64)
+            cells = [c for r in some for c in _cells(r[1])]
+            found = features_of([bytes(r[-3] or b"") for r in some], words, cells, frequent, table)
+            for r, value in zip(some, work(found), strict=True):
+                yield (*r[2:-3], value) if only is None else (*r[2:-3], r[-2], value)
+
+    told = known.told.select("key", "words", "cells").rdd.map(lambda r: (r[0], bytes(r[1]), bytes(r[2])))
+    joined = known.rows.map(tuple).zip(told).mapPartitions(run)
     fields = [*known.fields, schema] if only is None else [*known.fields, "key long", schema]
     return spark.createDataFrame(joined, ", ".join(fields), verifySchema=False)
 
