@@ -165,7 +165,8 @@ def top_k(
     best = lambda hits: top_rows(hits, ["query_id"], [order, F.col("item_id")], k)
     index = cells.build(items, metric, block_rows)
     if index.cells == 1:
-        only = F.lit(0).cast("long").alias("cell")
+        # Zero for all; not a literal, by which Spark would join every row with every row.
+        only = F.pmod(F.xxhash64("id"), F.lit(1)).cast("long").alias("cell")
         ranked = best(_meet(queries.select("*", only), items.select("*", only), k, metric, block_rows))
     else:
         inside = cells.with_cell(items, index)
