@@ -134,13 +134,16 @@ def top_counts(counts: DataFrame, key: str, n: int) -> DataFrame:
     return counts.orderBy(F.col("violation_count").desc(), key).limit(n)
 
 
+# Thousands of violations share a confidence and a time. The id behind them lets a sort cut such a run into many tasks.
+
+
 def by_scan(violations: DataFrame, scan_id: str) -> DataFrame:
     return violations.where(F.col("scan_id") == scan_id).orderBy(F.col("confidence").desc(), "detected_at")
 
 
 def by_scan_and_table(violations: DataFrame, scan_id: str, table: str) -> DataFrame:
     chosen = (F.col("scan_id") == scan_id) & (F.col("table_name") == table)
-    return violations.where(chosen).orderBy(F.col("confidence").desc())
+    return violations.where(chosen).orderBy(F.col("confidence").desc(), "violation_id")
 
 
 def needs_review(violations: DataFrame, floor: float = K.REVIEW_CONFIDENCE) -> DataFrame:
