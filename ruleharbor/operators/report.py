@@ -148,7 +148,7 @@ def by_scan_and_table(violations: DataFrame, scan_id: str, table: str) -> DataFr
 
 def needs_review(violations: DataFrame, floor: float = K.REVIEW_CONFIDENCE) -> DataFrame:
     open_ = (F.col("confidence") < floor) & (F.col("review_status") == "pending")
-    return violations.where(open_).orderBy("confidence")
+    return violations.where(open_).orderBy("confidence", "violation_id")
 
 
 def high_confidence(violations: DataFrame, floor: float = K.REVIEW_CONFIDENCE) -> DataFrame:
