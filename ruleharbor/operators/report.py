@@ -138,7 +138,8 @@ def top_counts(counts: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def by_scan(violations: DataFrame, scan_id: str) -> DataFrame:
-    return violations.where(F.col("scan_id") == scan_id).orderBy(F.col("confidence").desc(), "detected_at")
+    """Violations of a scan, the surest first; of equal ones the oldest, then the smallest id."""
+    return violations.where(F.col("scan_id") == scan_id).orderBy(F.col("confidence").desc(), "detected_at", "violation_id")
 
 
 def by_scan_and_table(violations: DataFrame, scan_id: str, table: str) -> DataFrame:

@@ -5,7 +5,7 @@ from ruleharbor.operators import report
 
 
 @pytest.mark.parametrize("listed, order", [
-    (lambda v: report.by_scan_and_table(v, "s", "t"), [-1, 1]),
+    (lambda v: report.by_scan(v, "s"), [-1, 1]), (lambda v: report.by_scan_and_table(v, "s", "t"), [-1, 1]),
     (report.needs_review, [1, 1]),
 ])
 def test_violations_of_one_confidence_are_sorted_by_many_tasks(spark, listed, order):
