@@ -15,7 +15,8 @@ and have a cell of their own (``ZERO``). Distances carry a little slack for roun
 an answer; what is left is scored exactly by the caller.
 
 Cells that hold more than a block of vectors are cut into parts by hash, so a cell that holds a third of all
-vectors (equal ones, say) is many tasks' work.
+vectors (equal ones, say) is many tasks' work. Neighbouring cells that hold less than a block together are a zone: a
+query that has to look in several of them goes there once, with a mask of the cells.
 """
 
 from __future__ import annotations
@@ -109,17 +110,30 @@ class Index:
 
     def within(self, vectors: np.ndarray, reach: np.ndarray) -> list[list[int]]:
         """Per vector the cells that may hold something at a distance of ``reach`` or less."""
+        return self._lists(vectors, lambda: self.within_mask(vectors, reach))
+
+    def nearest(self, vectors: np.ndarray, k: int) -> list[list[int]]:
+        """Per vector its nearest cells that together hold at least ``k`` vectors, or all cells."""
+        return self._lists(vectors, lambda: self.nearest_mask(vectors, k))
+
+    def _lists(self, vectors: np.ndarray, mask: Callable[[], np.ndarray]) -> list[list[int]]:
+        if not len(self.pivots):
+            return [[0]] * len(vectors)
+        return [(np.flatnonzero(row) + ZERO).tolist() for row in mask()]
+
+    def within_mask(self, vectors: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """``within`` as a row of flags per vector: cell ``ZERO`` and then those of the pivots, of which there must be some."""
         found = self._each(vectors, lambda points, at: self.least(points) <= reach[at:at + len(points), None])
-        if self.metric == "cosine" and len(self.pivots):
+        if self.metric == "cosine":
             # A vector of length zero scores 0 with all others.
             far = reach >= math.sqrt(2) - self.slack
-            every = [ZERO, *range(len(self.pivots))]
-            for i, none in enumerate(self.zero(vectors).tolist()):
-                found[i] = (every if far[i] else []) if none else ([ZERO] if far[i] else []) + found[i]
+            none = self.zero(vectors)
+            found[:, 0] = far
+            found[none] = far[none, None]
         return found
 
-    def nearest(self, vectors: np.ndarray, k: int) -> list[list[int]]:
-        """Per vector its nearest cells that together hold at least ``k`` vectors, or all cells."""
+    def nearest_mask(self, vectors: np.ndarray, k: int) -> np.ndarray:
+        """``nearest`` as a row of flags per vector, like ``within_mask``."""
 
         def some(points: np.ndarray, at: int) -> np.ndarray:
             order = distances(points, self.pivots).argsort(axis=1, kind="stable")
@@ -130,11 +144,12 @@ class Index:
 
         return self._each(vectors, some)
 
-    def _each(self, vectors: np.ndarray, some: Callable[[np.ndarray, int], np.ndarray]) -> list[list[int]]:
-        if not len(self.pivots):
-            return [[0]] * len(vectors)
+    def _each(self, vectors: np.ndarray, some: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
         points = placed(vectors, self.metric)
-        return [np.flatnonzero(row).tolist() for at in range(0, len(points), _STEP) for row in some(points[at:at + _STEP], at)]
+        out = np.zeros((len(points), 1 + len(self.pivots)), bool)
+        for at in range(0, len(points), _STEP):
+            out[at:at + _STEP, 1:] = some(points[at:at + _STEP], at)
+        return out
 
 
 def build(items: DataFrame, metric: str, rows_per_cell: int) -> Index:
@@ -226,3 +241,93 @@ def meet(left: DataFrame, right: DataFrame, keys: list[str], by: tuple[str, str]
     # Both sides come from the same counts: new names keep their columns apart.
     two = two.toDF(*two.columns)
     return one.groupBy(*groups).cogroup(two.groupBy(*groups)).applyInArrow(compare, schema)
+
+
+# --- zones -------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Zones:
+    """Of each cell (``ZERO`` first) its zone, its place there and in how many zones it is cut; 0: it holds nothing."""
+
+    zone: np.ndarray
+    place: np.ndarray
+    parts: np.ndarray
+
+
+def _by_neighbours(pivots: np.ndarray) -> list[int]:
+    """The numbers of the pivots, each followed by the nearest of those that are left."""
+    order, left = [0], np.ones(len(pivots), bool)
+    left[0] = False
+    while left.any():
+        away = np.where(left, distances(pivots[order[-1:]], pivots)[0], np.inf)
+        order.append(int(away.argmin()))
+        left[order[-1]] = False
+    return order
+
+
+def zones(inside: DataFrame, index: Index, rows: int) -> Zones:
+    """Neighbouring cells together, up to about ``rows`` vectors; a cell of more is several zones. ``inside``: ``with_cell``."""
+    held = {r["cell"]: r["n"] for r in inside.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per pivot
+    found = Zones(*(np.zeros(1 + index.cells, np.int64) for _ in range(3)))
+    zone, room, place = -1, 0, 0
+    for cell in [ZERO, *_by_neighbours(index.pivots)]:
+        n = held.get(cell, 0)
+        if not n:
+            continue
+        if n > room:
+            zone, room, place = zone + 1, rows, 0
+        at, parts = cell - ZERO, math.ceil(n / rows)
+        found.zone[at], found.place[at], found.parts[at] = zone, place, parts
+        zone, room, place = zone + parts - 1, room - n if parts == 1 else 0, place + 1
+    return found
+
+
+def meet_zones(queries: DataFrame, inside: DataFrame, reached: Callable[[pa.RecordBatch, np.ndarray], np.ndarray], zoned: Zones,
+               rows: int, compare: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``compare`` on the queries and the vectors of each zone, about ``rows`` queries at a time.
+
+    ``reached`` gives the flags of the cells in which a batch of ``queries`` (id, embedding and others) looks. ``compare``
+    gets them with ``mask``, bits by ``place`` in the zone, and the vectors of ``inside`` (id, embedding, cell) with their ``place``.
+    """
+    cells_of: dict[int, list[int]] = {}
+    for at in np.flatnonzero(zoned.parts).tolist():
+        for part in range(zoned.parts[at]):
+            cells_of.setdefault(int(zoned.zone[at]) + part, []).append(at)
+    for found in cells_of.values():
+        found.sort(key=lambda at: zoned.place[at])
+
+    def flags(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        looks = reached(batch, matrix(batch.column("embedding")))
+        for zone, there in cells_of.items():
+            own = looks[:, there]
+            some = np.flatnonzero(own.any(axis=1))
+            if len(some):
+                yield zone, some, own[some]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(zone, len(some)) for zone, some, _ in flags(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["zone", "n"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for zone, some, own in flags(batch):
+                mask = [row.tobytes() for row in np.packbits(own, axis=1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.take(pa.array(some)).columns, pa.array([zone] * len(some), pa.int64()), pa.array(mask, pa.binary())],
+                    names=[*batch.schema.names, "zone", "mask"])
+
+    spark = queries.sparkSession
+    asked = queries.mapInArrow(number, "zone long, n long").groupBy("zone").agg(F.sum("n").alias("n")).collect()  # a row per zone
+    parts = {r["zone"]: math.ceil(r["n"] / rows) for r in asked}
+    one = queries.mapInArrow(deal, _shape(queries) + ", zone long, mask binary").join(
+        F.broadcast(spark.createDataFrame(list(parts.items()), "zone long, parts int")), "zone").withColumn(
+        "part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    there = [(at + ZERO, int(zoned.zone[at]), int(zoned.place[at]), int(zoned.parts[at]), [parts.get(int(zoned.zone[at]) + i, 0) for i in range(zoned.parts[at])])
+             for at in np.flatnonzero(zoned.parts).tolist()]
+    places = F.broadcast(spark.createDataFrame(there, "cell long, first long, place int, cuts int, parts array<int>"))
+    cut = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
+    two = inside.join(places, "cell").withColumn("cut", cut).withColumn("own", F.get("parts", F.col("cut"))).where("own > 0").select(
+        "id", "embedding", "place", (F.col("first") + F.col("cut")).alias("zone"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("part"))
+    return one.groupBy("zone", "part").cogroup(two.groupBy("zone", "part")).applyInArrow(compare, schema)

@@ -3,13 +3,15 @@
 One vector against a table is a plain projection and ``orderBy.limit``. Many vectors against a table go
 through a metric index (``cells``) in two rounds. First each vector meets the nearest cells that hold
 ``k`` items, which gives its ``k``-th best score so far; then it meets the other cells that may still hold
-something as good, and no more. Rows meet in pairs of blocks of bounded size, each one group that
-returns its best ``k`` per query, never all pairs. Up to ``BLOCK_ROWS`` items are a single cell and one round.
+something as good, and no more. Cells meet their queries by zones, groups of neighbouring cells: a query is sent
+once to a zone and not to each of its cells. Rows meet in pairs of blocks of bounded size, each one group that returns its
+best ``k`` per query, in the second round only what reaches the ``k``-th best of the first, and never all pairs. Up to
+``BLOCK_ROWS`` items are a single cell and one round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,11 @@ from ruleharbor.operators.cells import matrix
 from ruleharbor.session import cut_lineage
 
 BLOCK_ROWS = 2048
+ZONE_CELLS = 16  # full cells of a zone
+ZONE_NUMBERS = 1 << 21  # numbers of the vectors of a zone: fewer rows of long vectors
+QUERY_PART = 4  # a zone meets so many times fewer queries at a time than it holds vectors
+SCORES = 1 << 21  # of a matrix product
+PAIRS = 1 << 16  # scored exactly at a time
 HIT_SCHEMA = "query_id long, item_id long, score double, rank int"
 
 
@@ -84,27 +91,47 @@ def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
         return np.where(norms > 0, (a * b).sum(axis=1) / norms, 0.0)
 
 
-def _best(query_ids: np.ndarray, queries: np.ndarray, item_ids: np.ndarray, items: np.ndarray,
-          k: int, metric: str) -> pa.Table:
+def _best(query_ids: np.ndarray, queries: np.ndarray, item_ids: np.ndarray, items: np.ndarray, k: int, metric: str,
+          looks: np.ndarray | None = None, place: np.ndarray | None = None, reach: np.ndarray | None = None) -> pa.Table:
     """The best ``k`` items per query within one block, ranked; equal scores go to the smaller id.
 
     The matrix product finds all pairs that may be among the best, up to its rounding; these are scored exactly.
+    A query meets an item only if ``looks`` (flags per query) has the item's ``place``. Where its ``reach`` is
+    known (a distance in metric space), items beyond it are left out.
     """
     found: list[tuple[np.ndarray, ...]] = []
     order = np.argsort(item_ids, kind="stable")
     item_ids, items = item_ids[order], items[order]
-    for at in range(0, len(query_ids), 512):
-        some = queries[at:at + 512]
-        rough = score_matrix(some, items, metric)
+    place = None if place is None else place[order]
+    step = max(1, min(512, SCORES // max(1, len(items))))
+    for at in range(0, len(query_ids), step):
+        some, known, own_ids = queries[at:at + step], items, item_ids
+        barred = None
+        if looks is not None:
+            met = looks[at:at + step].any(axis=0)[place]
+            known, own_ids = (items, item_ids) if met.all() else (items[met], item_ids[met])
+            barred = ~looks[at:at + step][:, place[met]]
+        if not len(known):
+            continue
+        rough = score_matrix(some, known, metric)
         kept = min(k, rough.shape[1])
-        scale = np.abs(rough).max(axis=1, keepdims=True) + (some * some).sum(axis=1, keepdims=True)
-        row, col = np.nonzero(rough >= np.partition(rough, -kept, axis=1)[:, [-kept]] - 1e-11 * (1 + scale))
-        score = _exact(some[row], items[col], metric)
+        slack = 1e-11 * (1 + np.abs(rough).max(axis=1, keepdims=True) + (some * some).sum(axis=1, keepdims=True))
+        if barred is not None:
+            rough[barred] = -np.inf
+        bar = np.full((len(some), 1), -np.inf)
+        if reach is not None:
+            squared = reach[at:at + step, None] ** 2
+            bar = (-squared if metric == "l2" else 1 - squared / 2) - 1e-9 * (1 + squared)
+            bar[~np.isfinite(squared)] = -np.inf
+        free = np.flatnonzero(np.isneginf(bar))
+        bar[free] = np.partition(rough[free], -kept, axis=1)[:, [-kept]]
+        row, col = np.nonzero((rough >= bar - slack) & (rough > -np.inf))
+        score = np.concatenate([_exact(some[row[i:i + PAIRS]], known[col[i:i + PAIRS]], metric) for i in range(0, len(row), PAIRS)] or [np.zeros(0)])
         ranked = np.lexsort((col, -score, row))
         row, col, score = row[ranked], col[ranked], score[ranked]
         rank = np.arange(len(row)) - np.searchsorted(row, row, side="left") + 1
         top = rank <= kept
-        found.append((query_ids[at:at + 512][row[top]], item_ids[col[top]],
+        found.append((query_ids[at:at + step][row[top]], own_ids[col[top]],
                       score[top] if metric == "cosine" else -score[top], rank[top]))
     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
     columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.array([])] * 4
@@ -126,6 +153,27 @@ def _meet(queries: DataFrame, items: DataFrame, k: int, metric: str, block_rows:
     return cells.meet(queries, items, ["cell"], ("id", "id"), block_rows, run, HIT_SCHEMA).drop("rank")
 
 
+def _zone_rows(index: cells.Index, block_rows: int) -> int:
+    return max(block_rows, min(ZONE_CELLS * block_rows, ZONE_NUMBERS // max(1, index.pivots.shape[1])))
+
+
+def _meet_zones(queries: DataFrame, inside: DataFrame, k: int, metric: str, zones: cells.Zones, rows: int,
+                reached: Callable[[pa.RecordBatch, np.ndarray], np.ndarray]) -> DataFrame:
+    """The best ``k`` per query and zone; ``queries`` may have a ``reach``."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            return _best(np.array([]), np.zeros((0, 1)), np.array([]), np.zeros((0, 1)), k, metric)
+        left = left.sort_by("mask")
+        flags = np.frombuffer(b"".join(left.column("mask").to_pylist()), np.uint8).reshape(left.num_rows, -1)
+        return _best(
+            left.column("id").to_numpy(), matrix(left.column("embedding")), right.column("id").to_numpy(), matrix(right.column("embedding")),
+            k, metric, np.unpackbits(flags, axis=1).astype(bool), right.column("place").to_numpy(),
+            left.column("reach").to_numpy() if "reach" in left.column_names else None)
+
+    return cells.meet_zones(queries, inside, reached, zones, max(1, rows // QUERY_PART), run, HIT_SCHEMA).drop("rank")
+
+
 def first_cells(queries: DataFrame, index: cells.Index, k: int) -> DataFrame:
     """``queries`` with the nearest cells that hold ``k`` items, a row per cell."""
     return cells.with_reached(queries, lambda batch, vectors: index.nearest(vectors, k))
@@ -133,16 +181,20 @@ def first_cells(queries: DataFrame, index: cells.Index, k: int) -> DataFrame:
 
 def other_cells(queries: DataFrame, hits: DataFrame, index: cells.Index, k: int) -> DataFrame:
     """``queries`` with the cells beyond the first that may hold an item as good as their ``k``-th of ``hits``, a row per cell."""
+    return cells.with_reached(_with_reach(queries, hits, index, k), lambda batch, vectors: [
+        (np.flatnonzero(row) + cells.ZERO).tolist() for row in _beyond(batch, vectors, index, k)]).drop("reach")
+
+
+def _with_reach(queries: DataFrame, hits: DataFrame, index: cells.Index, k: int) -> DataFrame:
+    """``queries`` and the distance of their ``k``-th of ``hits`` in metric space, infinite where there are fewer."""
     worst = F.max("score") if index.metric == "l2" else F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score")))
     reach = F.when(F.count("*") >= k, worst).otherwise(float("inf"))
-    known = queries.join(hits.groupBy(F.col("query_id").alias("id")).agg(reach.alias("reach")), "id", "left").na.fill({"reach": float("inf")})
+    return queries.join(hits.groupBy(F.col("query_id").alias("id")).agg(reach.alias("reach")), "id", "left").na.fill({"reach": float("inf")})
 
-    def beyond(batch: pa.RecordBatch, vectors: np.ndarray) -> list[list[int]]:
-        met = index.nearest(vectors, k)
-        some = index.within(vectors, batch.column("reach").to_numpy())
-        return [[c for c in new if c not in old] for new, old in zip(some, map(set, met), strict=True)]
 
-    return cells.with_reached(known, beyond).drop("reach")
+def _beyond(batch: pa.RecordBatch, vectors: np.ndarray, index: cells.Index, k: int) -> np.ndarray:
+    """Flags of the cells in reach that were not met in the first round."""
+    return index.within_mask(vectors, batch.column("reach").to_numpy()) & ~index.nearest_mask(vectors, k)
 
 
 def top_k(
@@ -172,8 +224,12 @@ def top_k(
         inside = cells.with_cell(items, index)
         nothing = F.forall("embedding", lambda x: x == 0) if metric == "cosine" else F.lit(False)
         asked = queries.where(~nothing)
-        near = cut_lineage(best(_meet(first_cells(asked, index, k), inside, k, metric, block_rows)))
-        more = _meet(other_cells(asked, near, index, k), inside, k, metric, block_rows)
+        rows = _zone_rows(index, block_rows)
+        zones = cells.zones(inside, index, rows)
+        near = cut_lineage(best(_meet_zones(
+            asked, inside, k, metric, zones, rows, lambda batch, vectors: index.nearest_mask(vectors, k))))
+        more = _meet_zones(_with_reach(asked, near, index, k), inside, k, metric, zones, rows,
+                           lambda batch, vectors: _beyond(batch, vectors, index, k))
         found = near.drop("rank").unionByName(more)
         if metric == "cosine":
             # A vector of length zero scores 0 with every item: the smallest ids are its best.

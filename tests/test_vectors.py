@@ -135,3 +135,28 @@ def test_rerank(spark):
     best = V.rerank(F.col("hits"), F.array(F.lit("c_name")), F.lit(True), F.lit("the Quarterly FRAUD run"), 2)
     got = [(h["item_id"], round(h["score"], 6)) for h in lists.select(best).first()[0]]
     assert got == [(10, 0.73), (11, 0.6)] or got == [(10, 0.73), (12, 0.6)]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_a_query_is_sent_once_to_the_cells_of_a_zone(spark, metric):
+    rng = np.random.default_rng(4)
+    items = rng.normal(size=(900, 16))  # without structure: all cells are in reach
+    items[:600] = items[0]  # a cell of several zones
+    held = frame(spark, items)
+    index = C.build(held, metric, 10)
+    inside = C.with_cell(held, index)
+    zones = C.zones(inside, index, 160)
+    assert index.cells > 50 and zones.parts.max() == 4
+    assert (zones.zone + zones.parts).max() <= 7
+    kept = np.array([r["embedding"] for r in sorted(held.collect(), key=lambda r: r["id"])])
+    found = V.top_k(held.where("id % 9 = 0"), held, 5, metric, block_rows=10)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((round(r["score"], 9), r["item_id"]))
+    for q in range(0, 900, 9):
+        if metric == "l2":
+            score = np.sqrt(((kept - kept[q]) ** 2).sum(axis=1))
+        else:
+            score = -(kept @ kept[q]) / np.linalg.norm(kept, axis=1) / np.linalg.norm(kept[q])
+        want = sorted((round(float(s), 9), i) for i, s in enumerate(score))[:5]
+        assert [i for _, i in got[q]] == [i for _, i in want]
