@@ -45,10 +45,11 @@ def with_intent(requests: DataFrame, inputs: GateInputs) -> DataFrame:
 
 
 def with_policies(asked: DataFrame, inputs: GateInputs, retrieve: int = K.RETRIEVE_K) -> DataFrame:
-    """Requests with their best policies. Vectors are compared once each, however many requests share one."""
+    """Requests with their best policies. Vectors that requests name are compared once each, however many share one."""
     rules = inputs.policies.withColumn("concepts", concept_tags(F.col("rule_text"), F.col("rule_type")))
     about = rules.select(F.col("id").alias("item_id"), "target_column", "rule_text", "concepts")
-    near = vectors.hit_lists(vectors.top_k(inputs.embeddings, rules.select("id", "embedding"), retrieve), about)
+    wanted = inputs.embeddings.join(asked.select(F.col("vec_ref").alias("id")).distinct(), "id", "left_semi")
+    near = vectors.hit_lists(vectors.top_k(wanted, rules.select("id", "embedding"), retrieve), about)
     ranked = vectors.rerank(
         F.col("hits"), F.col("queried_columns"), F.size("pii_categories") > 0, F.col("stated_purpose"))
     return asked.join(near.withColumnRenamed("query_id", "vec_ref"), "vec_ref", "left").withColumn(
