@@ -8,10 +8,10 @@ repeats included; bit i is set if it is set in over half of the shingles' XXH64
 at most four of five dimensions, so some v has an even number in common with all of them: every
 pair that differs in at most four bits agrees on all kept bits of that table. No pair is missed.
 
-*Links.* Only distinct fingerprints enter the tables. Buckets are counted with pre-aggregation.
-A bucket of two is its own pair. A larger one of at most ``GATHERED`` members is compared inside
-its group and gives a spanning forest, never its pairs. A bucket beyond that is not gathered:
-its members send out their variants with up to two of the free bits flipped; two members are within
+*Links.* Only distinct fingerprints enter the tables. Their rows are shuffled once and read in the order of
+the buckets. A bucket of two is its own pair. A larger one of at most ``GATHERED`` members is compared
+inside its group and gives a spanning forest, never its pairs. A bucket beyond that is not gathered:
+its members go on as rows and send out their variants with up to two of the free bits flipped; two members are within
 four bits exactly if they share a variant, and each variant links its members to the smallest
 one. That is linear in the size of the bucket and loses no link.
 
@@ -24,7 +24,7 @@ never names a component unless all its ids are null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,12 +99,44 @@ def forest(members: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return links
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        links = [link for members in batch.column("members").to_pylist()
-                 for link in forest(np.array(members, np.int64))]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+def _in_buckets(gathered: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links (a, b) within the buckets of rows (v, key, fp) sorted by v and key; members (v, a) of those of more than ``gathered``."""
+
+    def links_of(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+        a, b = (fps[starts[sizes == 2] + i] for i in (0, 1))
+        close = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= RADIUS
+        found = list(zip(a[close].tolist(), b[close].tolist(), strict=True))
+        for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            found += forest(fps[at:at + size])
+        return found
+
+    def told(found: list[tuple[int, int]], v: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        none = [None] * len(found)
+        return pa.RecordBatch.from_arrays([
+            pa.array([*none, *v.tolist()], pa.int32()), pa.array([*(x for x, _ in found), *fps.tolist()], pa.int64()),
+            pa.array([*(y for _, y in found), *[None] * len(fps)], pa.int64())], names=["v", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last bucket of a batch may go on in the next one: it is held back, or, when too large, only known by its name.
+        held, open_wide = np.zeros((3, 0), np.int64), None
+        for batch in batches:
+            rows = np.c_[held, [batch.column(c).to_numpy().astype(np.int64) for c in ("v", "key", "fp")]]
+            if not rows.shape[1]:
+                continue
+            starts = np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])
+            sizes = np.diff(np.r_[starts, rows.shape[1]])
+            wide = sizes > gathered
+            if open_wide == tuple(rows[:2, 0]):
+                wide[0] = True
+            open_wide = tuple(rows[:2, -1]) if wide[-1] else None
+            held = rows[:, rows.shape[1]:] if wide[-1] else rows[:, starts[-1]:]
+            far = np.repeat(wide, sizes)
+            wide[-1] = True  # is told with the next batch
+            yield told(links_of(rows[2], starts[~wide], sizes[~wide]), rows[0, far], rows[2, far])
+        sizes = np.array([held.shape[1]])
+        yield told(links_of(held[2], np.array([0]), sizes), held[0, :0], held[2, :0])
+
+    return run
 
 
 def links(distinct: DataFrame, gathered: int = GATHERED) -> DataFrame:
@@ -113,20 +145,13 @@ def links(distinct: DataFrame, gathered: int = GATHERED) -> DataFrame:
                        for v, m in enumerate(MASKS)])
     # A row becomes 31: spread the few bytes of the fingerprints over all tasks first.
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = distinct.repartition(parts, "fp").select("fp", F.explode(tables).alias("t")).select("fp", "t.v", "t.key")
-    buckets = cut(keyed.groupBy("v", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-
-    def near(a: str, b: str):
-        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
-
-    pairs = buckets.where("n = 2").where(near("a", "b")).select("a", "b")
-    members = keyed.join(buckets.where("n > 2").select("v", "key", "n"), ["v", "key"])
-    groups = members.where(F.col("n") <= gathered).groupBy("v", "key").agg(F.collect_list("fp").alias("members"))
-    inside = groups.select("members").mapInArrow(_forests, "a long, b long")
+    keyed = distinct.repartition(parts, "fp").select("fp", F.explode(tables).alias("t")).select("t.v", "t.key", "fp")
+    found = cut(keyed.repartition(parts, "v", "key").sortWithinPartitions("v", "key").mapInArrow(
+        _in_buckets(gathered), "v int, a long, b long"))
+    inside = found.where("b IS NOT NULL").select("a", "b")
 
     free = F.array(*[F.array(*[F.lit(signed(1 << i)) for i in bits]) for bits in FREE])
-    wide = members.where(F.col("n") > gathered).withColumn("free", F.element_at(free, F.col("v") + 1))
+    wide = found.where("b IS NULL").select("v", F.col("a").alias("fp")).withColumn("free", F.element_at(free, F.col("v") + 1))
     flips = F.concat(
         F.array(F.lit(0).cast("long")), F.col("free"),
         F.flatten(F.transform("free", lambda x, i: F.transform(
@@ -135,7 +160,7 @@ def links(distinct: DataFrame, gathered: int = GATHERED) -> DataFrame:
         "v", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
     middle = variants.groupBy("v", "variant").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     through = variants.join(middle, ["v", "variant"]).where("fp != b").select(F.col("fp").alias("a"), "b")
-    return pairs.union(inside).union(through).distinct()
+    return inside.union(through).distinct()
 
 
 def named(prints: DataFrame, gathered: int = GATHERED) -> DataFrame:

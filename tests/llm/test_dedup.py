@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -147,3 +148,20 @@ def test_near_stage_loses_no_other_text_of_an_id_or_of_rows_without_one(spark):
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id, r.text.lower()) for r in kept.collect() if r.doc_id) == [(5, texts[2]), (5, texts[3])]
     assert sorted(r.text.lower() for r in kept.collect() if r.doc_id is None) == texts[:2]
+
+
+@pytest.mark.parametrize("step", [1, 3, 7, 1000])
+def test_buckets_are_read_in_order_however_batches_cut_them(step):
+    rng = random.Random(step)
+    rows = sorted((v, key, simhash.signed(rng.getrandbits(6))) for v in range(3) for key in range(8) for _ in range(rng.choice([1, 2, 3, 5, 12])))
+    rows = sorted(set(rows))
+    whole = pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2))], names=["v", "key", "fp"])
+    told = [r for batch in simhash._in_buckets(4)(whole.slice(i, step) for i in range(0, len(rows), step)) for r in batch.to_pylist()]
+    buckets = defaultdict(list)
+    for v, key, fp in rows:
+        buckets[v, key].append(fp)
+    wide = sorted((v, fp) for (v, _), fps in buckets.items() if len(fps) > 4 for fp in fps)
+    assert sorted((r["v"], r["a"]) for r in told if r["b"] is None) == wide
+    links = sorted(link for fps in buckets.values() if len(fps) <= 4 for link in simhash.forest(np.array(fps)))
+    assert sorted((r["a"], r["b"]) for r in told if r["b"] is not None) == links
