@@ -3,8 +3,11 @@
 A stored entry answers requests from its creation until its time to live ends or a newer
 entry with the same key replaces it: at any time at most one entry of a key lives. Texts and
 vectors are compared once each, however often they are asked or stored, and without regard to
-time; which entry of a matching key lives at a request's time is then one running look-up in the
-rows of that key. Time is cut into slices of about ``SLICE_ROWS`` rows, so that a busy key is not one task's.
+time; which entry of a key lives at a request's time is one running look-up in the rows of that key. Time is
+cut into slices of about ``SLICE_ROWS`` rows, so that a busy key is not one task's.
+
+A text or a vector matches many keys. Its requests are therefore not multiplied by them: requests, matching pairs
+and the entries that live in a slice of time meet in groups of bounded size, where lifetimes are searched (``best_living``).
 
 Nearly equal texts are found through an index of segments (``near_text``), similar vectors through a metric
 index (``cells``). A vector is known by a 128-bit hash, worked out once per row.
@@ -18,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +33,9 @@ from ruleharbor.operators.vectors import score_matrix
 from ruleharbor.session import cut_lineage
 
 SLICE_ROWS = 1_000_000
+GROUP_SLICE_ROWS = 500_000  # requests of a time slice in which they meet entries
+GROUP_ROWS = 250_000  # requests and matching pairs of a group
+STEP_PAIRS = 1_000_000  # requests times lanes that are searched at once
 VECTORS_PER_BLOCK = 2048
 
 HIT_COLUMNS = ("query_id", "entry_id", "decision")
@@ -129,6 +136,11 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return named.dropDuplicates(["user_role", "vector"])
 
 
+def _subject(role: str, name: str) -> Column:
+    """A text or vector of a role by one name; null where either is."""
+    return F.sha2(F.concat(F.length(role).cast("string"), F.lit("|"), F.col(role), F.col(name)), 256)
+
+
 def exact_hits(requests: DataFrame, alive: DataFrame) -> DataFrame:
     """Requests whose normalised text and role are stored; at most one entry each."""
     return _exact(cut_lineage(slim_requests(requests)), slim_entries(alive))
@@ -139,6 +151,122 @@ def _exact(asked: DataFrame, alive: DataFrame) -> DataFrame:
     return living(asked.select("query_id", "at", "key"), alive, width).select("query_id", "e.entry_id", "e.decision")
 
 
+# --- requests that match many keys ----------------------------------------------------------
+
+
+def _nearest_living(left: pa.Table, right: pa.Table, oldest: bool) -> pa.Table:
+    """Of each request the best entry that lives at its time, among those of the matching objects.
+
+    ``left``: query_id, at, subject. ``right``: matches (subject, object, score) and entries (object, key, born, dies, ..), which
+    have a time of birth. The entries of an object and key follow each other in a lane, so a binary search finds the living one.
+    """
+    isborn = right.column("born").is_valid()
+    pairs, entries = right.filter(pc.invert(isborn)), right.filter(isborn)
+
+    def codes(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+        """The rank of each value among all, in the order of its bytes."""
+        both = pa.chunked_array([c for x in columns for c in x.chunks], columns[0].type)
+        values = pc.unique(both)
+        values = values.take(pc.sort_indices(values))
+        return [pc.index_in(x, values).to_numpy().astype(np.int64) for x in columns]
+
+    subject, p_subject = codes(left.column("subject"), pairs.column("subject"))
+    p_object, e_object = codes(pairs.column("object"), entries.column("object"))
+    (key,) = codes(entries.column("key"))
+    born, dies = (entries.column(c).to_numpy().astype(np.int64) for c in ("born", "dies"))
+    at = left.column("at").to_numpy().astype(np.int64)
+
+    order = np.lexsort((born, key, e_object))
+    e_object, key, born, dies = e_object[order], key[order], born[order], dies[order]
+    starts = np.flatnonzero(np.r_[len(order) > 0, (e_object[1:] != e_object[:-1]) | (key[1:] != key[:-1])][:len(order)])
+    lane = np.cumsum(np.isin(np.arange(len(order)), starts)) - 1
+    moments = np.unique(born)
+    place = lane * (len(moments) + 1) + np.searchsorted(moments, born)  # rising
+    rank = np.empty(len(order), np.int64)
+    rank[np.lexsort((key, born))] = np.arange(len(order))
+
+    # The lanes of each subject.
+    first, last = (np.searchsorted(e_object[starts], p_object, side) for side in ("left", "right"))
+    many = last - first
+    by_subject = np.argsort(np.repeat(p_subject, many), kind="stable")
+    lanes = (np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))[by_subject]
+    score = pairs.column("score").to_numpy().astype(np.float64)
+    levels = np.unique(-score)
+    level = np.repeat(np.searchsorted(levels, -score), many)[by_subject]
+    owner = np.repeat(p_subject, many)[by_subject]
+    begin, end = np.searchsorted(owner, subject, "left"), np.searchsorted(owner, subject, "right")
+    asked = np.flatnonzero(end > begin)
+    width = (end - begin)[asked]
+    moment = np.searchsorted(moments, at)
+
+    rows, hits, scores = [], [], []
+    cuts = np.flatnonzero(np.diff((np.cumsum(width) - width) // STEP_PAIRS)) + 1
+    for some, wide in zip(np.split(asked, cuts), np.split(width, cuts), strict=True):
+        if not len(some):
+            continue
+        offset = np.cumsum(wide) - wide
+        entry = np.repeat(begin[some] - offset, wide) + np.arange(wide.sum())
+        at_lane = lanes[entry]
+        found = np.searchsorted(place, at_lane * (len(moments) + 1) + np.repeat(moment[some], wide)) - 1
+        lives = (found >= 0) & (lane[found] == at_lane) & (dies[found] >= np.repeat(at[some], wide))
+        worth = rank[found] if oldest else level[entry] * (len(order) + 1) + key[found]
+        worth = np.where(lives, worth, np.iinfo(np.int64).max)
+        best = np.minimum.reduceat(worth, offset)
+        # The first of each request's lanes that has the least value.
+        top = np.flatnonzero(lives & (worth == np.repeat(best, wide)))
+        whose = np.searchsorted(offset, top, "right") - 1
+        keep = np.r_[True, whose[1:] != whose[:-1]][:len(top)]
+        top, whose = top[keep], whose[keep]
+        rows.append(some[whose])
+        hits.append(order[found[top]])
+        scores.append(-levels[level[entry[top]]])
+    none = np.zeros(0, np.int64)
+    told = entries.take(pa.array(np.concatenate([none, *hits])))
+    return pa.table({"query_id": left.column("query_id").take(pa.array(np.concatenate([none, *rows]))),
+                     **{c: told.column(c) for c in ("born", "key", "entry_id", "decision")},
+                     "score": pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64())})
+
+
+def best_living(asked: DataFrame, near: DataFrame, alive: DataFrame, oldest: bool) -> DataFrame:
+    """(query_id, born, key, entry_id, decision, score): of each request the best entry living at its time; rows without one go.
+
+    ``asked``: query_id, at, subject. ``near``: subject, object, score, each pair once. ``alive``: object, key, born, dies, entry_id,
+    decision (``lifetimes``: entries of a key do not overlap). The best is the oldest entry, else the one of the highest score;
+    then the smallest key. A request is sent to one group, an entry to the groups of its slices that hold a matching subject.
+    Subjects are dealt to groups by hash; one with more requests in a slice than a group holds has several.
+    """
+    asked = asked.where("at IS NOT NULL AND subject IS NOT NULL")
+    width = slice_width(asked, "at", GROUP_SLICE_ROWS)
+    asked = asked.withColumn("slice", _slice(F.col("at"), width))
+    span = asked.agg(F.min("slice").alias("first"), F.max("slice").alias("last")).first()
+    pairs_of = near.groupBy("subject").agg(F.count(F.lit(1)).alias("pairs"))
+    counts = cut_lineage(asked.groupBy("slice", "subject").agg(F.count(F.lit(1)).alias("n")).join(pairs_of, "subject"))
+    groups = lambda n: F.ceil(n / GROUP_ROWS).cast("int")
+    parts = F.broadcast(counts.groupBy("slice").agg(groups(F.sum(F.col("n") + F.col("pairs"))).alias("parts")))  # a row per slice
+    busy = F.broadcast(counts.where(F.col("n") > GROUP_ROWS).select("slice", "subject", groups(F.col("n")).alias("salts")))  # few by their size
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        found = rows.join(parts, "slice").join(busy, ["slice", "subject"], "left")
+        return found.withColumn("part", F.pmod(F.xxhash64("subject"), F.col("parts")).cast("int")).withColumn(
+            "salts", F.coalesce("salts", F.lit(1))).drop("parts")
+
+    keys = ["slice", "part", "salt"]
+    one = dealt(asked).withColumn("salt", F.pmod(F.xxhash64("query_id", "at"), F.col("salts")).cast("int")).select(
+        *keys, "query_id", "at", "subject")
+    pairs = dealt(counts.select("slice", "subject").join(near, "subject")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*keys, "subject", "object", "score")
+    begins = F.greatest(_slice(F.col("born"), width), F.lit(span["first"]).cast("long"))
+    ends = F.least(_slice(F.col("dies"), width), F.lit(span["last"]).cast("long"))
+    spans = alive.withColumns({"begins": begins, "ends": ends}).where("begins <= ends").select(
+        "object", "key", "born", "dies", "entry_id", "decision", F.explode(F.sequence("begins", "ends")).alias("slice"))
+    entries = spans.join(pairs.select(*keys, "object").distinct(), ["slice", "object"])
+    two = pairs.unionByName(entries, allowMissingColumns=True)
+    kind = {f.name: f.dataType.simpleString() for f in alive.schema}
+    shape = (f"query_id {asked.schema['query_id'].dataType.simpleString()}, born long, key string, entry_id {kind['entry_id']}, "
+             f"decision {kind['decision']}, score double")
+    return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(lambda left, right: _nearest_living(left, right, oldest), shape)
+
+
 # --- nearly equal texts ------------------------------------------------------------------
 
 
@@ -152,11 +280,12 @@ def fuzzy_hits(
 def _fuzzy(asked: DataFrame, alive: DataFrame, ratio: float, spread: int = near_text.SPREAD) -> DataFrame:
     stored = alive.select(F.col("user_role").alias("group"), "key", F.col("normalised_query").alias("text"))
     texts = asked.select(F.col("user_role").alias("group"), F.col("normalised_query").alias("text"))
-    near = cut_lineage(near_text.near_texts(texts, stored, ratio, spread).withColumnsRenamed(
-        {"group": "user_role", "text": "normalised_query"}))
-    rows = asked.select("query_id", "at", "user_role", "normalised_query").join(near, ["user_role", "normalised_query"])
-    found = living(rows.select("query_id", "at", "key"), alive, slice_width(asked, "at"))
-    oldest = found.groupBy("query_id").agg(F.min(F.struct("e.born", "e.key", "e.entry_id", "e.decision")).alias("e"))
+    near = near_text.near_texts(texts, stored, ratio, spread).withColumnsRenamed({"group": "user_role", "text": "normalised_query"})
+    subject = _subject("user_role", "normalised_query").alias("subject")
+    pairs = cut_lineage(near.select(subject, F.col("key").alias("object"), F.lit(0.0).alias("score")))
+    entries = alive.withColumn("object", F.col("key"))
+    found = best_living(asked.select("query_id", "at", subject), pairs, entries, oldest=True)
+    oldest = found.groupBy("query_id").agg(F.min(F.struct("born", "key", "entry_id", "decision")).alias("e"))
     return oldest.select("query_id", "e.entry_id", "e.decision")
 
 
@@ -196,15 +325,14 @@ def semantic_hits(
 
 def _semantic(asked: DataFrame, alive: DataFrame, asked_vectors: DataFrame, stored_vectors: DataFrame, floor: float,
               block: int = VECTORS_PER_BLOCK) -> DataFrame:
-    near = cut_lineage(similar_vectors(cut_lineage(asked_vectors), cut_lineage(stored_vectors), floor, block))
-    keys = alive.where("vector IS NOT NULL").select("user_role", "key", F.col("vector").alias("e_vector")).distinct()
-    matched = near.join(keys, ["user_role", "e_vector"])
-    rows = asked.select("query_id", "at", "user_role", F.col("vector").alias("r_vector")).join(matched, ["user_role", "r_vector"])
-    # An entry without vector replaces its key's entry as any other does, so all of them are looked up.
-    found = living(rows.select("query_id", "at", "key", "e_vector", "score"), alive, slice_width(asked, "at"), "vector").where(
-        "e.vector = e_vector")
+    near = similar_vectors(cut_lineage(asked_vectors), cut_lineage(stored_vectors), floor, block)
+    pairs = cut_lineage(near.select(
+        _subject("user_role", "r_vector").alias("subject"), _subject("user_role", "e_vector").alias("object"), "score"))
+    # A lifetime ends when another entry of the key follows, also one without vector.
+    entries = alive.where("vector IS NOT NULL").withColumn("object", _subject("user_role", "vector"))
+    found = best_living(asked.select("query_id", "at", _subject("user_role", "vector").alias("subject")), pairs, entries, oldest=False)
     top = found.groupBy("query_id").agg(
-        F.min(F.struct((-F.col("score")).alias("neg"), "e.key", "e.entry_id", "e.decision", "score")).alias("e"))
+        F.min(F.struct((-F.col("score")).alias("neg"), "key", "entry_id", "decision", "score")).alias("e"))
     return top.select("query_id", "e.entry_id", "e.decision", "e.score")
 
 

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,55 @@ def test_fuzzy(log, ratio, spread):
     assert answers(R.fuzzy_hits(requests, R.lifetimes(entries), ratio, spread)) == want
 
 
+@pytest.mark.parametrize("hits", [R.fuzzy_hits, R.semantic_hits])
+def test_requests_are_not_multiplied_by_the_keys_they_match(log, hits, monkeypatch):
+    rows, requests, entries = log
+    sent = []
+    running = R.living
+    monkeypatch.setattr(R, "living", lambda asked, *more: sent.append(asked.count()) or running(asked, *more))
+    hits(requests, R.lifetimes(entries)).collect()
+    assert sum(sent) <= len(rows)
+
+
+@pytest.mark.parametrize("hits", [R.fuzzy_hits, R.semantic_hits])
+@pytest.mark.parametrize("of_a_slice, of_a_group", [(20, 1_000_000), (1_000_000, 3), (20, 3)])
+def test_matches_whatever_the_groups(log, hits, of_a_slice, of_a_group, monkeypatch):
+    _, requests, entries = log
+    alive = R.lifetimes(entries)
+    want = answers(hits(requests, alive))
+    monkeypatch.setattr(R, "GROUP_SLICE_ROWS", of_a_slice)
+    monkeypatch.setattr(R, "GROUP_ROWS", of_a_group)
+    assert want and answers(hits(requests, alive)) == want
+
+
+@pytest.mark.parametrize("step", [1, 7, 1_000_000])
+@pytest.mark.parametrize("oldest", [True, False])
+def test_best_living_entry_of_a_group(step, oldest, monkeypatch):
+    monkeypatch.setattr(R, "STEP_PAIRS", step)
+    rnd = random.Random(5)
+    entries = []
+    for n, key in enumerate("abcdef"):
+        at = rnd.randint(0, 5)
+        while at < 60:
+            born, at = at, at + rnd.randint(1, 12)
+            entries.append({"object": rnd.choice("xyz"), "key": key, "born": born, "dies": rnd.randint(born + 1, at), "entry_id": 100 * n + born, "decision": "d"})
+    pairs = [{"subject": s, "object": o, "score": rnd.choice([0.5, 0.75])} for s in "pqr" for o in "xyz" if rnd.random() < 0.7]
+    asked = [{"query_id": i, "at": rnd.randint(0, 70), "subject": rnd.choice("pqrs")} for i in range(200)]
+    shape = pa.schema([("subject", pa.string()), ("object", pa.string()), ("score", pa.float64()), ("key", pa.string()), ("born", pa.int64()),
+                       ("dies", pa.int64()), ("entry_id", pa.int64()), ("decision", pa.string())])
+    found = R._nearest_living(pa.Table.from_pylist(asked), pa.Table.from_pylist(pairs + entries, shape), oldest)
+    want = {}
+    for r in asked:
+        fits = [(e, p["score"]) for p in pairs if p["subject"] == r["subject"] for e in entries
+                if e["object"] == p["object"] and e["born"] < r["at"] <= e["dies"]]
+        if fits:
+            e, score = min(fits, key=lambda f: (f[0]["born"], f[0]["key"]) if oldest else (-f[1], f[0]["key"]))
+            want[r["query_id"]] = (e["entry_id"], score)
+    assert {r["query_id"]: (r["entry_id"], r["score"]) for r in found.to_pylist()} == want
+    none = R._nearest_living(pa.Table.from_pylist(asked), pa.Table.from_pylist(pairs, shape), oldest)
+    assert none.num_rows == 0
+
+
 @pytest.mark.parametrize("block", [2048, 5])
 def test_semantic(log, block):
     rows, requests, entries = log
