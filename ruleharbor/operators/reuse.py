@@ -125,9 +125,16 @@ def slim_entries(alive: DataFrame) -> DataFrame:
 
 
 def _named(rows: DataFrame) -> Column:
+    if "vector" in rows.columns:
+        return F.col("vector")
     return vector_name(F.col("embedding")) if "embedding" in rows.columns else F.lit(None).cast("string")
 
 
+def with_names(rows: DataFrame) -> DataFrame:
+    """``rows`` with the name of their vector in place of its numbers, which joins and windows then need not carry."""
+    return rows.withColumn("vector", _named(rows)).drop("embedding")
+
+
 def distinct_vectors(rows: DataFrame) -> DataFrame:
     """(user_role, vector, embedding): each vector of a role once."""
     if "embedding" not in rows.columns:
@@ -274,7 +281,7 @@ def fuzzy_hits(
     requests: DataFrame, alive: DataFrame, ratio: float = K.FUZZY_RATIO, spread: int = near_text.SPREAD
 ) -> DataFrame:
     """Requests with a nearly equal stored text of the same role; the entry stored first answers."""
-    return _fuzzy(cut_lineage(slim_requests(requests)), slim_entries(alive), ratio, spread)
+    return _fuzzy(cut_lineage(slim_requests(requests)), cut_lineage(slim_entries(alive)), ratio, spread)
 
 
 def _fuzzy(asked: DataFrame, alive: DataFrame, ratio: float, spread: int = near_text.SPREAD) -> DataFrame:
@@ -316,11 +323,16 @@ def similar_vectors(asked: DataFrame, stored: DataFrame, floor: float, block: in
 
 
 def semantic_hits(
-    requests: DataFrame, alive: DataFrame, floor: float = K.SEMANTIC_COSINE, block: int = VECTORS_PER_BLOCK
+    requests: DataFrame, alive: DataFrame, floor: float = K.SEMANTIC_COSINE, block: int = VECTORS_PER_BLOCK,
+    stored: DataFrame | None = None
 ) -> DataFrame:
-    """Requests with a stored vector of the same role at cosine ``floor`` or more; the most alike answers."""
-    return _semantic(cut_lineage(slim_requests(requests)), slim_entries(alive), distinct_vectors(requests),
-                     distinct_vectors(alive), floor, block)
+    """Requests with a stored vector of the same role at cosine ``floor`` or more; the most alike answers.
+
+    ``alive`` may hold names (``with_names``); then ``stored`` (user_role, embedding) has the vectors.
+    """
+    vectors = distinct_vectors(alive if stored is None else stored)
+    return _semantic(cut_lineage(slim_requests(requests)), cut_lineage(slim_entries(alive)), distinct_vectors(requests),
+                     vectors, floor, block)
 
 
 def _semantic(asked: DataFrame, alive: DataFrame, asked_vectors: DataFrame, stored_vectors: DataFrame, floor: float,
@@ -351,14 +363,15 @@ def reuse_cascade(
     a layer looks only at the requests no earlier layer answered, so the answers of all but the last layer are
     written as they are found.
     """
-    living_entries = lifetimes(entries)
-    alive = cut_lineage(slim_entries(living_entries))
+    alive = cut_lineage(slim_entries(lifetimes(with_names(entries))))
     asked = cut_lineage(slim_requests(requests))
 
     def semantic(rest: DataFrame) -> DataFrame:
-        wanted = rest.where("vector IS NOT NULL").select("user_role", "vector").distinct()
-        vectors = distinct_vectors(requests).join(wanted, ["user_role", "vector"], "left_semi")
-        return _semantic(rest, alive, vectors, distinct_vectors(living_entries), semantic_floor).select(*HIT_COLUMNS)
+        def vectors(rows: DataFrame, slim: DataFrame) -> DataFrame:
+            wanted = slim.where("vector IS NOT NULL").select("user_role", "vector").distinct()
+            return distinct_vectors(rows).join(wanted, ["user_role", "vector"], "left_semi")
+
+        return _semantic(rest, alive, vectors(requests, rest), vectors(entries, alive), semantic_floor).select(*HIT_COLUMNS)
 
     finders = {
         "exact": lambda rest: _exact(rest, alive),

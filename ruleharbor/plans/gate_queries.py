@@ -22,15 +22,19 @@ def query_log(spark, sf_dir):
 
 def requests(spark, sf_dir):
     """The log with a key and, where there is one, a vector per request."""
-    vec = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vec_ref"), "embedding")
-    return reuse.with_key(query_log(spark, sf_dir)).join(vec, "vec_ref", "left")
+    return reuse.with_key(query_log(spark, sf_dir)).join(_vectors(spark, sf_dir), "vec_ref", "left")
+
+
+def _vectors(spark, sf_dir):
+    return X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vec_ref"), "embedding")
 
 
 def entries(spark, sf_dir):
+    """Stored decisions with key and vector; the vectors come last, so that the join of decisions does not move them."""
     told = X.derived(spark, sf_dir, X.DECISIONS_SQL)
-    asked = requests(spark, sf_dir).select(
-        F.col("query_id").alias("entry_id"), "key", "normalised_query", "user_role", "embedding")
-    return asked.join(told, "entry_id")
+    asked = reuse.with_key(query_log(spark, sf_dir)).select(
+        F.col("query_id").alias("entry_id"), "key", "normalised_query", "user_role", "vec_ref")
+    return asked.join(told, "entry_id").join(_vectors(spark, sf_dir), "vec_ref", "left").drop("vec_ref")
 
 
 _POLICY_LABELS = (
@@ -261,7 +265,8 @@ def reuse_fuzzy(spark, sf_dir):
 
 
 def reuse_semantic(spark, sf_dir):
-    hits = reuse.semantic_hits(requests(spark, sf_dir), reuse.lifetimes(entries(spark, sf_dir)))
+    stored = entries(spark, sf_dir)
+    hits = reuse.semantic_hits(requests(spark, sf_dir), reuse.lifetimes(reuse.with_names(stored)), stored=stored)
     return hits.withColumn("score", F.round("score", 6))
 
 

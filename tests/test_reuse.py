@@ -147,6 +147,14 @@ def test_semantic(log, block):
     assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_lifetimes_of_names_carry_no_vectors(log):
+    _, requests, entries = log
+    alive = R.lifetimes(R.with_names(entries))
+    assert "embedding" not in alive.columns
+    found = R.semantic_hits(requests, alive, stored=entries)
+    assert sorted(found.collect()) == sorted(R.semantic_hits(requests, R.lifetimes(entries)).collect())
+
+
 def test_cascade_answers_every_request_once(log):
     rows, requests, entries = log
     out = R.reuse_cascade(requests, entries)
