@@ -4,9 +4,9 @@
    is the sum of the index vectors of its neighbours over the whole collection, exact for every word.
    Sums are whole numbers, so the result is the same in any order of tasks. Words that a sample shows to be
    frequent (at most ``FREQUENT``) are added up per task and sent to the tasks as one table. Any other word has
-   a row per document; their sum goes back to the documents that share the word by a join on the
-   document's key, and a word of one document only is summed up from this document. Which words count as
-   frequent changes the work but no vector.
+   a row per document; their sum, written once with the keys of its documents, goes back to the documents that
+   share the word by a join on the document's key, to which texts go packed, and a word of one document only is
+   summed up from this document. Which words count as frequent changes the work but no vector.
 2. *Pooling.* A document is, per dimension, the mean of its words' unit vectors, their spread, and the
    mean products of neighbouring words' vectors and index vectors, which are high where words repeat.
 3. *Network.* One hidden layer, trained in numpy on at most ``MOST_LABELLED`` labelled documents
@@ -33,6 +33,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -40,7 +41,7 @@ from xxhash import xxh3_64_intdigest
 from ruleharbor.llm.common import bytes_of, cut, id_remainder, learning_sample, sliced
 
 SLOTS = 1 << 15  # of the hashed form, which no query uses
-FREQUENT = 1 << 18  # words in the table that every task gets (32 MB)
+FREQUENT = 1 << 18  # words in the table that every task gets (8 MB of sums below 128, 16 MB below 32,768)
 SAMPLED = 4  # one row in so many shows which words are frequent
 WIDTH = 32
 NONZERO = 4
@@ -49,6 +50,7 @@ POOLS = 4  # mean, spread, product of neighbours' vectors, product of neighbours
 BLOCK = 1024
 HIDDEN = 24
 MOST_LABELLED = 20_000
+KEYS = 1 << 12  # keys in a row of the sum of a word; more are several rows
 THRESHOLD = 0.3
 _UNIT = re.compile(rb"[0-9a-z\x80-\xff]+|[^\s0-9a-z\x80-\xff]+")
 
@@ -201,6 +203,41 @@ def _units(sums: np.ndarray) -> np.ndarray:
     return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+def texts_of(packed: list[bytes | None], sizes: list[int]) -> list[bytes]:
+    """The texts that ``packed_texts`` wrote; a null is an empty text."""
+    codec = pa.Codec("zstd")
+    return [codec.decompress(c, n, asbytes=True) if n else b"" for c, n in zip(packed, sizes, strict=True)]
+
+
+def _by_size(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of a piece hold about ``most`` bytes or are one."""
+    for batch in batches:
+        start, held = 0, 0
+        for i, size in enumerate(batch.column("__size").to_pylist()):
+            if held and held + size > most:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+def packed_texts(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__packed`` and ``__size`` in place of ``__text`` (binary), which makes the way to a join shorter."""
+    names = [c for c in rows.columns if c != "__text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        for batch in sliced(batches):
+            texts = batch.column("__text").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array([t and codec.compress(t, asbytes=True) for t in texts], pa.binary()),
+                 pa.array([len(t or b"") for t in texts], pa.int64())], names=[*names, "__packed", "__size"])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"]
+    return rows.mapInArrow(run, ", ".join([*fields, "__packed binary", "__size long"]))
+
+
 def key_of() -> Column:
     """Rows of equal id and text have the same key. Rows that share one by chance only share what is looked up."""
     return F.xxhash64("doc_id", F.col("text").cast("binary"))
@@ -229,10 +266,11 @@ def frequent_words(rows: DataFrame, most: int) -> np.ndarray:
 
 
 _SUMS = "word long, key long, sums binary"
+_TOTALS = "word long, keys array<long>, sums binary"
 
 
 def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums per word: a row for a frequent one (no key), for others a row per key, if there are several."""
+    """Sums per word: without keys for a frequent one, for others with their keys, if there are several."""
     held = list(batches)
     if not sum(b.num_rows for b in held):
         return
@@ -248,19 +286,49 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group = np.cumsum(new) - 1
     first = new | np.r_[True, key[1:] != key[:-1]]
     keep = np.flatnonzero(first & (everywhere | several[group]))
-    for i in range(0, len(keep), 10_000):
-        some = keep[i:i + 10_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(word[some]), pa.array(key[some], mask=everywhere[some]), _packed(total[group[some]])],
-            names=["word", "key", "sums"])
+    word, key, everywhere, group = word[keep], key[keep], everywhere[keep], group[keep]
+    if not len(keep):
+        return
+    # A row ends with its word, or with as many keys as a row holds.
+    new = np.r_[True, word[1:] != word[:-1]]
+    place = np.arange(len(word))
+    new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % KEYS == 0
+    ends = np.r_[np.flatnonzero(new), len(word)]
+    for i in range(0, len(ends) - 1, 10_000):
+        bounds = ends[i:i + 10_001]
+        some, low, high = bounds[:-1], bounds[0], bounds[-1]
+        keys = pa.ListArray.from_arrays(pa.array(bounds - low, pa.int32()), pa.array(key[low:high], pa.int64()), mask=pa.array(everywhere[some]))
+        yield pa.RecordBatch.from_arrays([pa.array(word[some]), keys, _packed(total[group[some]])], names=["word", "keys", "sums"])
+
+
+class Frequent:
+    """Sorted hashes of the frequent words and the sums of their contexts, each in the fewest bytes that hold it."""
+
+    def __init__(self, words: np.ndarray, rows: np.ndarray, sums: np.ndarray):
+        self.words, self.parts = words, []
+        most = np.abs(sums).max(axis=1, initial=0)
+        left = np.argsort(rows)
+        for kind in (np.int8, np.int16, np.int32, np.int64):
+            fits = most[left] <= np.iinfo(kind).max
+            some, left = left[fits], left[~fits]
+            self.parts.append((rows[some], sums[some].astype(kind)))
+
+    def units(self, rows: np.ndarray) -> np.ndarray:
+        """The unit vectors of the words of ``rows``; zero for one without contexts."""
+        out = np.zeros((len(rows), WIDTH), np.int64)
+        for held, sums in self.parts:
+            if len(held):
+                at = np.minimum(np.searchsorted(held, rows), len(held) - 1)
+                known = held[at] == rows
+                out[known] = sums[at[known]]
+        return _units(out)
 
 
 @dataclass(frozen=True)
 class Words:
-    """Hashes and unit vectors of the frequent words, and (key, word, sums) of the others in several rows."""
+    """The frequent words as every task gets them, and (key, word, sums) of the others in several rows."""
 
-    frequent: np.ndarray
-    table: np.ndarray
+    frequent: Broadcast[Frequent]
     shared: DataFrame
 
 
@@ -289,11 +357,10 @@ def word_sums(documents: DataFrame) -> Words:
         yield pa.RecordBatch.from_arrays(
             [pa.array(frequent[some]), pa.nulls(len(some), pa.int64()), _packed(sums[some])], names=["word", "key", "sums"])
 
-    total = cut(rows.mapInArrow(gather, _SUMS).repartition("word").mapInArrow(_sum_rows, _SUMS))
-    found = total.where("key is null").select("word", "sums").toArrow()
-    table = np.zeros((len(frequent), WIDTH), np.float32)
-    table[np.searchsorted(frequent, found.column("word").to_numpy())] = _units(_unpacked(found.column("sums").to_pylist()))
-    return Words(frequent, table, total.where("key is not null"))
+    total = cut(rows.mapInArrow(gather, _SUMS).repartition("word").mapInArrow(_sum_rows, _TOTALS))
+    found = total.where("keys is null").select("word", "sums").toArrow()
+    held = Frequent(frequent, np.searchsorted(frequent, found.column("word").to_numpy()), _unpacked(found.column("sums").to_pylist()))
+    return Words(documents.sparkSession.sparkContext.broadcast(held), total.select(F.explode("keys").alias("key"), "word", "sums"))
 
 
 def pooled(found: Places, vectors: np.ndarray) -> np.ndarray:
@@ -322,12 +389,12 @@ def pooled(found: Places, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def features_of(texts: list[bytes], words: np.ndarray, cells: list[bytes], frequent: np.ndarray, table: np.ndarray) -> np.ndarray:
+def features_of(texts: list[bytes], words: np.ndarray, cells: list[bytes], frequent: Frequent) -> np.ndarray:
     """The pooled vectors of texts; ``words`` and ``cells`` are the sums of their words that other texts hold too."""
     found = Places(texts)
     vectors = np.zeros((len(found.words) + 1, WIDTH), np.float32)
-    rows = found.rows_in(frequent)
-    vectors[rows >= 0] = table[rows[rows >= 0]]
+    rows = found.rows_in(frequent.words)
+    vectors[rows >= 0] = frequent.units(rows[rows >= 0])
     words, first = np.unique(words, return_index=True)
     told = found.rows_in(words)
     told[rows >= 0] = -1
@@ -341,19 +408,25 @@ def features_of(texts: list[bytes], words: np.ndarray, cells: list[bytes], frequ
 def per_row(documents: DataFrame, known: Words, work: Callable[[np.ndarray], pa.Array], schema: str,
             keep: list[str]) -> DataFrame:
     """Runs ``work`` over the pooled vectors of documents; returns ``keep`` and its column."""
-    frequent, table, name = known.frequent, known.table, schema.split()[0]
+    frequent, name = known.frequent, schema.split()[0]
+    kind = documents.schema["text"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 2 << 20):
+        for batch in _by_size(batches, 2 << 20):
             told = pc.list_flatten(batch.column("__told"))
-            found = features_of(bytes_of(batch.column("__text")), pc.struct_field(told, "word").to_numpy(zero_copy_only=False).astype(np.int64),
-                                pc.struct_field(told, "sums").to_pylist(), frequent, table)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), work(found)], names=[*keep, name])
+            texts = texts_of(batch.column("__packed").to_pylist(), batch.column("__size").to_pylist())
+            found = features_of(texts, pc.struct_field(told, "word").to_numpy(zero_copy_only=False).astype(np.int64),
+                                pc.struct_field(told, "sums").to_pylist(), frequent.value)
+            columns = {k: batch.column(k) for k in keep if k != "text"}
+            if "text" in keep:
+                plain = pa.array(texts, pa.binary(), mask=batch.column("__packed").is_null().to_numpy(zero_copy_only=False))
+                columns["text"] = plain if kind == "binary" else plain.view(pa.string())
+            yield pa.RecordBatch.from_arrays([*(columns[k] for k in keep), work(found)], names=[*keep, name])
 
     told = known.shared.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("word", "sums")).alias("__told"))
-    rows = documents.select(*dict.fromkeys([*keep, "text"]), key_of().alias("__key")).join(told, "__key", "left").select(
-        *keep, F.col("text").cast("binary").alias("__text"), "__told")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("__text", "__told")]
+    rows = packed_texts(documents.select(
+        *(k for k in keep if k != "text"), key_of().alias("__key"), F.col("text").cast("binary").alias("__text"))).join(told, "__key", "left").drop("__key")
+    fields = [f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keep]
     return rows.mapInArrow(run, ", ".join([*fields, schema]))
 
 
@@ -418,7 +491,7 @@ def fit(documents: DataFrame, labels: DataFrame, words: Words, most: int = MOST_
         F.min("quality").alias("quality"))
     sample = learning_sample(documents, known, most, ["quality"])
     keys = sample.select(key_of().alias("key")).distinct()
-    near = Words(words.frequent, words.table, words.shared.join(F.broadcast(keys), "key", "left_semi"))
+    near = Words(words.frequent, words.shared.join(F.broadcast(keys), "key", "left_semi"))
 
     def work(found: np.ndarray) -> pa.Array:
         return pa.array(list(found), pa.list_(pa.float32()))

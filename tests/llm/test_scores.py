@@ -76,6 +76,44 @@ def test_every_word_has_its_own_vector(spark, monkeypatch, most):
         assert np.allclose(r.features[2 * quality.WIDTH:3 * quality.WIDTH], beside, atol=1e-6)
 
 
+def test_the_sum_of_a_word_is_written_once_with_its_keys(monkeypatch):
+    """Frequent words have no keys, a word of one document is left out, many keys are several rows."""
+    monkeypatch.setattr(quality, "KEYS", 2)
+    rows = [(7, k, 1) for k in (3, 1, 2, 1, 5, 4)] + [(9, 8, 5), (4, None, 200), (4, None, 1), (6, 8, 3), (6, 8, 2), (5, -1, 4), (5, 2, 4)]
+    batches = [quality.pa.RecordBatch.from_arrays(
+        [quality.pa.array([r[i] for r in part], quality.pa.int64()) for i in (0, 1)] +
+        [quality._packed(np.full((len(part), quality.WIDTH), [[r[2]] for r in part], np.int64))], names=["word", "key", "sums"]) for part in (rows[:8], rows[8:])]
+    found = quality.pa.Table.from_batches(list(quality._sum_rows(iter(batches))))
+    sums = quality._unpacked(found.column("sums").to_pylist())
+    got = list(zip(found.column("word").to_pylist(), found.column("keys").to_pylist(), sums[:, 0].tolist(), strict=True))
+    assert got == [(4, None, 201), (5, [-1, 2], 8), (6, [8], 5), (7, [1, 2], 6), (7, [3, 4], 6), (7, [5], 6)]
+    assert (sums == sums[:, :1]).all() and not list(quality._sum_rows(iter([])))
+
+
+def test_frequent_words_are_sent_in_few_bytes():
+    rng = np.random.default_rng(1)
+    sums = rng.integers(-100, 100, (3000, quality.WIDTH)) * np.repeat([1, 100, 10**5, 10**10], [2400, 300, 200, 100])[:, None]
+    rows = rng.permutation(3500)[:3000]
+    held = quality.Frequent(np.arange(3500), rows, sums)
+    want = np.zeros((3500, quality.WIDTH), np.float32)
+    want[rows] = quality._units(sums)
+    asked = rng.integers(0, 3500, 900)
+    assert np.array_equal(held.units(asked), want[asked])
+    assert sum(s.nbytes + r.nbytes for r, s in held.parts) < want.nbytes / 1.5
+    none = quality.Frequent(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, quality.WIDTH), np.int64))
+    assert none.units(np.zeros(0, np.int64)).shape == (0, quality.WIDTH)
+
+
+def test_texts_come_back_whole_from_their_way(spark, odd, monkeypatch):
+    monkeypatch.setattr(quality, "FREQUENT", 3)
+    words = quality.word_sums(odd)
+    found = quality.per_row(odd, words, lambda x: quality.pa.array(np.abs(x).sum(axis=1), quality.pa.float64()), "total double", odd.columns)
+    assert found.drop("total").schema.simpleString() == odd.schema.simpleString()
+    assert sorted(map(tuple, found.drop("total").collect()), key=str) == sorted(map(tuple, odd.collect()), key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "__packed" in plan.split("Join")[1]  # what goes to the join is packed
+
+
 def test_network_is_calibrated_and_falls_back():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 6))
