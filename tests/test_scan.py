@@ -164,6 +164,18 @@ def test_key_parts_cannot_be_confused(spark):
     assert {r.record_primary_key for r in found} == {r"a\|b|c", r"a|b\|c"} and len({r.violation_id for r in found}) == 2
 
 
+@pytest.mark.parametrize("many", [3, 80])
+def test_keys_are_written_once_per_row_and_not_per_broken_rule(spark, many):
+    rows = [(i, f"a|{i}", float(i)) for i in range(20)]
+    src = {"items": S.Source(spark.createDataFrame(rows, "id int, part string, amount double"), ("id", "part"))}
+    rules = [Rule(f"r{i}", "t", "amount", ">", f"{i}", data_type="number") for i in range(many)]
+    found = S.hits(src, S.plan_pairs(rules, src, Setting(AS_OF)), payload=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("Generate explode") < plan.index("concat_ws")
+    want = sorted((f"r{i}", "items", f"{n}|a\\|{n}") for i in range(many) for n in range(20) if n > i)
+    assert sorted(tuple(r)[:3] for r in found.collect()) == want
+
+
 def test_stored_rows_append_and_are_found(spark, tmp_path):
     path = str(tmp_path / "log")
     for k in "ab":
