@@ -4,7 +4,7 @@
    is the sum of the index vectors of its neighbours over the whole collection, exact for every word.
    Sums are whole numbers, so the result is the same in any order of tasks. Words that a sample shows to be
    frequent (at most ``FREQUENT``) are added up per task and sent to the tasks as one table. Any other word has
-   a row per document; their sum, written once with the keys of its documents, goes back to the documents that
+   a row per document, small numbers packed three or two to a byte; their sum, written once with the keys of its documents, goes back to the documents that
    share the word by a join on the document's key, to which texts go packed, and a word of one document only is
    summed up from this document. Which words count as frequent changes the work but no vector.
 2. *Pooling.* A document is, per dimension, the mean of its words' unit vectors, their spread, and the
@@ -185,17 +185,55 @@ class Places:
         return out
 
 
+def _triples(sums: np.ndarray) -> np.ndarray:
+    """Numbers from -2 to 2, three to a byte."""
+    digits = np.zeros((len(sums), 3 * -(-WIDTH // 3)), np.uint8)
+    digits[:, :WIDTH] = sums + 2
+    return digits[:, 0::3] * np.uint8(25) + digits[:, 1::3] * np.uint8(5) + digits[:, 2::3]
+
+
+def _halves(sums: np.ndarray) -> np.ndarray:
+    """Numbers from -7 to 7, two to a byte."""
+    digits = (sums + 8).astype(np.uint8)
+    return digits[:, 0::2] << np.uint8(4) | digits[:, 1::2]
+
+
+_OF_TRIPLES = np.array(list(product(range(-2, 3), repeat=3)), np.int8)
+_OF_HALVES = np.array(list(product(range(-8, 8), repeat=2)), np.int8)
+# The largest number, the way to bytes and back; a cell's length tells which it is.
+_CELLS = (
+    (2, _triples, lambda found: _OF_TRIPLES[found]),
+    (7, _halves, lambda found: _OF_HALVES[found]),
+    (127, lambda sums: sums.astype(np.int8).view(np.uint8), lambda found: found.view(np.int8)),
+    (np.iinfo(np.int64).max, lambda sums: sums.astype(np.int64).view(np.uint8), lambda found: found.view(np.int64)),
+)
+_LENGTHS = tuple(pack(np.zeros((1, WIDTH), np.int64)).shape[1] for _, pack, _ in _CELLS)
+
+
+def _pieces(chosen: np.ndarray) -> Iterator[np.ndarray]:
+    rows = np.flatnonzero(chosen)
+    for i in range(0, len(rows), 1 << 14):
+        yield rows[i:i + (1 << 14)]
+
+
 def _packed(sums: np.ndarray) -> pa.Array:
-    """A cell per row: a byte per number where that is enough, else eight."""
-    narrow, fits = sums.astype(np.int8), np.abs(sums).max(axis=1, initial=0) < 128
-    return pa.array([(narrow if fit else sums)[i].tobytes() for i, fit in enumerate(fits.tolist())], pa.binary())
+    """A cell per row, in the fewest bytes of ``_CELLS`` that hold its numbers."""
+    form = np.searchsorted([most for most, _, _ in _CELLS], np.abs(sums).max(axis=1, initial=0))
+    ends = np.cumsum(np.array(_LENGTHS)[form])
+    data = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    for i, (_, pack, _) in enumerate(_CELLS):
+        for rows in _pieces(form == i):
+            data[(ends[rows] - _LENGTHS[i])[:, None] + np.arange(_LENGTHS[i])] = pack(sums[rows])
+    return pa.Array.from_buffers(pa.binary(), len(sums), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(data)])
 
 
 def _unpacked(cells: list[bytes]) -> np.ndarray:
-    fits = np.array([len(c) == WIDTH for c in cells], bool)
+    sizes = np.fromiter(map(len, cells), np.int64, len(cells))
+    data, ends = np.frombuffer(b"".join(cells), np.uint8), np.cumsum(sizes)
     out = np.empty((len(cells), WIDTH), np.int64)
-    out[fits] = np.frombuffer(b"".join(c for c in cells if len(c) == WIDTH), np.int8).reshape(-1, WIDTH)
-    out[~fits] = np.frombuffer(b"".join(c for c in cells if len(c) != WIDTH), np.int64).reshape(-1, WIDTH)
+    for length, (_, _, unpack) in zip(_LENGTHS, _CELLS, strict=True):
+        for rows in _pieces(sizes == length):
+            out[rows] = unpack(data[(ends[rows] - length)[:, None] + np.arange(length)]).reshape(len(rows), -1)[:, :WIDTH]
     return out
 
 

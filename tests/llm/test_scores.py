@@ -90,6 +90,19 @@ def test_the_sum_of_a_word_is_written_once_with_its_keys(monkeypatch):
     assert (sums == sums[:, :1]).all() and not list(quality._sum_rows(iter([])))
 
 
+def test_sums_take_the_fewest_bytes_that_hold_them():
+    rng = np.random.default_rng(2)
+    rows = [rng.integers(-most, most + 1, (20_000, quality.WIDTH)) for most in (2, 7, 127, 10**12)]
+    edges = np.zeros((9, quality.WIDTH), np.int64)
+    edges[range(9), range(9)] = [-2, 2, -3, 7, -8, 127, -127, 128, -128]
+    sums = np.concatenate([edges, *rows])[rng.permutation(80_009)]
+    cells = quality._packed(sums).to_pylist()
+    assert np.array_equal(quality._unpacked(cells), sums)
+    most = np.abs(sums).max(axis=1)
+    assert [len(c) for c in cells] == np.select([most <= 2, most <= 7, most <= 127], [11, 16, 32], 256).tolist()
+    assert len(quality._packed(sums[:0])) == 0 and quality._unpacked([]).shape == (0, quality.WIDTH)
+
+
 def test_frequent_words_are_sent_in_few_bytes():
     rng = np.random.default_rng(1)
     sums = rng.integers(-100, 100, (3000, quality.WIDTH)) * np.repeat([1, 100, 10**5, 10**10], [2400, 300, 200, 100])[:, None]
