@@ -281,6 +281,25 @@ def key_of() -> Column:
     return F.xxhash64("doc_id", F.col("text").cast("binary"))
 
 
+def _block(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed blocks of rows for a cut, in which rows would stand uncompressed."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([_block(batch)], pa.binary())], names=["block"])
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in batch.column("block"):
+            yield from pa.ipc.open_stream(block.as_buffer())
+
+
 def frequent_words(rows: DataFrame, most: int) -> np.ndarray:
     """The sorted hashes of at most ``most`` words, the more frequent ones of a sample of the rows (key, text)."""
 
@@ -290,8 +309,9 @@ def frequent_words(rows: DataFrame, most: int) -> np.ndarray:
             n = np.bincount(found.ids[found.ids >= 0], minlength=len(found.words))
             yield pa.RecordBatch.from_arrays([pa.array(found.words), pa.array(n, pa.int64())], names=["word", "n"])
 
-    counts = cut(rows.where(F.pmod("key", F.lit(SAMPLED)) == 0).mapInArrow(count, "word long, n long").groupBy("word").agg(
-        F.sum("n").alias("n")))
+    shape = "word long, n long"
+    counts = cut(rows.where(F.pmod("key", F.lit(SAMPLED)) == 0).mapInArrow(count, shape).groupBy("word").agg(
+        F.sum("n").alias("n")).mapInArrow(_pressed, "block binary")).mapInArrow(_rows_of, shape)
     chosen, held = F.lit(False), 0
     for n, words in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():
         # Of the last count as many words as there is room for, by their hash; a little less, as shares of hashes vary.
@@ -339,6 +359,16 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(word[some]), keys, _packed(total[group[some]])], names=["word", "keys", "sums"])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``_sum_rows`` as compressed blocks, those of frequent words (without keys) apart."""
+    for batch in batches:
+        alone = batch.column("keys").is_null()
+        for everywhere, chosen in ((True, alone), (False, pc.invert(alone))):
+            some = batch.filter(chosen)
+            if some.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([everywhere]), pa.array([_block(some)], pa.binary())], names=["everywhere", "block"])
+
+
 class Frequent:
     """Sorted hashes of the frequent words and the sums of their contexts, each in the fewest bytes that hold it."""
 
@@ -395,10 +425,11 @@ def word_sums(documents: DataFrame) -> Words:
         yield pa.RecordBatch.from_arrays(
             [pa.array(frequent[some]), pa.nulls(len(some), pa.int64()), _packed(sums[some])], names=["word", "key", "sums"])
 
-    total = cut(rows.mapInArrow(gather, _SUMS).repartition("word").mapInArrow(_sum_rows, _TOTALS))
-    found = total.where("keys is null").select("word", "sums").toArrow()
+    total = cut(rows.mapInArrow(gather, _SUMS).repartition("word").mapInArrow(lambda b: _blocks(_sum_rows(b)), "everywhere boolean, block binary"))
+    found = total.where("everywhere").select("block").mapInArrow(_rows_of, _TOTALS).select("word", "sums").toArrow()
     held = Frequent(frequent, np.searchsorted(frequent, found.column("word").to_numpy()), _unpacked(found.column("sums").to_pylist()))
-    return Words(documents.sparkSession.sparkContext.broadcast(held), total.select(F.explode("keys").alias("key"), "word", "sums"))
+    shared = total.where("not everywhere").select("block").mapInArrow(_rows_of, _TOTALS)
+    return Words(documents.sparkSession.sparkContext.broadcast(held), shared.select(F.explode("keys").alias("key"), "word", "sums"))
 
 
 def pooled(found: Places, vectors: np.ndarray) -> np.ndarray:

@@ -103,6 +103,22 @@ def test_sums_take_the_fewest_bytes_that_hold_them():
     assert len(quality._packed(sums[:0])) == 0 and quality._unpacked([]).shape == (0, quality.WIDTH)
 
 
+def test_sums_are_cut_as_compressed_blocks(spark, odd, monkeypatch):
+    rng = np.random.default_rng(3)
+    words, many = np.arange(5000), [None if i % 7 == 0 else [i] * (i % 4) for i in range(5000)]
+    sums = quality._packed(rng.integers(-1, 2, (5000, quality.WIDTH)))
+    rows = quality.pa.RecordBatch.from_arrays([quality.pa.array(words), quality.pa.array(many, quality.pa.list_(quality.pa.int64())), sums],
+                                              names=["word", "keys", "sums"])
+    blocks = list(quality._blocks(iter([rows, rows.slice(0, 0)])))
+    found = quality.pa.Table.from_batches(list(quality._rows_of(iter(blocks))))
+    assert sorted(found.to_pylist(), key=str) == sorted(rows.to_pylist(), key=str)
+    assert [b.column("everywhere").to_pylist() for b in blocks] == [[True], [False]]
+    seen = []
+    monkeypatch.setattr(quality, "cut", lambda df, cut=quality.cut: seen.append(df.columns) or cut(df))
+    quality.word_sums(odd)
+    assert seen == [["block"], ["everywhere", "block"]]
+
+
 def test_frequent_words_are_sent_in_few_bytes():
     rng = np.random.default_rng(1)
     sums = rng.integers(-100, 100, (3000, quality.WIDTH)) * np.repeat([1, 100, 10**5, 10**10], [2400, 300, 200, 100])[:, None]
