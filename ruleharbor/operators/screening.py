@@ -58,11 +58,13 @@ def with_policies(asked: DataFrame, inputs: GateInputs, retrieve: int = K.RETRIE
 
 def with_checks(rated: DataFrame, inputs: GateInputs, policy_name: Column | None = None) -> DataFrame:
     """Requests with the verdict of their reply and its checks. ``policy_name`` names policy ``p`` in replies."""
-    verdicts = inputs.replies.select("query_id", parse_verdict(F.col("text")).alias("verdict"))
+    # Replies are read behind the join: as many tasks share the work as it has parts, however few parts the table has.
+    replies = inputs.replies.select("query_id", F.struct("text").alias("reply"))
     named = F.transform("policies", lambda p: F.concat(F.lit("p"), p["item_id"])) if policy_name is None else policy_name
     told = rated.withColumns({
         "policy_confidence": F.get("policies", F.lit(0))["score"], "policy_ids": named,
-    }).join(verdicts, "query_id", "left")
+    }).join(replies, "query_id", "left").withColumn(
+        "verdict", F.when(F.col("reply").isNotNull(), parse_verdict(F.col("reply.text")))).drop("reply")
     return gate.audit_checks(told.withColumn("policy_status", gate.policy_status(F.col("policy_confidence"))))
 
 

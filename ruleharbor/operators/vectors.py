@@ -285,7 +285,7 @@ def rerank(hits: Column, columns: Column, has_pii_categories: Column, purpose: C
 
     ``columns`` are the queried columns in lower case. Works inside the row of the request.
     """
-    purpose_words = F.filter(F.split(F.lower(F.coalesce(purpose, F.lit(""))), r"\s+"), lambda w: F.length(w) > 3)
+    purpose_words = F.regexp_extract_all(F.lower(F.coalesce(purpose, F.lit(""))), F.lit(r"\S{4,}"), F.lit(0))
 
     def boosted(h: Column, words: Column) -> Column:
         boost = (
@@ -297,6 +297,6 @@ def rerank(hits: Column, columns: Column, has_pii_categories: Column, purpose: C
 
     best = let(
         purpose_words,
-        lambda words: F.slice(F.array_sort(F.transform(hits, lambda h: boosted(h, words))), 1, k),
+        lambda words: F.slice(F.sort_array(F.transform(hits, lambda h: boosted(h, words))), 1, k),
     )
     return F.transform(best, lambda h: F.struct(h["item_id"].alias("item_id"), (-h["neg"]).alias("score")))
