@@ -8,6 +8,7 @@ cut into slices of about ``SLICE_ROWS`` rows, so that a busy key is not one task
 
 A text or a vector matches many keys. Its requests are therefore not multiplied by them: requests, matching pairs
 and the entries that live in a slice of time meet in groups of bounded size, where lifetimes are searched (``best_living``).
+Few requests and many entries make as many slices as many requests and few entries.
 
 Nearly equal texts are found through an index of segments (``near_text``), similar vectors through a metric
 index (``cells``). A vector is known by a 128-bit hash, worked out once per row.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -33,9 +35,11 @@ from ruleharbor.operators.vectors import score_matrix
 from ruleharbor.session import cut_lineage
 
 SLICE_ROWS = 1_000_000
-GROUP_SLICE_ROWS = 500_000  # requests of a time slice in which they meet entries
+GROUP_SLICE_ROWS = 500_000  # requests, and births of entries, of a time slice in which they meet
 GROUP_ROWS = 250_000  # requests and matching pairs of a group
+GROUP_ENTRIES = 1_000_000  # entries of a group
 STEP_PAIRS = 1_000_000  # requests times lanes that are searched at once
+TIME_STEPS = 4096  # of which slices are made
 VECTORS_PER_BLOCK = 2048
 
 HIT_COLUMNS = ("query_id", "entry_id", "decision")
@@ -161,6 +165,62 @@ def _exact(asked: DataFrame, alive: DataFrame) -> DataFrame:
 # --- requests that match many keys ----------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class TimeSlices:
+    """Slices of time from ``first`` to ``last`` (microseconds): steps of equal length, and of each the number of its slice.
+
+    ``entries``: the most entries that live in a slice.
+    """
+
+    first: int
+    last: int
+    numbers: tuple[int, ...]
+    entries: int = 0
+
+    def step(self, at: Column) -> Column:
+        """The step of a time; times outside go to the first or the last one."""
+        length = math.ceil((self.last - self.first + 1) / len(self.numbers))
+        return F.least(F.greatest(F.floor((at - F.lit(self.first)) / F.lit(length)), F.lit(0)), F.lit(len(self.numbers) - 1)).cast("int")
+
+    def number(self, at: Column) -> Column:
+        told = F.split(F.lit(",".join(map(str, self.numbers))), ",").cast("array<int>")  # a constant to Spark
+        return F.get(told, self.step(at))
+
+    def living(self, alive: DataFrame) -> DataFrame:
+        """The entries that can answer a request in the slices."""
+        return alive.where((F.col("born") < self.last) & (F.col("dies") >= self.first))
+
+
+def time_slices(asked: DataFrame, alive: DataFrame, most: int) -> TimeSlices:
+    """Slices that hold about ``most`` requests (at) and as many births of entries (born, dies), however these lie in time.
+
+    Entries that live on from one slice into the next are sent to both. Where more than ``most`` do, the next slice takes as many
+    births or requests as there are such entries, so all slices together hold no more than a few times the rows.
+    """
+    span = asked.agg(F.min("at").alias("first"), F.max("at").alias("last")).first()
+    even = TimeSlices(span["first"] or 0, span["last"] or 0, tuple(range(TIME_STEPS)))
+    one = lambda at, *kind: F.struct(even.step(at).alias("step"), *[F.lit(int(x)).alias(c) for c, x in zip(("asked", "born", "died"), kind)])
+    rows = asked.select(F.array(one(F.col("at"), True, False, False)).alias("all")).unionAll(even.living(alive).select(
+        F.array(one(F.col("born"), False, True, False), one(F.col("dies"), False, False, True)).alias("all")))
+    held = np.zeros((TIME_STEPS, 3), np.int64)
+    for r in rows.select(F.inline("all")).groupBy("step").agg(F.sum("asked"), F.sum("born"), F.sum("died")).collect():  # a row per step
+        held[r[0]] = r[1:]
+    number, numbers, inside, carried, living, largest = 0, [], np.zeros(2, np.int64), 0, 0, 0
+    for step in held:
+        if inside.any() and (inside + step[:2]).max() > max(most, carried):
+            number, inside, carried = number + 1, np.zeros(2, np.int64), living
+        numbers.append(number)
+        inside = inside + step[:2]
+        living += step[1] - step[2]
+        largest = max(largest, carried + inside[1])
+    return TimeSlices(even.first, even.last, tuple(numbers), int(largest))
+
+
+def _runs(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """``many`` whole numbers from each of ``first``, one run behind the other."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
 def _nearest_living(left: pa.Table, right: pa.Table, oldest: bool) -> pa.Table:
     """Of each request the best entry that lives at its time, among those of the matching objects.
 
@@ -192,18 +252,19 @@ def _nearest_living(left: pa.Table, right: pa.Table, oldest: bool) -> pa.Table:
     rank = np.empty(len(order), np.int64)
     rank[np.lexsort((key, born))] = np.arange(len(order))
 
-    # The lanes of each subject.
+    # The pairs of each subject, and the lanes of each pair.
+    by_subject = np.argsort(p_subject, kind="stable")
+    owner, p_object = p_subject[by_subject], p_object[by_subject]
     first, last = (np.searchsorted(e_object[starts], p_object, side) for side in ("left", "right"))
     many = last - first
-    by_subject = np.argsort(np.repeat(p_subject, many), kind="stable")
-    lanes = (np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))[by_subject]
-    score = pairs.column("score").to_numpy().astype(np.float64)
+    score = pairs.column("score").to_numpy().astype(np.float64)[by_subject]
     levels = np.unique(-score)
-    level = np.repeat(np.searchsorted(levels, -score), many)[by_subject]
-    owner = np.repeat(p_subject, many)[by_subject]
+    level = np.searchsorted(levels, -score)
     begin, end = np.searchsorted(owner, subject, "left"), np.searchsorted(owner, subject, "right")
-    asked = np.flatnonzero(end > begin)
-    width = (end - begin)[asked]
+    before = np.r_[0, np.cumsum(many)]
+    width = before[end] - before[begin]
+    asked = np.flatnonzero(width)
+    width = width[asked]
     moment = np.searchsorted(moments, at)
 
     rows, hits, scores = [], [], []
@@ -212,11 +273,11 @@ def _nearest_living(left: pa.Table, right: pa.Table, oldest: bool) -> pa.Table:
         if not len(some):
             continue
         offset = np.cumsum(wide) - wide
-        entry = np.repeat(begin[some] - offset, wide) + np.arange(wide.sum())
-        at_lane = lanes[entry]
+        pair = _runs(begin[some], (end - begin)[some])
+        at_lane, at_level = _runs(first[pair], many[pair]), np.repeat(level[pair], many[pair])
         found = np.searchsorted(place, at_lane * (len(moments) + 1) + np.repeat(moment[some], wide)) - 1
         lives = (found >= 0) & (lane[found] == at_lane) & (dies[found] >= np.repeat(at[some], wide))
-        worth = rank[found] if oldest else level[entry] * (len(order) + 1) + key[found]
+        worth = rank[found] if oldest else at_level * (len(order) + 1) + key[found]
         worth = np.where(lives, worth, np.iinfo(np.int64).max)
         best = np.minimum.reduceat(worth, offset)
         # The first of each request's lanes that has the least value.
@@ -226,7 +287,7 @@ def _nearest_living(left: pa.Table, right: pa.Table, oldest: bool) -> pa.Table:
         top, whose = top[keep], whose[keep]
         rows.append(some[whose])
         hits.append(order[found[top]])
-        scores.append(-levels[level[entry[top]]])
+        scores.append(-levels[at_level[top]])
     none = np.zeros(0, np.int64)
     told = entries.take(pa.array(np.concatenate([none, *hits])))
     return pa.table({"query_id": left.column("query_id").take(pa.array(np.concatenate([none, *rows]))),
@@ -240,12 +301,12 @@ def best_living(asked: DataFrame, near: DataFrame, alive: DataFrame, oldest: boo
     ``asked``: query_id, at, subject. ``near``: subject, object, score, each pair once. ``alive``: object, key, born, dies, entry_id,
     decision (``lifetimes``: entries of a key do not overlap). The best is the oldest entry, else the one of the highest score;
     then the smallest key. A request is sent to one group, an entry to the groups of its slices that hold a matching subject.
-    Subjects are dealt to groups by hash; one with more requests in a slice than a group holds has several.
+    Subjects are dealt to groups by hash; one with more requests in a slice than a group holds has several. A group that more
+    than ``GROUP_ENTRIES`` entries would reach is cut by their objects and keys, and a request has a row of each part that answers it.
     """
     asked = asked.where("at IS NOT NULL AND subject IS NOT NULL")
-    width = slice_width(asked, "at", GROUP_SLICE_ROWS)
-    asked = asked.withColumn("slice", _slice(F.col("at"), width))
-    span = asked.agg(F.min("slice").alias("first"), F.max("slice").alias("last")).first()
+    slices = time_slices(asked, alive, GROUP_SLICE_ROWS)
+    asked = asked.withColumn("slice", slices.number(F.col("at")))
     pairs_of = near.groupBy("subject").agg(F.count(F.lit(1)).alias("pairs"))
     counts = cut_lineage(asked.groupBy("slice", "subject").agg(F.count(F.lit(1)).alias("n")).join(pairs_of, "subject"))
     groups = lambda n: F.ceil(n / GROUP_ROWS).cast("int")
@@ -262,16 +323,26 @@ def best_living(asked: DataFrame, near: DataFrame, alive: DataFrame, oldest: boo
         *keys, "query_id", "at", "subject")
     pairs = dealt(counts.select("slice", "subject").join(near, "subject")).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*keys, "subject", "object", "score")
-    begins = F.greatest(_slice(F.col("born"), width), F.lit(span["first"]).cast("long"))
-    ends = F.least(_slice(F.col("dies"), width), F.lit(span["last"]).cast("long"))
-    spans = alive.withColumns({"begins": begins, "ends": ends}).where("begins <= ends").select(
-        "object", "key", "born", "dies", "entry_id", "decision", F.explode(F.sequence("begins", "ends")).alias("slice"))
-    entries = spans.join(pairs.select(*keys, "object").distinct(), ["slice", "object"])
+    spans = slices.living(alive).select(
+        "object", "key", "born", "dies", "entry_id", "decision",
+        F.explode(F.sequence(slices.number(F.col("born")), slices.number(F.col("dies")))).alias("slice"))
+    places = pairs.select(*keys, "object").distinct()
+    entries = spans.join(places, ["slice", "object"])
+    by = keys
+    if slices.entries > GROUP_ENTRIES:
+        lives = spans.groupBy("slice", "object").agg(F.count(F.lit(1)).alias("lives"))
+        large = F.broadcast(cut_lineage(places.join(lives, ["slice", "object"]).groupBy(*keys).agg(
+            F.ceil(F.sum("lives") / GROUP_ENTRIES).cast("int").alias("cuts")).where("cuts > 1")))  # few by their size
+        cuts = F.coalesce("cuts", F.lit(1))
+        every = lambda rows: rows.join(large, keys, "left").withColumn("cut", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("cuts")
+        one, pairs = every(one), every(pairs)
+        entries = entries.join(large, keys, "left").withColumn("cut", F.pmod(F.xxhash64("object", "key"), cuts).cast("int")).drop("cuts")
+        by = [*keys, "cut"]
     two = pairs.unionByName(entries, allowMissingColumns=True)
     kind = {f.name: f.dataType.simpleString() for f in alive.schema}
     shape = (f"query_id {asked.schema['query_id'].dataType.simpleString()}, born long, key string, entry_id {kind['entry_id']}, "
              f"decision {kind['decision']}, score double")
-    return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(lambda left, right: _nearest_living(left, right, oldest), shape)
+    return one.groupBy(*by).cogroup(two.groupBy(*by)).applyInArrow(lambda left, right: _nearest_living(left, right, oldest), shape)
 
 
 # --- nearly equal texts ------------------------------------------------------------------

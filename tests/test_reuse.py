@@ -1,4 +1,6 @@
 import random
+import uuid
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -104,6 +106,60 @@ def test_matches_whatever_the_groups(log, hits, of_a_slice, of_a_group, monkeypa
     assert want and answers(hits(requests, alive)) == want
 
 
+@pytest.mark.parametrize("hits", [R.fuzzy_hits, R.semantic_hits])
+def test_few_requests_meet_many_entries_in_groups_of_bounded_size(log, hits, monkeypatch, tmp_path):
+    rows, requests, entries = log
+    few, alive = requests.where("query_id % 40 = 0"), R.lifetimes(entries)
+    want = answers(hits(few, alive))
+    monkeypatch.setattr(R, "GROUP_SLICE_ROWS", 30)
+    monkeypatch.setattr(R, "GROUP_ENTRIES", 25)
+    searched, told = R._nearest_living, str(tmp_path)
+
+    def watched(left, right, oldest):
+        with open(f"{told}/{uuid.uuid4()}", "w") as f:
+            f.write(str(right.num_rows - right.column("born").null_count))
+        return searched(left, right, oldest)
+
+    monkeypatch.setattr(R, "_nearest_living", watched)
+    assert want and answers(hits(few, alive)) == want
+    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert 0 < max(sizes) < len(rows) / 4
+
+
+def in_slices(slices, rows):
+    """Of each time in microseconds the number of its slice."""
+    return [r[0] for r in rows.select(slices.number(F.col("at"))).collect()]
+
+
+def test_slices_hold_as_many_requests_or_births(spark):
+    at = lambda df, *c: df.select(*[F.col("id").alias(x) for x in c])
+    # A burst of births in one thousandth of the time, few requests.
+    asked = at(spark.range(0, 1_000_000, 10_000), "at")
+    alive = at(spark.range(500_000, 501_000), "born").withColumn("dies", F.col("born") + 5)
+    found = R.time_slices(asked, alive, 300)
+    numbers = in_slices(found, at(spark.range(0, 1_000_000, 1000), "at"))
+    assert numbers == sorted(numbers) and 4 <= len(set(found.numbers)) <= 8
+    births = Counter(in_slices(found, alive.select(F.col("born").alias("at"))))
+    assert max(births.values()) <= 300 and max(births.values()) <= found.entries
+    # Times outside go to the ends.
+    assert in_slices(found, spark.createDataFrame([(-5,), (10**17,)], "at long")) == [numbers[0], max(found.numbers)]
+
+
+def test_slices_of_entries_that_live_on(spark):
+    asked = spark.range(0, 4000).select(F.col("id").alias("at"))
+    alive = spark.range(0, 4000).select(F.col("id").alias("born"), F.lit(10_000).cast("long").alias("dies"))
+    found = R.time_slices(asked, alive, 50)
+    # Slices grow with the entries they carry on, so copies stay a few times the rows.
+    assert sum(found.numbers.index(n) for n in set(found.numbers)) < 2 * 4000
+    assert found.entries == 3999
+
+
+def test_slices_without_requests(spark):
+    none = spark.range(0).select(F.col("id").alias("at"))
+    alive = spark.range(10).select(F.col("id").alias("born"), (F.col("id") + 1).alias("dies"))
+    assert set(R.time_slices(none, alive, 5).numbers) == {0}
+
+
 @pytest.mark.parametrize("step", [1, 7, 1_000_000])
 @pytest.mark.parametrize("oldest", [True, False])
 def test_best_living_entry_of_a_group(step, oldest, monkeypatch):
