@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ruleharbor.operators import reuse as R
+from ruleharbor.operators import screening
 
 START = datetime(2024, 1, 1)
 
@@ -106,14 +107,11 @@ def test_matches_whatever_the_groups(log, hits, of_a_slice, of_a_group, monkeypa
     assert want and answers(hits(requests, alive)) == want
 
 
-@pytest.mark.parametrize("hits", [R.fuzzy_hits, R.semantic_hits])
-def test_few_requests_meet_many_entries_in_groups_of_bounded_size(log, hits, monkeypatch, tmp_path):
-    rows, requests, entries = log
-    few, alive = requests.where("query_id % 40 = 0"), R.lifetimes(entries)
-    want = answers(hits(few, alive))
+def small_groups(monkeypatch, folder):
+    """Groups take few entries from now on; the function returned gives the entries of each group so far."""
     monkeypatch.setattr(R, "GROUP_SLICE_ROWS", 30)
     monkeypatch.setattr(R, "GROUP_ENTRIES", 25)
-    searched, told = R._nearest_living, str(tmp_path)
+    searched, told = R._nearest_living, str(folder)
 
     def watched(left, right, oldest):
         with open(f"{told}/{uuid.uuid4()}", "w") as f:
@@ -121,9 +119,29 @@ def test_few_requests_meet_many_entries_in_groups_of_bounded_size(log, hits, mon
         return searched(left, right, oldest)
 
     monkeypatch.setattr(R, "_nearest_living", watched)
+    return lambda: [int(f.read_text()) for f in folder.iterdir()]
+
+
+@pytest.mark.parametrize("hits", [R.fuzzy_hits, R.semantic_hits])
+def test_few_requests_meet_many_entries_in_groups_of_bounded_size(log, hits, monkeypatch, tmp_path):
+    rows, requests, entries = log
+    few, alive = requests.where("query_id % 40 = 0"), R.lifetimes(entries)
+    want = answers(hits(few, alive))
+    sizes = small_groups(monkeypatch, tmp_path)
     assert want and answers(hits(few, alive)) == want
-    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
-    assert 0 < max(sizes) < len(rows) / 4
+    assert 0 < max(sizes()) < len(rows) / 4
+
+
+def test_the_gate_meets_entries_in_groups_of_bounded_size(log, monkeypatch, tmp_path):
+    """The step that decisions, escalations and the audit log share."""
+    rows, requests, entries = log
+    given = screening.GateInputs(catalog=None, policies=None, embeddings=None, replies=None, entries=entries)
+    reused = lambda: sorted(tuple(r) for r in screening.with_reuse(requests.select("query_id"), requests, given).select(
+        "query_id", F.coalesce("cache_layer", F.lit("")), F.coalesce("cached_decision", F.lit(""))).collect())
+    want = reused()
+    sizes = small_groups(monkeypatch, tmp_path)
+    assert len(want) == len(rows) and reused() == want
+    assert 0 < max(sizes()) < len(rows) / 4
 
 
 def in_slices(slices, rows):
